@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stimframe.llm.exact_dedup import exact_dedup
+from stimframe.llm.quality_rules import quality_rules
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,8 +21,14 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, keep="largest", carry=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts within each text, and the verdict of line frequency by source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "depleted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup,)}
+    return {f.__name__: f for f in (op3_exact_dedup, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -30,4 +37,17 @@ def oracle_sql() -> dict[str, str]:
             WITH t AS (SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS text_sha256 FROM documents)
             SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size, doc_id = max(doc_id) OVER g AS kept, text_sha256
             FROM t WINDOW g AS (PARTITION BY text_sha256)""",
+        "op10_quality_rules": r"""
+            WITH d AS (SELECT doc_id, coalesce(source, '') AS host, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+            g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS tri FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+            r AS (SELECT doc_id, count(DISTINCT i + o)::BIGINT AS n FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, tri) AS n FROM g) CROSS JOIN (VALUES (0), (1), (2)) AS k(o) WHERE n > 1 GROUP BY doc_id),
+            x AS (SELECT DISTINCT host, t, lower(trim(line, E' \t\n\x0b\f\r')) AS line FROM (SELECT host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE trim(line, E' \t\n\x0b\f\r') <> ''),
+            f AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM x GROUP BY ALL) JOIN (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host) USING (host) WHERE n > 20 AND n > 0.01 * docs),
+            z AS (SELECT x.host, t, sum(length(x.line)) AS total, coalesce(sum(CASE WHEN f.line IS NOT NULL THEN length(x.line) END), 0) AS gone FROM x LEFT JOIN f ON x.host = f.host AND x.line = f.line GROUP BY ALL),
+            c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
+                    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+                    (len(list_filter(string_split(t, chr(10)), lambda l: trim(l, E' \t\n\x0b\f\r') <> '')) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: trim(l, E' \t\n\x0b\f\r') <> ''))))::BIGINT AS n_dup_lines,
+                    coalesce(r.n, 0) AS n_repeat_words, coalesce(total - gone < 0.3 * total, false) AS depleted
+                  FROM d LEFT JOIN r USING (doc_id) LEFT JOIN z USING (host, t))
+            SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR depleted) AS kept FROM c""",
     }
