@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from stimframe.llm import pii, secrets
 from stimframe.llm.exact_dedup import exact_dedup
 from stimframe.llm.quality_rules import quality_rules
 
@@ -21,6 +22,18 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(docs, keep="largest", carry=["doc_id"]).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data by fixed patterns and by boosted trees over candidates."""
+    found = pii.find_pii(table(spark, sf_dir, "documents"), id_cols=["doc_id"])
+    return pii.digest(found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
+
+
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets by fixed patterns and by the entropy of candidate strings."""
+    found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return secrets.digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts within each text, and the verdict of line frequency by source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -28,7 +41,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_pii, op8_secrets, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
