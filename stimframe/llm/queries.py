@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stimframe.llm import pii, secrets
 from stimframe.llm.exact_dedup import exact_dedup
+from stimframe.llm.minhash_dedup import near_duplicates
 from stimframe.llm.quality_rules import quality_rules
 
 
@@ -28,6 +29,12 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(found).select("doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans")
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates by HyperMinHash, each link confirmed on full sets."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_duplicates(docs, carry=["doc_id"]).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets by fixed patterns and by the entropy of candidate strings."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -41,7 +48,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_pii, op8_secrets, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_pii, op5_minhash_dedup, op8_secrets, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
