@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from stimframe.llm import pii, secrets
 from stimframe.llm.exact_dedup import exact_dedup
+from stimframe.llm.html_text import extract_text
+from stimframe.llm.language_id import held_out, identify, learn_dictionaries
 from stimframe.llm.minhash_dedup import near_duplicates
 from stimframe.llm.quality_rules import quality_rules
+from stimframe.llm.toxicity import fit_toxicity, score_toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,12 +38,31 @@ def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(docs, carry=["doc_id"]).select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language by the smallest compressed size; documents with crc32 mod 4 = 2 are held out of what is learned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", held_out("doc_id", 4, 2))
+    learned = learn_dictionaries(docs.where("not held_out"))
+    return identify(docs.select("doc_id", "text", "held_out"), learned).select("doc_id", "held_out", "lang_pred", "score", "narrow")
+
+
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by tag-path ratios."""
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets by fixed patterns and by the entropy of candidate strings."""
     found = secrets.scan_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return secrets.digest(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every text; documents with crc32 mod 5 = 0 are held out of what is learned."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 5, 0))
+    weights = fit_toxicity(docs.where("not held_out"), table(spark, sf_dir, "labels"))
+    return score_toxicity(docs, weights).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts within each text, and the verdict of line frequency by source."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -48,7 +70,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_pii, op5_minhash_dedup, op8_secrets, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_exact_dedup, op4_pii, op5_minhash_dedup, op6_language_id, op7_html_text, op8_secrets, op9_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
