@@ -5,19 +5,54 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from stimframe.llm.exact_dedup import drop_exact_duplicates
+from stimframe.llm.minhash_dedup import drop_near_duplicates
+from stimframe.llm.mixing import ADDED as MIXED
+from stimframe.llm.mixing import mix_sources
+from stimframe.llm.quality_rules import drop_poor_documents
+from stimframe.llm.queries import MODEL
+from stimframe.llm.sentencepiece_codec import encode
 from stimframe.session import materialise
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that fail the counts, or are made of lines common on their host, go."""
+    return drop_poor_documents(docs)
+
+
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the largest doc_id stays."""
     return drop_exact_duplicates(docs, keep="largest")
 
 
-STAGES = [("exact dedup", exact_copies)]
+def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of linked documents the smallest doc_id stays."""
+    return drop_near_duplicates(docs)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources come up to 1.5 times, none less than once."""
+    return mix_sources(docs, max_repeat=1.5).drop(*MIXED)
+
+
+def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The ids of each text; decoding them gives the text back."""
+    return encode(docs, MODEL, dropout=0.1)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("exact dedup", exact_copies),
+    ("MinHash near-dedup", near_copies),
+    ("mixing sources to target weights", mixed),
+    ("SentencePiece encoding and decoding", pieces),
+]
 
+#: SQL can't express bisection, sketches or pieces; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages in turn over documents; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -170,10 +170,23 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
        blocks of BLOCK members, spread over tasks, so that no link between different texts is missed for want of
        a better centre; these pairs go the same way, and the components are final.
 
-    Null or empty texts have no shingles and are linked with nothing. Of repeated rows of one id all have the same result. A
-    null id takes part in links but never names a component unless no member has an id; then component_id is null and
-    kept false, but for a row of its own. Columns with an added name are replaced; an empty table gives an empty result.
+    Null or empty texts have no shingles and are linked with nothing. Repeated rows, of one id and text, have the same result.
+    A null id takes part in links, but names a component (as null) only if no member has an id. Columns with an added
+    name are replaced; an empty table gives an empty result.
     """
+    return _judged(docs, text_col, id_col, words, percent, carry).drop("__node")
+
+
+def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 75) -> DataFrame:
+    """docs with one document of each group of near-duplicates, the one with the smallest id; the columns of docs."""
+    gone = _judged(docs, text_col, id_col, words, percent, [id_col]).where("not kept").select("__node", F.col(id_col).alias("__gone")).distinct()
+    node = F.xxhash64(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))
+    gone = materialise(gone, "gone")  # its size is then known before the texts move
+    return docs.join(gone, (node == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+
+
+def _judged(docs: DataFrame, text_col: str, id_col: str, words: int, percent: int, carry: list[str] | None) -> DataFrame:
+    """What near_duplicates() returns, and __node."""
     rows = without(docs, [*ADDED, "__node", "__comp"])
     names = carry or rows.columns
     keyed = rows.withColumn("__node", F.xxhash64(lower_ascii(F.coalesce(F.col(text_col), F.lit("")))))
@@ -217,10 +230,12 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
         .join(labels.withColumnsRenamed({"node": "__node", "label": "__comp"}), "__node", "left")
         .withColumn("__comp", F.coalesce("__comp", "__node"))
     )
-    least = found.where("n_shingles > 0").groupBy("__comp").agg(F.min(id_col).alias("component_id"))
+    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("__node").alias("node"))).alias("__first")
+    least = found.where("n_shingles > 0").groupBy("__comp").agg(first)
+    alone = F.col("n_shingles") == 0
     return (
         found.join(least, "__comp", "left")
-        .withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col(id_col)))
-        .withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(False)))
-        .drop("__node", "__comp")
+        .withColumn("component_id", F.when(alone, F.col(id_col)).otherwise(F.col("__first.id")))
+        .withColumn("kept", alone | (F.col(id_col).eqNullSafe(F.col("__first.id")) & (F.col("__node") == F.col("__first.node"))))
+        .drop("__first", "__comp")
     )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,14 +12,32 @@ from stimframe.llm.exact_dedup import exact_dedup
 from stimframe.llm.html_text import extract_text
 from stimframe.llm.language_id import held_out, identify, learn_dictionaries
 from stimframe.llm.minhash_dedup import near_duplicates
+from stimframe.llm.mixing import mix_sources
 from stimframe.llm.quality_rules import quality_rules
+from stimframe.llm.sentencepiece_codec import encode
 from stimframe.llm.toxicity import fit_toxicity, score_toxicity
 
 
+#: The vocabulary file of the SentencePiece queries.
+MODEL = os.environ.get("STIMFRAME_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources mixed by temperature: no source more than twice, every document at least once."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mix_sources(docs, max_repeat=2.0, carry=["doc_id", "source"])
+
+
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every text with a tenth of the merges skipped, and whether they decode to the text."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode(docs, MODEL, dropout=0.1, carry=["doc_id"])
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies by content sort; of equal texts the largest doc_id stays."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -70,7 +89,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_exact_dedup, op4_pii, op5_minhash_dedup, op6_language_id, op7_html_text, op8_secrets, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_exact_dedup, op4_pii, op5_minhash_dedup, op6_language_id, op7_html_text, op8_secrets, op9_toxicity, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
