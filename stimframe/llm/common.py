@@ -27,3 +27,14 @@ def without(df: DataFrame, names: Iterable[str]) -> DataFrame:
 def words(text: Column) -> Column:
     """Array of the maximal runs of other than white space; empty for null."""
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+
+
+def fenced(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """df with these columns behind a generator of one row, at the end.
+
+    A later filter on them then runs on their values. Without the fence the optimizer would put their whole expressions,
+    nested in each other, into the filter.
+    """
+    names = list(names)
+    rest = [F.col(f"`{c}`") for c in df.columns if c not in names]
+    return df.select(*rest, F.inline(F.array(F.struct(*names))))

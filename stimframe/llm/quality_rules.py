@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stimframe.llm.common import SPACE, without, words
+from stimframe.llm.common import SPACE, fenced, without, words
 from stimframe.session import materialise
 
 #: What counts as a symbol.
@@ -21,7 +21,7 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     puts equal windows side by side; the words themselves are compared wherever two hashes meet. The positions of windows
     found twice, in order, cover min(3, distance to the next) words each.
     """
-    return (
+    counted = (
         docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
         .withColumn("__w", words(F.col("__t")))
         .withColumn("n_words", F.size("__w").cast("long"))
@@ -35,6 +35,7 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
         .drop("__t", "__w", "__b", "__tri", "__pos", "__lines")
     )
+    return fenced(counted, ADDED[:5])
 
 
 def _same(at: str) -> str:

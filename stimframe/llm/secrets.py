@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stimframe.llm.common import without
+from stimframe.llm.common import fenced, without
 from stimframe.llm.spans import as_text, by_start, find_spans
 
 #: The patterns of the contract, and the condition that a match {m} has to meet.
@@ -58,7 +58,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW,
         f" st.total - {f('d.o')} + {f('(d.o - 1)')} - {f('d.n')} + {f('(d.n + 1)')} as total,"
         f" least(st.least, st.total - {f('d.o')} + {f('(d.o - 1)')} - {f('d.n')} + {f('(d.n + 1)')}) as least))[0] end, st -> log2({window}D) - st.least / {window})"
     )
-    return (
+    found = (
         df.withColumn("base", F.expr(by_start(f"concat({', '.join(f'__s_{k}' for k in PATTERNS)})", KINDS)))
         .withColumns({f"n_{k}": F.size(f"__s_{k}").cast("long") for k in PATTERNS})
         .withColumn("__c", F.expr(f"filter(__c, s -> {allow} and not exists(base, b -> b.start < s.stop and s.start < b.stop))"))
@@ -66,6 +66,7 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW,
         .withColumn("added", F.expr(f"transform(filter(__c, s -> {slid} >= {level}), s -> struct(s.kind, s.start, s.stop, s.m))"))
         .drop("__t", "__c", *[f"__s_{k}" for k in PATTERNS])
     )
+    return fenced(found, ADDED)
 
 
 def digest(found: DataFrame) -> DataFrame:
