@@ -13,7 +13,7 @@ from stimframe.session import materialise
 
 #: A source has at most so many blocks (a power of two) of about BLOCK_TOKENS tokens; beyond that its blocks grow.
 MAX_BLOCKS, BLOCK_TOKENS = 1024, 4096
-#: The plan has a row for each source and passes the driver: more sources than this are refused.
+#: The plan has a row for each source (some 60 bytes), passes the driver and is broadcast: more sources than this are refused.
 MAX_SOURCES = 100_000
 ADDED = ("n_tokens", "mix_epoch", "mix_block", "mix_at")
 
@@ -119,7 +119,7 @@ def mix_sources(docs: DataFrame, source_col: str = "source", text_col: str = "te
     # The last, partial epoch: how many whole blocks fit its budget, and what is left for one more.
     turn = Window.partitionBy("__source").orderBy("__at")
     blocks = (
-        small.join(plan.where("__rest > 0"), "__source").withColumn("__block", block)
+        small.join(F.broadcast(plan.where("__rest > 0")), "__source").withColumn("__block", block)
         .groupBy("__source", "__block", "__blocks", "__whole", "__rest").agg(F.sum("n_tokens").alias("n"))
         .withColumn("__at", _turned(seed, F.col("__whole")))
         .withColumn("__sum", F.sum("n").over(turn))
@@ -129,7 +129,7 @@ def mix_sources(docs: DataFrame, source_col: str = "source", text_col: str = "te
     plan = spark.createDataFrame(
         [(s.source, s.blocks, float(s.repeats), math.floor(s.repeats), *(ends.get(s.source) or (0, 0.0))) for s in shares], "__source string, __blocks int, __repeats double, __whole int, __full int, __left double"
     )
-    dealt = keyed.select(*[F.col(f"`{n}`") for n in names], "__source", "n_tokens", "__k").join(plan, "__source").withColumn("__block", block)
+    dealt = keyed.select(*[F.col(f"`{n}`") for n in names], "__source", "n_tokens", "__k").join(F.broadcast(plan), "__source").withColumn("__block", block)
     partial = F.col("__repeats") > F.col("__whole")
     at_last = _turned(seed, F.col("__whole"))
     epochs = F.col("__whole") + F.when(partial & (at_last < F.col("__full")), 1).otherwise(0)
