@@ -22,7 +22,7 @@ EMPTY = 0xFFFF
 #: Fixed value, from the paper on HyperMinHash: chance of a collision of registers of r mantissa bits is this * 2**-r at equal sizes.
 COLLISION = 0.169919487159739093975315012348
 #: Members of a bucket that are compared with each other in one block.
-BLOCK = 128
+BLOCK = 384
 ADDED = ("n_shingles", "component_id", "kept")
 _SEEDS = (np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[:, None]
 _BOUNDS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -94,18 +94,20 @@ def _sketch(words: int):
     return run
 
 
+def band_keys(regs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Key of each band of ROWS registers, and whether any of them holds something; (sketches, bands)."""
+    plain = np.ascontiguousarray(regs).view(_U).reshape(len(regs), -1)
+    mixed = (plain ^ (plain >> _U(29))) * _U(0xBF58476D1CE4E5B9) + np.arange(1, plain.shape[1] + 1, dtype=_U) * _U(0x9E3779B97F4A7C15)
+    return ((mixed ^ (mixed >> _U(32))) * _U(0x94D049BB133111EB)).view(np.int64), plain != ~_U(0)
+
+
 def _bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each band of ROWS registers that aren't all empty: its key, and the node."""
-    per = REGISTERS // ROWS
+    """A row for each band that isn't all empty: its key, and the node."""
     for batch in batches:
         if batch.num_rows:
-            keys = np.ascontiguousarray(_matrix(batch.column("regs"))).view(_U).reshape(-1, per)
-            full = keys != ~_U(0)
-            at = np.broadcast_to(np.arange(1, per + 1, dtype=_U) * _U(0x9E3779B97F4A7C15), keys.shape)
-            mixed = (keys ^ (keys >> _U(29))) * _U(0xBF58476D1CE4E5B9) + at
-            mixed = (mixed ^ (mixed >> _U(32))) * _U(0x94D049BB133111EB)
-            node = np.repeat(batch.column("node").to_numpy(), per).reshape(-1, per)
-            yield pa.record_batch([pa.array(mixed[full].view(np.int64)), pa.array(node[full])], names=["key", "node"])
+            keys, full = band_keys(_matrix(batch.column("regs")))
+            node = np.broadcast_to(batch.column("node").to_numpy()[:, None], keys.shape)
+            yield pa.record_batch([pa.array(keys[full]), pa.array(node[full])], names=["key", "node"])
 
 
 def _estimated(percent: int):
@@ -134,22 +136,40 @@ def _verified(words: int, percent: int):
     return run
 
 
-def _within(percent: int):
-    """For applyInArrow: hopeful pairs of members with different labels, of one block or of two."""
+def _within(words: int, percent: int):
+    """For applyInArrow: links between members with different labels, confirmed on full sets, one for each member and label.
+
+    side: 0 left, 1 right and also somewhere on the left, 2 right alone. A pair counts in the first bucket that it shares, and
+    so is looked at once.
+    """
+    hashes = WordHashes()
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
-        node, label, n, own = (group.column(c).to_numpy() for c in ("node", "label", "n", "own"))
-        regs = _matrix(group.column("regs"))
-        first, second = int(group.column("lo")[0].as_py()), int(group.column("hi")[0].as_py())
-        left, right = np.flatnonzero(own == first), np.flatnonzero(own == second)
-        out = []
-        for i in left:
-            j = right[(label[right] != label[i]) & ((node[right] > node[i]) if first == second else np.full(len(right), True))]
+        node, label, n, side = (group.column(c).to_numpy() for c in ("node", "label", "n", "side"))
+        regs, texts, sets = _matrix(group.column("regs")), group.column("text"), {}
+        keys, full = band_keys(regs)
+        band = int((keys[0] == group.column("key")[0].as_py()).argmax())
+
+        def of(k: int) -> np.ndarray:
+            if k not in sets:
+                sets[k] = shingle_set(texts[k].as_py(), hashes, words)
+            return sets[k]
+
+        right, out = np.flatnonzero(side > 0), []
+        for i in np.flatnonzero(side == 0):
+            j = right[(label[right] != label[i]) & ((side[right] == 2) | (node[right] > node[i]))]
+            j = j[((keys[j] == keys[i]) & full[j]).argmax(1) == band]
             if len(j):
                 j = j[_hopeful(np.broadcast_to(regs[i], (len(j), REGISTERS)), regs[j], np.full(len(j), n[i]), n[j], percent)]
-                out.append(np.column_stack((np.maximum(node[i], node[j]), np.minimum(node[i], node[j]))))
-        pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            linked = set()
+            for k in j:
+                if label[k] not in linked:
+                    both = overlap(of(int(i)), of(int(k)))
+                    if 100 * both >= percent * (n[i] + n[k] - both):
+                        linked.add(label[k])
+                        out.append((max(node[i], node[k]), min(node[i], node[k])))
+        pairs = np.array(out, np.int64).reshape(-1, 2)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
@@ -164,11 +184,14 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     1. Equal texts are one node (its hash of 64 bits). A node's sketch has REGISTERS registers of 16 bits.
     2. Bands of ROWS registers give buckets, 32 for each node; at a similarity of 0.75 two nodes share none with a chance
        of 5e-6, less for higher ones. Compressed registers only ever add candidates.
-    3. In each bucket every node is paired with one centre, the same for all of a group's buckets where possible; so a
-       bucket of any size gives as many pairs as members. Sketches rule out hopeless pairs, and full sets confirm the rest.
-    4. Links give components. Buckets of three or more that then still hold several are compared between them in
-       blocks of BLOCK members, spread over tasks, so that no link between different texts is missed for want of
-       a better centre; these pairs go the same way, and the components are final.
+    3. Each bucket has a centre, the first of its nodes in one order for all buckets. Every node is paired with the first of
+       its buckets' centres, so that a group of any size gives as many pairs as nodes. Sketches rule out hopeless
+       pairs, and full sets confirm the rest. Links give components.
+    4. Where a bucket's centre is in another component than a member, these two are paired and go the same way.
+    5. In buckets of three or more that then still hold several components, the members outside the largest one are
+       compared with all of other components, sketches first, then full sets, in blocks of BLOCK by BLOCK members spread
+       over tasks; so no link between different texts is missed for want of a better centre. A block gives links alone,
+       never its pairs. With these the components are final.
 
     Null or empty texts have no shingles and are linked with nothing. Repeated rows, of one id and text, have the same result.
     A null id takes part in links, but names a component (as null) only if no member has an id. Columns with an added
@@ -195,34 +218,51 @@ def _judged(docs: DataFrame, text_col: str, id_col: str, words: int, percent: in
 
     bands = sketches.where("n > 0").mapInArrow(_bands, "key long, node long")
     centres = bands.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("c"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = materialise(bands.join(centres, "key").select("key", "node", F.col("c.node").alias("centre"), "size"), "buckets")
+    shared = materialise(bands.join(centres, "key").select("key", "node", "c", "size"), "buckets")
     wanted = shared.select("node").distinct()
     texts = materialise(texts.dropDuplicates(["node"]).join(wanted, "node", "left_semi"), "texts")
 
+    a, b = (sketches.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}")) for k in "ab")
+    text_a, text_b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        a, b = (texts.select(F.col("node").alias(k), F.col("text").alias(f"text_{k}")) for k in "ab")
-        return materialise(pairs.join(a, "a").join(b, "b").mapInArrow(_verified(words, percent), "a long, b long"), "confirmed")
+        hopeful = materialise(pairs.join(a, "a").join(b, "b").mapInArrow(_estimated(percent), "a long, b long"), "hopeful")
+        return materialise(hopeful.join(text_a, "a").join(text_b, "b").mapInArrow(_verified(words, percent), "a long, b long"), "confirmed")
 
-    a, b = (sketches.select(F.col("node").alias(k), F.col("n").alias(f"n_{k}"), F.col("regs").alias(f"regs_{k}")) for k in "ab")
-    stars = shared.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
-    links = confirmed(materialise(stars.join(a, "a").join(b, "b").mapInArrow(_estimated(percent), "a long, b long"), "hopeful"))
+    firsts = shared.groupBy(F.col("node").alias("a")).agg(F.min("c").alias("c")).select("a", F.col("c.node").alias("b")).where("a <> b")
+    tested = materialise(firsts, "firsts")
+    links = confirmed(tested)
     labels = components(links)
 
+    def label(of: str, to: str) -> DataFrame:
+        return labels.select(F.col("node").alias(of), F.col("label").alias(to))
+
+    apart = (
+        shared.select(F.col("node").alias("a"), F.col("c.node").alias("b")).where("a <> b").distinct()
+        .join(label("a", "label_a"), "a", "left").join(label("b", "label_b"), "b", "left")
+        .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+        .select("a", "b").join(tested, ["a", "b"], "left_anti")
+    )
+    apart = materialise(apart, "apart")
+    more = confirmed(apart)
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        labels = components(links)
+
     members = shared.where("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    mixed = members.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("m"), F.count(F.lit(1)).alias("size")).where("l <> m").select("key", "size")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    dealt = (
-        members.join(mixed, "key").join(sketches, "node")
-        .withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "label", "n", "regs")
+    sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
+    mixed = (
+        sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("size")).where("size > largest")
+        .select("key", "main", F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("size") / BLOCK).cast("int").alias("many"))
     )
-    rest = dealt.groupBy("key", "lo", "hi").applyInArrow(_within(percent), "a long, b long").distinct()
-    rest = materialise(rest.join(stars.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")), ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        more = confirmed(rest)
-        if not more.isEmpty():
-            labels = components(links.unionByName(more))
+    held = members.join(mixed, "key").join(sketches, "node").join(texts, "node").withColumn("h", F.xxhash64("node"))
+    columns = ["key", "lo", "hi", "side", "node", "label", "n", "regs", "text"]
+    other = held.where("label <> main").withColumns({"lo": F.pmod("h", F.col("few")).cast("int"), "hi": F.explode(F.sequence(F.lit(0), F.col("many") - 1)), "side": F.lit(0)}).select(columns)
+    every = held.withColumns({"lo": F.explode(F.sequence(F.lit(0), F.col("few") - 1)), "hi": F.pmod("h", F.col("many")).cast("int"), "side": F.when(F.col("label") == F.col("main"), 2).otherwise(1)}).select(columns)
+    dealt = other.unionByName(every)
+    more = materialise(dealt.groupBy("key", "lo", "hi").applyInArrow(_within(words, percent), "a long, b long"), "rest")
+    if not more.isEmpty():
+        labels = components(links.unionByName(more))
 
     sized = sketches.select(F.col("node").alias("__node"), F.col("n").alias("n_shingles"))
     found = (
