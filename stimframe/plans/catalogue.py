@@ -276,9 +276,9 @@ def corr_by_row(spark, d):
     return rounded(stats.corr_by_feature(e, [], ["vec_id"], "a", "x"), "corr")
 
 
-@query("SELECT event_type, user_id, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type))")
+@query("SELECT event_type, user_id::VARCHAR AS user_id, count(*) AS n, round(avg(value), 6) + 0.0 AS mean FROM events GROUP BY GROUPING SETS ((event_type, user_id), (event_type))")
 def pooled_eval(spark, d):
-    return rounded(stats.pooled_eval(table(spark, d, "events"), "event_type", "user_id", "value"), "mean")
+    return rounded(stats.pooled_eval(table(spark, d, "events"), "event_type", "user_id", "value").withColumn("user_id", F.col("user_id").cast("string")), "mean")
 
 
 @query("SELECT event_type, count(value) AS n, round(avg(value), 6) + 0.0 AS mean, round(stddev_samp(value), 6) + 0.0 AS sd FROM events GROUP BY event_type")
@@ -579,3 +579,43 @@ def logistic(spark, d):
     """Class of each vector by a multiclass model of its first eight dimensions."""
     e = table(spark, d, "embeddings").select("vec_id", "label", F.slice("embedding", 1, 8).alias("x"))
     return models.logistic(e, "x", F.col("label"), 100)(e).select("vec_id", "label", "pred")
+
+
+def _waves(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's values, held for 160 samples each at 16 kHz and read as a waveform."""
+    series = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"].cast("float")).alias("v"))
+    return series.select(F.col("user_id").cast("string").alias("stim"), F.lit(16_000).alias("sample_rate"), F.flatten(F.transform("v", lambda x: F.array_repeat(x, 160))).alias("waveform"))
+
+
+@query()
+def fbank(spark, d):
+    from stimframe.operators.extract import extract
+
+    return rounded(vectors.exploded(extract(_waves(spark, d), "fbank"), ["stim", "frame"], "features"), "x")
+
+
+@query()
+def mfcc(spark, d):
+    from stimframe.operators.extract import extract
+
+    return rounded(vectors.exploded(extract(_waves(spark, d), "mfcc"), ["stim", "frame"], "features"), "x")
+
+
+@query()
+def low_level_descriptors(spark, d):
+    from stimframe.operators.extract import extract
+
+    return rounded(vectors.exploded(extract(_waves(spark, d), "lld"), ["stim", "frame"], "features"), "x")
+
+
+@query("""
+    WITH g AS (SELECT user_id, epoch_us(ts) AS us, value, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts) < 43200000000 THEN 0 ELSE 1 END AS new FROM events),
+    s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY us) AS k FROM g)
+    SELECT user_id, min(us) // 1000000 AS start, (max(us) + 43200000000) // 1000000 AS stop, count(*) AS n, round(sum(value), 6) + 0.0 AS total FROM s GROUP BY user_id, k""")
+def session_stream(spark, d):
+    """Sessions of each user without a gap of 12 hours; the streaming operator on a batch."""
+    from stimframe.streaming.windows import session_stream as sessions
+
+    # The operator takes instants; NTZ times become those at which a clock in UTC shows them.
+    e = table(spark, d, "events").withColumn("ts", F.timestamp_micros(align.micros("ts")))
+    return rounded(sessions(e, "ts", "12 hours", ["user_id"], "value"), "total")
