@@ -17,15 +17,15 @@ from stimframe.session import materialise
 ADDED = ("keep_id", "group_size", "kept", "text_sha256")
 
 
-def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "smallest", prefix: int = 64, carry: list[str] | None = None) -> DataFrame:
+def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", keep: str = "smallest", prefix: int = 16, carry: list[str] | None = None) -> DataFrame:
     """Mark exact copies: all rows and columns of docs, and keep_id, group_size, kept and text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Spark samples splitters and range-partitions the rows by
-    (first `prefix` characters, digest, id) of the normalised text, each partition is sorted externally in that order, and
-    every row is compared in full with its neighbour: a run of equal neighbours is a group. The splitters hold a short
-    prefix and a digest, so what the driver samples doesn't grow with the length of texts; the id as the last key lets
-    a group with a third of all rows span many partitions. Runs that touch a partition's edge are joined with the
-    runs of the same digest at other edges, at most two for each partition.
+    (first `prefix` characters, hash, id) of the normalised text, each partition is sorted externally in that order (with
+    the digest before the id), and every row is compared in full with its neighbour: a run of equal neighbours is a group.
+    The splitters hold a short prefix and two numbers, so what the driver samples doesn't grow with the length of texts;
+    the id as the last key lets a group with a third of all rows span many partitions. Runs that touch a partition's edge
+    are joined with the runs of the same digest at other edges, at most two for each partition.
 
     keep is "smallest" or "largest": the row of a group with that id stays, and of several rows with it only one.
     Null text counts as empty, a null id comes after all others and stays only if the whole group has no id.
@@ -33,17 +33,16 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """
     if keep not in ("smallest", "largest"):
         raise ValueError(f"keep must be 'smallest' or 'largest', not {keep!r}")
-    own = {"__norm", "__prefix", "__edge", "__pid"}
+    own = {"__norm", "__prefix", "__hash", "__edge", "__pid"}
     rows = without(docs, [*ADDED, *own])
     names = carry or rows.columns
     norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     order = F.col(id_col).asc_nulls_last() if keep == "smallest" else F.col(id_col).desc_nulls_last()
-    sorts = ["__prefix", "text_sha256", order]
     dealt = (
         rows.withColumn("__norm", norm)
-        .withColumns({"__prefix": F.substring("__norm", 1, prefix), "text_sha256": F.sha2(F.col("__norm").cast("binary"), 256)})
-        .repartitionByRange(*sorts)
-        .sortWithinPartitions(*sorts)
+        .withColumns({"__prefix": F.substring("__norm", 1, prefix), "__hash": F.xxhash64("__norm"), "text_sha256": F.sha2(F.col("__norm").cast("binary"), 256)})
+        .repartitionByRange("__prefix", "__hash", order)
+        .sortWithinPartitions("__prefix", "__hash", "text_sha256", order)
         .select(*[F.col(f"`{n}`") for n in names], "__norm", "text_sha256")
     )
     id_type = rows.schema[id_col].dataType
@@ -57,6 +56,7 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
         .groupBy("text_sha256")
         .agg(F.sum("group_size").alias("__size"), F.min_by(id_col, "__pid").alias("__keep"), F.min("__pid").alias("__first"))
     )
+    at_edges = materialise(at_edges, "exact-edges")  # its size is then known: small enough to broadcast, or not
     inner = runs.where("not __edge").select(*names, *ADDED)
     edge = runs.where("__edge").join(at_edges, "text_sha256").select(
         *[F.col(f"`{n}`") for n in names],

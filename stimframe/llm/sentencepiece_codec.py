@@ -18,10 +18,13 @@ from pyspark.sql import types as T
 
 from stimframe.llm.common import without
 
-#: A segment comes up in so many varieties; which of them stands at a place is decided by a hash of seed, document and place.
-VARIETIES = 8
+#: A segment of fewer than SHORT characters comes up in so many varieties, a longer one in FEW; which of them stands at a place is
+#: decided by a hash of seed, document and place. Long segments are mostly rare, and each variety of them is merged anew.
+VARIETIES, FEW, SHORT = 8, 2, 8
+#: Up to so many characters the agenda is a list that is searched for its least entry, beyond that a heap.
+LISTED = 48
 #: Segments of a variety whose ids a task remembers.
-REMEMBERED = 60_000
+REMEMBERED = 120_000
 ADDED = ("ids", "n_tokens", "lossless")
 _MASK = (1 << 64) - 1
 
@@ -82,6 +85,35 @@ class Codec:
             at = end[at]
         return tuple(ids)
 
+    def merged_listed(self, segment: str, variety: int) -> tuple[int, ...]:
+        """As merged(), with the agenda as a list; the same ids, sooner for short segments."""
+        rank, drop, never = self.ranks.get, self.dropout, 1 << 60
+        key = xxhash.xxh3_64_intdigest(segment.encode(), seed=(self.seed * VARIETIES + variety) & _MASK) if drop else 0
+        parts, starts = list(segment), list(range(len(segment)))
+        agenda = [rank(segment[k : k + 2], never) for k in range(len(segment) - 1)]
+        while agenda:
+            best = min(agenda)
+            if best == never:
+                break
+            i = agenda.index(best)
+            both = parts[i] + parts[i + 1]
+            if drop:
+                a = starts[i]
+                h = (key + a * 0x9E3779B97F4A7C15 + (a + len(both)) * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 & _MASK
+                if h ^ (h >> 32) < drop:
+                    agenda[i] = never
+                    continue
+            parts[i] = both
+            del parts[i + 1], starts[i + 1], agenda[i]
+            if i < len(agenda):
+                agenda[i] = rank(both + parts[i + 1], never)
+            if i:
+                agenda[i - 1] = rank(parts[i - 1] + both, never)
+        ids = list(map(self.ids.get, parts))
+        if None in ids:
+            ids = [x for i, p in zip(ids, parts) for x in ([i] if i is not None else [self.spelled[b] for b in p.encode()])]
+        return tuple(ids)
+
     def encode(self, text: str | None, document: int = 0) -> list[int]:
         """Ids of the whole text, in the way of this document."""
         if not text:
@@ -95,9 +127,11 @@ class Codec:
             chosen = np.zeros(len(cut), np.int64)
         known, parts = self.known, []
         for variety, segment in zip(chosen.tolist(), cut):
+            if len(segment) >= SHORT:
+                variety %= FEW
             ids = known[variety].get(segment)
             if ids is None:
-                ids = self.merged(segment, variety)
+                ids = (self.merged_listed if len(segment) <= LISTED else self.merged)(segment, variety)
                 if len(known[variety]) >= REMEMBERED:
                     known[variety].clear()
                 if len(segment) < 64:
