@@ -10,6 +10,7 @@ from itertools import chain
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 import xxhash
 from pyspark.sql import DataFrame
@@ -18,15 +19,29 @@ from pyspark.sql import types as T
 
 from stimframe.llm.common import without
 
-#: A segment of fewer than SHORT characters comes up in so many varieties, a longer one in FEW; which of them stands at a place is
-#: decided by a hash of seed, document and place. Long segments are mostly rare, and each variety of them is merged anew.
-VARIETIES, FEW, SHORT = 8, 2, 8
-#: Up to so many characters the agenda is a list that is searched for its least entry, beyond that a heap.
-LISTED = 48
-#: Segments of a variety whose ids a task remembers.
-REMEMBERED = 120_000
+#: A segment comes up in so many varieties; which of them stands at a place is decided by a hash of seed, document and place.
+VARIETIES = 8
+#: Segments of up to so many characters are merged together, in arrays of these widths; longer ones one by one, with a heap.
+WIDTHS = (12, 24, 48)
+#: Segments whose ids a task remembers, and the characters of texts that it encodes at a time (one text at least).
+REMEMBERED, CHUNK = 500_000, 2_000_000
 ADDED = ("ids", "n_tokens", "lossless")
 _MASK = (1 << 64) - 1
+#: Symbols in arrays: ids of pieces, then characters that are no pieces from _CHARS on, then none.
+_CHARS, _BASE = 1 << 24, (1 << 24) + 0x110000 + 1
+_NONE, _NEVER = _BASE - 1, 1 << 40
+
+
+class _Slots(dict):
+    """Segments of one variety to their places in the codec's store; one that is new gets the next place and is noted."""
+
+    def __init__(self, codec: Codec, variety: int):
+        self.codec, self.variety = codec, variety
+
+    def __missing__(self, segment: str) -> int:
+        self.codec.pending.append((segment, self.variety))
+        self[segment] = place = len(self.codec.store) + len(self.codec.pending) - 1
+        return place
 
 
 class Codec:
@@ -47,7 +62,19 @@ class Codec:
         if any(" " in p.lstrip(" ") or "\n" in p and len(p) > 1 for p, _, _ in pieces) or len(spelled) < 256:
             raise ValueError("the model has pieces over several words, or no pieces for bytes")
         self.segments = re.compile(r" *[^ \n]+|\n| +").findall
-        self.known: list[dict[str, tuple[int, ...]]] = [{} for _ in range(VARIETIES)]
+        self.codes = np.arange(_BASE - 1 - _CHARS) + _CHARS  # of single characters
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.codes[ord(p)] = i
+        self.join_keys, self.join_ranks, self.join_ids = self.joins()
+        self.forget()
+
+    def joins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Every way to make a piece of two symbols: the pair as one number, ascending, the piece's rank and its id."""
+        code = lambda x: self.ids.get(x, _CHARS + ord(x) if len(x) == 1 else None)
+        found = [(a * _BASE + b, self.ranks[p], i) for p, i in self.ids.items() for k in range(1, len(p)) if (a := code(p[:k])) is not None and (b := code(p[k:])) is not None]
+        found.append((1 << 62, _NEVER, 0))
+        return tuple(np.array(x, np.int64) for x in zip(*sorted(found)))
 
     def merged(self, segment: str, variety: int) -> tuple[int, ...]:
         """Ids of a segment. A candidate that comes up on the agenda is skipped if a hash of seed, variety, segment, place and length falls under the dropout."""
@@ -85,59 +112,92 @@ class Codec:
             at = end[at]
         return tuple(ids)
 
-    def merged_listed(self, segment: str, variety: int) -> tuple[int, ...]:
-        """As merged(), with the agenda as a list; the same ids, sooner for short segments."""
-        rank, drop, never = self.ranks.get, self.dropout, 1 << 60
-        key = xxhash.xxh3_64_intdigest(segment.encode(), seed=(self.seed * VARIETIES + variety) & _MASK) if drop else 0
-        parts, starts = list(segment), list(range(len(segment)))
-        agenda = [rank(segment[k : k + 2], never) for k in range(len(segment) - 1)]
-        while agenda:
-            best = min(agenda)
-            if best == never:
-                break
-            i = agenda.index(best)
-            both = parts[i] + parts[i + 1]
-            if drop:
-                a = starts[i]
-                h = (key + a * 0x9E3779B97F4A7C15 + (a + len(both)) * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 & _MASK
-                if h ^ (h >> 32) < drop:
-                    agenda[i] = never
-                    continue
-            parts[i] = both
-            del parts[i + 1], starts[i + 1], agenda[i]
-            if i < len(agenda):
-                agenda[i] = rank(both + parts[i + 1], never)
-            if i:
-                agenda[i - 1] = rank(parts[i - 1] + both, never)
-        ids = list(map(self.ids.get, parts))
-        if None in ids:
-            ids = [x for i, p in zip(ids, parts) for x in ([i] if i is not None else [self.spelled[b] for b in p.encode()])]
-        return tuple(ids)
+    def merged_together(self, segments: list[str], varieties: list[int], width: int) -> list[tuple[int, ...]]:
+        """As merged(), for many segments of up to width characters: each step takes the best candidate of every segment."""
+        n, w = len(segments), width + 2  # the last column stands before the first symbol, the one before it after the last
+        sizes = np.fromiter(map(len, segments), np.int64, n)
+        row = np.repeat(np.arange(n), sizes)
+        points = np.frombuffer("".join(segments).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        symbols = np.full(n * w, _NONE)
+        symbols[row * w + np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = self.codes[points]
+        follows, before = np.tile(np.arange(1, w + 1), n), np.tile(np.arange(-1, w - 1), n)
+        before[::w] = w - 1
+        left = symbols.reshape(n, w)
+        rank, join = (x.reshape(n, w) for x in self.joined(symbols, np.column_stack([left[:, 1:], np.full(n, _NONE)]).ravel()))
+        alive, flat_rank, flat_join = symbols != _NONE, rank.ravel(), join.ravel()
+        keys = np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"), seed=(self.seed * VARIETIES + v) & _MASK) for s, v in zip(segments, varieties)), np.uint64, n) if self.dropout else None
+        rows = np.arange(n)
+        while len(rows):
+            a = rank[rows].argmin(1)
+            here = rows * w + a
+            live = flat_rank[here] != _NEVER
+            rows, a, here = rows[live], a[live], here[live]
+            base, mid = here - a, follows[here]
+            stop = follows[base + mid]
+            if self.dropout:
+                h = (keys[rows] + a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stop.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
+                skip = (h ^ (h >> np.uint64(32))) < np.uint64(self.dropout)
+                flat_rank[here[skip]] = _NEVER
+                take = ~skip
+                a, here, base, mid, stop = a[take], here[take], base[take], mid[take], stop[take]
+            symbols[here] = self.join_ids[flat_join[here]]
+            alive[base + mid], flat_rank[base + mid] = False, _NEVER
+            follows[here], before[base + stop] = stop, a
+            flat_rank[here], flat_join[here] = self.joined(symbols[here], symbols[base + stop])
+            prior = base + before[here]
+            flat_rank[prior], flat_join[prior] = self.joined(symbols[prior], symbols[here])
+        ends = np.cumsum(alive.reshape(n, w).sum(1)).tolist()
+        ids = symbols[alive].tolist()
+        out = [tuple(ids[i:j]) for i, j in zip([0, *ends], ends)]
+        for k in np.unique(np.flatnonzero(alive & (symbols >= _CHARS)) // w).tolist():  # characters that are no pieces
+            out[k] = tuple(x for i in out[k] for x in ([i] if i < _CHARS else [self.spelled[b] for b in chr(i - _CHARS).encode()]))
+        return out
+
+    def joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rank and place in the table of the pieces that pairs of symbols join to."""
+        pairs = left * _BASE + right
+        at = np.searchsorted(self.join_keys, pairs)
+        return np.where(self.join_keys[at] == pairs, self.join_ranks[at], _NEVER), at
+
+    def learn(self) -> None:
+        """Ids of the segments that have come up and have none yet."""
+        pending, self.pending = self.pending, []
+        self.store.extend([()] * len(pending))
+        first = len(self.store) - len(pending)
+        low = 0
+        for width in WIDTHS:
+            some = [k for k, (s, _) in enumerate(pending) if low < len(s) <= width]
+            for at in range(0, len(some), 20_000):
+                part = some[at : at + 20_000]
+                for k, ids in zip(part, self.merged_together([pending[k][0] for k in part], [pending[k][1] for k in part], width)):
+                    self.store[first + k] = ids
+            low = width
+        for k, (s, v) in enumerate(pending):
+            if len(s) > low:
+                self.store[first + k] = self.merged(s, v)
+
+    def encode_all(self, texts: list[str | None], documents: list[int]) -> list[list[int]]:
+        """Ids of the whole texts, each in the way of its document."""
+        if len(self.store) > REMEMBERED:
+            self.forget()
+        slots = []
+        for text, document in zip(texts, documents):
+            cut = self.segments(" " + text) if text else []
+            if self.dropout:
+                v = (np.arange(1, len(cut) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(document & _MASK)
+                v = (v ^ (v >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+                chosen = ((v >> np.uint64(40)) % np.uint64(VARIETIES)).tolist()
+            else:
+                chosen = [0] * len(cut)
+            known = self.known
+            slots.append([known[v][s] for v, s in zip(chosen, cut)])
+        self.learn()
+        return [list(chain.from_iterable(map(self.store.__getitem__, x))) for x in slots]
 
-    def encode(self, text: str | None, document: int = 0) -> list[int]:
-        """Ids of the whole text, in the way of this document."""
-        if not text:
-            return []
-        cut = self.segments(" " + text)
-        if self.dropout:
-            v = (np.arange(1, len(cut) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(document & _MASK)
-            v = (v ^ (v >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-            chosen = (v >> np.uint64(40)) % np.uint64(VARIETIES)
-        else:
-            chosen = np.zeros(len(cut), np.int64)
-        known, parts = self.known, []
-        for variety, segment in zip(chosen.tolist(), cut):
-            if len(segment) >= SHORT:
-                variety %= FEW
-            ids = known[variety].get(segment)
-            if ids is None:
-                ids = (self.merged_listed if len(segment) <= LISTED else self.merged)(segment, variety)
-                if len(known[variety]) >= REMEMBERED:
-                    known[variety].clear()
-                if len(segment) < 64:
-                    known[variety][segment] = ids
-            parts.append(ids)
-        return list(chain.from_iterable(parts))
+    def forget(self) -> None:
+        self.store: list[tuple[int, ...]] = []
+        self.pending: list[tuple[str, int]] = []
+        self.known = [_Slots(self, v) for v in range(VARIETIES)]
 
     def decode(self, ids) -> str:
         """The text of ids; other ids than those of pieces and bytes have none."""
@@ -171,13 +231,17 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(**held.value, dropout=dropout, seed=seed)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, same = [], []
-                for text, doc in zip(part.column("__text").to_pylist(), part.column("__doc").to_pylist()):
-                    found = codec.encode(text, doc)
-                    ids.append(np.array(found, np.int32))
-                    same.append(codec.decode(found) == (text or ""))
+            lengths = np.cumsum(pc.fill_null(pc.utf8_length(batch.column("__text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < batch.num_rows:
+                done = lengths[at - 1] if at else 0
+                stop = min(max(at + 1, int(np.searchsorted(lengths, done + CHUNK, "right"))), at + 4096)
+                part = batch.slice(at, stop - at)
+                at = stop
+                texts = part.column("__text").to_pylist()
+                found = codec.encode_all(texts, part.column("__doc").to_pylist())
+                same = [codec.decode(x) == (text or "") for x, text in zip(found, texts)]
+                ids = [np.array(x, np.int32) for x in found]
                 sizes = np.array([len(x) for x in ids], np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(sizes), pa.array(same)], names=[*names, *ADDED])

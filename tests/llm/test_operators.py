@@ -213,6 +213,16 @@ def test_sentencepiece(awkward, empty):
     assert sentencepiece_codec.encode(empty, MODEL).count() == 0
 
 
+def test_segments_merged_together_are_merged_alike():
+    g = random.Random(3)
+    codec = sentencepiece_codec.Codec(**sentencepiece_codec.load_codec(MODEL), dropout=0.2, seed=4)
+    letters = "aaeeiioostnrdlm zßé日▁'0"
+    for width in sentencepiece_codec.WIDTHS:
+        segments = [" " + "".join(g.choices(letters, k=g.randint(0, width - 1))) for _ in range(500)]
+        varieties = [k % sentencepiece_codec.VARIETIES for k in range(500)]
+        assert codec.merged_together(segments, varieties, width) == [codec.merged(s, v) for s, v in zip(segments, varieties)]
+
+
 def test_language(awkward, empty, spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("held_out", language_id.held_out("doc_id", 4, 2))
     learned = language_id.learn_dictionaries(docs.where("not held_out"))
