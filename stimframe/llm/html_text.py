@@ -28,8 +28,10 @@ _TOKEN = re.compile(
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？、؟¿¡]")
-#: A path is content from this share of the mean fused score on; a root holds this share of the content.
-THRESHOLD, HELD = 0.5, 0.8
+#: A path is content from this share of the mean fused score on.
+THRESHOLD = 0.5
+#: Elements of running text, which are part of an article where they stand beside its content.
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tr th td".split())
 ADDED = ("text", "n_chars")
 
 
@@ -111,7 +113,8 @@ def main_text(page: str | None) -> str:
 
     For each path of tags the lengths and the punctuation of its text are summed and divided by its nodes. Both ratios are
     smoothed over neighbouring blocks in page order, fused as a product, and thresholded by a share of the mean. The article
-    is all of the smallest element with most of the text chosen so; if that is the whole body, the chosen blocks alone.
+    is all of the smallest element with every block chosen so, or of the article element around it, but for blocks of links.
+    If that is the whole body: all from the first to the last chosen block, and the running text that adjoins them.
     """
     found = blocks(page or "")
     if not found:
@@ -132,18 +135,26 @@ def main_text(page: str | None) -> str:
         fused.append(a * (1 + b))
     limit = THRESHOLD * sum(f * len(b[1]) for f, b in zip(fused, found)) / sum(len(b[1]) for b in found)
     chosen = [f >= limit and not b[4] for f, b in zip(fused, found)]
-    weight: dict[int, int] = defaultdict(int)
-    depth: dict[int, tuple[int, str]] = {}
-    for b, yes in zip(found, chosen):
-        for k, (e, name) in enumerate(zip(b[2], b[3])):
-            depth[e] = (k, name)
-            weight[e] += len(b[1]) * yes
-    total = sum(len(b[1]) for b, yes in zip(found, chosen) if yes)
-    roots = [e for e in depth if weight[e] >= HELD * total and total and depth[e][1] not in ("html", "body", "p", "li", "td", "pre", "blockquote")]
-    if roots:
-        root = max(roots, key=lambda e: depth[e][0])
-        return " ".join(b[1] for b, yes in zip(found, chosen) if root in b[2] and (yes or not b[4]))
-    return " ".join(b[1] for b, yes in zip(found, chosen) if yes)
+    at = [i for i, yes in enumerate(chosen) if yes]
+    if not at:
+        return ""
+    own = [list(zip(b[2], b[3])) for b in found]
+    held = own[at[0]]
+    for i in at[1:]:
+        held = [e for e, other in zip(held, own[i]) if e == other]
+    # An element of one block alone isn't the article, nor is one of running text.
+    while held and held[-1][1] not in ("article", "main", "html", "body") and (held[-1][1] in RUNNING or sum(held[-1] in x for x in own) == 1):
+        held.pop()
+    root = max((k for k, e in enumerate(held) if e[1] == "article"), default=len(held) - 1)
+    if root >= 0 and held[root][1] not in ("html", "body"):
+        return " ".join(b[1] for b, x in zip(found, own) if held[root] in x and not b[4])
+    beside = [not b[4] and x[: len(held)] == held and all(e[1] in RUNNING for e in x[len(held) :]) for b, x in zip(found, own)]
+    first, last = at[0], at[-1]
+    while first and beside[first - 1]:
+        first -= 1
+    while last + 1 < len(found) and beside[last + 1]:
+        last += 1
+    return " ".join(b[1] for b in found[first : last + 1] if not b[4])
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:

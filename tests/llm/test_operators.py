@@ -260,6 +260,15 @@ def test_html(spark):
     assert rows[1].text == rows[2].text == "" and rows[3].text == "Unclosed, and open &am" and "text, here." in rows[None].text
 
 
+def test_html_keeps_all_of_an_article():
+    lead, body, close = ("Lead, in short. " * 7).strip(), ("Body, and more of it. " * 30).strip(), ("Closing, at last. " * 7).strip()
+    top, tail = '<html><body><nav><a href="/">Home</a></nav>', "<footer>Us</footer></body></html>"
+    assert html_text.main_text(f"{top}<article><p>{lead}</p><div><p>{body}</p></div></article>{tail}") == f"{lead} {body}"
+    assert html_text.main_text(f"{top}<article><div><p>{body}</p><p>{body}</p></div><section><p>{close}</p></section></article>{tail}") == f"{body} {body} {close}"
+    assert html_text.main_text(f"{top}<h1>Title</h1><p>{body}</p><h2>Part</h2><p>So.</p><p>{body}</p><p>The end.</p>{tail}") == f"Title {body} Part So. {body} The end."
+    assert html_text.main_text(f"{top}<div><div>{body}</div><div>So.</div></div>{tail}") == f"{body} So."
+
+
 def test_html_of_the_pages(spark):
     import html
 
