@@ -5,21 +5,20 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stimframe.llm.common import without
 
-#: A segment comes up in so many varieties; which of them stands at a place is decided by a hash of seed, document and place.
+#: How many keys of one segment the tests compare; texts are encoded with a key of its own for every document and position.
 VARIETIES = 8
 #: Segments of up to so many characters are merged together, in arrays of these widths; longer ones one by one, with a heap.
 WIDTHS = (12, 24, 48)
@@ -33,17 +32,35 @@ _NONE, _NEVER = _BASE - 1, 1 << 40
 
 
 class _Slots(dict):
-    """Segments of one variety to their places in the codec's store; one that is new gets the next place and is noted."""
+    """Segments to their places in the codec's store; one that is new gets the next place and is noted."""
 
-    def __init__(self, codec: Codec, variety: int):
-        self.codec, self.variety = codec, variety
+    def __init__(self, codec: Codec):
+        self.codec = codec
 
     def __missing__(self, segment: str) -> int:
-        self.codec.pending.append((segment, self.variety))
+        self.codec.pending.append(segment)
         self[segment] = place = len(self.codec.store) + len(self.codec.pending) - 1
         return place
 
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hash of 64 bits to 64 bits, so that numbers that differ by a fixed amount are unrelated after it."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _mixed_one(x: int) -> int:
+    x = (x ^ (x >> 30)) * 0xBF58476D1CE4E5B9 & _MASK
+    x = (x ^ (x >> 27)) * 0x94D049BB133111EB & _MASK
+    return x ^ (x >> 31)
+
+
+def _candidate(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """What a candidate adds to the key of its segment's place."""
+    return begin.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stop.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
 class Codec:
     """BPE over the pieces of a model: of all adjacent symbols that join to a piece, the best-scored and leftmost join first.
 
@@ -76,10 +93,10 @@ class Codec:
         found.append((1 << 62, _NEVER, 0))
         return tuple(np.array(x, np.int64) for x in zip(*sorted(found)))
 
-    def merged(self, segment: str, variety: int) -> tuple[int, ...]:
-        """Ids of a segment. A candidate that comes up on the agenda is skipped if a hash of seed, variety, segment, place and length falls under the dropout."""
+    def merged(self, segment: str, place: int) -> tuple[int, ...]:
+        """Ids of a segment. A candidate that comes up on the agenda is skipped if a hash of seed, place in the corpus, begin and end falls under the dropout."""
         rank, n, drop = self.ranks.get, len(segment), self.dropout
-        key = xxhash.xxh3_64_intdigest(segment.encode(), seed=(self.seed * VARIETIES + variety) & _MASK) if drop else 0
+        key = _mixed_one((place + self.seed * 0xD6E8FEB86659FD93) & _MASK)
         end = list(range(1, n + 1))  # of the symbol that begins there; 0: none begins there
         before = list(range(-1, n - 1))
         side = n + 1  # a candidate is one number: rank, begin, end
@@ -92,8 +109,7 @@ class Codec:
             if not mid or mid >= n or end[mid] != stop:
                 continue
             if drop:
-                h = (key + a * 0x9E3779B97F4A7C15 + stop * 0xC2B2AE3D27D4EB4F) * 0xBF58476D1CE4E5B9 & _MASK
-                if h ^ (h >> 32) < drop:
+                if _mixed_one((key + a * 0x9E3779B97F4A7C15 + stop * 0xC2B2AE3D27D4EB4F) & _MASK) < drop:
                     continue
             end[a], end[mid] = stop, 0
             if stop < n:
@@ -112,8 +128,15 @@ class Codec:
             at = end[at]
         return tuple(ids)
 
-    def merged_together(self, segments: list[str], varieties: list[int], width: int) -> list[tuple[int, ...]]:
-        """As merged(), for many segments of up to width characters: each step takes the best candidate of every segment."""
+    def keys(self, places: np.ndarray) -> np.ndarray:
+        """Of places in the corpus: what their skips are drawn from."""
+        return _mixed(places + np.uint64(self.seed * 0xD6E8FEB86659FD93 & _MASK))
+
+    def merged_together(self, segments: list[str], places: list[int] | np.ndarray | None, width: int, order: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[int, ...]]:
+        """As merged(), for many segments of up to width characters: each step takes the best candidate of every segment.
+
+        With no places nothing is skipped. order takes the steps: which segments merged, and what the candidate adds to their keys.
+        """
         n, w = len(segments), width + 2  # the last column stands before the first symbol, the one before it after the last
         sizes = np.fromiter(map(len, segments), np.int64, n)
         row = np.repeat(np.arange(n), sizes)
@@ -125,7 +148,8 @@ class Codec:
         left = symbols.reshape(n, w)
         rank, join = (x.reshape(n, w) for x in self.joined(symbols, np.column_stack([left[:, 1:], np.full(n, _NONE)]).ravel()))
         alive, flat_rank, flat_join = symbols != _NONE, rank.ravel(), join.ravel()
-        keys = np.fromiter((xxhash.xxh3_64_intdigest(s.encode("utf-8", "surrogatepass"), seed=(self.seed * VARIETIES + v) & _MASK) for s, v in zip(segments, varieties)), np.uint64, n) if self.dropout else None
+        drop = self.dropout if places is not None else 0
+        keys = self.keys(np.array(places, np.uint64)) if drop else None
         rows = np.arange(n)
         while len(rows):
             a = rank[rows].argmin(1)
@@ -134,12 +158,13 @@ class Codec:
             rows, a, here = rows[live], a[live], here[live]
             base, mid = here - a, follows[here]
             stop = follows[base + mid]
-            if self.dropout:
-                h = (keys[rows] + a.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stop.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) * np.uint64(0xBF58476D1CE4E5B9)
-                skip = (h ^ (h >> np.uint64(32))) < np.uint64(self.dropout)
+            if drop:
+                skip = _mixed(keys[rows] + _candidate(a, stop)) < np.uint64(drop)
                 flat_rank[here[skip]] = _NEVER
                 take = ~skip
                 a, here, base, mid, stop = a[take], here[take], base[take], mid[take], stop[take]
+            if order is not None:
+                order.append((rows, _candidate(a, stop)))
             symbols[here] = self.join_ids[flat_join[here]]
             alive[base + mid], flat_rank[base + mid] = False, _NEVER
             follows[here], before[base + stop] = stop, a
@@ -160,44 +185,75 @@ class Codec:
         return np.where(self.join_keys[at] == pairs, self.join_ranks[at], _NEVER), at
 
     def learn(self) -> None:
-        """Ids of the segments that have come up and have none yet."""
+        """Ids without dropout, and the merges that lead there, of the segments that have come up and have none yet."""
         pending, self.pending = self.pending, []
         self.store.extend([()] * len(pending))
         first = len(self.store) - len(pending)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        sizes = np.fromiter(map(len, pending), np.int64, len(pending))
+        for some, width in self.parts(sizes):
+            order: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.dropout else None
+            for k, ids in zip(some.tolist(), self.merged_together([pending[k] for k in some.tolist()], None, width, order)):
+                self.store[first + k] = ids
+            steps.extend((some[rows], adds) for rows, adds in order or ())
+        for k in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+            if not self.dropout:  # with it each is merged where it stands
+                self.store[first + k] = self.merged(pending[k], 0)
+        rows = np.concatenate([r for r, _ in steps]) if steps else np.empty(0, np.int64)
+        sort = np.argsort(rows, kind="stable")
+        counts = np.bincount(rows, minlength=len(pending))
+        self.begins = np.concatenate((self.begins, len(self.adds) + np.cumsum(counts) - counts))
+        self.counts = np.concatenate((self.counts, counts))
+        self.adds = np.concatenate((self.adds, np.concatenate([x for _, x in steps])[sort] if steps else np.empty(0, np.uint64)))
+
+    @staticmethod
+    def parts(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+        """Places of the segments to merge together, and their width."""
         low = 0
         for width in WIDTHS:
-            some = [k for k, (s, _) in enumerate(pending) if low < len(s) <= width]
+            some = np.flatnonzero((sizes > low) & (sizes <= width))
             for at in range(0, len(some), 20_000):
-                part = some[at : at + 20_000]
-                for k, ids in zip(part, self.merged_together([pending[k][0] for k in part], [pending[k][1] for k in part], width)):
-                    self.store[first + k] = ids
+                yield some[at : at + 20_000], width
             low = width
-        for k, (s, v) in enumerate(pending):
-            if len(s) > low:
-                self.store[first + k] = self.merged(s, v)
 
     def encode_all(self, texts: list[str | None], documents: list[int]) -> list[list[int]]:
-        """Ids of the whole texts, each in the way of its document."""
+        """Ids of the whole texts. Every segment draws its own skips, by its document and its position there."""
         if len(self.store) > REMEMBERED:
             self.forget()
-        slots = []
-        for text, document in zip(texts, documents):
-            cut = self.segments(" " + text) if text else []
-            if self.dropout:
-                v = (np.arange(1, len(cut) + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ np.uint64(document & _MASK)
-                v = (v ^ (v >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-                chosen = ((v >> np.uint64(40)) % np.uint64(VARIETIES)).tolist()
-            else:
-                chosen = [0] * len(cut)
-            known = self.known
-            slots.append([known[v][s] for v, s in zip(chosen, cut)])
+        cuts = [self.segments(" " + text) if text else [] for text in texts]
+        flat = list(chain.from_iterable(cuts))
+        slots = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
         self.learn()
-        return [list(chain.from_iterable(map(self.store.__getitem__, x))) for x in slots]
+        found = list(map(self.store.__getitem__, slots.tolist()))
+        if self.dropout and flat:
+            starts = _mixed(np.array([d & _MASK for d in documents], np.uint64))
+            lengths = np.array([len(c) for c in cuts])
+            positions = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            places = np.repeat(starts, lengths) + positions.astype(np.uint64)
+            keys = self.keys(places)
+            # Where none of the merges without dropout is skipped, the segment is as without dropout; the others are merged anew.
+            counts = self.counts[slots]
+            ends = np.cumsum(counts)
+            which = np.arange(ends[-1]) - np.repeat(ends - counts - self.begins[slots], counts)
+            skipped = _mixed(np.repeat(keys, counts) + self.adds[which]) < np.uint64(self.dropout)
+            sums = np.concatenate(([0], np.cumsum(skipped)))
+            varied = np.flatnonzero(sums[ends] > sums[ends - counts])
+            sizes = np.fromiter(map(len, map(flat.__getitem__, varied.tolist())), np.int64, len(varied))
+            for some, width in self.parts(sizes):
+                at = varied[some]
+                for k, ids in zip(at.tolist(), self.merged_together([flat[k] for k in at.tolist()], places[at], width)):
+                    found[k] = ids
+            for k, segment in enumerate(flat):
+                if len(segment) > WIDTHS[-1]:
+                    found[k] = self.merged(segment, int(places[k]))
+        whole = iter(found)
+        return [list(chain.from_iterable(islice(whole, len(c)))) for c in cuts]
 
     def forget(self) -> None:
         self.store: list[tuple[int, ...]] = []
-        self.pending: list[tuple[str, int]] = []
-        self.known = [_Slots(self, v) for v in range(VARIETIES)]
+        self.pending: list[str] = []
+        self.known = _Slots(self)
+        self.begins, self.counts, self.adds = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
 
     def decode(self, ids) -> str:
         """The text of ids; other ids than those of pieces and bytes have none."""
@@ -220,8 +276,8 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
     """docs (or its columns in carry) with ids, n_tokens and lossless, whether decoding the ids gives the text again.
 
     Without dropout the ids are those of the SentencePiece library. With it each merge of a segment is skipped with that
-    chance, by hashes of the seed alone: a document has the same ids whenever and wherever it is encoded, other documents
-    other varieties of the same words. Null and empty texts have no ids; a null id counts as 0. Columns with an
+    chance, by a hash of seed, document, position of the segment and place of the merge: a document has the same ids whenever
+    and wherever it is encoded, and every occurrence of a word is varied by itself. Null and empty texts have no ids; a null id counts as 0. Columns with an
     added name are replaced. Texts are taken whole, a row at a time; no shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(load_codec(model))

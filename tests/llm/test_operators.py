@@ -223,6 +223,21 @@ def test_segments_merged_together_are_merged_alike():
         assert codec.merged_together(segments, varieties, width) == [codec.merged(s, v) for s, v in zip(segments, varieties)]
 
 
+def test_every_occurrence_draws_its_own_skips():
+    codec = sentencepiece_codec.Codec(**sentencepiece_codec.load_codec(MODEL), dropout=0.1, seed=4)
+    plain = sentencepiece_codec.Codec(**sentencepiece_codec.load_codec(MODEL))
+    words = [w for w in "abcdefghiklmnoprst" if len(plain.merged(" " + w, 0)) == 1]
+    assert len(words) > 10
+    for w in words:  # one merge, so that a tenth of all occurrences is varied
+        got = codec.encode_all([w] * 4000, list(range(4000)))
+        assert abs(np.mean([tuple(x) == plain.merged(" " + w, 0) for x in got]) - 0.9) < 0.025, w
+    text = " ".join(["international"] * 4000)
+    ids = codec.encode_all([text, text], [1, 2])
+    places = sentencepiece_codec._mixed(np.array([1], np.uint64)) + np.arange(4000, dtype=np.uint64)
+    own = [codec.merged(" international", int(p)) for p in places]
+    assert len(set(own)) > sentencepiece_codec.VARIETIES and ids[0] == [i for x in own for i in x] != ids[1]
+
+
 def test_language(awkward, empty, spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").withColumn("held_out", language_id.held_out("doc_id", 4, 2))
     learned = language_id.learn_dictionaries(docs.where("not held_out"))
