@@ -148,6 +148,17 @@ def test_secrets(spark, awkward, empty):
     assert secrets.scan_secrets(empty).count() == 0
 
 
+def test_random_keys_of_every_class_are_found(spark):
+    g = random.Random(8)
+    small, digits, caps = "abcdefghijklmnopqrstuvwxyz", "0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    cases = [(a, n) for a in (small + digits, caps + digits, small + caps + digits + "+/") for n in (16, 18, 20, 24, 40)]
+    rows = [(k, f"see {''.join(g.choices(a, k=n))} there") for k, (a, n) in enumerate(cases) for _ in range(300)]
+    rows = [r for r in rows if re.search("[0-9]", r[1])] + [(99, "the item mmmmnnnnmmmmnnnn1 there")]
+    found = secrets.scan_secrets(spark.createDataFrame(rows, "doc_id long, text string")).groupBy("doc_id").agg(F.avg((F.size("added") + F.size("base") > 0).cast("int")).alias("share")).collect()
+    for r in found:
+        assert r.share == 0 if r.doc_id == 99 else r.share > 0.93, (r.doc_id, r.share)
+
+
 def test_quality(spark, awkward, empty):
     rows = quality_rules(awkward).collect()
     for r in rows:
