@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from stimframe.llm.common import without
 
-#: What a language's dictionary holds at most, in bytes; it is filled from the first SAMPLE_DOCS training texts by a hash of the text.
+#: What a language's dictionary holds at most, in bytes; it is filled from the first SAMPLE_DOCS distinct training texts by a hash of their first DOC_BYTES characters.
 DICT_BYTES, SAMPLE_DOCS, DOC_BYTES = 1 << 17, 128, 1 << 12
 #: Texts are compressed in blocks of so many bytes, each against the dictionary alone: a long text does not come to predict itself.
 BLOCK_BYTES = 2048
@@ -24,13 +24,15 @@ ADDED = ("lang_pred", "score", "narrow")
 
 
 def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionary of each non-null language, from at most SAMPLE_DOCS texts of a language and DOC_BYTES bytes of each.
+    """Raw-content dictionary of each non-null language, from at most SAMPLE_DOCS distinct texts of a language and DOC_BYTES bytes of each.
 
-    Spark keeps the first SAMPLE_DOCS within each task before it shuffles, so a language with most rows makes no large group.
-    The languages come by their number of texts, most first.
+    Texts that begin alike as far as they would be learned count once, however many copies there are. Hashes alone are made
+    distinct and ranked; Spark keeps the first SAMPLE_DOCS within each task before it shuffles, so a language with most rows
+    makes no large group. The languages come by their number of texts, most first.
     """
-    texts = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, DOC_BYTES).alias("text"), F.xxhash64(text_col).alias("h"))
-    first = texts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "text"))).where(F.col("r") <= SAMPLE_DOCS).orderBy("lang", "r").collect()
+    texts = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, DOC_BYTES).alias("text")).withColumn("h", F.xxhash64("text"))
+    ranks = texts.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
+    first = texts.join(F.broadcast(ranks), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text")).orderBy("lang", "r").collect()
     found: dict[str, list[bytes]] = {}
     for row in first:
         held = found.setdefault(row.lang, [])

@@ -261,6 +261,13 @@ def test_language(awkward, empty, spark):
     assert {r.lang_pred for r in language_id.identify(awkward, {}).collect()} == {"und"}
 
 
+def test_language_samples_distinct_texts(spark):
+    rows = [(f"copy {'abcdefghij'[k % 10] * 5} word", "en") for k in range(6000)] + [(f"one {''.join(chr(97 + int(c)) for c in str(k))} alone", "en") for k in range(200)]
+    learned = language_id.learn_dictionaries(spark.createDataFrame(rows, "text string, lang string").repartition(3))
+    pieces = re.findall("(?:copy|one) [a-z]+", learned["en"].decode())
+    assert len(pieces) == len(set(pieces)) == language_id.SAMPLE_DOCS
+
+
 def test_toxicity(awkward, empty, spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("held_out", language_id.held_out("doc_id", 5, 0))
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
