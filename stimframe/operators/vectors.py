@@ -100,6 +100,44 @@ def top_similar_batch(df: DataFrame, key: str, vec: str, queries: dict[int, list
     return scored.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))).where(F.col("r") <= n)
 
 
+def blocks_of(df: DataFrame, key: str, vec: str, rows: int) -> DataFrame:
+    """df packed into rows of about that many keys (dealt by a hash) with their vectors: keys, vectors."""
+    n = max(1, -(-df.count() // rows))
+    return df.groupBy(F.pmod(F.xxhash64(key), F.lit(n)).alias("__b")).agg(F.collect_list(F.struct(F.col(key).cast("long").alias("k"), F.col(vec).alias("v"))).alias("__s")).select(F.col("__s.k").alias("keys"), F.col("__s.v").alias("vectors"))
+
+
+def top_similar_blocks(df: DataFrame, key: str, vec: str, queries: DataFrame, n: int = 10, block: int = 2048) -> DataFrame:
+    """Top n of df for each row of queries, of any number: query, key, score (correlation), r.
+
+    Blocks of queries meet blocks of rows in Arrow tasks, a matrix product for each pair, and n a query leave each pair for
+    the shuffle. Scores are rounded to 12 places, so that equal vectors tie; ties go by key.
+    """
+
+    def scaled(vectors) -> np.ndarray:
+        m = np.stack([np.asarray(v, float) for v in vectors])
+        m = m - m.mean(1, keepdims=True)
+        norm = np.sqrt((m * m).sum(1, keepdims=True))
+        return np.divide(m, norm, out=np.zeros_like(m), where=norm > 1e-12)
+
+    def run(parts):
+        for part in parts:
+            for qk, qv, keys, vectors in zip(part["qkeys"], part["qvectors"], part["keys"], part["vectors"]):
+                scores = np.round(scaled(qv) @ scaled(vectors).T, 12) + 0.0
+                keys = np.asarray(keys)
+                k = min(n, len(keys))
+                least = np.partition(scores, len(keys) - k, axis=1)[:, len(keys) - k]
+                found = []
+                for q, row, low in zip(qk, scores, least):
+                    at = np.flatnonzero(row >= low)
+                    at = at[np.lexsort((keys[at], -row[at]))[:k]]
+                    found.append((np.full(k, q), keys[at], row[at]))
+                yield pd.DataFrame({"query": np.concatenate([f[0] for f in found]), key: np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
+
+    pairs = blocks_of(queries, key, vec, block).withColumnsRenamed({"keys": "qkeys", "vectors": "qvectors"}).crossJoin(blocks_of(df, key, vec, block))
+    scored = pairs.mapInPandas(run, f"query long, {key} long, score double")
+    return scored.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy(F.col("score").desc(), key))).where(F.col("r") <= n)
+
+
 def diverse_top(df: DataFrame, key: str, vec: str, query: list[float], n: int, cull: int) -> DataFrame:
     """n keys, each the best by dot product of those left after the cull + 1 nearest (squared L2) to the one before are gone.
 

@@ -484,6 +484,13 @@ def topk_batch(spark, d):
     return rounded(vectors.top_similar_batch(e, "vec_id", "embedding", q, 10), "score").select("query", "vec_id", "r", "score")
 
 
+@query()
+def topk_batch_all(spark, d):
+    """Top 10 for every vector whose id is divisible by 20; topk_batch has five queries, as its SQL fixes."""
+    e = table(spark, d, "embeddings")
+    return rounded(vectors.top_similar_blocks(e, "vec_id", "embedding", e.where("vec_id % 20 = 0"), 10), "score").select("query", "vec_id", "r", "score")
+
+
 @query("SELECT * FROM (SELECT vec_id, round(embedding[4]::DOUBLE, 6) + 0.0 AS score, 'best' AS side FROM embeddings ORDER BY embedding[4] DESC, vec_id LIMIT 5) UNION ALL SELECT * FROM (SELECT vec_id, round(embedding[4]::DOUBLE, 6) + 0.0, 'worst' FROM embeddings ORDER BY embedding[4], vec_id LIMIT 5)")
 def best_worst(spark, d):
     return rounded(vectors.best_worst(table(spark, d, "embeddings"), "vec_id", F.col("embedding")[3].cast("double"), 5), "score")
@@ -510,6 +517,14 @@ def bag_of_words(spark, d):
     return rounded(vectors.bag_of_words(s, "user_id", "word", w, "word", "embedding"), "mean")
 
 
+@query()
+def bag_of_words_all(spark, d):
+    """As bag_of_words, with the labels of all vectors as the vocabulary; bag_of_words takes those of ten, as its SQL fixes."""
+    w = table(spark, d, "embeddings").groupBy(F.col("label").alias("word")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    s = table(spark, d, "events").select("user_id", (F.col("event_id") % 12).cast("int").alias("word"))
+    return rounded(vectors.bag_of_words(s, "user_id", "word", w, "word", "embedding"), "mean")
+
+
 @query("""
     SELECT l_returnflag, round((sum(a * y) * sum(b * b) - sum(b * y) * sum(a * b)) / (sum(a * a) * sum(b * b) - sum(a * b) ** 2), 6) + 0.0 AS w0, round((sum(b * y) * sum(a * a) - sum(a * y) * sum(a * b)) / (sum(a * a) * sum(b * b) - sum(a * b) ** 2), 6) + 0.0 AS w1
     FROM (SELECT l_returnflag, l_quantity AS a, l_discount AS b, l_extendedprice AS y FROM lineitem) GROUP BY l_returnflag""")
