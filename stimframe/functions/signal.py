@@ -78,11 +78,15 @@ def dct(n: int, k: int) -> np.ndarray:
     return m
 
 
+def mel_db(padded: np.ndarray, rate: int = 16_000, n_fft: int = 2048, hop: int = 512, bands: int = 128, high: float = 8000.0) -> np.ndarray:
+    """Slaney mels in dB, (frames, bands), of a waveform with its padding."""
+    power = np.abs(np.fft.rfft(frames(padded, n_fft, hop) * window("hann", n_fft))) ** 2
+    return 10 * np.log10(np.maximum(power @ mel_bank(bands, n_fft, rate, 0.0, high, "slaney", True).T, 1e-10))
+
+
 def mfcc(wave: np.ndarray, rate: int = 16_000, n_mfcc: int = 20, n_fft: int = 2048, hop: int = 512, bands: int = 128, high: float = 8000.0) -> np.ndarray:
     """MFCCs, (n_mfcc, frames): centred frames, Hann window, power, Slaney mels, dB within 80 of the top, DCT."""
-    wave = np.pad(np.asarray(wave, float), n_fft // 2)
-    power = np.abs(np.fft.rfft(frames(wave, n_fft, hop) * window("hann", n_fft))) ** 2
-    db = 10 * np.log10(np.maximum(power @ mel_bank(bands, n_fft, rate, 0.0, high, "slaney", True).T, 1e-10))
+    db = mel_db(np.pad(np.asarray(wave, float), n_fft // 2), rate, n_fft, hop, bands, high)
     return dct(bands, n_mfcc) @ np.maximum(db, db.max() - 80).T if len(db) else np.empty((n_mfcc, 0))
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stimframe.functions import signal
+from stimframe.session import materialise
 
 #: An extractor takes a waveform and its rate and gives a (frames, features) matrix and the (frames, 2) times in seconds.
 Extractor = Callable[[np.ndarray, int], tuple[np.ndarray, np.ndarray]]
@@ -86,6 +87,54 @@ def extract(waves: DataFrame, feature: str, min_samples: int = 1, module: str =
     return waves.select("stim", "sample_rate", "waveform").mapInPandas(rows, "stim string, module string, frame int, features array<double>, t_start double, t_end double")
 
 
+#: Of the extractors that work by blocks of frames: samples of a frame and of its shift, zeros before and after the waveform, frames before a block that it needs.
+SHAPES = {"fbank": (400, 320, 0, 0), "mfcc": (2048, 512, 1024, 0), "lld": (400, 320, 0, 1)}
+
+
+def extract_series(series: DataFrame, feature: str, hold: int, rate: int = 16_000, block: int = 2048) -> DataFrame:
+    """(stim, frame, features) of (stim, i, value) rows, value i of a stimulus held for `hold` samples, with the default parameters.
+
+    Equal to extract() on whole waveforms, but a group is a block of frames with the samples that they overlap, so that no
+    task and no row holds a whole stimulus. The top that MFCC needs is joined back from an aggregate.
+    """
+    length, shift, pad, lead = SHAPES[feature]
+    low = F.col("i") * hold + pad  # first sample of the value, counted from the padding
+    first = F.greatest(F.floor((low - length) / shift), F.lit(-1)) + 1  # frames that the value touches
+    last = F.floor((low + hold - 1) / shift)
+    to = lambda frame: F.floor(frame / block)
+    dealt = series.select("stim", "i", F.col("value").cast("float").alias("value"), F.explode(F.sequence(to(first), to(last + lead))).alias("block"))
+    run = None if feature == "mfcc" else EXTRACTORS[feature]()
+
+    def kernel(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        stim, at = key[0], int(key[1]) * block
+        ahead = min(at, lead)
+        part = part.sort_values("i")
+        begin = (at - ahead) * shift - pad  # of the waveform's samples, those of the block; before the first there are zeros
+        end = (at + block - 1) * shift - pad + length
+        values = np.repeat(part["value"].to_numpy(float), hold)
+        start = int(part["i"].iloc[0]) * hold
+        wave = np.concatenate((np.zeros(max(0, start - begin)), values[max(0, begin - start) :]))[: end - begin]
+        if pad and start + len(values) < end:  # the stimulus ends here
+            wave = np.concatenate((wave, np.zeros(min(pad, end - start - len(values)))))
+        m = signal.mel_db(wave, rate) if run is None else run(wave, rate)[0]
+        m = m[ahead : ahead + block]
+        return pd.DataFrame({"stim": stim, "frame": np.arange(at, at + len(m), dtype=np.int32), "features": pd.Series(list(m), dtype=object)})
+
+    out = dealt.groupBy("stim", "block").applyInPandas(kernel, "stim string, frame int, features array<double>")
+    if feature != "mfcc":
+        return out
+    held = materialise(out, "mel")
+    top = held.groupBy("stim").agg(F.max(F.array_max("features")).alias("__top"))
+
+    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            if len(part):
+                db = np.maximum(np.stack(part["features"]), part["__top"].to_numpy()[:, None] - 80)
+                yield pd.DataFrame({"stim": part["stim"], "frame": part["frame"], "features": list(db @ signal.dct(db.shape[1], 20).T)})
+
+    return held.join(top, "stim").mapInPandas(finish, "stim string, frame int, features array<double>")
+
+
 def pad_silence(waves: DataFrame, samples: int) -> DataFrame:
     """waves with that many zeros in front; unpad() takes the time off again."""
     return waves.withColumn("waveform", F.concat(F.array_repeat(F.lit(0.0).cast("float"), samples), "waveform"))

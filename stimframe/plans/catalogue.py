@@ -596,31 +596,33 @@ def logistic(spark, d):
     return models.logistic(e, "x", F.col("label"), 100)(e).select("vec_id", "label", "pred")
 
 
-def _waves(spark: SparkSession, d: str) -> DataFrame:
-    """Each user's values, held for 160 samples each at 16 kHz and read as a waveform."""
-    series = table(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda s: s["value"].cast("float")).alias("v"))
-    return series.select(F.col("user_id").cast("string").alias("stim"), F.lit(16_000).alias("sample_rate"), F.flatten(F.transform("v", lambda x: F.array_repeat(x, 160))).alias("waveform"))
+def _series(spark: SparkSession, d: str) -> DataFrame:
+    """Each user's values in order of their ids: held for 160 samples each at 16 kHz, they are read as a waveform."""
+    from stimframe.operators.rank import ranked
+
+    e = table(spark, d, "events").select("user_id", "event_id", "value")
+    return ranked(e, ["user_id"], [F.col("event_id")], "i").select(F.col("user_id").cast("string").alias("stim"), "i", "value")
 
 
 @query()
 def fbank(spark, d):
-    from stimframe.operators.extract import extract
+    from stimframe.operators.extract import extract_series
 
-    return rounded(vectors.exploded(extract(_waves(spark, d), "fbank"), ["stim", "frame"], "features"), "x")
+    return rounded(vectors.exploded(extract_series(_series(spark, d), "fbank", 160), ["stim", "frame"], "features"), "x")
 
 
 @query()
 def mfcc(spark, d):
-    from stimframe.operators.extract import extract
+    from stimframe.operators.extract import extract_series
 
-    return rounded(vectors.exploded(extract(_waves(spark, d), "mfcc"), ["stim", "frame"], "features"), "x")
+    return rounded(vectors.exploded(extract_series(_series(spark, d), "mfcc", 160), ["stim", "frame"], "features"), "x")
 
 
 @query()
 def low_level_descriptors(spark, d):
-    from stimframe.operators.extract import extract
+    from stimframe.operators.extract import extract_series
 
-    return rounded(vectors.exploded(extract(_waves(spark, d), "lld"), ["stim", "frame"], "features"), "x")
+    return rounded(vectors.exploded(extract_series(_series(spark, d), "lld", 160), ["stim", "frame"], "features"), "x")
 
 
 @query("""
