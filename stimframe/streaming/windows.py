@@ -23,11 +23,18 @@ def session_stream(stream: DataFrame, ts: str, gap: str, by: list[str], value: s
     return timed.groupBy(*by, F.session_window("__ts", gap)).agg(F.count(F.lit(1)).alias("n"), F.sum(value).alias("total")).select(*by, F.unix_seconds("session_window.start").alias("start"), F.unix_seconds("session_window.end").alias("stop"), "n", "total")
 
 
-def overlap_stream(spans: DataFrame, frames: DataFrame, key: str, start: str, stop: str, at: str, late: str = "1 hour") -> DataFrame:
-    """Pairs of annotations and frames of a stimulus, both streams, where a frame's time falls within the annotation; state is bounded by the watermarks."""
-    a = spans.withColumns({"__s": F.col(start).cast("timestamp"), "__e": F.col(stop).cast("timestamp")}).withWatermark("__s", late)
+def overlap_stream(spans: DataFrame, frames: DataFrame, key: str, start: str, stop: str, at: str, longest: str, late: str = "1 hour") -> DataFrame:
+    """Pairs of annotations and frames of a stimulus, both streams, where a frame's time falls within the annotation.
+
+    longest is an interval ("3 days") that no annotation may exceed: state is held for so long and for `late`, and an
+    annotation that lasts longer stops the query with an error, as it would miss frames. Rows later than `late` are dropped.
+    """
+    a = spans.withColumns({"__s": F.col(start).cast("timestamp"), "__e": F.col(stop).cast("timestamp")})
+    fits = F.col("__e").isNull() | F.col("__s").isNull() | F.expr(f"__e <= __s + interval {longest}")
+    told = F.raise_error(F.concat_ws(" ", F.lit(f"an annotation lasts longer than {longest}:"), F.col("__s").cast("string"), F.col("__e").cast("string"))).cast("boolean")
+    a = a.where(F.when(fits, F.lit(True)).otherwise(told)).withWatermark("__s", late)
     b = frames.withColumn("__t", F.col(at).cast("timestamp")).withColumnRenamed(key, "__key").withWatermark("__t", late)
-    return a.join(b, F.expr(f"{key} = __key and __t >= __s and __t <= __e and __t <= __s + interval 1 day")).drop("__s", "__e", "__t", "__key")
+    return a.join(b, F.expr(f"{key} = __key and __t >= __s and __t <= __e and __t <= __s + interval {longest}")).drop("__s", "__e", "__t", "__key")
 
 
 def run_once(df: DataFrame, path: str, checkpoint: str, mode: str = "append") -> None:
