@@ -78,10 +78,11 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     return lines.join(often, ["__host", "line"])
 
 
-def strip_frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 20, share: float = 0.01) -> DataFrame:
-    """docs with the lines above the limits removed from the text; null texts stay null."""
+def strip_frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 20, share: float = 0.01, counted: DataFrame | None = None) -> DataFrame:
+    """docs with the lines above the limits removed from the text; null texts stay null. counted: the documents in which lines are counted, if others too."""
     rows = _content(without(docs, _OWN), text_col, host_col)
-    bad = frequent_lines(docs, text_col, host_col, at_least, share).groupBy("__host", "__content").agg(F.collect_set("line").alias("__hit"))
+    bad = frequent_lines(docs if counted is None else counted, text_col, host_col, at_least, share).groupBy("__host", "__content").agg(F.collect_set("line").alias("__hit"))
+    bad = materialise(bad, "frequent")  # written first, as in quality_rules()
     left = F.when(F.col("__hit").isNull(), F.col(text_col)).otherwise(
         F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("__hit", F.xxhash64(_normal(x)))), "\n")
     )

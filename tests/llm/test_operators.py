@@ -180,6 +180,16 @@ def test_frequent_lines(spark):
     assert texts[3] == "own 3" and texts[40] == rows[40][1]
 
 
+def test_quality_stage_strips_frequent_lines(spark):
+    """The lines are counted over all documents, those that go included."""
+    import corpus_pipeline
+
+    line, own = "a line of every page", lambda i: " ".join(f"u{i}x{k}" for k in range(60))
+    rows = [(i, f"{line} {i % 2}\n{own(i)}", "h") for i in range(24)] + [(i, f"{line} {i % 2}\nshort {i}", "h") for i in range(24, 60)]
+    left = {r.doc_id: r.text for r in corpus_pipeline.quality(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), DIR).collect()}
+    assert left == {i: own(i) for i in range(24)}
+
+
 def test_bisection():
     shares = [0.7, 0.2, 0.1]
     e = mixing.bisect_exponent(shares, max_repeat=2.0)
