@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import html
-import math
 import re
-from collections import defaultdict
+from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -16,60 +16,86 @@ from stimframe.llm.common import without
 #: Elements without content, elements that are part of a line, elements whose content isn't text of the page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
-#: Elements, roles and words of a class or id that aren't the article.
-OUTSIDE = frozenset("head title nav footer aside form button select option textarea input iframe object svg canvas noscript template dialog menu datalist script style".split())
+UNREAD = frozenset("title button select option textarea iframe object svg canvas noscript template datalist script style".split())
+#: Elements, roles and words of a class or id that speak against a block. They weigh in its score; none removes text by itself.
+ASIDE = frozenset("footer aside form dialog".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|comments?|comment-?list|disqus|repl(?:y|ies)"
-    r"|responses?|share|sharing|social|related|recommended|newsletter|subscribe|subscription|popup|modal|overlay|login|signin|signup|widget|pagination|pager|copyright|disclaimer|toolbar|tags)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?<!has-)(?<!with-)(?<!no-)(?:ads?|advert\w*|sponsor\w*|promo\w*|notices?|banner|side-?bar|menu|nav|navbar|navigation|breadcrumbs?|header|masthead"
+    r"|share|sharing|social|related|recommended|newsletter|subscribe|subscription|popup|modal|overlay|login|signin|signup|widget|pagination|pager|disclaimer|toolbar|tags"
+    r"|werbung|anzeige|publicidad|publicité|publicite|seitenleiste)(?:$|[\s_-])"
 )
+#: The same for what stays aside even where it is longer than the article.
+STRONG = re.compile(r"(?:^|[\s_-])(?:comments?|comment-?list|disqus|repl(?:y|ies)|responses?|kommentare?|comentarios?|commentaires?|cookies?|consent|gdpr|footer|copyright)(?:$|[\s_-])")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^>]*(?:>|\Z)", re.S | re.I
+    r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?/][^>]*+(?:>|\Z)|<[a-zA-Z][^>]*+(?:>|\Z)", re.S | re.I
 )
 _ATTR = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。，！？、؟¿¡]")
-#: A path is content from this share of the mean fused score on.
-THRESHOLD = 0.5
+#: A path is content from this share of the mean fused score on; what speaks against a block divides its score by AGAINST.
+THRESHOLD, AGAINST = 0.4, 8.0
+#: Ratios are smoothed over two blocks on either side.
+KERNEL = np.exp(-np.arange(-2.0, 3.0) ** 2 / 2)
 #: Elements of running text, which are part of an article where they stand beside its content.
 RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd blockquote pre figure figcaption table thead tbody tr th td".split())
 ADDED = ("text", "n_chars")
 
 
-def _outside(name: str, attributes: str, article: bool) -> bool:
-    if name in OUTSIDE or (name == "header" and not article):
-        return True
+@dataclass
+class Page:
+    """Elements in page order (0 is the page itself) and the blocks of text in them. against: 0 nothing, 1 something, 2 something strong."""
+
+    names: list[str] = field(default_factory=lambda: [""])
+    parents: list[int] = field(default_factory=lambda: [-1])
+    against: list[int] = field(default_factory=lambda: [0])
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)  # element, text, characters that aren't in links
+
+
+def _against(name: str, attributes: str, article: bool) -> int:
+    found = int(name in ASIDE or name == "header" and not article)
     for m in _ATTR.finditer(attributes) if attributes else ():
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key == "role" and value in ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-            return True
-        if key in ("class", "id") and name not in ("html", "body", "article", "main") and NAMES.search(value):
-            return True
-    return False
+            found = max(found, 1)
+        if key in ("class", "id") and name not in ("html", "body", "article", "main"):
+            found = max(found, 2 if STRONG.search(value) else int(NAMES.search(value) is not None))
+    return found
 
 
-def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], tuple[str, ...], bool]]:
-    """Text blocks of a page outside what can't be the article: path of tags, text, elements that hold it (number and name), all in links."""
-    out, stack, parts, linked, plain = [], [], [], 0, 0  # stack: name, number, whether it's outside
-    number = at = 0
-    shut = 0  # how many elements of the stack are outside
+def parse(page: str) -> Page:
+    """The elements and text blocks of a page, in time that grows with its length alone, however deep it nests."""
+    out = Page()
+    stack: list[tuple[str, int, bool]] = []  # open elements: name, number of the block element it is or is in, whether its text is unread
+    opened: dict[str, list[int]] = {}  # where in the stack elements of a name are open
+    levels: list[int] = []  # where in the stack block elements are open
+    parts: list[str] = []
+    unread = plain = articles = at = 0
 
     def end() -> None:
-        nonlocal parts, linked, plain
+        nonlocal parts, plain
         if parts and (text := " ".join(html.unescape("".join(parts)).split())):
-            held = [e for e in stack if e[0] not in INLINE]
-            out.append(("/".join(e[0] for e in held), text, tuple(e[1] for e in held), tuple(e[0] for e in held), not plain and linked > 0))
-        parts, linked, plain = [], 0, 0
+            out.blocks.append((stack[levels[-1]][1] if levels else 0, text, plain))
+        parts, plain = [], 0
+
+    def read(text: str) -> None:
+        nonlocal plain
+        parts.append(text)
+        if not opened.get("a"):
+            plain += len(text) - text.count(" ")
 
     def pop(to: int) -> None:
-        nonlocal shut
+        nonlocal unread, articles
         while len(stack) > to:
-            shut -= stack.pop()[2]
+            name, _, away = stack.pop()
+            opened[name].pop()
+            unread -= away
+            articles -= name in ("article", "main")
+            if levels and levels[-1] == len(stack):
+                levels.pop()
 
     for m in _TOKEN.finditer(page):
-        if m.start() > at and not shut:
-            parts.append(text := page[at : m.start()])
-            size = len(text) - text.count(" ")
-            linked, plain = (linked + size, plain) if any(e[0] == "a" for e in stack[-4:]) else (linked, plain + size)
+        if m.start() > at and not unread:
+            read(page[at : m.start()])
         at = m.end()
         if not m[3]:
             continue
@@ -78,83 +104,136 @@ def blocks(page: str) -> list[tuple[str, str, tuple[int, ...], tuple[str, ...],
             if name in ("br", "hr"):
                 end()
             continue
-        if name not in INLINE:
+        line = name in INLINE
+        if not line:
             end()
         if m[2]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    pop(k)
-                    break
-                if name in INLINE and stack[k][0] not in INLINE:
-                    break
+            k = opened[name][-1] if opened.get(name) else -1
+            if k >= 0 and not (line and levels and levels[-1] > k):
+                pop(k)
             continue
-        if name not in INLINE:  # a paragraph, item or cell that is still open ends here, and so do its inline elements
-            while stack and stack[-1][0] in INLINE:
-                pop(len(stack) - 1)
+        if not line:  # a paragraph, item or cell that is still open ends here, and so do its inline elements
+            if levels:
+                pop(levels[-1] + 1)
+            else:
+                pop(0)
             if stack and (stack[-1][0] == "p" or stack[-1][0] == name and name in ("li", "td", "th", "tr", "dt", "dd", "option")):
                 pop(len(stack) - 1)
-        if m[4] and m[4].rstrip().endswith("/") and name in INLINE:
+        if line and m[4] and m[4].rstrip().endswith("/"):
             continue
-        number += 1
-        away = _outside(name, m[4], any(e[0] in ("article", "main") for e in stack))
-        if away and name in INLINE:
+        away = name in UNREAD
+        if not line:
+            out.names.append(name)
+            out.parents.append(stack[levels[-1]][1] if levels else 0)
+            out.against.append(_against(name, m[4], articles > 0))
+            levels.append(len(stack))
+        elif m[4] and _against(name, m[4], articles > 0):  # of an inline element: it isn't read
+            away = True
             parts.append(" ")
-        stack.append((name, number, away))
-        shut += away
-    if at < len(page) and not shut:
-        parts.append(page[at:])
-        plain += 1
+        opened.setdefault(name, []).append(len(stack))
+        stack.append((name, len(out.names) - 1, away))
+        unread += away
+        articles += name in ("article", "main")
+    if at < len(page) and not unread:
+        read(page[at:])
     end()
     return out
 
 
+def _sums(own: np.ndarray, parents: list[int]) -> list[int]:
+    """Of each element: the sum over it and all in it."""
+    out = own.tolist()
+    for k in range(len(out) - 1, 0, -1):
+        out[parents[k]] += out[k]
+    return out
+
+
+def weighed(page: Page) -> list[bool]:
+    """Of each element: whether something speaks against it, or against one that it is in.
+
+    What wraps the page or its article does not count, however it is named: an element with more than half of the text
+    that isn't in links (of the page, or of the article that it is in) and with every article of it. Comments, notices
+    and footers always count, but for one with all of the text.
+    """
+    n = len(page.names)
+    plain = np.zeros(n, np.int64)
+    for k, _, size in page.blocks:
+        plain[k] += size
+    size = _sums(plain, page.parents)
+    held = _sums(np.array([int(x in ("article", "main")) for x in page.names]), page.parents)
+    scope, out = [0] * n, [False] * n
+    for k in range(1, n):
+        up = page.parents[k]
+        scope[k] = up if page.names[up] in ("article", "main") else scope[up]
+        whole = size[k] == size[0]
+        inside = held[scope[k]] - (page.names[scope[k]] in ("article", "main"))  # articles in the scope
+        wraps = whole or page.against[k] < 2 and 2 * size[k] > size[scope[k]] and held[k] - (page.names[k] in ("article", "main")) == inside
+        out[k] = out[up] or page.against[k] > 0 and not wraps
+    return out
+
+
+def ratios(page: Page, paths: list[int]) -> np.ndarray:
+    """Fused ratio of each block: length and punctuation of its tag path's text that isn't in links, for each node of the path, smoothed over neighbours, times the share of the path's text that isn't in links."""
+    at = np.array(paths)
+    nodes = np.bincount(at)
+    length = np.bincount(at, [b[2] for b in page.blocks]) / nodes
+    points = np.bincount(at, [len(_PUNCTUATION.findall(b[1])) if b[2] else 0 for b in page.blocks]) / nodes
+    near = np.convolve(np.ones(len(at)), KERNEL)[2:-2]
+    a, b = (np.convolve(x[at], KERNEL)[2:-2] / near for x in (length, points))
+    return a * (1 + b) * (np.bincount(at, [b[2] for b in page.blocks]) / np.bincount(at, [len(b[1]) for b in page.blocks]))[at]
+
+
 def main_text(page: str | None) -> str:
     """The article of a page.
 
-    For each path of tags the lengths and the punctuation of its text are summed and divided by its nodes. Both ratios are
-    smoothed over neighbouring blocks in page order, fused as a product, and thresholded by a share of the mean. The article
-    is all of the smallest element with every block chosen so, or of the article element around it, but for blocks of links.
-    If that is the whole body: all from the first to the last chosen block, and the running text that adjoins them.
+    For each path of tags from the root, the length and the punctuation of its text are summed and divided by its nodes;
+    text in links counts as none, and a path's score is in proportion to what isn't. Both ratios are smoothed over neighbouring blocks in page order and fused as a product,
+    which is divided by AGAINST where an element or its name speaks against a block. Paths whose mean score reaches a share
+    of the page's are chosen, those that something speaks against only where no other path is. The article is the smallest element with every block of a chosen path, or the article element that holds most
+    of them, without what something speaks against and blocks of links on other paths. If that is the whole body:
+    all from the first to the last chosen block, and the running text that adjoins them.
     """
-    found = blocks(page or "")
-    if not found:
+    whole = parse(page or "")
+    if not whole.blocks:
         return ""
-    length, points, nodes = defaultdict(int), defaultdict(int), defaultdict(int)
-    for path, text, _, _, link in found:
-        nodes[path] += 1
-        if not link:
-            length[path] += len(text)
-            points[path] += len(_PUNCTUATION.findall(text))
-    raw = [(length[p] / nodes[p], points[p] / nodes[p]) for p, *_ in found]
-    kernel = [math.exp(-(d * d) / 2) for d in (-2, -1, 0, 1, 2)]
-    fused = []
-    for i in range(len(raw)):
-        near = [(raw[i + d - 2], k) for d, k in enumerate(kernel) if 0 <= i + d - 2 < len(raw)]
-        weight = sum(k for _, k in near)
-        a, b = (sum(r[j] * k for r, k in near) / weight for j in (0, 1))
-        fused.append(a * (1 + b))
-    limit = THRESHOLD * sum(f * len(b[1]) for f, b in zip(fused, found)) / sum(len(b[1]) for b in found)
-    chosen = [f >= limit and not b[4] for f, b in zip(fused, found)]
-    at = [i for i, yes in enumerate(chosen) if yes]
-    if not at:
+    beside, known, numbers = weighed(whole), {}, [0] * len(whole.names)
+    for k in range(1, len(whole.names)):  # a path: that of the element around it, its name, whether something speaks against it
+        numbers[k] = known.setdefault((numbers[whole.parents[k]], whole.names[k], beside[k]), len(known) + 1)
+    own = [b[0] for b in whole.blocks]
+    paths = np.unique([numbers[k] for k in own], return_inverse=True)[1]
+    fused = ratios(whole, paths.tolist()) / np.where([beside[k] for k in own], AGAINST, 1.0)
+    sizes = np.array([len(b[1]) for b in whole.blocks])
+    chosen = (np.bincount(paths, fused) / np.bincount(paths))[paths] >= THRESHOLD * (fused * sizes).sum() / sizes.sum()
+    chosen &= fused > 0
+    if not chosen.any():
         return ""
-    own = [list(zip(b[2], b[3])) for b in found]
-    held = own[at[0]]
-    for i in at[1:]:
-        held = [e for e, other in zip(held, own[i]) if e == other]
+    if (plain := chosen & ~np.array([beside[k] for k in own])).any():
+        chosen = plain
+    counts = np.zeros(len(whole.names), np.int64)
+    np.add.at(counts, np.array(own)[chosen], sizes[chosen])
+    held, total = _sums(counts, whole.parents), int(sizes[chosen].sum())
+    blocks = _sums(np.bincount(own, minlength=len(whole.names)), whole.parents)
+    articles = [k for k, x in enumerate(whole.names) if x == "article" and 2 * held[k] > total]
+    root = articles[-1] if articles else max(k for k, x in enumerate(held) if x == total)
     # An element of one block alone isn't the article, nor is one of running text.
-    while held and held[-1][1] not in ("article", "main", "html", "body") and (held[-1][1] in RUNNING or sum(held[-1] in x for x in own) == 1):
-        held.pop()
-    root = max((k for k, e in enumerate(held) if e[1] == "article"), default=len(held) - 1)
-    if root >= 0 and held[root][1] not in ("html", "body"):
-        return " ".join(b[1] for b, x in zip(found, own) if held[root] in x and not b[4])
-    beside = [not b[4] and x[: len(held)] == held and all(e[1] in RUNNING for e in x[len(held) :]) for b, x in zip(found, own)]
-    first, last = at[0], at[-1]
-    while first and beside[first - 1]:
+    while root and whole.names[root] not in ("article", "main", "html", "body") and (whole.names[root] in RUNNING or blocks[root] == 1):
+        root = whole.parents[root]
+    linked = [not b[2] and not yes for b, yes in zip(whole.blocks, chosen)]
+    if root and whole.names[root] not in ("html", "body"):
+        inside = [False] * len(whole.names)
+        inside[root] = True
+        for k in range(root + 1, len(inside)):
+            inside[k] = inside[whole.parents[k]] and (beside[root] or not beside[k])
+        return " ".join(b[1] for b, away in zip(whole.blocks, linked) if inside[b[0]] and not away)
+    running = [k == root for k in range(len(whole.names))]
+    for k in range(root + 1, len(running)):
+        running[k] = running[whole.parents[k]] and whole.names[k] in RUNNING and not beside[k]
+    first, last = np.flatnonzero(chosen)[[0, -1]].tolist()
+    while first and running[own[first - 1]] and not linked[first - 1]:
         first -= 1
-    while last + 1 < len(found) and beside[last + 1]:
+    while last + 1 < len(own) and running[own[last + 1]] and not linked[last + 1]:
         last += 1
-    return " ".join(b[1] for b in found[first : last + 1] if not b[4])
+    return " ".join(whole.blocks[i][1] for i in range(first, last + 1) if not linked[i] and (chosen[i] or not beside[own[i]]))
 
 
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
