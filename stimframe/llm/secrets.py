@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 
 import numpy as np
@@ -9,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stimframe.llm.common import fenced, without
-from stimframe.llm.spans import as_text, by_start, find_spans
+from stimframe.llm.spans import as_text, by_start, find_spans, overlaps
 
 #: The patterns of the contract, and the condition that a match {m} has to meet.
 PATTERNS = {
@@ -29,10 +30,13 @@ ALLOWED = (
     "^[0-9]+$",
     "^[^0-9]+$",
     "^[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",
-    "^/?([A-Za-z_-]+/)+[A-Za-z0-9_-]*$",
+    "^/?(?:[A-Za-z_-]++/)++[A-Za-z0-9_-]*+$",
     "(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456789|abcdefgh",
 )
 WINDOW = 20
+#: The characters of candidates; their counts in a window take so many bits each, so many of them in a long.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+COUNT_BITS, PACKED = 5, 12
 KINDS = [*PATTERNS, "entropy"]
 ADDED = ("n_assign", "n_access", "n_hex", "base", "added")
 
@@ -50,6 +54,30 @@ def least_entropy(size: int, window: int) -> float:
     return float(np.floor(np.quantile(np.log2(window) - total / window, MISSED) * 1e4) / 1e4)
 
 
+def _highest_entropy(window: int) -> str:
+    """SQL for the largest entropy of a window of s.w characters of a candidate, from the numbers s.codes of its characters.
+
+    The counts of the window's characters are packed in longs, COUNT_BITS for each. A step lets one character in and, once
+    the window is full, one out; f(c) is c * log2(c), and the smallest sum of f so far gives the largest entropy.
+    """
+    f = [0.0, *(c * math.log2(c) for c in range(1, window + 2))]
+    gains = "array(" + ", ".join(f"{f[c + 1] - f[c]!r}D" for c in range(window + 1)) + ")"  # f(c + 1) - f(c)
+    word, shift = (lambda code: f"({code} div {PACKED})"), (lambda code: f"(cast({code} % {PACKED} as int) * {COUNT_BITS})")
+    none = f"array_repeat(0L, {-(-len(ALPHABET) // PACKED)})"
+    held = lambda code: f"cast(shiftright(st.counts[{word(code)}], {shift(code)}) & {(1 << COUNT_BITS) - 1} as int)"
+    one = lambda code, k: f"if({word(code)} = {k}, shiftleft(1L, {shift(code)}), 0L)"
+    entering = "aggregate(slice(s.codes, 1, s.w), struct({none} as counts, 0D as total), (st, n) -> struct(transform(st.counts, (x, k) -> x + {one}) as counts, st.total + {gains}[{held}] as total))"
+    first = entering.format(none=none, one=one("n", "k"), gains=gains, held=held("n"))
+    step = (
+        f"case when d.o = d.n then st else struct(transform(st.counts, (x, k) -> x - {one('d.o', 'k')} + {one('d.n', 'k')}) as counts,"
+        f" st.total - {gains}[{held('d.o')} - 1] + {gains}[{held('d.n')}] as total,"
+        f" least(st.least, st.total - {gains}[{held('d.o')} - 1] + {gains}[{held('d.n')}]) as least) end"
+    )
+    moves = "zip_with(s.codes, slice(s.codes, s.w + 1, greatest(size(s.codes) - s.w, 0)), (o, n) -> struct(o, n))"
+    slid = f"aggregate(filter({moves}, d -> d.n is not null), transform(array({first}), t -> struct(t.counts as counts, t.total as total, t.total as least))[0], (st, d) -> {step}, st -> st.least)"
+    return f"log2(double(s.w)) - {slid} / s.w"
+
+
 def scan_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW, allowed: tuple[str, ...] = ALLOWED) -> DataFrame:
     """docs with n_assign, n_access, n_hex (long), and base and added: arrays of struct(kind, start, stop, m), by start.
 
@@ -57,34 +85,25 @@ def scan_secrets(docs: DataFrame, text_col: str = "text", window: int = WINDOW,
     shorter, as a whole) reach the Shannon entropy that 99 % of random strings of its character class and that length reach,
     unless a pattern of `allowed` suppresses it or a base span overlaps it. A
     window slides by one character: counts of the leaving and the entering one change, and with them the sum of
-    c * log2(c) from which the entropy follows. Null text counts as empty; columns with an added name are replaced. No shuffle.
+    c * log2(c) from which the entropy follows, so that the work grows with a candidate's length alone. window is at most
+    31. Null text counts as empty; repeated rows get equal results; an empty table gives an empty result; columns with an
+    added name are replaced. No shuffle.
     """
+    if not 1 < window < 1 << COUNT_BITS:
+        raise ValueError(f"a window has 2 to {(1 << COUNT_BITS) - 1} characters, not {window}")
     df = without(docs, [*ADDED, "__t", "__c", "__base"]).withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
     for kind, (pattern, keep) in PATTERNS.items():
         df = find_spans(df, "__t", kind, pattern, f"__s_{kind}", "AKIA" if kind == "access" else None, keep)
     df = find_spans(df, "__t", "entropy", CANDIDATE, "__c")
-    f = lambda c: f"(case when {c} > 1 then {c} * log2({c}) else 0D end)"
     allow = " and ".join(f"not s.m rlike '{p}'" for p in allowed)
     sizes = range(min(SHORTEST, window), window + 1)
     level = "case " + " ".join(f"when s.m rlike '{p}' then element_at(array({', '.join(f'{least_entropy(n, w)}D' for w in sizes)}), s.w - {sizes[0] - 1})" for p, n in CLASSES.values()) + " end"
-    start = "transform(s.chars, a -> s.w - length(replace(substring(s.m, 1, s.w), a, '')))"
-    first = f"aggregate({start}, 0D, (a, c) -> a + {f('c')})"
-    # Of the state, counts are those of s.chars in the window, total the sum of c * log2(c), least the smallest total so far.
-    out, into = "substring(s.m, i, 1)", "substring(s.m, i + s.w, 1)"
-    slid = (
-        f"aggregate(sequence(1, greatest(length(s.m) - s.w, 1)), struct({start} as counts, {first} as total, {first} as least),"
-        f" (st, i) -> case when i > length(s.m) - s.w or {out} = {into} then st else transform(array(struct("
-        f"st.counts[array_position(s.chars, {out}) - 1] as o, st.counts[array_position(s.chars, {into}) - 1] as n)), d ->"
-        f" struct(transform(st.counts, (c, k) -> c - int(s.chars[k] = {out}) + int(s.chars[k] = {into})) as counts,"
-        f" st.total - {f('d.o')} + {f('(d.o - 1)')} - {f('d.n')} + {f('(d.n + 1)')} as total,"
-        f" least(st.least, st.total - {f('d.o')} + {f('(d.o - 1)')} - {f('d.n')} + {f('(d.n + 1)')}) as least))[0] end, st -> log2(double(s.w)) - st.least / s.w)"
-    )
     found = (
         df.withColumn("base", F.expr(by_start(f"concat({', '.join(f'__s_{k}' for k in PATTERNS)})", KINDS)))
         .withColumns({f"n_{k}": F.size(f"__s_{k}").cast("long") for k in PATTERNS})
-        .withColumn("__c", F.expr(f"filter(__c, s -> {allow} and not exists(base, b -> b.start < s.stop and s.start < b.stop))"))
-        .withColumn("__c", F.expr(f"transform(__c, s -> struct(s.kind, s.start, s.stop, s.m, least({window}, length(s.m)) as w, array_distinct(split(s.m, '')) as chars))"))
-        .withColumn("added", F.expr(f"transform(filter(__c, s -> {slid} >= {level}), s -> struct(s.kind, s.start, s.stop, s.m))"))
+        .withColumn("__c", F.expr(f"filter(__c, s -> {allow} and not ({' or '.join(overlaps(f'__s_{k}', 's') for k in PATTERNS)}))"))
+        .withColumn("__c", F.expr(f"transform(__c, s -> struct(s.kind, s.start, s.stop, s.m, least({window}, length(s.m)) as w, transform(split(s.m, ''), a -> instr('{ALPHABET}', a) - 1) as codes))"))
+        .withColumn("added", F.expr(f"transform(filter(__c, s -> {_highest_entropy(window)} >= {level}), s -> struct(s.kind, s.start, s.stop, s.m))"))
         .drop("__t", "__c", *[f"__s_{k}" for k in PATTERNS])
     )
     return fenced(found, ADDED)

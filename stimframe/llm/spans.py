@@ -43,3 +43,13 @@ def by_start(spans: str, kinds: list[str]) -> str:
     listed = ", ".join(repr(k) for k in kinds)
     a, b = (f"struct({x}.start, array_position(array({listed}), {x}.kind))" for x in "ab")
     return f"array_sort({spans}, (a, b) -> case when {a} < {b} then -1 when {a} > {b} then 1 else 0 end)"
+
+
+def overlaps(spans: str, s: str) -> str:
+    """SQL for whether the span s overlaps one of an array of spans in order that don't overlap each other; by bisection."""
+    mid = "((r.lo + r.hi) div 2)"
+    first = (
+        f"aggregate(sequence(0, cast(ceil(log2(size({spans}) + 1)) as int)), struct(0L as lo, cast(size({spans}) as bigint) as hi), (r, i) -> case when r.lo >= r.hi then r"
+        f" when {spans}[{mid}].stop > {s}.start then struct(r.lo as lo, {mid} as hi) else struct({mid} + 1 as lo, r.hi as hi) end, r -> cast(r.lo as int))"
+    )
+    return f"(size({spans}) > 0 and coalesce(get({spans}, {first}).start < {s}.stop, false))"
