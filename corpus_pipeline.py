@@ -8,7 +8,7 @@ from stimframe.llm.exact_dedup import drop_exact_duplicates
 from stimframe.llm.minhash_dedup import drop_near_duplicates
 from stimframe.llm.mixing import ADDED as MIXED
 from stimframe.llm.mixing import mix_sources
-from stimframe.llm.quality_rules import drop_poor_documents, strip_frequent_lines
+from stimframe.llm.quality_rules import clean_documents
 from stimframe.llm.queries import MODEL
 from stimframe.llm.sentencepiece_codec import encode
 from stimframe.session import materialise
@@ -16,7 +16,7 @@ from stimframe.session import materialise
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the counts, or are made of lines common on their host, go; the others lose those lines, counted before any document went."""
-    return strip_frequent_lines(drop_poor_documents(docs), counted=docs)
+    return clean_documents(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
