@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
-from itertools import chain, islice
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -22,25 +22,26 @@ from stimframe.llm.common import without
 VARIETIES = 8
 #: Segments of up to so many characters are merged together, in arrays of these widths; longer ones one by one, with a heap.
 WIDTHS = (12, 24, 48)
-#: Segments whose ids a task remembers, and the characters of texts that it encodes at a time (one text at least).
-REMEMBERED, CHUNK = 500_000, 2_000_000
+#: Entries (segments, and segments without one candidate) that a task remembers, and the characters of texts that it encodes at a time (one text at least).
+REMEMBERED, CHUNK = 800_000, 2_000_000
 ADDED = ("ids", "n_tokens", "lossless")
 _MASK = (1 << 64) - 1
 #: Symbols in arrays: ids of pieces, then characters that are no pieces from _CHARS on, then none.
 _CHARS, _BASE = 1 << 24, (1 << 24) + 0x110000 + 1
 _NONE, _NEVER = _BASE - 1, 1 << 40
+_MAY_BITS = 21
 
 
 class _Slots(dict):
-    """Segments to their places in the codec's store; one that is new gets the next place and is noted."""
+    """Segments to their entries in the codec; one that is new gets the next entry and is noted."""
 
     def __init__(self, codec: Codec):
         self.codec = codec
 
     def __missing__(self, segment: str) -> int:
         self.codec.pending.append(segment)
-        self[segment] = place = len(self.codec.store) + len(self.codec.pending) - 1
-        return place
+        self[segment] = entry = len(self.codec.counts) + len(self.codec.pending) - 1
+        return entry
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -56,6 +57,10 @@ def _mixed_one(x: int) -> int:
     return x ^ (x >> 31)
 
 
+def _pair_hash(pairs: np.ndarray) -> np.ndarray:
+    return (pairs.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _MAY_BITS)
+
+
 def _candidate(begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
     """What a candidate adds to the key of its segment's place."""
     return begin.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + stop.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -76,6 +81,9 @@ class Codec:
         self.unknown, self.dropout, self.seed = unknown, int(dropout * 2**64), seed
         self.bytes_of = {i: p.encode() for p, _, i in pieces} | {i: bytes([b]) for b, i in spelled.items()}
         self.spelled = spelled
+        sizes = np.array([len(self.bytes_of.get(i, b"")) for i in range(max(self.bytes_of) + 1)])
+        self.byte_sizes, self.byte_begins = sizes, np.cumsum(sizes) - sizes
+        self.every_byte = np.frombuffer(b"".join(self.bytes_of.get(i, b"") for i in range(len(sizes))), np.uint8)
         if any(" " in p.lstrip(" ") or "\n" in p and len(p) > 1 for p, _, _ in pieces) or len(spelled) < 256:
             raise ValueError("the model has pieces over several words, or no pieces for bytes")
         self.segments = re.compile(r" *[^ \n]+|\n| +").findall
@@ -84,6 +92,8 @@ class Codec:
             if len(p) == 1:
                 self.codes[ord(p)] = i
         self.join_keys, self.join_ranks, self.join_ids = self.joins()
+        self.may_join = np.zeros(1 << _MAY_BITS, bool)  # by a hash of a pair: most pairs don't join, and need no search
+        self.may_join[_pair_hash(self.join_keys)] = True
         self.forget()
 
     def joins(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -132,10 +142,11 @@ class Codec:
         """Of places in the corpus: what their skips are drawn from."""
         return _mixed(places + np.uint64(self.seed * 0xD6E8FEB86659FD93 & _MASK))
 
-    def merged_together(self, segments: list[str], places: list[int] | np.ndarray | None, width: int, order: list[tuple[np.ndarray, np.ndarray]] | None = None) -> list[tuple[int, ...]]:
+    def merged_together(self, segments: list[str], places: list[int] | np.ndarray | None, width: int, order: list[tuple[np.ndarray, np.ndarray]] | None = None, without: np.ndarray | None = None) -> list[tuple[int, ...]]:
         """As merged(), for many segments of up to width characters: each step takes the best candidate of every segment.
 
-        With no places nothing is skipped. order takes the steps: which segments merged, and what the candidate adds to their keys.
+        With no places nothing is skipped but the one candidate of each segment in `without`, by what it adds to the key. order
+        takes the steps: which segments merged, and what the candidate adds to their keys.
         """
         n, w = len(segments), width + 2  # the last column stands before the first symbol, the one before it after the last
         sizes = np.fromiter(map(len, segments), np.int64, n)
@@ -158,13 +169,13 @@ class Codec:
             rows, a, here = rows[live], a[live], here[live]
             base, mid = here - a, follows[here]
             stop = follows[base + mid]
-            if drop:
-                skip = _mixed(keys[rows] + _candidate(a, stop)) < np.uint64(drop)
+            if drop or without is not None:
+                skip = _mixed(keys[rows] + _candidate(a, stop)) < np.uint64(drop) if drop else _candidate(a, stop) == without[rows]
                 flat_rank[here[skip]] = _NEVER
                 take = ~skip
                 a, here, base, mid, stop = a[take], here[take], base[take], mid[take], stop[take]
             if order is not None:
-                order.append((rows, _candidate(a, stop)))
+                order.append((rows if len(rows) == len(a) else rows[take], _candidate(a, stop)))
             symbols[here] = self.join_ids[flat_join[here]]
             alive[base + mid], flat_rank[base + mid] = False, _NEVER
             follows[here], before[base + stop] = stop, a
@@ -181,30 +192,49 @@ class Codec:
     def joined(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and place in the table of the pieces that pairs of symbols join to."""
         pairs = left * _BASE + right
-        at = np.searchsorted(self.join_keys, pairs)
-        return np.where(self.join_keys[at] == pairs, self.join_ranks[at], _NEVER), at
-
-    def learn(self) -> None:
-        """Ids without dropout, and the merges that lead there, of the segments that have come up and have none yet."""
-        pending, self.pending = self.pending, []
-        self.store.extend([()] * len(pending))
-        first = len(self.store) - len(pending)
+        at = np.full(len(pairs), len(self.join_keys) - 1)
+        may = np.flatnonzero(self.may_join[_pair_hash(pairs)])
+        at[may] = np.searchsorted(self.join_keys, some := pairs[may])
+        at[may[self.join_keys[at[may]] != some]] = len(self.join_keys) - 1
+        return self.join_ranks[at], at
+
+    def learn(self, segments: list[str], without: np.ndarray | None = None) -> None:
+        """Entries for segments: their ids if nothing is skipped (but the candidates in `without`), and the merges that lead there."""
+        found: list[tuple[int, ...]] = [()] * len(segments)
         steps: list[tuple[np.ndarray, np.ndarray]] = []
-        sizes = np.fromiter(map(len, pending), np.int64, len(pending))
+        sizes = np.fromiter(map(len, segments), np.int64, len(segments))
         for some, width in self.parts(sizes):
             order: list[tuple[np.ndarray, np.ndarray]] | None = [] if self.dropout else None
-            for k, ids in zip(some.tolist(), self.merged_together([pending[k] for k in some.tolist()], None, width, order)):
-                self.store[first + k] = ids
+            for k, ids in zip(some.tolist(), self.merged_together([segments[k] for k in some.tolist()], None, width, order, None if without is None else without[some])):
+                found[k] = ids
             steps.extend((some[rows], adds) for rows, adds in order or ())
-        for k in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
-            if not self.dropout:  # with it each is merged where it stands
-                self.store[first + k] = self.merged(pending[k], 0)
+        if not self.dropout:  # with it each is merged where it stands
+            for k in np.flatnonzero(sizes > WIDTHS[-1]).tolist():
+                found[k] = self.merged(segments[k], 0)
         rows = np.concatenate([r for r, _ in steps]) if steps else np.empty(0, np.int64)
         sort = np.argsort(rows, kind="stable")
-        counts = np.bincount(rows, minlength=len(pending))
+        counts = np.bincount(rows, minlength=len(segments))
         self.begins = np.concatenate((self.begins, len(self.adds) + np.cumsum(counts) - counts))
         self.counts = np.concatenate((self.counts, counts))
         self.adds = np.concatenate((self.adds, np.concatenate([x for _, x in steps])[sort] if steps else np.empty(0, np.uint64)))
+        self.after = np.concatenate((self.after, np.full(len(rows), -1)))
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        self.id_begins = np.concatenate((self.id_begins, len(self.ids_held) + np.cumsum(sizes) - sizes))
+        self.id_counts = np.concatenate((self.id_counts, sizes))
+        self.ids_held = np.concatenate((self.ids_held, np.fromiter(chain.from_iterable(found), np.int32, int(sizes.sum()))))
+
+    def first_skipped(self, entries: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of occurrences (their entries and keys): which have a merge of the entry's skipped, and the place of the first such one in adds."""
+        counts = self.counts[entries]
+        ends = np.cumsum(counts)
+        if not len(ends) or not ends[-1]:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        step = np.arange(ends[-1]) - np.repeat(ends - counts - self.begins[entries], counts)
+        at = np.flatnonzero(_mixed(np.repeat(keys, counts) + self.adds[step]) < np.uint64(self.dropout))
+        whose = np.searchsorted(ends, at, "right")
+        first = np.ones(len(at), bool)
+        first[1:] = whose[1:] != whose[:-1]
+        return whose[first], step[at[first]]
 
     @staticmethod
     def parts(sizes: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
@@ -218,42 +248,64 @@ class Codec:
 
     def encode_all(self, texts: list[str | None], documents: list[int]) -> list[list[int]]:
         """Ids of the whole texts. Every segment draws its own skips, by its document and its position there."""
-        if len(self.store) > REMEMBERED:
+        ids, ends = self.encode_flat(texts, documents)
+        return [ids[i:j].tolist() for i, j in zip([0, *ends], ends)]
+
+    def encode_flat(self, texts: list[str | None], documents: list[int]) -> tuple[np.ndarray, list[int]]:
+        """The same as one array, and where each text's part ends."""
+        if len(self.counts) > REMEMBERED:
             self.forget()
         cuts = [self.segments(" " + text) if text else [] for text in texts]
         flat = list(chain.from_iterable(cuts))
-        slots = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
-        self.learn()
-        found = list(map(self.store.__getitem__, slots.tolist()))
+        entries = np.fromiter(map(self.known.__getitem__, flat), np.int64, len(flat))
+        self.learn(self.pending)
+        self.pending = []
+        lengths = np.fromiter(map(len, cuts), np.int64, len(cuts))
+        own: dict[int, tuple[int, ...]] = {}  # of the occurrences whose ids are no entry's
         if self.dropout and flat:
             starts = _mixed(np.array([d & _MASK for d in documents], np.uint64))
-            lengths = np.array([len(c) for c in cuts])
             positions = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             places = np.repeat(starts, lengths) + positions.astype(np.uint64)
             keys = self.keys(places)
-            # Where none of the merges without dropout is skipped, the segment is as without dropout; the others are merged anew.
-            counts = self.counts[slots]
-            ends = np.cumsum(counts)
-            which = np.arange(ends[-1]) - np.repeat(ends - counts - self.begins[slots], counts)
-            skipped = _mixed(np.repeat(keys, counts) + self.adds[which]) < np.uint64(self.dropout)
-            sums = np.concatenate(([0], np.cumsum(skipped)))
-            varied = np.flatnonzero(sums[ends] > sums[ends - counts])
-            sizes = np.fromiter(map(len, map(flat.__getitem__, varied.tolist())), np.int64, len(varied))
+            # Where none of the merges without dropout is skipped, the segment is as without dropout. Where one is, it is as the entry
+            # without that candidate, unless it skips another of that entry's merges; then it is merged by itself.
+            varied, step = self.first_skipped(entries, keys)
+            missing, unknown = varied[self.after[step] < 0], step[self.after[step] < 0]
+            new, example = np.unique(unknown, return_index=True)
+            if len(new):
+                self.after[new] = len(self.counts) + np.arange(len(new))
+                self.learn([flat[k] for k in missing[example].tolist()], self.adds[new])
+            entries[varied] = self.after[step]
+            again = varied[self.first_skipped(entries[varied], keys[varied])[0]]
+            sizes = np.fromiter(map(len, map(flat.__getitem__, again.tolist())), np.int64, len(again))
             for some, width in self.parts(sizes):
-                at = varied[some]
-                for k, ids in zip(at.tolist(), self.merged_together([flat[k] for k in at.tolist()], places[at], width)):
-                    found[k] = ids
-            for k, segment in enumerate(flat):
-                if len(segment) > WIDTHS[-1]:
-                    found[k] = self.merged(segment, int(places[k]))
-        whole = iter(found)
-        return [list(chain.from_iterable(islice(whole, len(c)))) for c in cuts]
+                at = again[some].tolist()
+                own.update(zip(at, self.merged_together([flat[k] for k in at], places[at], width)))
+            own.update((k, self.merged(segment, int(places[k]))) for k, segment in enumerate(flat) if len(segment) > WIDTHS[-1])
+        begins, counts, held = self.id_begins[entries], self.id_counts[entries], self.ids_held
+        if own:
+            at = np.fromiter(own, np.int64, len(own))
+            sizes = np.fromiter(map(len, own.values()), np.int64, len(own))
+            begins[at], counts[at] = len(held) + np.cumsum(sizes) - sizes, sizes
+            held = np.concatenate((held, np.fromiter(chain.from_iterable(own.values()), np.int32, int(sizes.sum()))))
+        ends = np.cumsum(counts)
+        ids = held[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - counts - begins, counts)]
+        return ids, np.concatenate(([0], ends))[np.cumsum(lengths)].tolist()
 
     def forget(self) -> None:
-        self.store: list[tuple[int, ...]] = []
+        """Entries: merges from begins (counts of them) in adds, ids from id_begins in ids_held. after: the entry without that candidate, or -1."""
         self.pending: list[str] = []
         self.known = _Slots(self)
-        self.begins, self.counts, self.adds = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.uint64)
+        self.begins, self.counts, self.adds, self.after = (np.empty(0, t) for t in (np.int64, np.int64, np.uint64, np.int64))
+        self.id_begins, self.id_counts, self.ids_held = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def spell(self, ids: np.ndarray, ends: list[int]) -> list[bytes]:
+        """What the ids of each text spell, the first space included."""
+        sizes = self.byte_sizes[ids]
+        stops = np.cumsum(sizes)
+        whole = self.every_byte[np.arange(stops[-1] if len(stops) else 0) - np.repeat(stops - sizes - self.byte_begins[ids], sizes)].tobytes()
+        cut = np.concatenate(([0], stops))[ends].tolist()
+        return [whole[i:j] for i, j in zip([0, *cut], cut)]
 
     def decode(self, ids) -> str:
         """The text of ids; other ids than those of pieces and bytes have none."""
@@ -295,12 +347,10 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
                 part = batch.slice(at, stop - at)
                 at = stop
                 texts = part.column("__text").to_pylist()
-                found = codec.encode_all(texts, part.column("__doc").to_pylist())
-                same = [codec.decode(x) == (text or "") for x, text in zip(found, texts)]
-                ids = [np.array(x, np.int32) for x in found]
-                sizes = np.array([len(x) for x in ids], np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))), pa.int32()), pa.array(np.concatenate(ids) if ids else np.empty(0, np.int32)))
-                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(sizes), pa.array(same)], names=[*names, *ADDED])
+                ids, ends = codec.encode_flat(texts, part.column("__doc").to_pylist())
+                same = [spelled == (f" {text}".encode() if text else b"") for spelled, text in zip(codec.spell(ids, ends), texts)]
+                lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), pa.array(ids, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(np.diff([0, *ends]), pa.int64()), pa.array(same)], names=[*names, *ADDED])
 
     fields = [T.StructField(n, rows.schema[n].dataType) for n in names]
     out = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())])
