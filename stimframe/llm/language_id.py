@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from stimframe.llm.common import without
 
-#: What a language's dictionary holds at most, in bytes; it is filled from the first SAMPLE_DOCS distinct training texts by a hash of their first DOC_BYTES characters.
-DICT_BYTES, SAMPLE_DOCS, DOC_BYTES = 1 << 17, 128, 1 << 12
+#: A language is learned from a sample: the first SAMPLE_DOCS distinct training texts by their hash, of which whole texts of DICT_CHARS characters together at most are taken.
+DICT_CHARS, SAMPLE_DOCS = 1 << 17, 128
+#: How hard zstandard looks for matches, for texts of every size.
+LEVEL = 9
 #: Texts are compressed in blocks of so many bytes, each against the dictionary alone: a long text does not come to predict itself.
 BLOCK_BYTES = 2048
 #: Margins under this share of the smallest size are narrow.
@@ -24,20 +26,32 @@ ADDED = ("lang_pred", "score", "narrow")
 
 
 def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, bytes]:
-    """Raw-content dictionary of each non-null language, from at most SAMPLE_DOCS distinct texts of a language and DOC_BYTES bytes of each.
+    """Raw-content dictionary of each non-null language, from whole texts of its sample.
 
-    Texts that begin alike as far as they would be learned count once, however many copies there are. Hashes alone are made
-    distinct and ranked; Spark keeps the first SAMPLE_DOCS within each task before it shuffles, so a language with most rows
-    makes no large group. The languages come by their number of texts, most first.
+    Equal texts count once, however many copies there are. Hashes alone are made distinct and ranked; Spark keeps the first
+    SAMPLE_DOCS within each task before it shuffles, so a language with most rows makes no large group. In the order of
+    the hash, each text that still fits in DICT_CHARS is taken whole and the others are passed over; if none fits, the
+    shortest is taken. Only those texts come to the driver. The languages come by their number of texts, most first; an empty table gives none.
     """
-    texts = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.substring(text_col, 1, DOC_BYTES).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranks = texts.select("lang", "h").distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= SAMPLE_DOCS)
-    first = texts.join(F.broadcast(ranks), ["lang", "h"]).groupBy("lang", "r").agg(F.min("text").alias("text")).orderBy("lang", "r").collect()
+    texts = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
+    ranks = texts.select("lang", "h", F.length("text").alias("size")).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "size"))).where(F.col("r") <= SAMPLE_DOCS)
+    taken: dict[str, list[tuple[int, int, int]]] = {}
+    sample: dict[str, list[tuple[int, int, int]]] = {}
+    for row in ranks.orderBy("lang", "r").collect():
+        sample.setdefault(row.lang, []).append((row.r, row.h, row["size"]))
+    for lang, rows in sample.items():
+        room, held = DICT_CHARS, []
+        for row in rows:
+            if row[2] <= room:
+                room -= row[2]
+                held.append(row)
+        taken[lang] = held or [min(rows, key=lambda x: (x[2], x[0]))]
+    spark = train.sparkSession
+    chosen = spark.createDataFrame([(lang, *row) for lang, rows in taken.items() for row in rows], "lang string, r int, h long, size int")
+    first = texts.withColumn("size", F.length("text")).join(F.broadcast(chosen), ["lang", "h", "size"]).groupBy("lang", "r").agg(F.min("text").alias("text")).orderBy("lang", "r").collect()
     found: dict[str, list[bytes]] = {}
     for row in first:
-        held = found.setdefault(row.lang, [])
-        if (room := DICT_BYTES - sum(map(len, held))) > 0:
-            held.append(_fold(row.text)[: min(DOC_BYTES, room)])
+        found.setdefault(row.lang, []).append(_fold(row.text))
     often = {r.lang: r.n for r in train.where(F.col(lang_col).isin(list(found))).groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).collect()}
     return {lang: b"".join(found[lang]) for lang in sorted(found, key=lambda x: (-often.get(x, 0), x))}
 
@@ -53,36 +67,34 @@ def identify(docs: DataFrame, dictionaries: dict[str, bytes], text_col: str = "t
     The whole text is compressed with each language's dictionary; lang_pred is that of the smallest size, `und` for a null
     text or one without letters, or if there are no dictionaries. score is the weight of that language when a byte saved
     counts as so many bits, softened by the text's length. narrow rejects: the runner-up is within that share of the smallest
-    size. Ties go to the more common language. Columns with an added name are replaced. No shuffle.
+    size. Ties go to the more common language; repeated rows get equal results; an empty table gives an empty result. Columns with an added name are replaced. No shuffle.
     """
     spark = docs.sparkSession
-    held = spark.sparkContext.broadcast(dictionaries)  # at most DICT_BYTES for each language
+    held = spark.sparkContext.broadcast(dictionaries)  # about DICT_CHARS characters for each language
 
     @F.pandas_udf("lang_pred string, score double, narrow boolean")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         names = list(held.value)
-        fast = [_compressor(d, 9) for d in held.value.values()]
-        close = [_compressor(d, 19) for d in held.value.values()]
+        compressors = [_compressor(d) for d in held.value.values()]
         for texts in parts:
-            yield pd.DataFrame([_choose(t, names, fast, close, narrow) for t in texts], columns=["lang_pred", "score", "narrow"])
+            yield pd.DataFrame([_choose(t, names, compressors, narrow) for t in texts], columns=["lang_pred", "score", "narrow"])
 
     rows = without(docs, [*ADDED, "__r"])
     return rows.withColumn("__r", run(F.col(text_col))).select("*", "__r.lang_pred", "__r.score", "__r.narrow").drop("__r")
 
 
-def _compressor(dictionary: bytes, level: int) -> zstandard.ZstdCompressor:
+def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     d = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    d.precompute_compress(level=level)
-    return zstandard.ZstdCompressor(dict_data=d, level=level, write_checksum=False, write_content_size=False, write_dict_id=False)
+    d.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=d, level=LEVEL, write_checksum=False, write_content_size=False, write_dict_id=False)
 
 
-def _choose(text: str | None, names: list[str], fast: list, close: list, narrow: float) -> tuple[str, float, bool]:
+def _choose(text: str | None, names: list[str], compressors: list, narrow: float) -> tuple[str, float, bool]:
     if not text or not names or not any(map(str.isalpha, text)):
         return "und", 0.0, True
     data = _fold(text)
     blocks = [data[i : i + BLOCK_BYTES] for i in range(0, len(data), BLOCK_BYTES)]
-    # Short texts differ by a few bytes: for them the parse that looks hardest for matches is worth its time.
-    sizes = [sum(len(c.compress(b)) for b in blocks) for c in (fast if len(data) > 512 else close)]
+    sizes = [sum(len(c.compress(b)) for b in blocks) for c in compressors]
     least = min(sizes)
     best = sizes.index(least)
     weights = [math.exp(-(s - least) * 8 / math.sqrt(len(data))) for s in sizes]
