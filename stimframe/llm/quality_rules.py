@@ -10,16 +10,21 @@ from stimframe.session import materialise
 
 #: What counts as a symbol.
 SYMBOLS = "#*$%&|<>"
-ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "depleted", "kept")
-_OWN = ("__t", "__w", "__b", "__lines", "__tri", "__pos", "__host", "__content", "__hit")
+ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_lines", "base_failed", "depleted", "kept")
+_OWN = ("__t", "__w", "__b", "__lines", "__tri", "__same", "__pos", "__host", "__content", "__hit", "__dry")
+#: A line is counted in so many parts, so that one that is in every document doesn't meet in one task.
+SALTS = 32
 
 
 def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words; each row by itself, with no shuffle.
 
     For n_repeat_words, each three-word window is packed as one long, its hash above its position, so that a sort of longs
-    puts equal windows side by side; the words themselves are compared wherever two hashes meet. The positions of windows
+    puts equal windows side by side; the words themselves are compared wherever two hashes meet. Should they differ, the
+    windows of that text are sorted by their words instead. The positions of windows
     found twice, in order, cover min(3, distance to the next) words each.
+
+    A null text counts as empty, with zeros; repeated rows have equal counts; an empty table gives an empty result.
     """
     counted = (
         docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
@@ -27,22 +32,29 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
         .withColumn("n_words", F.size("__w").cast("long"))
         .withColumn("__b", F.length(F.bin("n_words")))
         .withColumn("__tri", F.expr("sort_array(transform(slice(__w, 1, cast(greatest(n_words - 2, 0) as int)), (x, i) -> shiftleft(xxhash64(x, get(__w, i + 1), get(__w, i + 2)), __b) | cast(i as bigint)))"))
-        .withColumn("__pos", F.expr(f"sort_array(transform(filter(__tri, (x, i) -> {_same('i - 1')} or {_same('i + 1')}), x -> cast(x & (shiftleft(1L, __b) - 1) as int)))"))
+        .withColumn("__same", F.expr(f"transform(__tri, (x, i) -> case when i = 0 or shiftrightunsigned(x, __b) <> shiftrightunsigned(get(__tri, i - 1), __b) then 0 when {_same_words('get(__tri, i - 1)')} then 1 else 2 end)"))
+        .withColumn("__pos", F.expr(f"sort_array(case when array_contains(__same, 2) then {_BY_WORDS} else transform(filter(__tri, (x, i) -> get(__same, i) = 1 or coalesce(get(__same, i + 1) = 1, false)), x -> cast(x & (shiftleft(1L, __b) - 1) as int)) end)"))
         .withColumn("n_repeat_words", F.expr("aggregate(transform(__pos, (p, i) -> least(3, coalesce(get(__pos, i + 1) - p, 3))), 0L, (a, x) -> a + x)"))
         .withColumn("word_chars", F.length(F.translate("__t", SPACE, "")).cast("long"))
         .withColumn("n_symbols", (F.length("__t") - F.length(F.translate("__t", SYMBOLS, ""))).cast("long"))
         .withColumn("__lines", F.filter(F.split("__t", "\n", -1), lambda x: F.length(F.btrim(x, F.lit(SPACE))) > 0))
         .withColumn("n_dup_lines", (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"))
-        .drop("__t", "__w", "__b", "__tri", "__pos", "__lines")
+        .drop("__t", "__w", "__b", "__tri", "__same", "__pos", "__lines")
     )
     return fenced(counted, ADDED[:5])
 
 
-def _same(at: str) -> str:
-    """Whether x and the element of __tri at that index are the same window."""
-    y, mask = f"get(__tri, {at})", "(shiftleft(1L, __b) - 1)"
-    same_words = " and ".join(f"get(__w, cast(x & {mask} as int) + {k}) = get(__w, cast({y} & {mask} as int) + {k})" for k in range(3))
-    return f"coalesce(shiftrightunsigned(x, __b) = shiftrightunsigned({y}, __b) and {same_words}, false)"
+def _same_words(y: str) -> str:
+    """Whether the windows x and y of a text have the same words."""
+    mask = "(shiftleft(1L, __b) - 1)"
+    return " and ".join(f"get(__w, cast(x & {mask} as int) + {k}) = get(__w, cast({y} & {mask} as int) + {k})" for k in range(3))
+
+
+#: Positions of the windows found twice, from the words themselves; words hold no blank.
+_BY_WORDS = (
+    "transform(array(sort_array(transform(slice(__w, 1, cast(greatest(n_words - 2, 0) as int)), (x, i) -> struct(concat_ws(' ', x, get(__w, i + 1), get(__w, i + 2)) as t, i as i)))),"
+    " z -> transform(filter(z, (s, i) -> coalesce(s.t = get(z, i - 1).t, false) or coalesce(s.t = get(z, i + 1).t, false)), s -> s.i))[0]"
+)
 
 
 def _content(docs: DataFrame, text_col: str, host_col: str) -> DataFrame:
@@ -54,69 +66,95 @@ def _normal(line):
     return F.lower(F.btrim(line, F.lit(SPACE)))
 
 
-def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 20, share: float = 0.01) -> DataFrame:
+def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 5, share: float = 0.01) -> DataFrame:
     """The lines of each document (a host's distinct text) that stand in more of its host's documents than the limit.
 
     A line is hashed in lower case without outer white space. The limit is the larger of `at_least` documents and
-    `share` of the host's documents. Returns __host, __content, line (hash), chars (of the line), total (of all distinct
-    lines of the document). The first exchange deals by (host, line, document), so no line and no host makes a large
-    group; counts are then summed partly before they move.
+    `share` of the host's documents. Returns __host, __content, line (hash), chars and words (of the line), total and total_words (of all
+    distinct lines of the document). Texts are cut into lines once, and the lines are written; the first exchange deals by (host,
+    line, document), so no line and no host makes a large group; counts are summed partly before they move, and lines meet their
+    counts in SALTS parts, if those counts are too many to broadcast.
+
+    Null and empty texts have no lines; a null host shares one with the empty name; copies of a text on one host and lines
+    repeated in a text count once; an empty table gives an empty result.
     """
     rows = _content(docs, text_col, host_col)
     lines = (
         rows.select("__host", "__content", F.array_distinct(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), _normal), lambda x: x != "")).alias("__lines"))
         .withColumn("total", F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
-        .select("__host", "__content", "total", F.explode("__lines").alias("__line"))
+        .withColumn("total_words", F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + F.size(words(x))))
+        .select("__host", "__content", "total", "total_words", F.explode("__lines").alias("__line"))
         .groupBy("__host", F.xxhash64("__line").alias("line"), "__content")
-        .agg(F.max(F.length("__line")).alias("chars"), F.max("total").alias("total"))
+        .agg(F.max(F.length("__line")).alias("chars"), F.max(F.size(words(F.col("__line")))).alias("words"), F.max("total").alias("total"), F.max("total_words").alias("total_words"))
     )
+    lines = materialise(lines, "lines")
     hosts = rows.select("__host", "__content").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("__docs"))
     often = (
         lines.groupBy("__host", "line").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > at_least)
-        .join(hosts, "__host").where(F.col("__n") > share * F.col("__docs")).select("__host", "line")
+        .join(hosts, "__host").where(F.col("__n") > share * F.col("__docs")).select("__host", "line", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
     )
-    return lines.join(often, ["__host", "line"])
+    often = materialise(often, "often")  # its size is then known: Spark broadcasts it only if that is small
+    return lines.withColumn("__salt", F.pmod("__content", F.lit(SALTS)).cast("int")).join(often, ["__host", "line", "__salt"]).drop("__salt")
+
+
+def _hits(lines: DataFrame, min_left: float, min_words: int, listed: bool) -> DataFrame:
+    """Of each document with frequent lines: how many, whether it is depleted, and (listed) which, in the shared folder."""
+    found = [F.count(F.lit(1)).alias("n_frequent_lines"), F.sum("chars").alias("__gone"), F.sum("words").alias("__fewer"), F.max("total").alias("total"), F.max("total_words").alias("total_words")]
+    dry = (F.col("total") - F.col("__gone") < min_left * F.col("total")) | (F.col("total_words") - F.col("__fewer") < min_words)
+    hits = lines.groupBy("__host", "__content").agg(*found, *([F.collect_set("line").alias("__hit")] if listed else []))
+    return materialise(hits.select("__host", "__content", "n_frequent_lines", dry.alias("__dry"), *(["__hit"] if listed else [])), "hits")
+
+
+def _stripped(text_col: str):
+    kept = F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("__hit", F.xxhash64(_normal(x))))
+    return F.when(F.col("__hit").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
 
 
-def strip_frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 20, share: float = 0.01, counted: DataFrame | None = None) -> DataFrame:
-    """docs with the lines above the limits removed from the text; null texts stay null. counted: the documents in which lines are counted, if others too."""
+def strip_frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 5, share: float = 0.01, counted: DataFrame | None = None) -> DataFrame:
+    """docs with the lines above the limits of frequent_lines() removed from the text. counted: the documents in which lines are counted, if others too.
+
+    Null texts stay null; repeated rows lose the same lines; an empty table gives an empty result; other columns stay as they are.
+    """
     rows = _content(without(docs, _OWN), text_col, host_col)
     bad = frequent_lines(docs if counted is None else counted, text_col, host_col, at_least, share).groupBy("__host", "__content").agg(F.collect_set("line").alias("__hit"))
-    bad = materialise(bad, "frequent")  # written first, as in quality_rules()
-    left = F.when(F.col("__hit").isNull(), F.col(text_col)).otherwise(
-        F.array_join(F.filter(F.split(F.col(text_col), "\n", -1), lambda x: ~F.array_contains("__hit", F.xxhash64(_normal(x)))), "\n")
-    )
-    return rows.join(bad, ["__host", "__content"], "left").withColumn(text_col, left).select(*[f"`{c}`" for c in without(docs, _OWN).columns])
+    bad = materialise(bad, "frequent")
+    return rows.join(bad, ["__host", "__content"], "left").withColumn(text_col, _stripped(text_col)).select(*[f"`{c}`" for c in without(docs, _OWN).columns])
 
 
-def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 20, share: float = 0.01, min_left: float = 0.3, min_words: int = 50, max_repeat_pct: int = 50) -> DataFrame:
-    """docs with the counts of text_counts(), base_failed, depleted and kept.
+def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 5, share: float = 0.01, min_left: float = 0.3, min_words: int = 50, max_repeat_pct: int = 50, listed: bool = False) -> DataFrame:
+    """docs with the counts of text_counts(), n_frequent_lines, base_failed, depleted and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_pct per cent of the words in repeated windows.
-    depleted: without the lines above the limits of frequent_lines(), less than `min_left` of the characters of the
-    document's distinct lines would be left. kept: neither. Null text counts as empty and fails; a null host is a host of
-    its own, shared with the empty name. Repeated rows are judged alike. Columns with an added name are replaced.
+    depleted: the document has lines above the limits of frequent_lines(), and its other lines (each counted once) have
+    fewer than min_words words, or less than `min_left` of the characters. kept: neither. Null text counts as empty and fails; a null
+    host is a host of its own, shared with the empty name. Repeated rows are judged alike; an empty table gives an empty result. Columns with an added name are
+    replaced. With listed, __hit has the hashes of the frequent lines of each document.
     """
     rows = without(docs, [*ADDED, *_OWN])
-    hits = (
-        frequent_lines(rows, text_col, host_col, at_least, share)
-        .groupBy("__host", "__content").agg(F.sum("chars").alias("__gone"), F.max("total").alias("total"))
-        .where(F.col("total") - F.col("__gone") < min_left * F.col("total"))
-        .select("__host", "__content", F.lit(True).alias("depleted"))
-    )
-    # Written first: its size is then known, and Spark broadcasts it only if that is small.
-    hits = materialise(hits, "depleted")
+    hits = _hits(frequent_lines(rows, text_col, host_col, at_least, share), min_left, min_words, listed)
     return (
         text_counts(_content(rows, text_col, host_col).join(hits, ["__host", "__content"], "left"), text_col)
-        .withColumn("depleted", F.coalesce("depleted", F.lit(False)))
+        .withColumn("depleted", F.coalesce("__dry", F.lit(False)))
+        .withColumn("n_frequent_lines", F.coalesce("n_frequent_lines", F.lit(0).cast("long")))
         .withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-        .drop("__host", "__content")
+        .drop("__host", "__content", "__dry")
     )
 
 
-def drop_poor_documents(docs: DataFrame, **rules) -> DataFrame:
+def drop_poor_documents(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
     """The documents that quality_rules() keeps, with the columns of docs."""
+    return _kept(docs, False, text_col, rules)
+
+
+def clean_documents(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
+    """The documents that quality_rules() keeps, without their frequent lines, counted before any document went; the columns of docs."""
+    return _kept(docs, True, text_col, rules)
+
+
+def _kept(docs: DataFrame, strip: bool, text_col: str, rules: dict) -> DataFrame:
     aside = {c: f"__own_{c}" for c in docs.columns if c.lower() in ADDED}
-    judged = quality_rules(docs.withColumnsRenamed(aside), **rules).where("kept").drop(*ADDED)
+    judged = quality_rules(docs.withColumnsRenamed(aside), text_col, listed=strip, **rules).where("kept").drop(*ADDED)
+    if strip:
+        judged = judged.withColumn(text_col, _stripped(text_col))
     return judged.withColumnsRenamed({v: k for k, v in aside.items()}).select(*[f"`{c}`" for c in docs.columns])
