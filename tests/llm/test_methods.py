@@ -161,3 +161,135 @@ def test_html_of_an_empty_table_and_of_repeated_rows(spark):
     df = spark.createDataFrame([(1, plain_page()[0], "mine")] * 3, "page_id long, html string, n_chars string")
     assert {(r.text, r.n_chars) for r in html_text.extract_text(df).collect()} == {(plain_page()[1], len(plain_page()[1]))}
     assert html_text.extract_text(df.where("page_id > 1")).count() == 0
+
+
+def test_quality_windows_by_words(spark):
+    """The way taken where two windows of a text share a hash."""
+    from stimframe.llm import quality_rules
+    from stimframe.llm.common import words
+
+    g = random.Random(9)
+    texts = [" ".join(g.choices("abcd", k=g.randint(0, 30))) for _ in range(300)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").withColumn("__w", words(F.col("text"))).withColumn("n_words", F.size("__w").cast("long"))
+    for r in df.withColumn("at", F.expr(quality_rules._BY_WORDS)).collect():
+        w, at = r.text.split(), sorted(r.at)
+        assert sum(min(3, b - a) for a, b in zip(at, [*at[1:], math.inf])) == brute.quality(r.text)[4], w
+
+
+def test_documents_without_words_of_their_own_are_depleted(spark):
+    from stimframe.llm.quality_rules import clean_documents, quality_rules
+
+    line, own = " ".join(f"common{i}" for i in range(20)), lambda i, n: " ".join(f"u{i}x{k}" for k in range(n))
+    rows = [(i, f"{line}\n{own(i, 60 if i % 2 else 45)}", "h", "mine") for i in range(20)] + [(20, None, None, "mine"), (21, own(21, 55), None, "mine")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, kept string")
+    judged = {r.doc_id: r for r in quality_rules(df).collect()}
+    assert all((r.n_frequent_lines, r.depleted, r.kept) == (1, i % 2 == 0, i % 2 == 1) for i, r in judged.items() if i < 20)
+    assert (judged[21].n_frequent_lines, judged[21].kept, judged[20].kept) == (0, True, False)
+    left = clean_documents(df)
+    assert left.columns == df.columns and {r.doc_id: (r.text, r.kept) for r in left.collect()} == {i: (own(i, 60 if i < 20 else 55), "mine") for i in (*range(1, 20, 2), 21)}
+    assert clean_documents(df.where("doc_id > 99")).count() == 0
+
+
+def test_mix_of_blocks_is_that_of_a_plain_version(spark):
+    """Which rows are in the last epoch: those of the lowest places that fit, by a plain sum; with the plan broadcast and joined."""
+    from stimframe.llm import mixing
+
+    g = random.Random(10)
+    rows = [(k, f"s{min(k % 7, 3)}", " ".join("w" * g.randint(1, 5) for _ in range(g.randint(0, 400)))) for k in range(1500)] + [(9999, "tied", "same row here")] * 41
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(3)
+    totals = {}
+    for _, source, text in rows:
+        totals[source] = totals.get(source, 0) + max(1, len(text.split()))
+    shares = {s.source: s for s in mixing.plan_mix(totals, 1.7)}
+    keyed = df.select("doc_id", F.col("source").alias("__source"), F.xxhash64(F.lit(20), "doc_id", "text").alias("__k"), F.greatest(F.lit(1), F.size(F.split(F.trim("text"), " +"))).alias("n"), (F.length("text") == 0).alias("none"))
+    plan = spark.createDataFrame([(s.source, s.blocks, math.floor(s.repeats)) for s in shares.values()], "__source string, __blocks long, __whole int")
+    placed = keyed.join(plan, "__source").withColumn("place", mixing._place(20)).collect()
+    want = Counter()
+    for s in shares.values():
+        left = (s.repeats - math.floor(s.repeats)) * s.tokens
+        for r in sorted((r for r in placed if r["__source"] == s.source), key=lambda r: r.place):
+            left -= 1 if r.none else r.n
+            if left < 0:
+                break
+            want[r.doc_id] += 1
+    for few in (100_000, 1):
+        mixing.FEW_SOURCES, was = few, mixing.FEW_SOURCES
+        try:
+            got = Counter(r.doc_id for r in mixing.mix_sources(df, max_repeat=1.7).collect() if r.mix_epoch == math.floor(shares[r.source].repeats))
+        finally:
+            mixing.FEW_SOURCES = was
+        assert got == want and got[9999] == 28
+
+
+def test_mix_targets_that_cannot_be_met(spark):
+    from stimframe.llm import mixing
+
+    df = spark.createDataFrame([(k, f"s{k % 2}", "a b c") for k in range(10)], "doc_id long, source string, text string")
+    for wanted in ({"max_repeat": 2.0, "budget_tokens": 150.0}, {"entropy": 5.0}):
+        with pytest.raises(ValueError):
+            mixing.mix_sources(df, **wanted)
+    assert mixing.mix_sources(df, entropy=1.0).count() == 10
+    with pytest.raises(ValueError):
+        mixing.bisect_exponent([0.6, 0.4], entropy=5.0)
+
+
+def test_dropping_exact_copies_of_groups_over_many_partitions(spark):
+    from stimframe.llm.exact_dedup import drop_exact_duplicates
+
+    df = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 < 2, "Same").otherwise(F.concat(F.lit("same"), F.floor(F.col("id") / 7))).alias("text"))
+    want = {}
+    for r in df.collect():
+        want.setdefault(r.text.lower(), []).append(r.doc_id)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for keep, of in (("largest", max), ("smallest", min)):
+            assert {r.text.lower(): r.doc_id for r in drop_exact_duplicates(df, keep=keep).collect()} == {t: of(ids) for t, ids in want.items()}
+            assert drop_exact_duplicates(df, keep=keep).count() == len(want)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_language_learns_from_whole_texts(spark):
+    from stimframe.llm import language_id
+
+    rows = [("start " + "x" * 5000 + " ending", "en"), ("y" * 200_000, "en"), ("z" * 300_000, "fr"), ("v" * 200_000, "fr"), (None, "en"), ("only", None)]
+    df = spark.createDataFrame(rows + rows, "text string, lang string")
+    learned = language_id.learn_dictionaries(df)
+    assert b"ending" in learned["en"] and b"y" not in learned["en"] and learned["fr"].strip() == b"v" * 200_000
+    again = language_id.identify(df, learned).collect()
+    assert len({(r.lang_pred, r.score) for r in again if r.text == "only"}) == 1
+    assert [r.lang_pred for r in language_id.identify(spark.createDataFrame([("only",)], "text string"), {"de": b"abc", "en": b"abc"}).collect()] == ["de"]
+
+
+def test_toxicity_of_repeated_rows_and_ties(spark):
+    from stimframe.llm import toxicity
+
+    docs = spark.createDataFrame([(k, "vile words here" if k % 2 else "kind words here") for k in range(200)] + [(1, "vile words here")] * 3, "doc_id long, text string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(200)] * 2 + [(300, None)], "doc_id long, toxic int")
+    scored = toxicity.score_toxicity(docs, toxicity.fit_toxicity(docs, labels)).collect()
+    assert len(scored) == 203 and len({(r.text, r.score) for r in scored}) == 2 and all(r.predicted == ("vile" in r.text) for r in scored)
+
+
+def test_pieces_of_empty_tables_and_clashing_names(spark):
+    from stimframe.llm import sentencepiece_codec
+    from stimframe.llm.queries import MODEL
+
+    df = spark.createDataFrame([(1, "Some text", "mine"), (2, None, "mine"), (1, "Some text", "mine")], "doc_id long, text string, decoded string")
+    back = sentencepiece_codec.decode(sentencepiece_codec.encode(df, MODEL), MODEL)
+    assert sorted((r.doc_id, r.decoded) for r in back.collect()) == [(1, "Some text"), (1, "Some text"), (2, "")]
+    assert sentencepiece_codec.decode(sentencepiece_codec.encode(df.where("doc_id > 5"), MODEL), MODEL).count() == 0
+    assert sentencepiece_codec.decode(spark.createDataFrame([(None,)], "ids array<int>"), MODEL).first().decoded is None
+
+
+def test_stages_of_awkward_tables(spark):
+    """Nulls in every column, copies, clashing names and an empty table go through every stage of the pipeline."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(80))
+    rows = [(1, text, "en", "s", 1, "mine"), (1, text, "en", "s", 1, "mine"), (2, text.upper(), None, None, None, None), (None, text + " more", "en", "s", 1, "mine"), (4, None, None, None, None, None), (5, "", "en", "s", 0, "")]
+    for df in (spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string"), spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long, kept string")):
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = materialise(stage(spark, df, DIR), "stage")
+            assert set(df.columns) <= set(out.columns), name
+            df = out
+        assert len({r.text for r in df.collect()}) <= 1
