@@ -11,7 +11,7 @@ from stimframe.session import materialise
 #: What counts as a symbol.
 SYMBOLS = "#*$%&|<>"
 ADDED = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_frequent_lines", "base_failed", "depleted", "kept")
-_OWN = ("__t", "__w", "__b", "__lines", "__tri", "__same", "__pos", "__host", "__content", "__hit", "__dry")
+_OWN = ("__t", "__w", "__b", "__lines", "__tri", "__same", "__pos", "__host", "__content", "__hit", "__dry", "__fewer", "__salt")
 #: A line is counted in so many parts, so that one that is in every document doesn't meet in one task.
 SALTS = 32
 
@@ -66,12 +66,17 @@ def _normal(line):
     return F.lower(F.btrim(line, F.lit(SPACE)))
 
 
+def _n_words(line):
+    """How many words a line has, without a pattern."""
+    return F.size(F.array_remove(F.split(F.translate(line, SPACE, " " * len(SPACE)), " "), ""))
+
+
 def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "source", at_least: int = 5, share: float = 0.01) -> DataFrame:
     """The lines of each document (a host's distinct text) that stand in more of its host's documents than the limit.
 
     A line is hashed in lower case without outer white space. The limit is the larger of `at_least` documents and
-    `share` of the host's documents. Returns __host, __content, line (hash), chars and words (of the line), total and total_words (of all
-    distinct lines of the document). Texts are cut into lines once, and the lines are written; the first exchange deals by (host,
+    `share` of the host's documents. Returns __host, __content, line (hash), chars and words (of the line), total (characters of
+    all distinct lines of the document). Texts are cut into lines once, and the lines are written; the first exchange deals by (host,
     line, document), so no line and no host makes a large group; counts are summed partly before they move, and lines meet their
     counts in SALTS parts, if those counts are too many to broadcast.
 
@@ -82,10 +87,9 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     lines = (
         rows.select("__host", "__content", F.array_distinct(F.filter(F.transform(F.split(F.col(text_col), "\n", -1), _normal), lambda x: x != "")).alias("__lines"))
         .withColumn("total", F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + F.length(x)))
-        .withColumn("total_words", F.aggregate("__lines", F.lit(0).cast("long"), lambda a, x: a + F.size(words(x))))
-        .select("__host", "__content", "total", "total_words", F.explode("__lines").alias("__line"))
+        .select("__host", "__content", "total", F.explode("__lines").alias("__line"))
         .groupBy("__host", F.xxhash64("__line").alias("line"), "__content")
-        .agg(F.max(F.length("__line")).alias("chars"), F.max(F.size(words(F.col("__line")))).alias("words"), F.max("total").alias("total"), F.max("total_words").alias("total_words"))
+        .agg(F.max(F.length("__line")).alias("chars"), F.max(_n_words(F.col("__line"))).alias("words"), F.max("total").alias("total"))
     )
     lines = materialise(lines, "lines")
     hosts = rows.select("__host", "__content").distinct().groupBy("__host").agg(F.count(F.lit(1)).alias("__docs"))
@@ -97,12 +101,10 @@ def frequent_lines(docs: DataFrame, text_col: str = "text", host_col: str = "sou
     return lines.withColumn("__salt", F.pmod("__content", F.lit(SALTS)).cast("int")).join(often, ["__host", "line", "__salt"]).drop("__salt")
 
 
-def _hits(lines: DataFrame, min_left: float, min_words: int, listed: bool) -> DataFrame:
-    """Of each document with frequent lines: how many, whether it is depleted, and (listed) which, in the shared folder."""
-    found = [F.count(F.lit(1)).alias("n_frequent_lines"), F.sum("chars").alias("__gone"), F.sum("words").alias("__fewer"), F.max("total").alias("total"), F.max("total_words").alias("total_words")]
-    dry = (F.col("total") - F.col("__gone") < min_left * F.col("total")) | (F.col("total_words") - F.col("__fewer") < min_words)
-    hits = lines.groupBy("__host", "__content").agg(*found, *([F.collect_set("line").alias("__hit")] if listed else []))
-    return materialise(hits.select("__host", "__content", "n_frequent_lines", dry.alias("__dry"), *(["__hit"] if listed else [])), "hits")
+def _hits(lines: DataFrame, min_left: float, listed: bool) -> DataFrame:
+    """Of each document with frequent lines: how many, their words, whether too little of its text is left without them, and (listed) which."""
+    found = [F.count(F.lit(1)).alias("n_frequent_lines"), F.sum("words").alias("__fewer"), (F.max("total") - F.sum("chars") < min_left * F.max("total")).alias("__dry")]
+    return materialise(lines.groupBy("__host", "__content").agg(*found, *([F.collect_set("line").alias("__hit")] if listed else [])), "hits")
 
 
 def _stripped(text_col: str):
@@ -125,20 +127,21 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
     """docs with the counts of text_counts(), n_frequent_lines, base_failed, depleted and kept.
 
     base_failed: fewer than min_words words, or more than max_repeat_pct per cent of the words in repeated windows.
-    depleted: the document has lines above the limits of frequent_lines(), and its other lines (each counted once) have
-    fewer than min_words words, or less than `min_left` of the characters. kept: neither. Null text counts as empty and fails; a null
+    depleted: the document has lines above the limits of frequent_lines(), and less their words (of each once) it has
+    fewer than min_words, or its other lines have less than `min_left` of the characters of its distinct lines. kept: neither. Null text counts as empty and fails; a null
     host is a host of its own, shared with the empty name. Repeated rows are judged alike; an empty table gives an empty result. Columns with an added name are
     replaced. With listed, __hit has the hashes of the frequent lines of each document.
     """
     rows = without(docs, [*ADDED, *_OWN])
-    hits = _hits(frequent_lines(rows, text_col, host_col, at_least, share), min_left, min_words, listed)
+    hits = _hits(frequent_lines(rows, text_col, host_col, at_least, share), min_left, listed)
+    # Counted before the join, so that texts move only if they are wanted.
     return (
-        text_counts(_content(rows, text_col, host_col).join(hits, ["__host", "__content"], "left"), text_col)
-        .withColumn("depleted", F.coalesce("__dry", F.lit(False)))
+        text_counts(_content(rows, text_col, host_col), text_col).join(hits, ["__host", "__content"], "left")
+        .withColumn("depleted", F.coalesce(F.col("__dry") | (F.col("n_words") - F.col("__fewer") < min_words), F.lit(False)))
         .withColumn("n_frequent_lines", F.coalesce("n_frequent_lines", F.lit(0).cast("long")))
         .withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n_words")))
         .withColumn("kept", ~F.col("base_failed") & ~F.col("depleted"))
-        .drop("__host", "__content", "__dry")
+        .drop("__host", "__content", "__dry", "__fewer")
     )
 
 

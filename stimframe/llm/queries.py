@@ -105,12 +105,12 @@ def oracle_sql() -> dict[str, str]:
             x AS (SELECT DISTINCT host, t, lower(trim(line, E' \t\n\x0b\f\r')) AS line FROM (SELECT host, t, unnest(string_split(t, chr(10))) AS line FROM d) WHERE trim(line, E' \t\n\x0b\f\r') <> ''),
             f AS (SELECT host, line FROM (SELECT host, line, count(*) AS n FROM x GROUP BY ALL) JOIN (SELECT host, count(DISTINCT t) AS docs FROM d GROUP BY host) USING (host) WHERE n > 5 AND n > 0.01 * docs),
             z AS (SELECT x.host, t, sum(length(x.line)) AS total, sum(CASE WHEN f.line IS NULL THEN length(x.line) ELSE 0 END) AS own,
-                    sum(CASE WHEN f.line IS NULL THEN len(regexp_extract_all(x.line, '[^\x20\x09-\x0D]+')) ELSE 0 END) AS own_words, count(f.line) AS n_frequent_lines
+                    sum(CASE WHEN f.line IS NOT NULL THEN len(regexp_extract_all(x.line, '[^\x20\x09-\x0D]+')) ELSE 0 END) AS fewer, count(f.line) AS n_frequent_lines
                   FROM x LEFT JOIN f ON x.host = f.host AND x.line = f.line GROUP BY ALL),
             c AS (SELECT doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
                     (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
                     (len(list_filter(string_split(t, chr(10)), lambda l: trim(l, E' \t\n\x0b\f\r') <> '')) - len(list_distinct(list_filter(string_split(t, chr(10)), lambda l: trim(l, E' \t\n\x0b\f\r') <> ''))))::BIGINT AS n_dup_lines,
-                    coalesce(r.n, 0) AS n_repeat_words, coalesce(n_frequent_lines, 0) AS n_frequent_lines, coalesce(n_frequent_lines > 0 AND (own < 0.3 * total OR own_words < 50), false) AS depleted
+                    coalesce(r.n, 0) AS n_repeat_words, coalesce(n_frequent_lines, 0) AS n_frequent_lines, coalesce(n_frequent_lines > 0 AND (own < 0.3 * total OR len(w) - fewer < 50), false) AS depleted
                   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN z USING (host, t))
             SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR depleted) AS kept FROM c""",
     }
