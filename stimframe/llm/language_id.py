@@ -15,6 +15,8 @@ from stimframe.llm.common import without
 
 #: A language is learned from a sample: the first SAMPLE_DOCS distinct training texts by their hash, of which whole texts of DICT_CHARS characters together at most are taken.
 DICT_CHARS, SAMPLE_DOCS = 1 << 17, 128
+#: Hashes are ranked in so many parts of a language first.
+PARTS = 64
 #: How hard zstandard looks for matches, for texts of every size.
 LEVEL = 9
 #: Texts are compressed in blocks of so many bytes, each against the dictionary alone: a long text does not come to predict itself.
@@ -34,7 +36,10 @@ def learn_dictionaries(train: DataFrame, text_col: str = "text", lang_col: str =
     shortest is taken. Only those texts come to the driver. The languages come by their number of texts, most first; an empty table gives none.
     """
     texts = train.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).withColumn("h", F.xxhash64("text"))
-    ranks = texts.select("lang", "h", F.length("text").alias("size")).distinct().withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "size"))).where(F.col("r") <= SAMPLE_DOCS)
+    every = texts.select("lang", "h", F.length("text").alias("size")).distinct()
+    for keys in (["lang", F.pmod("h", F.lit(PARTS))], ["lang"]):  # first within parts of a language, so that few of its rows meet
+        every = every.withColumn("r", F.row_number().over(Window.partitionBy(*keys).orderBy("h", "size"))).where(F.col("r") <= SAMPLE_DOCS)
+    ranks = every
     taken: dict[str, list[tuple[int, int, int]]] = {}
     sample: dict[str, list[tuple[int, int, int]]] = {}
     for row in ranks.orderBy("lang", "r").collect():
