@@ -21,6 +21,8 @@ REGISTERS = ROUNDS * BUCKETS
 EMPTY = 0xFFFF
 #: Fixed value, from the paper on HyperMinHash: chance of a collision of registers of r mantissa bits is this * 2**-r at equal sizes.
 COLLISION = 0.169919487159739093975315012348
+#: A large component's texts meet its smallest id in so many parts.
+SALTS = 32
 #: Members of a bucket that are compared with each other in one block.
 BLOCK = 384
 ADDED = ("n_shingles", "component_id", "kept")
@@ -181,7 +183,7 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     Documents whose sets of shingles have 100 * intersection >= percent * union are linked; component_id is the smallest id
     that a document is connected with, kept is whether it is that document. In steps:
 
-    1. Equal texts are one node (its hash of 64 bits). A node's sketch has REGISTERS registers of 16 bits.
+    1. Equal texts are one node: a hash of 64 bits, or where two texts share it, one made of two such hashes. A node's sketch has REGISTERS registers of 16 bits.
     2. Bands of ROWS registers give buckets, 32 for each node; at a similarity of 0.75 two nodes share none with a chance
        of 5e-6, less for higher ones. Compressed registers only ever add candidates.
     3. Each bucket has a centre, the first of its nodes in one order for all buckets. Every node is paired with the first of
@@ -194,25 +196,42 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
        never its pairs. With these the components are final.
 
     Null or empty texts have no shingles and are linked with nothing. Repeated rows, of one id and text, have the same result.
-    A null id takes part in links, but names a component (as null) only if no member has an id. Columns with an added
+    A null id takes part in links, but names a component (as null) only if no member has an id, and is kept then. Columns with an added
     name are replaced; an empty table gives an empty result.
     """
-    return _judged(docs, text_col, id_col, words, percent, carry).drop("__node")
+    return _judged(docs, text_col, id_col, words, percent, carry).drop("__node", "__one")
 
 
 def drop_near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 75) -> DataFrame:
-    """docs with one document of each group of near-duplicates, the one with the smallest id; the columns of docs."""
-    gone = _judged(docs, text_col, id_col, words, percent, [id_col]).where("not kept").select("__node", F.col(id_col).alias("__gone")).distinct()
-    node = F.xxhash64(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))))
+    """docs with one document of each group of near-duplicates, the one with the smallest id; the columns of docs.
+
+    Where rows of a group share that id, those of one text stay. Rows without shingles stay. An empty table gives an empty result.
+    """
+    aside = {c: f"__own_{c}" for c in docs.columns if c.lower() in (*ADDED, "__node", "__one")}
+    rows = docs.withColumnsRenamed(aside)
+    judged = _judged(rows, text_col, id_col, words, percent, [id_col])
+    gone = judged.where("not __one").select("__node", F.col(id_col).alias("__gone")).distinct()
     gone = materialise(gone, "gone")  # its size is then known before the texts move
-    return docs.join(gone, (node == F.col("__node")) & F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    keyed = _nodes(rows, text_col)
+    left = keyed.join(gone.withColumnRenamed("__node", "__n"), (F.col("__node") == F.col("__n")) & F.col(id_col).eqNullSafe(F.col("__gone")), "left_anti")
+    return left.drop("__node").withColumnsRenamed({v: k for k, v in aside.items()}).select(*[f"`{c}`" for c in docs.columns])
+
+
+def _nodes(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows with __node, a number for each distinct text (A-Z lower-cased): a hash of 64 bits, unless two texts have the same."""
+    text = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
+    hashes = rows.select(F.xxhash64(text).alias("__node"), F.xxhash64(F.lit(1), text).alias("__other"))
+    shared = hashes.groupBy("__node").agg(F.min("__other").alias("a"), F.max("__other").alias("b")).where("a <> b").select("__node", F.lit(True).alias("__shared"))
+    shared = materialise(shared, "shared-hashes")  # next to none, and its size is known
+    keyed = rows.withColumns({"__node": F.xxhash64(text), "__other": F.xxhash64(F.lit(1), text)}).join(shared, "__node", "left")
+    return keyed.withColumn("__node", F.when(F.col("__shared"), F.xxhash64("__node", "__other")).otherwise(F.col("__node"))).drop("__other", "__shared")
 
 
 def _judged(docs: DataFrame, text_col: str, id_col: str, words: int, percent: int, carry: list[str] | None) -> DataFrame:
-    """What near_duplicates() returns, and __node."""
-    rows = without(docs, [*ADDED, "__node", "__comp"])
+    """What near_duplicates() returns, and __node, and in __one whether the row stays if one document of each group does."""
+    rows = without(docs, [*ADDED, "__node", "__one", "__first", "__other", "__shared"])
     names = carry or rows.columns
-    keyed = rows.withColumn("__node", F.xxhash64(lower_ascii(F.coalesce(F.col(text_col), F.lit("")))))
+    keyed = _nodes(rows, text_col)
     texts = keyed.select(F.col("__node").alias("node"), F.col(text_col).cast("binary").alias("text"))
     sketches = materialise(texts.mapInArrow(_sketch(words), "node long, n long, regs binary").dropDuplicates(["node"]), "sketches")
 
@@ -264,18 +283,19 @@ def _judged(docs: DataFrame, text_col: str, id_col: str, words: int, percent: in
     if not more.isEmpty():
         labels = components(links.unionByName(more))
 
-    sized = sketches.select(F.col("node").alias("__node"), F.col("n").alias("n_shingles"))
-    found = (
-        keyed.select(*[f"`{n}`" for n in names], "__node").join(sized, "__node")
-        .join(labels.withColumnsRenamed({"node": "__node", "label": "__comp"}), "__node", "left")
-        .withColumn("__comp", F.coalesce("__comp", "__node"))
-    )
-    first = F.min(F.struct(F.col(id_col).isNull(), F.col(id_col).alias("id"), F.col("__node").alias("node"))).alias("__first")
-    least = found.where("n_shingles > 0").groupBy("__comp").agg(first)
+    # The smallest id of each text, of each component, and then that of the component for each of its texts; rows come last, by text alone.
+    rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__node").alias("node"))
+    own = keyed.groupBy("__node").agg(F.min(rank).alias("first")).join(sketches.select(F.col("node").alias("__node"), "n"), "__node")
+    linked = own.join(labels.withColumnRenamed("node", "__node"), "__node", "left")
+    salt = F.pmod(F.xxhash64("__node"), F.lit(SALTS)).cast("int").alias("__salt")
+    firsts = linked.where("label is not null").groupBy("label").agg(F.min("first").alias("__first")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    node = linked.select("__node", "n", "first", "label", salt).join(firsts, ["label", "__salt"], "left")
+    node = materialise(node.select("__node", F.col("n").alias("n_shingles"), F.coalesce("__first", "first").alias("__first")), "nodes")
     alone = F.col("n_shingles") == 0
+    same = F.col(id_col).eqNullSafe(F.col("__first.id"))
     return (
-        found.join(least, "__comp", "left")
+        keyed.select(*[f"`{n}`" for n in names], "__node").join(node, "__node")
         .withColumn("component_id", F.when(alone, F.col(id_col)).otherwise(F.col("__first.id")))
-        .withColumn("kept", alone | (F.col(id_col).eqNullSafe(F.col("__first.id")) & (F.col("__node") == F.col("__first.node"))))
-        .drop("__first", "__comp")
-    )
+        .withColumns({"kept": alone | same, "__one": alone | (same & (F.col("__node") == F.col("__first.node")))})
+        .drop("__first")
+    )
