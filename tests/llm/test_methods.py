@@ -293,3 +293,51 @@ def test_stages_of_awkward_tables(spark):
             assert set(df.columns) <= set(out.columns), name
             df = out
         assert len({r.text for r in df.collect()}) <= 1
+
+
+def near_classes(texts):
+    """Smallest index of each text's component, by counting the shingles that every two texts share."""
+    sets = [brute.shingles(t) for t in texts]
+    holders = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    shared = Counter((a, b) for own in holders.values() if len(own) > 1 for k, b in enumerate(own) for a in own[:k])
+    label = list(range(len(texts)))
+
+    def find(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 75 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = find(a), find(b)
+            label[max(x, y)] = min(x, y)
+    return [find(i) for i in range(len(texts))], sets
+
+
+def test_near_duplicates_of_the_whole_table_and_of_long_texts(spark):
+    from stimframe.llm.minhash_dedup import near_duplicates
+
+    g = random.Random(11)
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{DIR}/documents.parquet").orderBy("doc_id").collect()]
+    for k in range(4):  # long texts, near copies on either side of the limit
+        base = [f"w{g.randint(0, 9000)}" for _ in range(12_000)]
+        for j in range(3):
+            t = [w if g.random() > 0.015 * (j + 1) else f"n{g.randint(0, 9999)}" for w in base]
+            rows.append((10**6 + 10 * k + j, " ".join(t)))
+    classes, sets = near_classes([t for _, t in rows])
+    got = {r.doc_id: r for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    for (i, _), c, s in zip(rows, classes, sets):
+        assert (got[i].component_id, got[i].n_shingles, got[i].kept) == (rows[c][0] if s else i, len(s), not s or rows[c][0] == i)
+    assert sum(rows[c][0] != i for (i, _), c in zip(rows, classes)) > 30
+
+
+def test_texts_that_share_a_hash_are_different_nodes(spark, monkeypatch):
+    from stimframe.llm import minhash_dedup
+
+    whole = F.xxhash64
+    monkeypatch.setattr(minhash_dedup.F, "xxhash64", lambda *c: F.pmod(whole(*c), F.lit(3)) if len(c) == 1 and "translate" in str(c[0]) else whole(*c))
+    df = spark.createDataFrame([(k, f"text number {k % 20} of them") for k in range(40)], "doc_id long, text string")
+    assert minhash_dedup._nodes(df, "text").select("__node").distinct().count() == 20
