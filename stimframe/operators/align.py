@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stimframe.session import materialise
+
 
 def micros(ts: str) -> Column:
     """Microseconds since 1970 of a TIMESTAMP_NTZ column, whatever the session's time zone."""
@@ -78,6 +80,35 @@ def select_frames(df: DataFrame, key: str, order: list[str], n: int = 1, skip: i
 
 def row_offsets(df: DataFrame, key: str) -> DataFrame:
     """Row range [start, stop) of each stimulus in the concatenation by name."""
-    w = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)
-    n = df.groupBy(key).agg(F.count(F.lit(1)).alias("n"))  # a row for each stimulus: small before the window
-    return n.withColumn("stop", F.sum("n").over(w)).select(key, (F.col("stop") - F.col("n")).alias("start"), "stop")
+    n = materialise(df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).repartitionByRange(key).withColumn("__pid", F.spark_partition_id()), "offsets")
+    within = F.sum("n").over(Window.partitionBy("__pid").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
+    sums = n.groupBy("__pid").agg(F.sum("n").alias("__sum"))  # a row for each partition
+    before = sums.select("__pid", (F.sum("__sum").over(Window.orderBy("__pid")) - F.col("__sum")).alias("__before"))
+    stop = n.withColumn("__in", within).join(before, "__pid").withColumn("stop", F.col("__before") + F.col("__in"))
+    return stop.select(key, (F.col("stop") - F.col("n")).alias("start"), "stop")
+
+
+def times_join(features: DataFrame, targets: DataFrame, key: str = "stim", frame: str = "frame", times: tuple[str, ...] = ("t_start", "t_end")) -> DataFrame:
+    """Rows of both sides by stimulus and frame, with the times of the features.
+
+    Both must have the same frames at the same times: a frame of one side alone, or with other times, stops the job with the
+    stimulus in the message. The check is part of the join, in its one exchange.
+    """
+    named = {t: f"__{t}" for t in times}
+    both = features.withColumn("__a", F.lit(True)).join(targets.withColumnsRenamed(named).withColumn("__b", F.lit(True)), [key, frame], "full_outer")
+    good = F.col("__a").isNotNull() & F.col("__b").isNotNull()
+    for t, other in named.items():
+        good = good & F.col(t).eqNullSafe(F.col(other))
+    stop = F.raise_error(F.concat(F.lit("features and targets differ in frames or times: stimulus "), F.col(key).cast("string"), F.lit(", frame "), F.col(frame).cast("string")))
+    return both.where(F.when(good, F.lit(True)).otherwise(stop.cast("boolean"))).drop("__a", "__b", *named.values())
+
+
+def too_short(df: DataFrame, length: str, least: int) -> DataFrame:
+    """Stimuli whose length is under the least that a model takes; with require_length() such a stimulus stops the job."""
+    return df.where(F.col(length) < least)
+
+
+def require_length(df: DataFrame, length: str, least: int, key: str = "stim") -> DataFrame:
+    """df, unless a stimulus is shorter than the full context that is asked for."""
+    stop = F.raise_error(F.concat(F.lit(f"shorter than {least}: stimulus "), F.col(key).cast("string")))
+    return df.where(F.when(F.col(length) >= least, F.lit(True)).otherwise(stop.cast("boolean")))

@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stimframe.operators.rank import ranked
 
 #: Tokens that are noises or marks, not speech.
-NOISE = ("SP", "LG", "LS", "NS", "SIL", "CG", "BR", "BR ", "UH", "UM", "{NS}", "", "MM")
+NOISE = ("{IG}", "{CG}", "{NS}", "SP\x7f", "BR ", "BR", "LS", "NS", "SP", "BRLS", "AH0V", "", " ")
+#: The articulatory attributes of phones, in the order of their targets.
+ARTICULATIONS = (
+    "bilabial", "postalveolar", "alveolar", "dental", "labiodental", "velar", "glottal", "palatal", "plosive", "affricative", "fricative",
+    "nasal", "lateral", "approximant", "voiced", "unvoiced", "low", "mid", "high", "front", "central", "back",
+)
 
 
 def normalize_token(token: Column) -> Column:
@@ -36,7 +43,7 @@ def attributes_of(df: DataFrame, attributes: DataFrame, token: str) -> DataFrame
     return df.join(attributes.select(F.col("token").alias(token), "attrs"), token, "left").withColumn("attrs", F.coalesce("attrs", F.array(F.lit(""))))
 
 
-def multi_hot(attrs: Column, vocabulary: list[str]) -> Column:
+def multi_hot(attrs: Column, vocabulary: Sequence[str] = ARTICULATIONS) -> Column:
     return F.array(*[F.array_contains(attrs, v).cast("int") for v in vocabulary])
 
 
@@ -57,6 +64,11 @@ def name_key(path: Column) -> Column:
     return F.split_part(stem, F.lit("_"), F.lit(1))
 
 
+def path_part(path: Column, place: int) -> Column:
+    """The part of a path at a place, counted from 1, or from -1 at the end; NULL if it has fewer."""
+    return F.try_element_at(F.split(path, "/"), F.lit(place))
+
+
 def key_completeness(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """How many distinct keys both sides have, or one alone; a cache is usable if the last two are 0."""
     a, b = left.select(key).distinct().withColumn("__a", F.lit(1)), right.select(key).distinct().withColumn("__b", F.lit(1))

@@ -2,36 +2,52 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-def gram(df: DataFrame, features: str, targets: str | None = None, fold: str | None = None) -> dict[int, tuple[int, np.ndarray]]:
+#: More folds than a repeat has.
+FOLDS = 1000
+#: Products of vectors of so many dimensions are written out.
+UNROLLED = 16
+
+
+def gram(df: DataFrame, features: str, targets: str | None = None, fold: str | Sequence[str] | None = None) -> dict[int, tuple[int, np.ndarray]]:
     """Sums of products of the row (features, targets, 1), by fold: n and a matrix of (d + t + 1) squared.
 
-    Each task sums its own rows, so what moves is one matrix for each task and fold, whatever the number of rows.
+    Each task sums its own rows, so what moves is one matrix for each task and fold, whatever the number of rows. With several
+    fold columns, for repeated folds, all are summed in the same pass, under the numbers repeat * FOLDS + fold.
     """
+    folds = [fold] if isinstance(fold, str) else list(fold or [])
+
+    def matrix(col: pa.Array, n: int) -> np.ndarray:
+        return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
 
-    def partial(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
-        for p in parts:
-            if not len(p):
+        for b in batches:
+            if not b.num_rows:
                 continue
-            m = np.column_stack([np.array(p["x"].tolist(), float), *([np.array(p["y"].tolist(), float)] if targets else []), np.ones(len(p))])
-            for k in np.unique(p["fold"]):
-                part = m[(p["fold"] == k).to_numpy()]
-                total[k] = total.get(k, 0) + part.T @ part
+            m = np.column_stack([matrix(b.column("x"), b.num_rows), *([matrix(b.column("y"), b.num_rows)] if targets else []), np.ones(b.num_rows)])
+            for r, of in enumerate(matrix(b.column("folds"), b.num_rows).T.astype(int)):
+                for k in np.unique(of):
+                    part = m[of == k]
+                    total[r * FOLDS + k] = total.get(r * FOLDS + k, 0) + part.T @ part
         for k, g in total.items():
-            yield pd.DataFrame({"fold": [int(k)] * g.size, "at": np.arange(g.size), "v": g.ravel()})
+            yield pa.record_batch([pa.array(np.full(g.size, k), pa.int32()), pa.array(np.arange(g.size), pa.int32()), pa.array(g.ravel())], names=["fold", "at", "v"])
 
-    rows = df.select(F.col(features).cast("array<double>").alias("x"), (F.col(targets).cast("array<double>") if targets else F.array(F.lit(0.0))).alias("y"), (F.col(fold) if fold else F.lit(0)).cast("int").alias("fold"))
-    sums = rows.mapInPandas(partial, "fold int, at int, v double").groupBy("fold", "at").agg(F.sum("v").alias("v")).collect()
+    rows = df.select(
+        F.col(features).cast("array<double>").alias("x"), (F.col(targets).cast("array<double>") if targets else F.array(F.lit(0.0))).alias("y"),
+        F.array(*[F.col(f).cast("double") for f in folds] or [F.lit(0.0)]).alias("folds"),
+    )
+    sums = rows.mapInArrow(partial, "fold int, at int, v double").groupBy("fold", "at").agg(F.sum("v").alias("v")).collect()
     out: dict[int, np.ndarray] = {}
     for r in sums:
         out.setdefault(r.fold, {})[r["at"]] = r.v
@@ -49,9 +65,39 @@ def lstsq(df: DataFrame, features: str, targets: str, dims: int) -> np.ndarray:
     return np.linalg.pinv(g[:dims, :dims], hermitian=True) @ g[:dims, dims:-1]
 
 
+def solved_by(df: DataFrame, by: str, features: str, targets: str, dims: int, n_targets: int = 1, alpha: float | None = None, scale: bool = True) -> DataFrame:
+    """(by, weights) of a model for each group, the weights as an array by dimension of arrays by target.
+
+    Least squares of minimum norm without intercept, or with alpha ridge with one, on z-scored features or (scale=False) centred ones. The sums of products are
+    aggregates with a partial sum in each task; each group's are then solved where they are, so that any number of groups will do.
+    """
+    names = [F.get(features, F.lit(i)).cast("double") for i in range(dims)] + [F.get(targets, F.lit(i)).cast("double") for i in range(n_targets)] + [F.lit(1.0)]
+    size = len(names)
+    places = [(i, j) for i in range(size) for j in range(i, size)]
+    sums = df.groupBy(by).agg(*[F.sum(names[i] * names[j]).alias(f"s{k}") for k, (i, j) in enumerate(places)])
+    out = T.StructType([df.schema[by], T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType())))])
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            cells = np.column_stack([b.column(f"s{k}").to_numpy(zero_copy_only=False) for k in range(len(places))]) if b.num_rows else []
+            found = []
+            for row in cells:
+                g = np.zeros((size, size))
+                for (i, j), v in zip(places, row):
+                    g[i, j] = g[j, i] = v
+                w = np.linalg.pinv(g[:dims, :dims], hermitian=True) @ g[:dims, dims:-1] if alpha is None else _ridge(g, dims, alpha, scale)[0]
+                found.append(w.tolist())
+            yield pa.RecordBatch.from_arrays([b.column(by), pa.array(found, pa.list_(pa.list_(pa.float64())))], names=[by, "weights"])
+
+    return sums.select(by, *[f"s{k}" for k in range(len(places))]).mapInArrow(solve, out)
+
+
 def predict(df: DataFrame, features: str, weights: np.ndarray, to: str = "pred", offset: np.ndarray | None = None) -> DataFrame:
     """df with the product of the features and the weights, in built-in functions."""
     offset = np.zeros(weights.shape[1]) if offset is None else offset
+    if len(weights) <= UNROLLED:  # as one expression that the code generator takes
+        x = [F.get(features, F.lit(i)).cast("double") for i in range(len(weights))]
+        return df.withColumn(to, F.array(*[sum((a * F.lit(float(b)) for a, b in zip(x, w)), F.lit(float(o))) for w, o in zip(weights.T, offset)]))
     cols = [F.aggregate(F.zip_with(F.col(features), F.lit([float(x) for x in w]), lambda a, b: a.cast("double") * b), F.lit(float(o)), lambda a, x: a + x) for w, o in zip(weights.T, offset)]
     return df.withColumn(to, F.array(*cols))
 
@@ -61,25 +107,27 @@ def residuals(df: DataFrame, pred: str, true: str, to: str = "residual") -> Data
     return df.withColumn(to, F.zip_with(F.col(pred), F.col(true), lambda p, t: p - t.cast("double")))
 
 
-def _ridge(g: np.ndarray, dims: int, alpha: float) -> tuple[np.ndarray, np.ndarray]:
+def _ridge(g: np.ndarray, dims: int, alpha: float, scale: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Weights and offset in the units of the features: ridge on z-scored features, from sums of products."""
     n = g[-1, -1]
     mean = g[-1, :-1] / n
     cov = g[:-1, :-1] - n * np.outer(mean, mean)
     sd = np.sqrt(np.maximum(np.diag(cov)[:dims] / n, 0))
-    sd[sd < 1e-12] = 1
+    sd[(sd < 1e-12) | (not scale)] = 1
     w = np.linalg.solve(cov[:dims, :dims] / np.outer(sd, sd) + alpha * np.eye(dims), cov[:dims, dims:] / sd[:, None]) / sd[:, None]
     return w, mean[dims:] - mean[:dims] @ w
 
 
-def ridge_cv(df: DataFrame, features: str, targets: str, dims: int, fold: str, alphas: np.ndarray | None = None) -> dict:
+def ridge_cv(df: DataFrame, features: str, targets: str, dims: int, fold: str | Sequence[str], alphas: np.ndarray | None = None) -> dict:
     """One alpha for all targets, by the mean over folds and targets of held-out R2; weights and offset refitted on all rows.
 
+    fold is a column of folds, or several for repeated folds (see repeated_folds()), over all of which the mean is taken.
+
     Features are z-scored. All folds and alphas are solved from one pass: the training sums of a fold are all less its own.
     """
     alphas = np.logspace(-5, 2, 10) if alphas is None else alphas
     parts = gram(df, features, targets, fold)
-    total = sum(g for _, g in parts.values())
+    total = sum(g for k, (_, g) in parts.items() if k < FOLDS)
     scores = []
     for a in alphas:
         r2 = []
@@ -103,6 +151,14 @@ def fold_of(df: DataFrame, key: str, k: int, seed: int = 1) -> DataFrame:
     return placed.select(key, (F.col("rank") % k).cast("int").alias("fold"))
 
 
+def repeated_folds(df: DataFrame, key: str, k: int = 5, repeats: int = 3, seed: int = 1) -> DataFrame:
+    """fold_of() for each repeat, with seeds of their own: columns fold0, fold1 and so on, for ridge_cv()."""
+    out = fold_of(df, key, k, seed).withColumnRenamed("fold", "fold0")
+    for r in range(1, repeats):
+        out = out.join(fold_of(df, key, k, seed + r).withColumnRenamed("fold", f"fold{r}"), key)
+    return out
+
+
 def split_keys(df: DataFrame, key: str, splits: int = 5, train: float = 0.8, val: float = 0.0, seed: int = 0) -> DataFrame:
     """For each split every key as train, val or test: floors of the shares of a keyed hash order, the rest is test."""
     from stimframe.operators.rank import ranked

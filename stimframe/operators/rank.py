@@ -12,19 +12,18 @@ def ranked(df: DataFrame, by: list[str], order: list[Column], to: str = "rank")
     """df with the 0-based place of each row in its group, in an order that must be total.
 
     Rows are range-partitioned by group and order, so that a large group spans partitions; each partition numbers its own
-    rows, and the rows of the group in earlier partitions are added. With by=[] the whole table is one group.
+    rows as it sorts them, and the rows of the group in earlier partitions are added: one exchange, and a join with a row for
+    each partition and group. With by=[] the whole table is one group.
     """
-    keys = [F.col(b) for b in by]
-    sorts = [*keys, *order]
-    dealt = df.repartitionByRange(*sorts).withColumn("__pid", F.spark_partition_id())
-    within = F.row_number().over(Window.partitionBy("__pid", *by).orderBy(*order)) - 1
-    # Written once: a second evaluation might draw other splitters and so other partitions.
-    held = materialise(dealt.withColumn("__at", within.cast("long")), "ranked")
-    sizes = held.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__n"))
+    sorts = [*[F.col(b) for b in by], *order]
+    dealt = df.repartitionByRange(*sorts).sortWithinPartitions(*sorts).withColumn("__id", F.monotonically_increasing_id())
+    # Written once: a second evaluation might draw other splitters and so other partitions. The id has the partition above 33 bits.
+    held = materialise(dealt, "ranked").withColumn("__pid", F.shiftright("__id", 33))
+    sizes = held.groupBy("__pid", *by).agg(F.count(F.lit(1)).alias("__n"), F.min("__id").alias("__first"))
     earlier = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     names = {c: f"__of_{c}" for c in ["__pid", *by]}
-    before = sizes.withColumn("__before", F.sum("__n").over(earlier)).drop("__n").withColumnsRenamed(names)
+    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).drop("__n", "__first").withColumnsRenamed(names)
     on = F.lit(True)
     for c, other in names.items():
         on = on & F.col(c).eqNullSafe(F.col(other))
-    return held.join(before, on).withColumn(to, F.col("__at") + F.coalesce("__before", F.lit(0))).select(*df.columns, to)
+    return held.join(before, on).withColumn(to, F.col("__id") + F.col("__before")).select(*df.columns, to)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stimframe.operators import align, functionals, identity, models, stats, vectors
+from stimframe.sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -78,7 +79,7 @@ def overlap_pool_vectors(spark, d):
     """The same with frames of 25 ms and two features."""
     e = events(spark, d).withColumn("x", F.array("value", F.col("value") * F.col("value")))
     spans = e.where("event_type = 'purchase'").select("user_id", "event_id", (F.col("t") - 21600).alias("s"), (F.col("t") + 21600).alias("e"))
-    pairs = align.overlap_join(spans, e.select("user_id", "t", "x"), "user_id", ("s", "e"), "t")
+    pairs = align.overlap_join(spans, e.select("user_id", "t", "x"), "user_id", ("s", "e"), "t", bucket=43200.0)
     return align.mean_pool_vectors(pairs, ["user_id", "event_id"], "x").select("user_id", "event_id", r6(F.col("pooled")[0]).alias("m0"), r6(F.col("pooled")[1]).alias("m1"))
 
 
@@ -196,8 +197,8 @@ def name_key(spark, d):
 @query(r"SELECT page_id, list_extract(string_split(url, '/'), -2) AS section, list_extract(string_split(url, '/'), 3) AS host FROM pages WHERE NOT contains(url, '.html')")
 def path_dimensions(spark, d):
     """Dimensions by place from either end of a path, of the paths without a substring."""
-    p = F.split("url", "/")
-    return table(spark, d, "pages").where(~F.contains("url", F.lit(".html"))).select("page_id", F.element_at(p, -2).alias("section"), F.element_at(p, 3).alias("host"))
+    u = F.col("url")
+    return table(spark, d, "pages").where(~F.contains(u, F.lit(".html"))).select("page_id", identity.path_part(u, -2).alias("section"), identity.path_part(u, 3).alias("host"))
 
 
 @query("SELECT (SELECT count(*) FROM documents SEMI JOIN labels USING (doc_id)) AS n_both, (SELECT count(*) FROM documents ANTI JOIN labels USING (doc_id)) AS n_left_only, (SELECT count(*) FROM labels ANTI JOIN documents USING (doc_id)) AS n_right_only")
@@ -214,7 +215,7 @@ def split_semi(spark, d):
 @query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
 def done_anti(spark, d):
     """Work list: documents without a result."""
-    return table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left_anti")
+    return files.missing_work(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
 @query("SELECT user_id, (sum(n) OVER (ORDER BY user_id) - n)::BIGINT AS start, (sum(n) OVER (ORDER BY user_id))::BIGINT AS stop FROM (SELECT user_id, count(*) AS n FROM events GROUP BY ALL)")
@@ -531,11 +532,18 @@ def bag_of_words_all(spark, d):
 def lstsq_2var(spark, d):
     """Weights without intercept, for each flag."""
     s = table(spark, d, "lineitem").selectExpr("l_returnflag", "array(l_quantity, l_discount) AS x", "array(l_extendedprice) AS y")
-    flags = [r[0] for r in s.select("l_returnflag").distinct().orderBy("l_returnflag").collect()]
-    folds = {f: k for k, f in enumerate(flags)}
-    sums = models.gram(s.withColumn("fold", F.lit(0) + F.coalesce(*[F.when(F.col("l_returnflag") == f, k) for f, k in folds.items()])), "x", "y", "fold")
-    rows = [(f, *(float(v) for v in (np.linalg.pinv(sums[k][1][:2, :2]) @ sums[k][1][:2, 2]))) for f, k in folds.items()]
-    return rounded(spark.createDataFrame(rows, "l_returnflag string, w0 double, w1 double"), "w0", "w1")
+    w = models.solved_by(s, "l_returnflag", "x", "y", 2)
+    return w.select("l_returnflag", r6(F.col("weights")[0][0]).alias("w0"), r6(F.col("weights")[1][0]).alias("w1"))
+
+
+@query("""
+    WITH e AS (SELECT user_id AS stim, (row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1)::INTEGER AS frame, round(epoch_us(ts) / 1e6, 3) AS t_start, event_id, value FROM events)
+    SELECT a.stim, a.frame, a.t_start, a.value AS x, b.event_id AS y FROM e AS a JOIN e AS b ON a.stim = b.stim AND a.frame = b.frame AND a.t_start = b.t_start""")
+def times_join(spark, d):
+    """Features and targets of the same frames, with their times held to be equal."""
+    e = align.align_sort(events(spark, d), "user_id", "ts", "event_id", "frame").select(F.col("user_id").alias("stim"), F.col("frame").cast("int").alias("frame"), F.round("t", 3).alias("t_start"), "event_id", "value")
+    x, y = e.select("stim", "frame", "t_start", F.col("value").alias("x")), e.select("stim", "frame", "t_start", F.col("event_id").alias("y"))
+    return align.times_join(x, y, times=("t_start",)).select("stim", "frame", "t_start", "x", "y")
 
 
 @query("""
@@ -552,15 +560,15 @@ def residuals(spark, d):
 def ridge_1var(spark, d):
     """Slope on a centred feature with a penalty of 10."""
     e = table(spark, d, "events").select("event_type", "value", F.get_json_object("props", "$.k").cast("double").alias("k"))
-    n = F.count(F.lit(1))
-    return rounded(e.groupBy("event_type").agg((F.covar_pop("k", "value") * n / (F.var_pop("k") * n + 10)).alias("w")), "w")
+    w = models.solved_by(e.select("event_type", F.array("k").alias("x"), F.array("value").alias("y")), "event_type", "x", "y", 1, alpha=10.0, scale=False)
+    return w.select("event_type", r6(F.col("weights")[0][0]).alias("w"))
 
 
 @query()
 def ridge_cv(spark, d):
-    """Alpha and held-out R2 of the first two dimensions of a vector on the others."""
+    """Alpha and held-out R2, over three times five folds, of the first two dimensions of a vector on the others."""
     e = table(spark, d, "embeddings").select("vec_id", F.slice("embedding", 3, 62).alias("x"), F.slice("embedding", 1, 2).alias("y"))
-    fit = models.ridge_cv(e.join(models.fold_of(e, "vec_id", 5), "vec_id"), "x", "y", 62, "fold")
+    fit = models.ridge_cv(e.join(models.repeated_folds(e, "vec_id", 5, 3), "vec_id"), "x", "y", 62, ["fold0", "fold1", "fold2"])
     rows = [(k, float(a), float(s), bool(a == fit["alpha"])) for k, (a, s) in enumerate(zip(np.logspace(-5, 2, 10), fit["scores"]))]
     return rounded(spark.createDataFrame(rows, "k int, alpha double, r2 double, best boolean"), "alpha", "r2")
 
