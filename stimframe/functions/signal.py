@@ -136,6 +136,60 @@ def pitch(f: np.ndarray, rate: int, low: float = 55.0, high: float = 620.0, leas
     return np.where(clear, rate / (a + at), 0.0)
 
 
+def octave_spectrum(mag: np.ndarray, hz: np.ndarray, low: float = 25.0, per_octave: int = 48, points: int = 384) -> tuple[np.ndarray, np.ndarray]:
+    """Magnitudes on a logarithmic axis of frequencies, (frames, points), by linear interpolation, and the frequencies; 0 above the spectrum."""
+    at = low * 2.0 ** (np.arange(points) / per_octave)
+    step = hz[1] - hz[0]
+    k = np.minimum((at / step).astype(int), len(hz) - 2)
+    part = at / step - k
+    return np.where(at <= hz[-1], mag[:, k] * (1 - part) + mag[:, k + 1] * part, 0.0), at
+
+
+def pitch_shs(f: np.ndarray, rate: int, low: float = 55.0, high: float = 620.0, harmonics: int = 15, compression: float = 0.85, least: float = 3.0, silence: float = 0.001) -> np.ndarray:
+    """Fundamental frequency by subharmonic summation; 0 for frames that are silent or whose best sum is under `least` times the mean sum.
+
+    The spectrum on an octave axis is shifted by log2 of each harmonic and summed with weights compression**(n - 1); the
+    best sum between low and high, refined by a parabola through its neighbours, is the pitch.
+    """
+    n_fft = 4 << (f.shape[1] - 1).bit_length()
+    mag = np.abs(np.fft.rfft((f - f.mean(1, keepdims=True)) * window("hann", f.shape[1]), n_fft))
+    hz, per = np.fft.rfftfreq(n_fft, 1 / rate), 48
+    span = int(np.ceil(np.log2(high / low) * per)) + 3
+    reach = int(np.ceil(np.log2(harmonics) * per))
+    spectrum, at = octave_spectrum(mag, hz, low * 2 ** (-1 / per), per, span + reach + 1)
+    sums = sum(compression ** (n - 1) * spectrum[:, (k := round(np.log2(n) * per)) : k + span] for n in range(1, harmonics + 1))
+    if not len(f):
+        return np.zeros(0)
+    best = sums[:, 1:-1].argmax(1) + 1
+    rows = np.arange(len(f))
+    a, b, c = sums[rows, best - 1], sums[rows, best], sums[rows, best + 1]
+    shift = np.where(a - 2 * b + c < 0, (a - c) / np.where(a - 2 * b + c < 0, 2 * (a - 2 * b + c), 1), 0.0)
+    clear = (b >= least * np.maximum(sums.mean(1), 1e-12)) & (rms(f) > silence)
+    return np.where(clear, at[0] * 2 ** ((best + np.clip(shift, -0.5, 0.5)) / per), 0.0)
+
+
+def band_levels(f: np.ndarray, rate: int, kind: str = "hamming") -> dict[str, np.ndarray]:
+    """Of each frame: loudness, band sums, alpha ratio, Hammarberg index and spectral slopes, of its power spectrum.
+
+    loudness is the sum of 26 mel bands' power to the 0.3. alpha is the level of 50 to 1000 Hz over that of 1 to 5 kHz; hammarberg that of the strongest
+    line under 2 kHz over that of 2 to 5 kHz; slopes are those of lines through the levels in dB, per Hz.
+    """
+    n_fft = 1 << (f.shape[1] - 1).bit_length()
+    power = np.abs(np.fft.rfft(f * window(kind, f.shape[1]), n_fft)) ** 2
+    hz, tiny = np.fft.rfftfreq(n_fft, 1 / rate), 1e-12
+    band = lambda low, high: power[:, (hz >= low) & (hz < high)]
+    ratio = lambda a, b: 10 * np.log10(np.maximum(a, tiny) / np.maximum(b, tiny))
+    out = {"loudness": (np.maximum(power @ mel_bank(26, n_fft, rate, 20.0, min(8000.0, rate / 2)).T, 0) ** 0.3).sum(1)}
+    out |= {"band_250_650": band(250, 650).sum(1), "band_1000_4000": band(1000, 4000).sum(1)}
+    out["alpha"] = ratio(band(50, 1000).sum(1), band(1000, 5000).sum(1))
+    out["hammarberg"] = ratio(band(0, 2000).max(1), band(2000, 5000).max(1))
+    for low, high in ((0, 500), (500, 1500)):
+        x = hz[(hz >= low) & (hz < high)]
+        level = 10 * np.log10(np.maximum(band(low, high), tiny))
+        out[f"slope_{low}_{high}"] = (level - level.mean(1, keepdims=True)) @ (x - x.mean()) / ((x - x.mean()) ** 2).sum()
+    return out
+
+
 def levinson(r: np.ndarray, order: int) -> tuple[np.ndarray, float]:
     """Linear-prediction coefficients and gain from autocorrelations."""
     a, error = np.zeros(order + 1), float(r[0])

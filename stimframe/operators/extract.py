@@ -65,6 +65,29 @@ def low_level(length_ms: float = 25.0, shift_ms: float = 20.0) -> Extractor:
     return run
 
 
+#: Names of the voice extractor's columns, in their order.
+VOICE = ("f0", "loudness", "band_250_650", "band_1000_4000", "alpha", "hammarberg", "slope_0_500", "slope_500_1500")
+
+
+@register("voice")
+def voice(length_ms: float = 25.0, shift_ms: float = 20.0) -> Extractor:
+    """Pitch by subharmonic summation, and levels and slopes of bands: the columns VOICE."""
+
+    def run(wave: np.ndarray, rate: int):
+        n, shift = int(rate * length_ms / 1000), int(rate * shift_ms / 1000)
+        f = signal.frames(np.asarray(wave, float), n, shift)
+        if not len(f):
+            return np.empty((0, len(VOICE))), np.empty((0, 2))
+        return np.column_stack((signal.pitch_shs(f, rate), *signal.band_levels(f, rate).values())), _times(len(f), n, shift, rate)
+
+    return run
+
+
+def select_outputs(features: DataFrame, names: tuple[str, ...], wanted: tuple[str, ...]) -> DataFrame:
+    """features with the wanted columns alone, in that order."""
+    return features.withColumn("features", F.array(*[F.col("features")[names.index(w)] for w in wanted]))
+
+
 def extract(waves: DataFrame, feature: str, min_samples: int = 1, module: str = "out", **parameters) -> DataFrame:
     """(stim, module, frame, features, t_start, t_end) of (stim, sample_rate, waveform) rows.
 
@@ -88,7 +111,7 @@ def extract(waves: DataFrame, feature: str, min_samples: int = 1, module: str =
 
 
 #: Of the extractors that work by blocks of frames: samples of a frame and of its shift, zeros before and after the waveform, frames before a block that it needs.
-SHAPES = {"fbank": (400, 320, 0, 0), "mfcc": (2048, 512, 1024, 0), "lld": (400, 320, 0, 1)}
+SHAPES = {"fbank": (400, 320, 0, 0), "mfcc": (2048, 512, 1024, 0), "lld": (400, 320, 0, 1), "voice": (400, 320, 0, 0)}
 
 
 def extract_series(series: DataFrame, feature: str, hold: int, rate: int = 16_000, block: int = 2048) -> DataFrame:

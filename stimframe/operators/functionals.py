@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stimframe.operators.rank import quantiles
+
 
 def _order(by: list[str], order: list[str]):
     return Window.partitionBy(*by).orderBy(*order)
@@ -35,6 +37,12 @@ def segments(df: DataFrame, by: list[str], order: list[str], flag) -> DataFrame:
     return runs.groupBy(*by, "__run", "on").agg(F.min(order[0]).alias("start"), F.count(F.lit(1)).alias("length")).drop("__run")
 
 
+def segments_above(df: DataFrame, by: list[str], order: list[str], value: str, share: float = 0.25) -> DataFrame:
+    """Runs of values over the group's minimum by more than that share of its range, and under it."""
+    ends = df.groupBy(*by).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"))
+    return segments(df.join(ends, by), by, order, F.col(value) > F.col("__lo") + share * (F.col("__hi") - F.col("__lo")))
+
+
 def segment_summary(runs: DataFrame, by: list[str]) -> DataFrame:
     """Number, mean, largest, smallest and SD (population) of the lengths of runs that are on."""
     return runs.where("on").groupBy(*by).agg(
@@ -61,7 +69,7 @@ def moments(df: DataFrame, by: list[str], value: str) -> DataFrame:
 def percentiles(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """1, 20, 25, 50, 75, 80 and 99 per cent points, interpolated, and the range between the outer ones."""
     points = (0.01, 0.2, 0.25, 0.5, 0.75, 0.8, 0.99)
-    p = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(q) for q in points])).alias("p"))
+    p = quantiles(df, by, value, points, "p")
     return p.select(*by, *[F.col("p")[k].alias(f"p{round(q * 100)}") for k, q in enumerate(points)], (F.col("p")[4] - F.col("p")[2]).alias("iqr"), (F.col("p")[6] - F.col("p")[0]).alias("range"))
 
 
@@ -118,6 +126,40 @@ def peaks(df: DataFrame, by: list[str], order: list[str], value: str, threshold:
     return gap.groupBy(*by).agg(F.count(F.lit(1)).alias("n_peaks"), F.avg("__gap").alias("mean_distance"), F.avg(v - F.col("__m")).alias("mean_height"))
 
 
+def turning_points(df: DataFrame, by: list[str], order: list[str], value: str, least: float = 0.1) -> DataFrame:
+    """Of the maxima and minima that differ from the turn before them by more than `least` of the range: numbers, mean and range of
+    the maxima, mean of the minima, mean distance in rows of the turns kept, mean slopes of rises and of falls (a row is a step).
+    """
+    w = _order(by, order)
+    v = F.col(value)
+    spread = df.groupBy(*by).agg((F.max(value) - F.min(value)).alias("__r"))
+    turn = df.withColumns({"__at": F.row_number().over(w), "__up": v - F.lag(value).over(w), "__down": v - F.lead(value).over(w)})
+    turn = turn.where("(__up > 0 and __down >= 0) or (__up < 0 and __down <= 0)").withColumn("__top", F.col("__up") > 0)
+    t = Window.partitionBy(*by).orderBy("__at")
+    step = turn.withColumns({"__dv": v - F.lag(value).over(t), "__dt": F.col("__at") - F.lag("__at").over(t)}).join(spread, by)
+    kept = step.where(F.abs("__dv") > least * F.col("__r"))
+    top = F.when(F.col("__top"), v)
+    slope = F.col("__dv") / F.col("__dt")
+    return kept.groupBy(*by).agg(
+        F.count_if("__top").alias("n_maxima"), F.count_if(~F.col("__top")).alias("n_minima"), F.avg(top).alias("mean_maximum"), (F.max(top) - F.min(top)).alias("range_maxima"),
+        F.avg(F.when(~F.col("__top"), v)).alias("mean_minimum"), F.avg("__dt").alias("mean_distance"), F.avg(F.when(F.col("__dv") > 0, slope)).alias("mean_rise"), F.avg(F.when(F.col("__dv") < 0, slope)).alias("mean_fall"),
+    )
+
+
+def temporal_rates(df: DataFrame, by: list[str], order: list[str], loudness: str, pitch: str, frame_seconds: float) -> DataFrame:
+    """Loudness peaks a second, voiced segments a second, and mean and SD (population) of voiced and unvoiced segments in seconds."""
+    n = df.groupBy(*by).agg((F.count(F.lit(1)) * frame_seconds).alias("__seconds"))
+    tops = peaks(df, by, order, loudness, 0.0).select(*by, "n_peaks")
+    length = F.col("length") * frame_seconds
+    runs = segments(df, by, order, F.col(pitch) > 0).groupBy(*by).agg(
+        F.count_if("on").alias("__voiced"), F.avg(F.when(F.col("on"), length)).alias("mean_voiced"), F.stddev_pop(F.when(F.col("on"), length)).alias("sd_voiced"),
+        F.avg(F.when(~F.col("on"), length)).alias("mean_unvoiced"), F.stddev_pop(F.when(~F.col("on"), length)).alias("sd_unvoiced"),
+    )
+    rate = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.col("__seconds")
+    every = n.join(tops, by, "left").join(runs, by)
+    return every.select(*by, rate("n_peaks").alias("peaks_per_second"), rate("__voiced").alias("voiced_per_second"), "mean_voiced", "sd_voiced", "mean_unvoiced", "sd_unvoiced")
+
+
 def autocorrelation(df: DataFrame, by: list[str], order: list[str], value: str, lags: int) -> DataFrame:
     """Sums of products at lags 0 to lags: what linear prediction starts from."""
     w = _order(by, order)

@@ -7,6 +7,8 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stimframe.operators.rank import quantiles
+
 
 def guarded_corr(a: Column, b: Column) -> Column:
     """Pearson correlation as an aggregate; NULL where either side is constant, in ANSI mode too."""
@@ -73,7 +75,7 @@ def pairwise_p(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def boxplot(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Quartiles, whiskers (the outermost values within 1.5 IQR of the box) and the number of outliers."""
-    box = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(q) for q in (0.25, 0.5, 0.75)])).alias("q"))
+    box = quantiles(df, by, value, (0.25, 0.5, 0.75))
     box = box.select(*by, *[F.col("q")[k].alias(f"q{k + 1}") for k in range(3)])
     low, high = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1")), F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(low, high)

@@ -644,3 +644,41 @@ def session_stream(spark, d):
     # The operator takes instants; NTZ times become those at which a clock in UTC shows them.
     e = table(spark, d, "events").withColumn("ts", F.timestamp_micros(align.micros("ts")))
     return rounded(sessions(e, "ts", "12 hours", ["user_id"], "value"), "total")
+
+
+@query(f"""
+    WITH s AS (SELECT *, min(value) OVER u + 0.25 * (max(value) OVER u - min(value) OVER u) AS level FROM {_SERIES} WINDOW u AS (PARTITION BY user_id)),
+    r AS (SELECT user_id, i, value > level AS "on", CASE WHEN (value > level) <> lag(value > level) OVER (PARTITION BY user_id ORDER BY i) THEN 1 ELSE 0 END AS new FROM s),
+    k AS (SELECT user_id, "on", i, sum(new) OVER (PARTITION BY user_id ORDER BY i) AS run FROM r)
+    SELECT user_id, count(*) AS n_segments, round(avg(n), 6) + 0.0 AS mean_length, max(n) AS max_length FROM (SELECT user_id, run, "on", count(*) AS n FROM k GROUP BY ALL) WHERE "on" GROUP BY user_id""")
+def segments_above(spark, d):
+    """Runs of values above a quarter of a user's range."""
+    runs = functionals.segments_above(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return rounded(functionals.segment_summary(runs, ["user_id"]).select("user_id", "n_segments", "mean_length", "max_length"), "mean_length")
+
+
+@query(f"""
+    WITH t AS (SELECT user_id, i, value, value - lag(value) OVER w AS up, value - lead(value) OVER w AS down, max(value) OVER (PARTITION BY user_id) - min(value) OVER (PARTITION BY user_id) AS r FROM {_SERIES} WINDOW w AS (PARTITION BY user_id ORDER BY i)),
+    e AS (SELECT *, up > 0 AS top, value - lag(value) OVER w AS dv, i - lag(i) OVER w AS dt FROM t WHERE (up > 0 AND down >= 0) OR (up < 0 AND down <= 0) WINDOW w AS (PARTITION BY user_id ORDER BY i))
+    SELECT user_id, count_if(top) AS n_maxima, count_if(NOT top) AS n_minima, round(avg(value) FILTER (top), 6) + 0.0 AS mean_maximum, round(max(value) FILTER (top) - min(value) FILTER (top), 6) + 0.0 AS range_maxima,
+        round(avg(value) FILTER (NOT top), 6) + 0.0 AS mean_minimum, round(avg(dt), 6) + 0.0 AS mean_distance, round(avg(dv / dt) FILTER (dv > 0), 6) + 0.0 AS mean_rise, round(avg(dv / dt) FILTER (dv < 0), 6) + 0.0 AS mean_fall
+    FROM e WHERE abs(dv) > 0.1 * r GROUP BY user_id""")
+def turning_points(spark, d):
+    found = functionals.turning_points(table(spark, d, "events"), ["user_id"], ["ts", "event_id"], "value")
+    return rounded(found, "mean_maximum", "range_maxima", "mean_minimum", "mean_distance", "mean_rise", "mean_fall")
+
+
+@query()
+def voice_descriptors(spark, d):
+    from stimframe.operators.extract import extract_series
+
+    return rounded(vectors.exploded(extract_series(_series(spark, d), "voice", 160), ["stim", "frame"], "features"), "x")
+
+
+@query()
+def temporal_rates(spark, d):
+    """Of the voice descriptors of each user's series."""
+    from stimframe.operators.extract import VOICE, extract_series
+
+    v = extract_series(_series(spark, d), "voice", 160).select("stim", "frame", *[F.col("features")[VOICE.index(c)].alias(c) for c in ("loudness", "f0")])
+    return rounded(functionals.temporal_rates(v, ["stim"], ["frame"], "loudness", "f0", 0.02), "peaks_per_second", "voiced_per_second", "mean_voiced", "sd_voiced", "mean_unvoiced", "sd_unvoiced")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stimframe.operators.identity import name_key
+from stimframe.operators.rank import ranked
 
 
 def scan_binary(spark: SparkSession, path: str, glob: str, recursive: bool = False, ignore: list[str] | None = None, search: list[str] | None = None) -> DataFrame:
@@ -78,8 +79,11 @@ def drop_loudness(features: DataFrame) -> DataFrame:
     return features.withColumn("features", drop_channel(F.col("features"), 12, 13))
 
 
-def read_audio(files: DataFrame, rate: int = 16_000) -> DataFrame:
-    """(stim, sample_rate, waveform) of mono or mixed-down PCM WAV files, resampled; files that can't be decoded are skipped."""
+def read_audio(files: DataFrame, rate: int = 16_000, keep_failed: bool = False) -> DataFrame:
+    """(stim, sample_rate, waveform) of mono or mixed-down PCM WAV files, resampled.
+
+    Files that can't be decoded are left out, or with keep_failed have no waveform, and the reason in a column error.
+    """
     from stimframe.functions.signal import resample
 
     def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,7 +92,8 @@ def read_audio(files: DataFrame, rate: int = 16_000) -> DataFrame:
                 try:
                     with wave.open(io.BytesIO(content)) as w:
                         width, channels, own, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-                except (wave.Error, EOFError):
+                except (wave.Error, EOFError) as e:
+                    yield pd.DataFrame({"stim": [stim], "sample_rate": [rate], "waveform": [None], "error": [str(e) or "the file ends early"]})
                     continue
                 if width == 1:
                     x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
@@ -98,9 +103,10 @@ def read_audio(files: DataFrame, rate: int = 16_000) -> DataFrame:
                 else:
                     x = np.frombuffer(raw, f"<i{width}").astype(float) / float(1 << (8 * width - 1))
                 x = resample(x.reshape(-1, channels).mean(1), own, rate)
-                yield pd.DataFrame({"stim": [stim], "sample_rate": [rate], "waveform": [x.astype(np.float32)]})
+                yield pd.DataFrame({"stim": [stim], "sample_rate": [rate], "waveform": [x.astype(np.float32)], "error": [None]})
 
-    return files.select("stim", "content").mapInPandas(decode, "stim string, sample_rate int, waveform array<float>")
+    found = files.select("stim", "content").mapInPandas(decode, "stim string, sample_rate int, waveform array<float>, error string")
+    return found if keep_failed else found.where("error is null").drop("error")
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
@@ -121,10 +127,14 @@ def read_splits(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    """(place, row) of the rows of a text matrix whose first line gives its shape; place is a row's offset order in the file."""
-    shape = spark.read.text(path).first().value.split()
-    lines = spark.read.text(path).where(F.trim("value") != " ".join(shape)).where(F.trim("value") != "")
-    return lines.select(F.monotonically_increasing_id().alias("place"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("row"))
+    """(place, row) of the rows of a text matrix whose first line gives its shape; place is a row's 0-based number in the file.
+
+    Lines are numbered by the block of the file that they are read with and their order there, so that a file of any size is read in
+    blocks, once.
+    """
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("__f"), F.col("_metadata.file_block_start").alias("__b"), F.monotonically_increasing_id().alias("__m")).where(F.trim("value") != "")
+    numbered = ranked(lines, [], [F.col("__f"), F.col("__b"), F.col("__m")], "place").where("place > 0")
+    return numbered.select((F.col("place") - 1).alias("place"), F.transform(F.split(F.trim("value"), r"\s+"), lambda x: x.cast("double")).alias("row"))
 
 
 def write_features(features: DataFrame, path: str, by: tuple[str, ...] = ("family", "module")) -> None:
@@ -141,6 +151,24 @@ def copy_times(times: DataFrame, wanted: DataFrame, key: str = "stim") -> DataFr
     return times.join(wanted.select(key).distinct(), key, "left_semi")
 
 
+def read_results(spark: SparkSession, path: str, dimensions: dict[str, int], recursive: bool = True) -> DataFrame:
+    """Result files (JSON objects of numbers or lists of numbers) as rows: dimensions from the parts of the path, metric, dim (NULL for a single number) and value."""
+    from stimframe.operators.identity import path_part
+
+    text = spark.read.option("recursiveFileLookup", str(recursive).lower()).text(path, wholetext=True).withColumn("__path", F.col("_metadata.file_path"))
+    named = text.select(*[path_part(F.col("__path"), place).alias(name) for name, place in dimensions.items()], F.explode(F.from_json("value", "map<string,string>")).alias("metric", "__v"))
+    lists = F.when(F.startswith(F.col("__v"), F.lit("[")), F.from_json("__v", "array<double>", {"allowNonNumericNumbers": "true"}))
+    single = F.array(F.col("__v").try_cast("double"))
+    rows = named.withColumn("__l", F.coalesce(lists, single)).withColumn("__many", lists.isNotNull())
+    return rows.select(*dimensions, "metric", F.posexplode("__l").alias("__dim", "value"), "__many").select(*dimensions, "metric", F.when(F.col("__many"), F.col("__dim")).alias("dim"), "value")
+
+
+def write_identities(df: DataFrame, path: str, parts: tuple[str, ...] = ("tokens", "targets", "times")) -> None:
+    """The parts of aligned annotations as Parquet folders beside each other, each with stim and seq; earlier ones are replaced."""
+    for part in parts:
+        df.select("stim", "seq", *([part] if part != "times" else ["t_start", "t_end"])).write.mode("overwrite").parquet(f"{path}/{part}")
+
+
 def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
