@@ -19,3 +19,23 @@ def test_overlaps_of_long_annotations(spark, tmp_path):
     for k, of in enumerate(("frames", "none")):
         with pytest.raises(Exception, match="longer than 2 days"):
             run("2 days", of, f"refused-{k}")
+
+
+@pytest.mark.parametrize("name", ["session", "sliding"])
+def test_windows_of_a_stream_are_those_of_a_batch(spark, tmp_path, name):
+    """Files come one at a time; once the last one has moved the clock, every closed window has come, as from a batch."""
+    from pyspark.sql import functions as F
+
+    e = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(F.timestamp_micros(F.expr("timestampdiff(MICROSECOND, timestamp_ntz'1970-01-01 00:00:00', ts)")).alias("ts"), "user_id", "value")
+    cut = e.agg(F.expr("percentile(cast(ts as double), array(0.4, 0.8))")).first()[0]
+    t = F.col("ts").cast("double")
+    far = spark.createDataFrame([(-1, 0.0)], "user_id long, value double").select(F.timestamp_seconds(F.lit(4e9)).alias("ts"), "user_id", "value")
+    make = {
+        "session": lambda df: windows.session_stream(df, "ts", "12 hours", ["user_id"], "value", "2 days"),
+        "sliding": lambda df: windows.sliding_stream(df, "ts", "24 hours", "12 hours", ["user_id"], "value", "2 days"),
+    }[name]
+    rows = lambda df: sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.where("user_id >= 0").collect())
+    for part in (e.where(t <= cut[0]), e.where((t > cut[0]) & (t <= cut[1])), e.where(t > cut[1]), far, far):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        windows.run_once(make(windows.read_stream(spark, str(tmp_path / "in"), e.schema, 1)), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == rows(make(e))
