@@ -39,7 +39,7 @@ def features(text: bytes | None, hashes: WordHashes) -> np.ndarray:
     mixed = np.concatenate(spread)
     mixed ^= mixed >> np.uint64(31)
     mixed *= np.uint64(0xBF58476D1CE4E5B9)
-    return np.append(np.unique((mixed >> np.uint64(64 - BITS)) | np.uint64(1)), np.uint64(0)).astype(np.int64)
+    return np.append(np.unique(np.maximum(mixed >> np.uint64(64 - BITS), np.uint64(1))), np.uint64(0)).astype(np.int64)
 
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
