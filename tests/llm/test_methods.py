@@ -341,3 +341,27 @@ def test_texts_that_share_a_hash_are_different_nodes(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup.F, "xxhash64", lambda *c: F.pmod(whole(*c), F.lit(3)) if len(c) == 1 and "translate" in str(c[0]) else whole(*c))
     df = spark.createDataFrame([(k, f"text number {k % 20} of them") for k in range(40)], "doc_id long, text string")
     assert minhash_dedup._nodes(df, "text").select("__node").distinct().count() == 20
+
+
+def test_links_in_large_buckets_come_from_rare_shingles(spark, monkeypatch):
+    """With every mixed bucket taken for large: chains of links, and pages of a template that make no pairs."""
+    from stimframe.llm import minhash_dedup
+
+    g = random.Random(12)
+    texts = []
+    for _ in range(8):
+        base = [f"w{g.randint(0, 5000)}" for _ in range(g.randint(8, 200))]
+        for _ in range(25):
+            t = list(base)
+            for _ in range(g.randint(0, max(1, len(t) // 30))):
+                t[g.randrange(len(t))] = f"n{g.randint(0, 9999)}"
+            texts.append(" ".join(t))
+    classes, _ = near_classes(texts)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()} == dict(enumerate(classes))
+    template = " ".join(f"t{k}" for k in range(120))
+    pages = spark.createDataFrame([(k, k, f"{template} {' '.join(f'p{k}x{i}' for i in range(40))}".encode()) for k in range(300)], "node long, label long, text binary")
+    assert minhash_dedup.prefix_pairs(pages, 5, 75).count() == 0
+    near = pages.unionByName(spark.createDataFrame([(1000 + k, 1000 + k, f"{template} {' '.join(f'p{k}x{i}' for i in range(38))}".encode()) for k in range(9)], pages.schema))
+    assert {(r.a, r.b) for r in minhash_dedup.prefix_pairs(near, 5, 75).collect()} == {(1000 + k, k) for k in range(9)}
