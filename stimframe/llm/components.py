@@ -25,3 +25,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = step.select("node", "label")
         if step.where("label <> was").isEmpty():
             return labels
+
+
+def with_links(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """labels (node, label) as components() gives them, after more links (a, b): only the components that these join are worked on."""
+    to = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+    pairs = links.join(to("a"), "a", "left").join(to("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+    joined = components(pairs.where("a <> b").distinct())
+    moved = joined.select(F.col("node").alias("label"), F.col("label").alias("further"))
+    old = labels.join(moved, "label", "left").select("node", F.coalesce("further", "label").alias("label"))
+    return materialise(old.unionByName(joined.join(labels, "node", "left_anti")), "labels")

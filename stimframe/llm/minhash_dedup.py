@@ -6,11 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stimframe.llm.common import lower_ascii, without
-from stimframe.llm.components import components
+from stimframe.llm.components import components, with_links
 from stimframe.llm.shingles import WordHashes, overlap, shingle_set
 from stimframe.session import materialise
 
@@ -23,8 +23,8 @@ EMPTY = 0xFFFF
 COLLISION = 0.169919487159739093975315012348
 #: A large component's texts meet its smallest id in so many parts.
 SALTS = 32
-#: Up to so many members, what is left of a bucket is compared in one block; in larger ones pairs come from rare shingles.
-BLOCK = 384
+#: Members of a bucket that are compared with each other in one block, and rounds of centres before that.
+BLOCK, CENTRES = 384, 2
 ADDED = ("n_shingles", "component_id", "kept")
 _SEEDS = (np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[:, None]
 _BOUNDS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -177,42 +177,6 @@ def _within(words: int, percent: int):
     return run
 
 
-def _shingled(words: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        for batch in batches:
-            for node, label, text in zip(*(batch.column(c) for c in ("node", "label", "text"))):
-                own = shingle_set(text.as_py(), hashes, words).view(np.int64)
-                for at in range(0, len(own), 100_000):
-                    part = own[at : at + 100_000]
-                    yield pa.record_batch([pa.array(np.full(len(part), node.as_py())), pa.array(np.full(len(part), label.as_py())), pa.array(np.full(len(part), len(own))), pa.array(part)], names=["node", "label", "n", "s"])
-
-    return run
-
-
-def prefix_pairs(nodes: DataFrame, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes (node, label, text) with different labels that may be linked; none that is linked is left out.
-
-    Shingles are ordered by how many of the nodes have them, rare ones first. Of two sets with 100 * intersection >= percent
-    * union, of n and m >= n shingles, the first n - ceil(2p / (1 + p) * n) + 1 of one and the first m - ceil(p * m) + 1 of the
-    other have one in common, and where the first such one stands bounds what else they can share. A shingle that many nodes
-    have comes late in their order, so it pairs few; its nodes are dealt to parts of about BLOCK.
-    """
-    rows = materialise(nodes.mapInArrow(_shingled(words), "node long, label long, n long, s long"), "shingles")
-    common = rows.groupBy("s").agg(F.count(F.lit(1)).alias("held")).where("held > 1")
-    turn = Window.partitionBy("node").orderBy("held", "s")
-    placed = rows.join(common, "s", "left").withColumn("held", F.coalesce("held", F.lit(1))).withColumn("r", F.row_number().over(turn))
-    least = lambda top, bottom, n: f"cast(({top} * {n} + {bottom - 1}) div {bottom} as bigint)"
-    heads = placed.where(f"held > 1 and r <= n - {least(percent, 100, 'n')} + 1").withColumn("short", F.expr(f"r <= n - {least(2 * percent, 100 + percent, 'n')} + 1"))
-    heads = materialise(heads, "prefixes")
-    parts = heads.groupBy("s").agg(F.count_if("short").alias("k"), F.count(F.lit(1)).alias("m"), F.min("label").alias("x"), F.max("label").alias("y")).where("k > 0 and x <> y")
-    heads = heads.join(parts.select("s", F.ceil(F.col("m") / BLOCK).cast("int").alias("parts")), "s")
-    a = heads.where("short").select("s", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"{c}_a") for c in ("node", "label", "n", "r")])
-    b = heads.select("s", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int").alias("part"), *[F.col(c).alias(f"{c}_b") for c in ("node", "label", "n", "r")])
-    fits = f"label_a <> label_b and n_a <= n_b and 100 * n_a >= {percent} * n_b and 1 + least(n_a - r_a, n_b - r_b) >= {least(percent, 100 + percent, '(n_a + n_b)')}"
-    return a.join(b, ["s", "part"]).where(fits).select(F.greatest("node_a", "node_b").alias("a"), F.least("node_a", "node_b").alias("b")).distinct()
-
-
 def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", words: int = 5, percent: int = 75, carry: list[str] | None = None) -> DataFrame:
     """All rows and columns of docs (or those in carry), and n_shingles, component_id and kept.
 
@@ -225,12 +189,13 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     3. Each bucket has a centre, the first of its nodes in one order for all buckets. Every node is paired with the first of
        its buckets' centres, so that a group of any size gives as many pairs as nodes. Sketches rule out hopeless
        pairs, and full sets confirm the rest. Links give components.
-    4. Where a bucket's centre is in another component than a member, these two are paired and go the same way.
-    5. In buckets of three or more that then still hold several components, members of different components are compared,
-       sketches first, then full sets: all in one block in buckets of up to BLOCK members. In larger buckets pairs come from
-       prefixes of the full sets (see prefix_pairs()), which any two linked texts share and texts of a common template don't,
-       however many there are; so no link between different texts is missed for want of a better centre. With these links
-       the components are final.
+    4. In CENTRES rounds, each with another order and so other centres: where a bucket's centre is in another component than
+       a member, these two are paired and go the same way. In a group that is linked in many ways, however loosely, this
+       leaves few members outside the largest component.
+    5. In buckets of three or more that then still hold several components, the members outside the largest one are
+       compared with all of other components, sketches first, then full sets, in blocks of BLOCK by BLOCK members spread
+       over tasks; so no link between different texts is missed for want of a better centre. A block gives links alone,
+       never its pairs. With these the components are final.
 
     Null or empty texts have no shingles and are linked with nothing. Repeated rows, of one id and text, have the same result.
     A null id takes part in links, but names a component (as null) only if no member has an id, and is kept then. Columns with an added
@@ -269,6 +234,8 @@ def _judged(docs: DataFrame, text_col: str, id_col: str, words: int, percent: in
     rows = without(docs, [*ADDED, "__node", "__one", "__first", "__other", "__shared"])
     names = carry or rows.columns
     keyed = _nodes(rows, text_col)
+    # Where only some columns are wanted, they are written with the node, so that the texts are not hashed again.
+    ids = materialise(keyed.select(*[f"`{n}`" for n in names], "__node"), "ids") if carry and id_col in carry and text_col not in carry else None
     texts = keyed.select(F.col("__node").alias("node"), F.col(text_col).cast("binary").alias("text"))
     sketches = materialise(texts.mapInArrow(_sketch(words), "node long, n long, regs binary").dropDuplicates(["node"]), "sketches")
 
@@ -290,40 +257,45 @@ def _judged(docs: DataFrame, text_col: str, id_col: str, words: int, percent: in
     links = confirmed(tested)
     labels = components(links)
 
-    def label(of: str, to: str) -> DataFrame:
-        return labels.select(F.col("node").alias(of), F.col("label").alias(to))
-
-    apart = (
-        shared.select(F.col("node").alias("a"), F.col("c.node").alias("b")).where("a <> b").distinct()
-        .join(label("a", "label_a"), "a", "left").join(label("b", "label_b"), "b", "left")
-        .where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
-        .select("a", "b").join(tested, ["a", "b"], "left_anti")
-    )
-    apart = materialise(apart, "apart")
-    more = confirmed(apart)
-    if not more.isEmpty():
-        links = links.unionByName(more)
-        labels = components(links)
+    for turn in range(CENTRES):
+        at = lambda k: labels.select(F.col("node").alias(k), F.col("label").alias(f"label_{k}"))
+        if turn:  # only in buckets that still hold several components
+            held = shared.where("size > 2").select("key", "node").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+            order = F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node")
+            centre = held.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min(order).alias("c")).where("x <> y").select("key", F.col("c.node").alias("b"))
+            pairs = held.select("key", F.col("node").alias("a")).join(centre, "key").select("a", "b")
+        else:
+            pairs = shared.select(F.col("node").alias("a"), F.col("c.node").alias("b"))
+        apart = (
+            pairs.where("a <> b").distinct().join(at("a"), "a", "left").join(at("b"), "b", "left").where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b"))
+            .select("a", "b").join(tested, ["a", "b"], "left_anti")
+        )
+        apart = materialise(apart, "apart")
+        if apart.isEmpty():
+            continue
+        tested = tested.unionByName(apart)
+        more = confirmed(apart)
+        if not more.isEmpty():
+            labels = with_links(labels, more)
 
     members = shared.where("size > 2").join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("size")).where("size > largest")
-    mixed = materialise(mixed.select("key", "main", "size"), "mixed")
-    held = members.join(mixed.where(F.col("size") <= BLOCK), "key").join(sketches, "node").join(texts, "node")
-    columns = ["key", "side", "node", "label", "n", "regs", "text"]
-    # Members outside the main component are on the left, and all on the right.
-    other = held.where("label <> main").withColumn("side", F.lit(0)).select(columns)
-    every = held.withColumn("side", F.when(F.col("label") == F.col("main"), 2).otherwise(1)).select(columns)
-    more = materialise(other.unionByName(every).groupBy("key").applyInArrow(_within(words, percent), "a long, b long"), "rest")
-    large = materialise(members.join(mixed.where(F.col("size") > BLOCK), "key").select("node", "label").distinct(), "large")
-    if not large.isEmpty():
-        more = more.unionByName(confirmed(prefix_pairs(large.join(texts, "node"), words, percent)))
+    mixed = (
+        sizes.groupBy("key").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("largest"), F.sum("n").alias("size")).where("size > largest")
+        .select("key", "main", F.ceil((F.col("size") - F.col("largest")) / BLOCK).cast("int").alias("few"), F.ceil(F.col("size") / BLOCK).cast("int").alias("many"))
+    )
+    held = members.join(mixed, "key").join(sketches, "node").join(texts, "node").withColumn("h", F.xxhash64("node"))
+    columns = ["key", "lo", "hi", "side", "node", "label", "n", "regs", "text"]
+    other = held.where("label <> main").withColumns({"lo": F.pmod("h", F.col("few")).cast("int"), "hi": F.explode(F.sequence(F.lit(0), F.col("many") - 1)), "side": F.lit(0)}).select(columns)
+    every = held.withColumns({"lo": F.explode(F.sequence(F.lit(0), F.col("few") - 1)), "hi": F.pmod("h", F.col("many")).cast("int"), "side": F.when(F.col("label") == F.col("main"), 2).otherwise(1)}).select(columns)
+    dealt = other.unionByName(every)
+    more = materialise(dealt.groupBy("key", "lo", "hi").applyInArrow(_within(words, percent), "a long, b long"), "rest")
     if not more.isEmpty():
-        labels = components(links.unionByName(more))
+        labels = with_links(labels, more)
 
     # The smallest id of each text, of each component, and then that of the component for each of its texts; rows come last, by text alone.
     rank = F.struct(F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.col("__node").alias("node"))
-    own = keyed.groupBy("__node").agg(F.min(rank).alias("first")).join(sketches.select(F.col("node").alias("__node"), "n"), "__node")
+    own = (ids or keyed).groupBy("__node").agg(F.min(rank).alias("first")).join(sketches.select(F.col("node").alias("__node"), "n"), "__node")
     linked = own.join(labels.withColumnRenamed("node", "__node"), "__node", "left")
     salt = F.pmod(F.xxhash64("__node"), F.lit(SALTS)).cast("int").alias("__salt")
     firsts = linked.where("label is not null").groupBy("label").agg(F.min("first").alias("__first")).withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -332,7 +304,7 @@ def _judged(docs: DataFrame, text_col: str, id_col: str, words: int, percent: in
     alone = F.col("n_shingles") == 0
     same = F.col(id_col).eqNullSafe(F.col("__first.id"))
     return (
-        keyed.select(*[f"`{n}`" for n in names], "__node").join(node, "__node")
+        (ids or keyed.select(*[f"`{n}`" for n in names], "__node")).join(node, "__node")
         .withColumn("component_id", F.when(alone, F.col(id_col)).otherwise(F.col("__first.id")))
         .withColumns({"kept": alone | same, "__one": alone | (same & (F.col("__node") == F.col("__first.node")))})
         .drop("__first")
