@@ -343,8 +343,8 @@ def test_texts_that_share_a_hash_are_different_nodes(spark, monkeypatch):
     assert minhash_dedup._nodes(df, "text").select("__node").distinct().count() == 20
 
 
-def test_links_in_large_buckets_come_from_rare_shingles(spark, monkeypatch):
-    """With every mixed bucket taken for large: chains of links, and pages of a template that make no pairs."""
+def test_links_are_found_in_blocks_of_any_size(spark, monkeypatch):
+    """With few centres and small blocks, links of varied copies come from the blocks."""
     from stimframe.llm import minhash_dedup
 
     g = random.Random(12)
@@ -357,11 +357,19 @@ def test_links_in_large_buckets_come_from_rare_shingles(spark, monkeypatch):
                 t[g.randrange(len(t))] = f"n{g.randint(0, 9999)}"
             texts.append(" ".join(t))
     classes, _ = near_classes(texts)
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 2)
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 5)
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
-    assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()} == dict(enumerate(classes))
-    template = " ".join(f"t{k}" for k in range(120))
-    pages = spark.createDataFrame([(k, k, f"{template} {' '.join(f'p{k}x{i}' for i in range(40))}".encode()) for k in range(300)], "node long, label long, text binary")
-    assert minhash_dedup.prefix_pairs(pages, 5, 75).count() == 0
-    near = pages.unionByName(spark.createDataFrame([(1000 + k, 1000 + k, f"{template} {' '.join(f'p{k}x{i}' for i in range(38))}".encode()) for k in range(9)], pages.schema))
-    assert {(r.a, r.b) for r in minhash_dedup.prefix_pairs(near, 5, 75).collect()} == {(1000 + k, k) for k in range(9)}
+    for rounds in (1, 3):
+        monkeypatch.setattr(minhash_dedup, "CENTRES", rounds)
+        assert {r.doc_id: r.component_id for r in minhash_dedup.near_duplicates(df).collect()} == dict(enumerate(classes))
+
+
+def test_components_after_more_links(spark):
+    from stimframe.llm.components import components, with_links
+
+    g = random.Random(13)
+    pairs = [tuple(g.sample(range(400), 2)) for _ in range(260)]
+    make = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    whole = sorted(map(tuple, components(make(pairs)).collect()))
+    assert sorted(map(tuple, with_links(components(make(pairs[:150])), make(pairs[150:])).collect())) == whole
+    assert sorted(map(tuple, with_links(components(make(pairs)), make([])).collect())) == whole
