@@ -24,7 +24,7 @@ COLLISION = 0.169919487159739093975315012348
 #: A large component's texts meet its smallest id in so many parts.
 SALTS = 32
 #: Members of a bucket that are compared with each other in one block, and rounds of centres before that.
-BLOCK, CENTRES = 384, 2
+BLOCK, CENTRES = 384, 1
 ADDED = ("n_shingles", "component_id", "kept")
 _SEEDS = (np.arange(1, ROUNDS + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))[:, None]
 _BOUNDS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS)
@@ -189,9 +189,8 @@ def near_duplicates(docs: DataFrame, text_col: str = "text", id_col: str = "doc_
     3. Each bucket has a centre, the first of its nodes in one order for all buckets. Every node is paired with the first of
        its buckets' centres, so that a group of any size gives as many pairs as nodes. Sketches rule out hopeless
        pairs, and full sets confirm the rest. Links give components.
-    4. In CENTRES rounds, each with another order and so other centres: where a bucket's centre is in another component than
-       a member, these two are paired and go the same way. In a group that is linked in many ways, however loosely, this
-       leaves few members outside the largest component.
+    4. In CENTRES rounds (further ones with other orders, and so other centres): where a bucket's centre is in another
+       component than a member, these two are paired and go the same way.
     5. In buckets of three or more that then still hold several components, the members outside the largest one are
        compared with all of other components, sketches first, then full sets, in blocks of BLOCK by BLOCK members spread
        over tasks; so no link between different texts is missed for want of a better centre. A block gives links alone,
