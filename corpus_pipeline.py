@@ -1,4 +1,8 @@
-"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Every stage takes an empty table to an empty result, keeps columns that it doesn't know, whatever they are called, and treats
+repeated rows as rows like others until exact dedup leaves one of them.
+"""
 
 from __future__ import annotations
 
@@ -15,27 +19,27 @@ from stimframe.session import materialise
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the counts, or are made of lines common on their host, go; the others lose those lines, counted before any document went."""
+    """Documents that fail the counts, or are made of lines common on their host, go; the others lose those lines, counted before any document went. Null and empty texts fail; a null source is a host of its own."""
     return clean_documents(docs)
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the largest doc_id stays."""
+    """Of equal texts (a null one counts as empty) the largest doc_id stays; a null id stays only where the group has no other."""
     return drop_exact_duplicates(docs, keep="largest")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents the smallest doc_id stays."""
+    """Of linked documents the smallest doc_id stays; texts without words are linked with nothing, and stay. Null ids come last."""
     return drop_near_duplicates(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come up to 1.5 times, none less than once."""
+    """Sources come up to 1.5 times, none less than once. A null source counts as the empty name, an empty text as one token."""
     return mix_sources(docs, max_repeat=1.5).drop(*MIXED)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text; decoding them gives the text back."""
+    """The ids of each text; decoding them gives the text back. Null and empty texts have no ids."""
     return encode(docs, MODEL, dropout=0.1)
 
 
