@@ -8,12 +8,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from stimframe.llm import pii, secrets
+from stimframe.llm.divergence import source_divergence
 from stimframe.llm.exact_dedup import exact_dedup
+from stimframe.llm.fingerprints import fingerprint
 from stimframe.llm.html_text import extract_text
 from stimframe.llm.language_id import held_out, identify, learn_dictionaries
 from stimframe.llm.minhash_dedup import near_duplicates
 from stimframe.llm.mixing import mix_sources
 from stimframe.llm.quality_rules import quality_rules
+from stimframe.llm.resampling import importance_resample
 from stimframe.llm.sentencepiece_codec import encode
 from stimframe.llm.toxicity import fit_toxicity, score_toxicity
 
@@ -88,8 +91,25 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "depleted", "n_frequent_lines")
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and of its edited text, and how alike they are."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return fingerprint(docs, carry=["doc_id"])
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of sources of a language, and the 200 telling terms of each source."""
+    return source_divergence(table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents of at least 20 words, drawn by their likeness to the benchmark's words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return importance_resample(docs, table(spark, sf_dir, "benchmark"), carry=["doc_id"])
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_exact_dedup, op4_pii, op5_minhash_dedup, op6_language_id, op7_html_text, op8_secrets, op9_toxicity, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_mixing, op2_sentencepiece, op3_exact_dedup, op4_pii, op5_minhash_dedup, op6_language_id, op7_html_text, op8_secrets, op9_toxicity, op10_quality_rules, op11_fingerprints, op12_source_divergence, op13_resampling)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -113,4 +133,36 @@ def oracle_sql() -> dict[str, str]:
                     coalesce(r.n, 0) AS n_repeat_words, coalesce(n_frequent_lines, 0) AS n_frequent_lines, coalesce(n_frequent_lines > 0 AND (own < 0.3 * total OR len(w) - fewer < 50), false) AS depleted
                   FROM d LEFT JOIN r USING (doc_id) LEFT JOIN z USING (host, t))
             SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words OR depleted) AS kept FROM c""",
+        "op12_source_divergence": r"""
+            WITH d AS (SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+                    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+            t AS (SELECT lang, source, term, count(*) AS n, count(DISTINCT r) AS docs FROM (SELECT r, lang, source, unnest(w) AS term FROM d) GROUP BY ALL),
+            k AS (SELECT lang, term, sum(n) AS n FROM t GROUP BY ALL HAVING sum(docs) >= 3),
+            g AS (SELECT DISTINCT lang, source FROM d),
+            v AS (SELECT lang, count(term) AS v, coalesce(sum(n), 0) AS total FROM (SELECT DISTINCT lang FROM d) LEFT JOIN k USING (lang) GROUP BY lang),
+            c AS (SELECT g.lang, g.source, k.term, coalesce(t.n, 0) AS n, k.n AS every FROM g JOIN k ON g.lang = k.lang LEFT JOIN t ON t.lang = g.lang AND t.source = g.source AND t.term = k.term),
+            s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL),
+            p AS (SELECT c.lang, c.source, c.term, c.n, 1 + (1000000000::HUGEINT * (c.n + 1)) // (s.total + v.v)::HUGEINT AS p, 1 + (1000000000::HUGEINT * (c.every + 1)::HUGEINT) // (v.total + v.v)::HUGEINT AS q
+                  FROM c JOIN s ON c.lang = s.lang AND c.source = s.source JOIN v ON c.lang = v.lang),
+            pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p)::BIGINT AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+                  UNION ALL SELECT a.lang, a.source, b.source, 0 FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source JOIN v ON a.lang = v.lang WHERE v.v = 0),
+            terms AS (SELECT lang, source, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM p WHERE n > 0 AND p > q)
+            SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM pairs
+            UNION ALL SELECT * FROM (SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, item)::INTEGER AS rank FROM terms) WHERE rank <= 200""",
+        "op13_resampling": r"""
+            WITH RECURSIVE x(i, k, c) AS (SELECT i, 0, i FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM x WHERE k < 8),
+            tab AS (SELECT list(c ORDER BY i) AS t FROM x WHERE k = 8),
+            d AS (SELECT 0 AS target, doc_id, text FROM documents UNION ALL SELECT 1, NULL, text FROM benchmark),
+            w AS (SELECT target, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM d),
+            f AS (SELECT target, doc_id, unnest(w) AS word FROM w),
+            b AS (SELECT word, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(len(h) // 2), lambda i: ('0x' || h[2 * i + 1 : 2 * i + 2])::BIGINT)), lambda c, y: xor(c >> 8, t[1 + (xor(c, y) & 255)])), 4294967295) % 10000 AS bucket
+                  FROM (SELECT word, hex(encode(word)) AS h FROM (SELECT DISTINCT word FROM f)), tab),
+            n AS (SELECT bucket, count(*) FILTER (target = 0) AS s, count(*) FILTER (target = 1) AS t FROM f JOIN b USING (word) GROUP BY bucket),
+            a AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM n),
+            g AS (SELECT bucket, floor(1000 * ln((n.t::DOUBLE + 1) * (a.s + 10000) / ((n.s::DOUBLE + 1) * (a.t + 10000))))::BIGINT AS gain FROM n, a),
+            m AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM f JOIN b USING (word) JOIN g USING (bucket) WHERE target = 0 GROUP BY doc_id),
+            e AS (SELECT w.doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('2024:' || w.doc_id)[1:8])::BIGINT AS h FROM w LEFT JOIN m ON w.doc_id = m.doc_id WHERE target = 0),
+            o AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM e),
+            r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM o WHERE n_features >= 20)
+            SELECT o.doc_id, n_features, weight, score, CASE WHEN rank <= (SELECT 10 * count(*) // 100 FROM r) THEN rank END AS rank FROM o LEFT JOIN r ON o.doc_id = r.doc_id""",
     }
