@@ -103,10 +103,11 @@ def with_block(packed: DataFrame, by: list[str], other: DataFrame, column: str,
     return packed.join(other.select(*[F.col(c).alias(o) for c, o in names.items()], F.col(column).alias(to)), on).drop(*names.values())
 
 
-def scan(packed: DataFrame, by: list[str], summarise: Callable[..., np.ndarray], chain: Callable[[list[np.ndarray]], list[np.ndarray]], finish: Callable[..., np.ndarray]) -> DataFrame:
-    """packed, which must be a written table, with each block's matrix replaced by finish(m, lead, trail, entry).
+def scan(packed: DataFrame, by: list[str], summarise: Callable[..., np.ndarray], chain: Callable[[list[np.ndarray]], list[np.ndarray]], finish: Callable[..., np.ndarray], *more: str) -> DataFrame:
+    """packed, which must be a written table, with each block's matrix replaced by finish(m, lead, trail, entry, *more).
 
     summarise(m, lead, trail) gives an array for a block, chain() from those of a series in order an array for each block: its entry.
+    `more` names other columns of packed that finish() needs.
     """
     sums = each_block(packed, by, summarise)
     schema = T.StructType([*_fields(packed, by), T.StructField("block", T.LongType()), T.StructField("entry", T.BinaryType())])
@@ -117,7 +118,7 @@ def scan(packed: DataFrame, by: list[str], summarise: Callable[..., np.ndarray],
         return pd.DataFrame({**{c: rows[c] for c in by}, "block": rows["block"], "entry": [np.ascontiguousarray(e, float).tobytes() for e in entries]})
 
     entries = sums.groupBy(*by).applyInPandas(lambda rows: link(rows), schema)
-    return each_block(with_block(packed, by, entries, "entry", "entry"), by, lambda m, lead, trail, e: finish(m, lead, trail, np.frombuffer(e, float)), "entry")
+    return each_block(with_block(packed, by, entries, "entry", "entry"), by, lambda m, lead, trail, e, *rest: finish(m, lead, trail, np.frombuffer(e, float), *rest), "entry", *more)
 
 
 def recurrence(packed: DataFrame, by: list[str], width: int, feedback: float, taps: tuple[float, ...]) -> DataFrame:
@@ -167,8 +168,8 @@ def best_path(local: np.ndarray, step: np.ndarray, entry: np.ndarray) -> tuple[n
     return costs, back
 
 
-def least_cost_path(packed: DataFrame, by: list[str], width: int, states: int, costs: Costs) -> DataFrame:
-    """packed with the states of the path of least cost through each series, as a matrix of one column.
+def least_cost_path(packed: DataFrame, by: list[str], width: int, states: int, costs: Costs, pick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """packed with the states of the path of least cost through each series, as a matrix of one column, or with pick(frames, states) of each block.
 
     costs(x) gives for a matrix of frames the cost of each state, (frames, states), and of each step into a frame, (frames, states,
     states); the step into a series' first frame is free. packed needs a lead of one frame. A block's summary is the matrix of least costs from each
@@ -208,7 +209,7 @@ def least_cost_path(packed: DataFrame, by: list[str], width: int, states: int, c
         for t in range(len(local) - 1, -1, -1):
             path[t] = at
             at = back[t, at]
-        return path[:, None]
+        return path[:, None] if pick is None else pick(matrix(m, width)[lead : lead + len(path)], path.astype(int))
 
     return scan(packed, by, summarise, chain, finish)
 
@@ -218,9 +219,9 @@ def rasta(packed: DataFrame, by: list[str], width: int, feedback: float = 0.98)
     return recurrence(packed, by, width, feedback, (0.2, 0.1, 0.0, -0.1, -0.2))
 
 
-def smoothed(packed: DataFrame, by: list[str], width: int, nonzero: tuple[int, ...] = ()) -> DataFrame:
-    """packed with the mean of three frames; of the `nonzero` columns zeros don't count and stay zero. Needs a lead and a trail of one frame."""
-    nz = np.isin(np.arange(width), nonzero)
+def smoothed(packed: DataFrame, by: list[str], width: int, nonzero: tuple[int, ...] = (), plain: tuple[int, ...] = ()) -> DataFrame:
+    """packed with the mean of three frames; of the `nonzero` columns zeros don't count and stay zero, the `plain` ones stay as they are. Needs a lead and a trail of one frame."""
+    nz, same = np.isin(np.arange(width), nonzero), np.isin(np.arange(width), plain)
 
     def run(m: bytes, lead: int, trail: int) -> np.ndarray:
         x = matrix(m, width)
@@ -229,10 +230,78 @@ def smoothed(packed: DataFrame, by: list[str], width: int, nonzero: tuple[int, .
         v, c = pad(x * counts), pad(counts)
         total, n = v[:-2] + v[1:-1] + v[2:], c[:-2] + c[1:-1] + c[2:]
         own = x[lead : len(x) - trail]
-        return np.where(nz[None] & (own == 0), 0.0, total / np.maximum(n, 1))
+        return np.where(same[None] | nz[None] & (own == 0), own, total / np.maximum(n, 1))
+
+    return each_block(packed, by, run)
+
+
+def deltas(packed: DataFrame, by: list[str], width: int, reach: int = 2) -> DataFrame:
+    """packed with the regression slope over `reach` frames on either side; beyond an end the last frame stands in. Needs a lead and a trail of reach frames."""
+
+    def run(m: bytes, lead: int, trail: int) -> np.ndarray:
+        x = matrix(m, width)
+        x = np.concatenate((np.repeat(x[:1], reach - lead, 0), x, np.repeat(x[-1:], reach - trail, 0)))
+        n = len(x) - 2 * reach
+        return sum(k * (x[reach + k : reach + k + n] - x[reach - k : reach - k + n]) for k in range(1, reach + 1)) / (2 * sum(k * k for k in range(1, reach + 1)))
 
     return each_block(packed, by, run)
 
 
 def written(packed: DataFrame) -> DataFrame:
     return materialise(packed, "packed")
+
+
+def turns(packed: DataFrame, by: list[str], width: int, column: int, spread: str, least: float = 0.1, nonzero: bool = False) -> DataFrame:
+    """Of each block: how many steps between turns rise by more than `least` of the spread, the mean of their slopes (a frame is a step of time) and the sum of squares about it; the same of those that fall; as a matrix of one row.
+
+    A turn is a value over the one before and not under the one after, or the other way round; with nonzero zeros are passed over. A step goes from
+    one turn to the next, and belongs to the block in which that is decided. spread names a column of packed, a written table without lead and trail. What a block
+    needs of earlier ones are two values and the last turn, which blocks of any size pass on.
+    """
+    none = np.nan
+    turn = lambda x, y, z: (y > x and y >= z) or (y < x and y <= z)
+
+    def own(m: bytes) -> np.ndarray:
+        v = matrix(m, width)[:, column]
+        return v[v != 0] if nonzero else v
+
+    def found(v: np.ndarray) -> np.ndarray:
+        x, y, z = v[:-2], v[1:-1], v[2:]
+        return np.flatnonzero((y > x) & (y >= z) | (y < x) & (y <= z)) + 1
+
+    def summarise(m: bytes, lead: int, trail: int) -> np.ndarray:
+        v = own(m)
+        at = found(v)
+        first, last = (v[0], v[-1]) if len(v) else (none, none)
+        second, before = (v[1], v[-2]) if len(v) > 1 else (none, none)
+        return np.array([len(v), first, second, before, last, at[-1] if len(at) else none, v[at[-1]] if len(at) else none])
+
+    def chain(sums: list[np.ndarray]) -> list[np.ndarray]:
+        a, b, pos, at, value = none, none, 0.0, none, none
+        out = []
+        for n, first, second, before, last, inner, high in sums:
+            out.append(np.array([a, b, pos, at, value]))
+            if n and turn(a, b, first):  # comparisons with NaN are false
+                at, value = pos - 1, b
+            if n > 1 and turn(b, first, second):
+                at, value = pos, first
+            if not np.isnan(inner):
+                at, value = pos + inner, high
+            a, b = (b, last) if n == 1 else (before, last) if n else (a, b)
+            pos += n
+        return out
+
+    def finish(m: bytes, lead: int, trail: int, entry: np.ndarray, width_of_range: float | None) -> np.ndarray:
+        a, b, pos, at, value = entry
+        head = [x for x in (a, b) if not np.isnan(x)]
+        v = np.concatenate((head, own(m)))
+        k = found(v)
+        where, high = pos - len(head) + k, v[k]
+        if not np.isnan(at):
+            where, high = np.append(at, where), np.append(value, high)
+        dv, dt = np.diff(high), np.diff(where)
+        kept = np.abs(dv) > least * (width_of_range or 0.0)
+        slopes = [dv[kept & up] / dt[kept & up] for up in (dv > 0, dv < 0)]
+        return np.array([[x for s in slopes for x in (len(s), s.mean() if len(s) else 0.0, ((s - s.mean()) ** 2).sum() if len(s) else 0.0)]])
+
+    return scan(packed, by, summarise, chain, finish, spread)
