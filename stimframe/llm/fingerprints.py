@@ -128,7 +128,7 @@ def common_extensions(pairs: DataFrame, left: str, right: str, at_left: str, at_
     places as 0, a null length gives a null; added columns replace others of their names; every row is by itself, with no shuffle.
     """
     rows = without(pairs, ["forward", "backward", "equal", *_OWN])
-    more = ["forward", "backward", *(["equal"] if length else [])]
+    more, names = ["forward", "backward", *(["equal"] if length else [])], rows.columns
     cols = [F.coalesce(F.col(c), F.lit("")).alias(f"__{k}") for k, c in (("a", left), ("b", right))] + [F.coalesce(F.col(c).cast("long"), F.lit(0).cast("long")).alias(f"__{k}") for k, c in (("i", at_left), ("j", at_right))]
     cols += [F.col(length).cast("long").alias("__n")] if length else []
     out = T.StructType([*[T.StructField(f.name, f.dataType) for f in rows.schema], *[T.StructField(c, T.BooleanType() if c == "equal" else T.LongType()) for c in more]])
@@ -147,9 +147,9 @@ def common_extensions(pairs: DataFrame, left: str, right: str, at_left: str, at_
                     wanted = batch.column("__n").fill_null(0).to_numpy()
                     fits = (wanted >= 0) & (wanted <= np.minimum(nx - i, ny - j))
                     found.append(pa.array(fits & h.same(x, i, y, j, np.where(fits, wanted, 0)), mask=batch.column("__n").is_null().to_numpy(zero_copy_only=False)))
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rows.columns), *found], schema=pa.schema([*(batch.schema.field(c) for c in rows.columns), *(pa.field(c, f.type) for c, f in zip(more, found))]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *found], names=[*names, *more])
 
-    return rows.select(*[F.col(f"`{c}`") for c in rows.columns], *cols).mapInArrow(run, out)
+    return rows.select(*[F.col(f"`{c}`") for c in names], *cols).mapInArrow(run, out)
 
 
 def _compared(h: PrefixHashes, texts: list[str], now: np.ndarray, after: np.ndarray) -> list[pa.Array]:
