@@ -6,10 +6,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from stimframe.functions import signal
+from stimframe.operators import scans
 from stimframe.session import materialise
 
 #: An extractor takes a waveform and its rate and gives a (frames, features) matrix and the (frames, 2) times in seconds.
@@ -110,52 +113,66 @@ def extract(waves: DataFrame, feature: str, min_samples: int = 1, module: str =
     return waves.select("stim", "sample_rate", "waveform").mapInPandas(rows, "stim string, module string, frame int, features array<double>, t_start double, t_end double")
 
 
-#: Of the extractors that work by blocks of frames: samples of a frame and of its shift, zeros before and after the waveform, frames before a block that it needs.
-SHAPES = {"fbank": (400, 320, 0, 0), "mfcc": (2048, 512, 1024, 0), "lld": (400, 320, 0, 1), "voice": (400, 320, 0, 0)}
+#: Of the extractors that work by blocks of frames: samples of a frame and of its shift, zeros before and after the waveform, frames before a block that it needs, values of a frame.
+SHAPES = {"fbank": (400, 320, 0, 0, 23), "mfcc": (2048, 512, 1024, 0, 128), "lld": (400, 320, 0, 1, 14), "voice": (400, 320, 0, 0, len(VOICE))}
+
+
+def wave_blocks(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, length: int = 400, shift: int = 320, lead: int = 0, after: int = 0, pad: int = 0) -> DataFrame:
+    """(stim, block, lead, trail, m, wave): the samples of each block of frames, as 32-bit floats, of (stim, i, value) rows.
+
+    Value i of a stimulus (from 0, without gaps) is held for `hold` samples; there are `pad` zeros before the first and after the last. The samples go
+    `lead` frames back and `after` samples on, as far as the stimulus does. A block without a whole frame is left out; NULL values are 0. m is empty: kernels fill it.
+    """
+    low = F.col("i") * hold + pad  # counted from the padding
+    first = F.floor((low - after - length) / shift / block)
+    last = F.floor((F.floor((low + hold - 1) / shift) + lead) / block)
+    dealt = series.select("stim", "i", F.coalesce(F.col("value"), F.lit(0.0)).cast("float").alias("value"), F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("block"))
+    rows = dealt.groupBy("stim", "block").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("rows"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep, leads, waves = [], [], []
+            for k, (b, r) in enumerate(zip(batch.column("block").to_pylist(), batch.column("rows"))):
+                own = min(lead, b * block)
+                begin, end = (b * block - own) * shift - pad, (b * block + block - 1) * shift + length + after - pad
+                at = int(r.values.field("i")[0].as_py()) * hold
+                values = np.repeat(r.values.field("value").to_numpy(), hold)
+                wave = np.concatenate((np.zeros(max(0, at - begin), np.float32), values[max(0, begin - at) :]))[: end - begin]
+                if pad and at + len(values) < end:  # the stimulus ends here
+                    wave = np.concatenate((wave, np.zeros(min(pad, end - at - len(values)), np.float32)))
+                if len(wave) >= own * shift + length:
+                    keep.append(k)
+                    leads.append(own)
+                    waves.append(wave.astype(np.float32).tobytes())
+            kept = batch.take(pa.array(keep, pa.int32()))
+            n = len(keep)
+            yield pa.RecordBatch.from_arrays([kept.column("stim"), kept.column("block"), pa.array(leads, pa.int32()), pa.repeat(pa.scalar(0, pa.int32()), n), pa.array([b""] * n, pa.binary()), pa.array(waves, pa.binary())], names=["stim", "block", "lead", "trail", "m", "wave"])
+
+    return rows.mapInArrow(run, T.StructType([*scans.packed_schema(series.withColumn("block", F.lit(0)), ["stim"]), T.StructField("wave", T.BinaryType())]))
 
 
 def extract_series(series: DataFrame, feature: str, hold: int, rate: int = 16_000, block: int = 2048) -> DataFrame:
     """(stim, frame, features) of (stim, i, value) rows, value i of a stimulus held for `hold` samples, with the default parameters.
 
-    Equal to extract() on whole waveforms, but a group is a block of frames with the samples that they overlap, so that no
+    Equal to extract() on whole waveforms, but works on blocks of frames with the samples that they overlap, so that no
     task and no row holds a whole stimulus. The top that MFCC needs is joined back from an aggregate.
     """
-    length, shift, pad, lead = SHAPES[feature]
-    low = F.col("i") * hold + pad  # first sample of the value, counted from the padding
-    first = F.greatest(F.floor((low - length) / shift), F.lit(-1)) + 1  # frames that the value touches
-    last = F.floor((low + hold - 1) / shift)
-    to = lambda frame: F.floor(frame / block)
-    dealt = series.select("stim", "i", F.col("value").cast("float").alias("value"), F.explode(F.sequence(to(first), to(last + lead))).alias("block"))
-    run = None if feature == "mfcc" else EXTRACTORS[feature]()
-
-    def kernel(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        stim, at = key[0], int(key[1]) * block
-        ahead = min(at, lead)
-        part = part.sort_values("i")
-        begin = (at - ahead) * shift - pad  # of the waveform's samples, those of the block; before the first there are zeros
-        end = (at + block - 1) * shift - pad + length
-        values = np.repeat(part["value"].to_numpy(float), hold)
-        start = int(part["i"].iloc[0]) * hold
-        wave = np.concatenate((np.zeros(max(0, start - begin)), values[max(0, begin - start) :]))[: end - begin]
-        if pad and start + len(values) < end:  # the stimulus ends here
-            wave = np.concatenate((wave, np.zeros(min(pad, end - start - len(values)))))
-        m = signal.mel_db(wave, rate) if run is None else run(wave, rate)[0]
-        m = m[ahead : ahead + block]
-        return pd.DataFrame({"stim": stim, "frame": np.arange(at, at + len(m), dtype=np.int32), "features": pd.Series(list(m), dtype=object)})
-
-    out = dealt.groupBy("stim", "block").applyInPandas(kernel, "stim string, frame int, features array<double>")
-    if feature != "mfcc":
-        return out
-    held = materialise(out, "mel")
-    top = held.groupBy("stim").agg(F.max(F.array_max("features")).alias("__top"))
-
-    def finish(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            if len(part):
-                db = np.maximum(np.stack(part["features"]), part["__top"].to_numpy()[:, None] - 80)
-                yield pd.DataFrame({"stim": part["stim"], "frame": part["frame"], "features": list(db @ signal.dct(db.shape[1], 20).T)})
-
-    return held.join(top, "stim").mapInPandas(finish, "stim string, frame int, features array<double>")
+    length, shift, pad, lead, width = SHAPES[feature]
+    run = signal.mel_db if feature == "mfcc" else EXTRACTORS[feature]()
+
+    def kernel(m: bytes, ahead: int, trail: int, wave: bytes) -> np.ndarray:
+        out = run(np.frombuffer(wave, np.float32).astype(float), rate)
+        return (out if feature == "mfcc" else out[0])[ahead : ahead + block]
+
+    packed = scans.each_block(wave_blocks(series, hold, block, length, shift, lead, 0, pad), ["stim"], kernel, "wave")
+    if feature == "mfcc":
+        packed = materialise(packed, "mel")
+        highest = scans.each_block(packed, ["stim"], lambda m, lead, trail: np.frombuffer(m, float).max(keepdims=True))
+        top = scans.unpack(highest, ["stim"], 1).groupBy(F.col("stim").alias("__stim")).agg(F.max(F.col("features")[0]).alias("top"))
+        packed = packed.join(top, F.col("stim").eqNullSafe(F.col("__stim"))).drop("__stim")
+        packed = scans.each_block(packed, ["stim"], lambda m, lead, trail, top: np.maximum(scans.matrix(m, 128), top - 80) @ signal.dct(128, 20).T, "top")
+        width = 20
+    return scans.unpack(packed, ["stim"], width, block=block).select("stim", F.col("frame").cast("int").alias("frame"), "features")
 
 
 def pad_silence(waves: DataFrame, samples: int) -> DataFrame:

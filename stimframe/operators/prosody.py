@@ -12,13 +12,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stimframe.functions import signal, voice
 from stimframe.operators import scans
+from stimframe.operators.extract import wave_blocks
 from stimframe.operators.rank import quantiles
 from stimframe.session import materialise
 
@@ -39,38 +39,6 @@ COMPARE = (
 )
 
 
-def wave_blocks(series: DataFrame, hold: int = 1, block: int = scans.BLOCK) -> DataFrame:
-    """(stim, block, lead, trail, m, wave): the samples of each block of frames, as 32-bit floats, of (stim, i, value) rows at 16 kHz.
-
-    Value i of a stimulus (from 0, without gaps) is held for `hold` samples. The samples go LEAD frames back and AFTER samples on, as far as the stimulus does. A
-    block without a whole frame is left out. m is empty: kernels fill it.
-    """
-    low = F.col("i") * hold
-    first = F.floor((low - AFTER - LENGTH) / SHIFT / block)
-    last = F.floor((F.floor((low + hold - 1) / SHIFT) + LEAD) / block)
-    dealt = series.select("stim", "i", F.coalesce(F.col("value"), F.lit(0.0)).cast("float").alias("value"), F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("block"))
-    rows = dealt.groupBy("stim", "block").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("rows"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep, leads, waves = [], [], []
-            for k, (b, r) in enumerate(zip(batch.column("block").to_pylist(), batch.column("rows"))):
-                lead = min(LEAD, b * block)
-                begin, end = (b * block - lead) * SHIFT, (b * block + block - 1) * SHIFT + LENGTH + AFTER
-                at = int(r.values.field("i")[0].as_py()) * hold
-                wave = np.repeat(r.values.field("value").to_numpy(), hold)[max(0, begin - at) :][: end - begin]
-                if len(wave) >= lead * SHIFT + LENGTH:
-                    keep.append(k)
-                    leads.append(lead)
-                    waves.append(wave.astype(np.float32).tobytes())
-            kept = batch.take(pa.array(keep, pa.int32()))
-            n = len(keep)
-            yield pa.RecordBatch.from_arrays([kept.column("stim"), kept.column("block"), pa.array(leads, pa.int32()), pa.repeat(pa.scalar(0, pa.int32()), n), pa.array([b""] * n, pa.binary()), pa.array(waves, pa.binary())], names=["stim", "block", "lead", "trail", "m", "wave"])
-
-    schema = T.StructType([T.StructField("stim", series.schema["stim"].dataType), T.StructField("block", T.LongType()), T.StructField("lead", T.IntegerType()), T.StructField("trail", T.IntegerType()), T.StructField("m", T.BinaryType()), T.StructField("wave", T.BinaryType())])
-    return rows.mapInArrow(run, schema)
-
-
 def _framed(wave: bytes, lead: int, block: int) -> tuple[np.ndarray, np.ndarray]:
     """The samples, and the frames of a block with those before it."""
     x = np.frombuffer(wave, np.float32).astype(float)
@@ -145,6 +113,13 @@ SETS = {"egemaps": Settings(55.0, 1000.0, 0.10, _egemaps_before, _egemaps_after)
 _WIDTHS = {"egemaps": 2 * CANDIDATES + 17, "compare": 2 * CANDIDATES + 58}
 
 
+def pitch(series: DataFrame, kind: str = "egemaps", hold: int = 1, block: int = scans.BLOCK) -> DataFrame:
+    """(stim, frame, features): pitch in Hz on the path of least cost through six candidates a frame (0: unvoiced or silent), and how voiced that frame is."""
+    blocks = materialise(wave_blocks(series, hold, block, LENGTH, SHIFT, LEAD, AFTER), "waves")
+    two = scans.each_block(pitch_path(blocks, kind, block), ["stim"], lambda m, lead, trail: scans.matrix(m, _WIDTHS[kind] - 2 * CANDIDATES + 2)[:, :2])
+    return scans.unpack(two, ["stim"], 2, block=block)
+
+
 def pitch_path(blocks: DataFrame, kind: str = "egemaps", block: int = scans.BLOCK) -> DataFrame:
     """Packed (f0, voicing, and what the set's kernel gives before the pitch is known) of the blocks: f0 is that of the path of least cost, 0 for unvoiced and silent frames."""
     chosen, n = SETS[kind], CANDIDATES
@@ -195,7 +170,7 @@ _ALL = len(EGEMAPS) + len(_NZ) + len(_V) + 5 + 1
 
 
 def _smooth_egemaps(series: DataFrame, hold: int, block: int) -> DataFrame:
-    blocks = materialise(wave_blocks(series, hold, block), "waves")
+    blocks = materialise(wave_blocks(series, hold, block, LENGTH, SHIFT, LEAD, AFTER), "waves")
 
     def select(m: bytes, lead: int, trail: int) -> np.ndarray:
         x = scans.matrix(m, len(EGEMAPS) + 1)
@@ -212,7 +187,7 @@ def compare(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, delta: b
 
     The auditory spectrum is filtered over time (RASTA) in the logarithm. Zeros of what is unvoiced stay zero. An empty table gives an empty result; NULL samples are 0.
     """
-    blocks, n = materialise(wave_blocks(series, hold, block), "waves"), len(COMPARE)
+    blocks, n = materialise(wave_blocks(series, hold, block, LENGTH, SHIFT, LEAD, AFTER), "waves"), len(COMPARE)
     raw = scans.written(_contours(blocks, "compare", block))
     logs = scans.each_block(raw, ["stim"], lambda m, lead, trail: scans.matrix(m, n)[:, 4:30])
     filtered = scans.rasta(scans.written(_repacked_back(logs, 26, block, 4)), ["stim"], 26)

@@ -682,3 +682,35 @@ def temporal_rates(spark, d):
 
     v = extract_series(_series(spark, d), "voice", 160).select("stim", "frame", *[F.col("features")[VOICE.index(c)].alias(c) for c in ("loudness", "f0")])
     return rounded(functionals.temporal_rates(v, ["stim"], ["frame"], "loudness", "f0", 0.02), "peaks_per_second", "voiced_per_second", "mean_voiced", "sd_voiced", "mean_unvoiced", "sd_unvoiced")
+
+
+@query()
+def pitch_path(spark, d):
+    """Pitch of each user's series on the path of least cost through the candidates of its frames."""
+    from stimframe.operators import prosody
+
+    return rounded(vectors.exploded(prosody.pitch(_series(spark, d), hold=160), ["stim", "frame"], "features"), "x")
+
+
+@query()
+def egemaps_descriptors(spark, d):
+    """The 25 low-level descriptors of the eGeMAPS set."""
+    from stimframe.operators import prosody
+
+    return rounded(vectors.exploded(prosody.egemaps(_series(spark, d), 160), ["stim", "frame"], "features"), "x")
+
+
+@query()
+def egemaps_functionals(spark, d):
+    """The 88 functionals of the eGeMAPS set of each user's series."""
+    from stimframe.operators import prosody
+
+    return rounded(vectors.exploded(prosody.egemaps_functionals(_series(spark, d), 160), ["stim"], "features"), "x")
+
+
+@query()
+def compare_descriptors(spark, d):
+    """The 65 low-level descriptors of the ComParE set and their slopes."""
+    from stimframe.operators import prosody
+
+    return rounded(vectors.exploded(prosody.compare(_series(spark, d), 160, delta=True), ["stim", "frame"], "features"), "x")
