@@ -127,7 +127,7 @@ def wave_blocks(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, leng
     first = F.floor((low - after - length) / shift / block)
     last = F.floor((F.floor((low + hold - 1) / shift) + lead) / block)
     dealt = series.select("stim", "i", F.coalesce(F.col("value"), F.lit(0.0)).cast("float").alias("value"), F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("block"))
-    rows = dealt.groupBy("stim", "block").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("rows"))
+    rows = scans.spread(dealt, "stim", "block").groupBy("stim", "block").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -23,6 +23,15 @@ BLOCK = 2048
 _PACKED = ("block", "lead", "trail", "m")
 
 
+def spread(df: DataFrame, *by: str) -> DataFrame:
+    """df dealt by these columns to as many tasks as the cluster runs at once, or as a shuffle has.
+
+    Kernels take long over few bytes; sized by bytes, blocks would be put together in a few tasks.
+    """
+    spark = df.sparkSession
+    return df.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), *by)
+
+
 def matrix(m: bytes, width: int) -> np.ndarray:
     return np.frombuffer(m, float).reshape(-1, width)
 
@@ -44,7 +53,7 @@ def pack(df: DataFrame, by: list[str], frame: str, values: str, block: int = BLO
     at = F.col(frame).cast("long")
     to = lambda x: F.floor(x / block)
     dealt = df.select(*by, at.alias("__f"), F.col(values).cast("array<double>").alias("__v"), F.explode(F.sequence(F.greatest(to(at - trail), F.lit(0)), to(at + lead))).alias("block"))
-    rows = dealt.groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("__f", "__v"))).alias("rows"))
+    rows = spread(dealt, *by, "block").groupBy(*by, "block").agg(F.array_sort(F.collect_list(F.struct("__f", "__v"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
