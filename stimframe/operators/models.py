@@ -19,42 +19,61 @@ FOLDS = 1000
 UNROLLED = 16
 
 
+#: Rows of a matrix of sums that go as one piece; bytes of matrices that a task holds before it sends them.
+PIECE, HELD = 64, 1 << 28
+
+
+def _numbers(col: pa.Array, n: int) -> np.ndarray:
+    return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
+
+
 def gram(df: DataFrame, features: str, targets: str | None = None, fold: str | Sequence[str] | None = None) -> dict[int, tuple[int, np.ndarray]]:
     """Sums of products of the row (features, targets, 1), by fold: n and a matrix of (d + t + 1) squared.
 
-    Each task sums its own rows, so what moves is one matrix for each task and fold, whatever the number of rows. With several
-    fold columns, for repeated folds, all are summed in the same pass, under the numbers repeat * FOLDS + fold.
+    Each task sums its own rows, so what moves is one matrix for each task and fold, whatever the number of rows, in pieces of PIECE rows of the matrix that are
+    added up over Arrow; the driver gets the sums. With several fold columns, for repeated folds, all are summed in the same pass, under the numbers repeat * FOLDS + fold.
     """
     folds = [fold] if isinstance(fold, str) else list(fold or [])
 
-    def matrix(col: pa.Array, n: int) -> np.ndarray:
-        return col.flatten().to_numpy(zero_copy_only=False).reshape(n, -1)
-
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for b in batches:
             if not b.num_rows:
                 continue
-            m = np.column_stack([matrix(b.column("x"), b.num_rows), *([matrix(b.column("y"), b.num_rows)] if targets else []), np.ones(b.num_rows)])
-            for r, of in enumerate(matrix(b.column("folds"), b.num_rows).T.astype(int)):
-                for k in np.unique(of):
+            m = np.column_stack([_numbers(b.column("x"), b.num_rows), *([_numbers(b.column("y"), b.num_rows)] if targets else []), np.ones(b.num_rows)])
+            for r, of in enumerate(_numbers(b.column("folds"), b.num_rows).T.astype(int)):
+                for k in np.unique(of).tolist():
                     part = m[of == k]
-                    total[r * FOLDS + k] = total.get(r * FOLDS + k, 0) + part.T @ part
+                    if (r * FOLDS + k) in total:
+                        total[r * FOLDS + k] += part.T @ part
+                    else:
+                        total[r * FOLDS + k] = part.T @ part
         for k, g in total.items():
-            yield pa.record_batch([pa.array(np.full(g.size, k), pa.int32()), pa.array(np.arange(g.size), pa.int32()), pa.array(g.ravel())], names=["fold", "at", "v"])
+            for at in range(0, len(g), PIECE):
+                yield pa.record_batch([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([g[at : at + PIECE].tobytes()], pa.binary())], names=["fold", "at", "m"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for b in batches:
+            for k, at, m in zip(*(b.column(c).to_pylist() for c in ("fold", "at", "m"))):
+                x = np.frombuffer(m, float)
+                sums[k, at] = sums[k, at] + x if (k, at) in sums else x
+        for (k, at), x in sums.items():
+            yield pa.record_batch([pa.array([k], pa.int32()), pa.array([at], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["fold", "at", "m"])
 
     rows = df.select(
         F.col(features).cast("array<double>").alias("x"), (F.col(targets).cast("array<double>") if targets else F.array(F.lit(0.0))).alias("y"),
         F.array(*[F.col(f).cast("double") for f in folds] or [F.lit(0.0)]).alias("folds"),
     )
-    sums = rows.mapInArrow(partial, "fold int, at int, v double").groupBy("fold", "at").agg(F.sum("v").alias("v")).collect()
-    out: dict[int, np.ndarray] = {}
-    for r in sums:
-        out.setdefault(r.fold, {})[r["at"]] = r.v
+    schema = "fold int, at int, m binary"
+    pieces: dict[int, dict[int, np.ndarray]] = {}
+    for r in rows.mapInArrow(partial, schema).repartition("fold", "at").mapInArrow(add, schema).collect():
+        pieces.setdefault(r.fold, {})[r["at"]] = np.frombuffer(r.m, float)
     found = {}
-    for k, cells in out.items():
-        d = round(len(cells) ** 0.5)
-        g = np.array([cells[i] for i in range(d * d)]).reshape(d, d)
+    for k, parts in pieces.items():
+        flat = np.concatenate([parts[at] for at in sorted(parts)])
+        d = round(len(flat) ** 0.5)
+        g = flat.reshape(d, d)
         found[k] = (round(g[-1, -1]), g)
     return found
 
@@ -68,28 +87,56 @@ def lstsq(df: DataFrame, features: str, targets: str, dims: int) -> np.ndarray:
 def solved_by(df: DataFrame, by: str, features: str, targets: str, dims: int, n_targets: int = 1, alpha: float | None = None, scale: bool = True) -> DataFrame:
     """(by, weights) of a model for each group, the weights as an array by dimension of arrays by target.
 
-    Least squares of minimum norm without intercept, or with alpha ridge with one, on z-scored features or (scale=False) centred ones. The sums of products are
-    aggregates with a partial sum in each task; each group's are then solved where they are, so that any number of groups will do.
+    Least squares of minimum norm without intercept, or with alpha ridge with one, on z-scored features or (scale=False) centred ones. Each task sums the products of its
+    rows in a matrix for each group, and sends them when it holds HELD bytes; a group's matrices are added up and solved one after the other, so that any number of groups and rows will do, and
+    groups of as many dimensions as a matrix in a row holds.
     """
-    names = [F.get(features, F.lit(i)).cast("double") for i in range(dims)] + [F.get(targets, F.lit(i)).cast("double") for i in range(n_targets)] + [F.lit(1.0)]
-    size = len(names)
-    places = [(i, j) for i in range(size) for j in range(i, size)]
-    sums = df.groupBy(by).agg(*[F.sum(names[i] * names[j]).alias(f"s{k}") for k, (i, j) in enumerate(places)])
+    size = dims + n_targets + 1
     out = T.StructType([df.schema[by], T.StructField("weights", T.ArrayType(T.ArrayType(T.DoubleType())))])
 
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(key, g: np.ndarray, kind: pa.DataType) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([g.tobytes()], pa.binary())], names=[by, "m"])
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, kind = {}, None
         for b in batches:
-            cells = np.column_stack([b.column(f"s{k}").to_numpy(zero_copy_only=False) for k in range(len(places))]) if b.num_rows else []
-            found = []
-            for row in cells:
-                g = np.zeros((size, size))
-                for (i, j), v in zip(places, row):
-                    g[i, j] = g[j, i] = v
-                w = np.linalg.pinv(g[:dims, :dims], hermitian=True) @ g[:dims, dims:-1] if alpha is None else _ridge(g, dims, alpha, scale)[0]
-                found.append(w.tolist())
-            yield pa.RecordBatch.from_arrays([b.column(by), pa.array(found, pa.list_(pa.list_(pa.float64())))], names=[by, "weights"])
-
-    return sums.select(by, *[f"s{k}" for k in range(len(places))]).mapInArrow(solve, out)
+            if not b.num_rows:
+                continue
+            kind = b.column(by).type
+            m = np.column_stack([_numbers(b.column("x"), b.num_rows)[:, :dims], _numbers(b.column("y"), b.num_rows)[:, :n_targets], np.ones(b.num_rows)])
+            codes = b.column(by).dictionary_encode("encode")
+            keys, of = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+            order = np.argsort(of, kind="stable")
+            for part in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+                key, x = keys[of[part[0]]], m[part]
+                total[key] = total[key] + x.T @ x if key in total else x.T @ x
+                if len(total) * size * size * 8 > HELD:
+                    for k, g in total.items():
+                        yield row(k, g, kind)
+                    total = {}
+        for k, g in total.items():
+            yield row(k, g, kind)
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def solved() -> pa.RecordBatch:
+            g = total.reshape(size, size)
+            w = np.linalg.pinv(g[:dims, :dims], hermitian=True) @ g[:dims, dims:-1] if alpha is None else _ridge(g, dims, alpha, scale)[0]
+            return pa.RecordBatch.from_arrays([pa.array([key], kind), pa.array([w.tolist()], pa.list_(pa.list_(pa.float64())))], names=[by, "weights"])
+
+        key, total, kind = None, None, None
+        for b in batches:  # in order of the groups
+            kind = b.column(by).type
+            for k, m in zip(b.column(by).to_pylist(), b.column("m").to_pylist()):
+                if total is not None and k != key:
+                    yield solved()
+                    total = None
+                key, total = k, np.frombuffer(m, float) + (0 if total is None else total)
+        if total is not None:
+            yield solved()
+
+    rows = df.select(by, F.col(features).cast("array<double>").alias("x"), F.col(targets).cast("array<double>").alias("y"))
+    sums = rows.mapInArrow(partial, T.StructType([df.schema[by], T.StructField("m", T.BinaryType())]))
+    return sums.repartition(by).sortWithinPartitions(by).mapInArrow(solve, out)
 
 
 def predict(df: DataFrame, features: str, weights: np.ndarray, to: str = "pred", offset: np.ndarray | None = None) -> DataFrame:

@@ -108,3 +108,26 @@ def test_levinson():
         x[i] = 1.2 * x[i - 1] - 0.5 * x[i - 2] + noise[i]
     a, _ = signal.levinson(np.array([x[: 5000 - k] @ x[k:] for k in range(3)]), 2)
     assert np.allclose(a, [-1.2, 0.5], atol=0.05)
+
+
+def test_sums_of_products_of_many_dimensions(spark):
+    """Matrices move in pieces; equal to numpy for every fold, and by group."""
+    g = np.random.default_rng(21)
+    n, d = 600, 150
+    x, y = g.normal(size=(n, d)), g.normal(size=(n, 2))
+    rows = [(i, a.tolist(), b.tolist(), i % 3, i % 2, None if i % 4 == 0 else f"g{i % 4}") for i, (a, b) in enumerate(zip(x, y))]
+    df = spark.createDataFrame(rows, "id long, x array<double>, y array<double>, f int, h int, k string").repartition(5)
+    got = models.gram(df, "x", "y", ["f", "h"])
+    m = np.column_stack((x, y, np.ones(n)))
+    assert got.keys() == {0, 1, 2, models.FOLDS, models.FOLDS + 1}
+    for k, (count, s) in got.items():
+        own = m[np.arange(n) % (3 if k < models.FOLDS else 2) == k % models.FOLDS]
+        assert count == len(own) and np.allclose(s, own.T @ own)
+    fits = {r.k: np.array(r.weights) for r in models.solved_by(df, "k", "x", "y", d, 2, alpha=1.0).collect()}
+    assert fits.keys() == {None, "g1", "g2", "g3"}
+    for k, w in fits.items():
+        at = np.array([r[5] == k for r in rows])
+        z = (x[at] - x[at].mean(0)) / x[at].std(0)
+        want = np.linalg.solve(z.T @ z + np.eye(d), z.T @ (y[at] - y[at].mean(0))) / x[at].std(0)[:, None]
+        assert np.allclose(w, want)
+    assert models.solved_by(df.where("id < 0"), "k", "x", "y", d, 2).count() == 0
