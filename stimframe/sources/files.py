@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from stimframe.operators.identity import name_key
 from stimframe.operators.rank import ranked
+from stimframe.sources import flac
 
 
 def scan_binary(spark: SparkSession, path: str, glob: str, recursive: bool = False, ignore: list[str] | None = None, search: list[str] | None = None) -> DataFrame:
@@ -79,8 +80,25 @@ def drop_loudness(features: DataFrame) -> DataFrame:
     return features.withColumn("features", drop_channel(F.col("features"), 12, 13))
 
 
+def _samples(content: bytes) -> tuple[int, np.ndarray]:
+    """Rate and samples, (n, channels) within -1 and 1, of a WAV or FLAC file."""
+    if content[:4] == b"fLaC":
+        own, depth, x = flac.decode(content)
+        return own, x / float(1 << (depth - 1))
+    with wave.open(io.BytesIO(content)) as w:
+        width, channels, own, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
+    if width == 1:
+        x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
+    elif width == 3:
+        b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
+        x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
+    else:
+        x = np.frombuffer(raw, f"<i{width}").astype(float) / float(1 << (8 * width - 1))
+    return own, x.reshape(-1, channels)
+
+
 def read_audio(files: DataFrame, rate: int = 16_000, keep_failed: bool = False) -> DataFrame:
-    """(stim, sample_rate, waveform) of mono or mixed-down PCM WAV files, resampled.
+    """(stim, sample_rate, waveform) of mono or mixed-down PCM WAV and FLAC files, resampled.
 
     Files that can't be decoded are left out, or with keep_failed have no waveform, and the reason in a column error.
     """
@@ -90,20 +108,11 @@ def read_audio(files: DataFrame, rate: int = 16_000, keep_failed: bool = False)
         for part in parts:
             for stim, content in zip(part["stim"], part["content"]):
                 try:
-                    with wave.open(io.BytesIO(content)) as w:
-                        width, channels, own, raw = w.getsampwidth(), w.getnchannels(), w.getframerate(), w.readframes(w.getnframes())
-                except (wave.Error, EOFError) as e:
+                    own, x = _samples(bytes(content))
+                except (wave.Error, EOFError, ValueError) as e:
                     yield pd.DataFrame({"stim": [stim], "sample_rate": [rate], "waveform": [None], "error": [str(e) or "the file ends early"]})
                     continue
-                if width == 1:
-                    x = (np.frombuffer(raw, np.uint8).astype(float) - 128) / 128
-                elif width == 3:
-                    b = np.frombuffer(raw, np.uint8).reshape(-1, 3).astype(np.int32)
-                    x = ((b[:, 0] << 8 | b[:, 1] << 16 | b[:, 2] << 24) >> 8) / float(1 << 23)
-                else:
-                    x = np.frombuffer(raw, f"<i{width}").astype(float) / float(1 << (8 * width - 1))
-                x = resample(x.reshape(-1, channels).mean(1), own, rate)
-                yield pd.DataFrame({"stim": [stim], "sample_rate": [rate], "waveform": [x.astype(np.float32)], "error": [None]})
+                yield pd.DataFrame({"stim": [stim], "sample_rate": [rate], "waveform": [resample(x.mean(1), own, rate).astype(np.float32)], "error": [None]})
 
     found = files.select("stim", "content").mapInPandas(decode, "stim string, sample_rate int, waveform array<float>, error string")
     return found if keep_failed else found.where("error is null").drop("error")
