@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import wave
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from stimframe.operators.identity import name_key
 from stimframe.operators.rank import ranked
 from stimframe.sources import flac
+from stimframe.sources.npz import NpzSource
 
 
 def scan_binary(spark: SparkSession, path: str, glob: str, recursive: bool = False, ignore: list[str] | None = None, search: list[str] | None = None) -> DataFrame:
@@ -34,13 +36,13 @@ def scan_binary(spark: SparkSession, path: str, glob: str, recursive: bool = Fal
 
 
 def select_stimuli(spark: SparkSession, path: str, names: list[str] | None = None, recursive: bool = False) -> DataFrame:
-    """Audio files in order of their stimulus, of the names if given; no file is an error."""
+    """Audio files, of the names if given; no file is an error. They are in no order: sorting would move their content."""
     found = scan_binary(spark, path, "*.{wav,flac}", recursive)
     if names is not None:
         found = found.where(F.col("stim").isin(names))
     if found.drop("content").isEmpty():
         raise ValueError(f"no stimuli in {path}")
-    return found.orderBy("stim")
+    return found
 
 
 def unique_stimuli(files: DataFrame) -> DataFrame:
@@ -182,12 +184,26 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def write_npz(features: DataFrame, path: str) -> DataFrame:
-    """Write each stimulus's frames as <stim>.npz under a folder that all executors share; returns (stim, n_frames)."""
+def _write_parts(df: DataFrame, path: str, parts: list[dict], order: str, mode: str) -> None:
+    df.sparkSession.dataSource.register(NpzSource)
+    columns = list(dict.fromkeys(p["column"] for p in parts))
+    ready = df.select("stim", order, *columns).repartition("stim").sortWithinPartitions("stim", order)
+    ready.write.format("npz").option("path", path).option("parts", json.dumps(parts)).mode(mode).save()
 
-    def save(part: pd.DataFrame) -> pd.DataFrame:
-        part = part.sort_values("frame")
-        np.savez_compressed(f"{path}/{part['stim'].iloc[0]}.npz", features=np.array(part["features"].tolist(), float))
-        return pd.DataFrame({"stim": [part["stim"].iloc[0]], "n_frames": [len(part)]})
 
-    return features.groupBy("stim").applyInPandas(save, "stim string, n_frames long")
+def write_npz(features: DataFrame, path: str, mode: str = "append") -> DataFrame:
+    """Write each stimulus's frames as <stim>.npz under a folder that all executors share, all or none; returns (stim, n_frames).
+
+    mode "append" replaces the files of these stimuli, "overwrite" deletes those of others too.
+    """
+    _write_parts(features, path, [{"column": "features", "suffix": "", "name": "features"}], "frame", mode)
+    return features.groupBy("stim").agg(F.count(F.lit(1)).alias("n_frames"))
+
+
+def write_aligned(df: DataFrame, path: str, mode: str = "append") -> None:
+    """Aligned annotations as four npz files for each stimulus: pooled features, _idtargets, _regtargets and _times, all or none.
+
+    df has stim, seq, pooled (array), token_id, targets (array), t_start and t_end; the rows of the four files of a stimulus are the same annotations in order of seq.
+    """
+    parts = [{"column": c, "suffix": s, "name": ""} for c, s in (("pooled", ""), ("token_id", "_idtargets"), ("targets", "_regtargets"), ("times", "_times"))]
+    _write_parts(df.withColumn("times", F.array("t_start", "t_end")), path, parts, "seq", mode)
