@@ -64,6 +64,11 @@ def snippets(length: Column, chunk: int, context: int, full: bool = True) -> Col
     return F.filter(every, lambda w: (w["s_end"] <= length) & (F.lit(not full) | (w["s_end"] - w["s_start"] == context + chunk)))
 
 
+def with_stride(chunk: int, context: int, stride: int | None) -> tuple[int, int]:
+    """Hop and context of windows of the same length, context + chunk, that move on by `stride` where one is given."""
+    return (chunk, context) if stride is None else (stride, chunk + context - stride)
+
+
 def sliding(df: DataFrame, ts: str, length: str, hop: str, by: list[str], value: str) -> DataFrame:
     """Mean and count of overlapping windows, named by their start in epoch seconds."""
     return (
@@ -72,10 +77,14 @@ def sliding(df: DataFrame, ts: str, length: str, hop: str, by: list[str], value:
     )
 
 
-def select_frames(df: DataFrame, key: str, order: list[str], n: int = 1, skip: int = 5) -> DataFrame:
-    """The last frame of each stimulus and n - 1 before it, skip apart."""
+def select_frames(df: DataFrame, key: str, order: list[str], n: int = 1, skip: int = 5, whole: bool = False) -> DataFrame:
+    """The last frame of each stimulus and n - 1 before it, skip apart; with whole, none of a stimulus with fewer than (n - 1) * skip - 1 frames."""
     back = F.row_number().over(Window.partitionBy(key).orderBy(*[F.col(o).desc() for o in order])) - 1
-    return df.withColumn("__back", back).where((F.col("__back") % skip == 0) & (F.col("__back") < n * skip)).drop("__back")
+    held = df.withColumn("__back", back).where((F.col("__back") % skip == 0) & (F.col("__back") < n * skip)).drop("__back")
+    if not whole:
+        return held
+    sizes = df.groupBy(F.col(key).alias("__key")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= (n - 1) * skip - 1)
+    return held.join(sizes, F.col(key).eqNullSafe(F.col("__key")), "left_semi")
 
 
 def row_offsets(df: DataFrame, key: str) -> DataFrame:
@@ -108,6 +117,11 @@ def too_short(df: DataFrame, length: str, least: int) -> DataFrame:
     return df.where(F.col(length) < least)
 
 
+def long_enough(df: DataFrame, length: str, least: int) -> DataFrame:
+    """df without stimuli whose length is under the least that a model takes, or unknown."""
+    return df.where(F.col(length) >= least)
+
+
 def require_length(df: DataFrame, length: str, least: int, key: str = "stim") -> DataFrame:
     """df, unless a stimulus is shorter than the full context that is asked for."""
     stop = F.raise_error(F.concat(F.lit(f"shorter than {least}: stimulus "), F.col(key).cast("string")))

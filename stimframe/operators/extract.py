@@ -185,9 +185,11 @@ def unpad(features: DataFrame, seconds: float) -> DataFrame:
     return features.where(F.col("t_end") > seconds).withColumns({"t_start": F.greatest(F.col("t_start") - seconds, F.lit(0.0)), "t_end": F.col("t_end") - seconds})
 
 
-def snippet_waves(waves: DataFrame, chunk: int, context: int, full: bool = True) -> DataFrame:
-    """A row for each window of a waveform: (stim, snip, s_start, s_end, sample_rate, waveform)."""
-    from stimframe.operators.align import snippets
+def snippet_waves(waves: DataFrame, chunk: int, context: int, full: bool = True, stride: int | None = None) -> DataFrame:
+    """A row for each window of a waveform: (stim, snip, s_start, s_end, sample_rate, waveform); with a stride windows of that length move on by it."""
+    from stimframe.operators.align import snippets, with_stride
+
+    chunk, context = with_stride(chunk, context, stride)
 
     cut = waves.select("stim", "sample_rate", "waveform", F.posexplode(snippets(F.size("waveform"), chunk, context, full)).alias("snip", "w"))
     return cut.select("stim", "snip", "w.s_start", "w.s_end", "sample_rate", F.slice("waveform", F.col("w.s_start") + 1, F.col("w.s_end") - F.col("w.s_start")).alias("waveform"))

@@ -415,7 +415,12 @@ def functionals_core(spark, d):
     return rounded(functionals.regression(placed(spark, d), ["event_type"], "i", "value"), "slope", "offset", "error", "centroid")
 
 
-@query()
+@query(f"""
+    WITH c AS (SELECT event_type, value, avg(i) OVER w AS m, i - avg(i) OVER w AS t FROM {_I} WINDOW w AS (PARTITION BY event_type)),
+    s AS (SELECT event_type, count(*) AS n, sum(t * t) AS s2, sum(t * t * t) AS s3, avg(value) AS y, sum(t * value) AS y1 FROM c GROUP BY event_type),
+    p AS (SELECT event_type, any_value(m) AS m, any_value(s2) AS s2, any_value(s3) AS s3, any_value(n) AS n, any_value(y) AS y, any_value(y1) AS y1, sum((t * t - s3 / s2 * t - s2 / n) * value) / sum((t * t - s3 / s2 * t - s2 / n) ** 2) AS a FROM c JOIN s USING (event_type) GROUP BY event_type),
+    k AS (SELECT event_type, m, a, y1 / s2 - a * s3 / s2 AS b, y - a * s2 / n AS c FROM p)
+    SELECT event_type, round(a * 1e6, 6) + 0.0 AS qa, round((b - 2 * a * m) * 1e3, 6) + 0.0 AS qb, round(a * m * m - b * m + c, 6) + 0.0 AS qc FROM k""")
 def functionals_quadratic(spark, d):
     return rounded(functionals.quadratic(placed(spark, d), ["event_type"], "i", "value").withColumn("qa", F.col("qa") * 1e6).withColumn("qb", F.col("qb") * 1e3), "qa", "qb", "qc")
 
@@ -485,7 +490,11 @@ def topk_batch(spark, d):
     return rounded(vectors.top_similar_batch(e, "vec_id", "embedding", q, 10), "score").select("query", "vec_id", "r", "score")
 
 
-@query()
+@query("""
+    WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings), c AS (SELECT vec_id, list_transform(v, lambda x: x - list_avg(v)) AS v FROM e),
+    u AS (SELECT vec_id, list_transform(v, lambda x: x / sqrt(list_inner_product(v, v))) AS v FROM c),
+    s AS (SELECT q.vec_id AS query, u.vec_id, round(list_inner_product(q.v, u.v), 12) + 0.0 AS score FROM u AS q JOIN u ON q.vec_id % 20 = 0)
+    SELECT query, vec_id, r, round(score, 6) + 0.0 AS score FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, vec_id)::INTEGER AS r FROM s) WHERE r <= 10""")
 def topk_batch_all(spark, d):
     """Top 10 for every vector whose id is divisible by 20; topk_batch has five queries, as its SQL fixes."""
     e = table(spark, d, "embeddings")
@@ -518,7 +527,9 @@ def bag_of_words(spark, d):
     return rounded(vectors.bag_of_words(s, "user_id", "word", w, "word", "embedding"), "mean")
 
 
-@query()
+@query("""
+    WITH w AS (SELECT label AS word, embedding FROM embeddings QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1), s AS (SELECT user_id, event_id % 12 AS word FROM events)
+    SELECT user_id, dim::INTEGER AS dim, round(avg(x), 6) + 0.0 AS mean, count(*) AS n FROM (SELECT user_id, generate_subscripts(embedding, 1) - 1 AS dim, unnest(embedding)::DOUBLE AS x FROM s JOIN w USING (word)) GROUP BY ALL""")
 def bag_of_words_all(spark, d):
     """As bag_of_words, with the labels of all vectors as the vocabulary; bag_of_words takes those of ten, as its SQL fixes."""
     w = table(spark, d, "embeddings").groupBy(F.col("label").alias("word")).agg(F.min_by("embedding", "vec_id").alias("embedding"))
