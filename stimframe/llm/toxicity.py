@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 
 from stimframe.llm.common import without
 from stimframe.llm.shingles import WordHashes
+from stimframe.session import materialise
 
-#: Weights are hashed to 2**BITS places. At most about BOUND labelled rows train, EPOCHS times.
-BITS, BOUND, EPOCHS = 20, 16_000, 3
+#: Weights are hashed to 2**BITS places. At most about BOUND labelled rows of BYTES in all train, EPOCHS times.
+BITS, BOUND, BYTES, EPOCHS = 20, 16_000, 1 << 28, 3
 #: FTRL-proximal: rate, its smoothing, L1 and L2.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 4.0, 0.1
 ADDED = ("score", "predicted")
@@ -44,7 +45,7 @@ def features(text: bytes | None, hashes: WordHashes) -> np.ndarray:
 
 def _fit(rows: pd.DataFrame) -> pd.DataFrame:
     """Weights from the rows in order of a hash, EPOCHS times."""
-    hashes, rows = _Words(), rows.sort_values("h")
+    hashes, rows = _Words(), rows.sort_values(["h", "of"])
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     every = [(features(t, hashes), y) for t, y in zip(rows.text, rows.toxic)]
     for _ in range(EPOCHS):
@@ -65,17 +66,22 @@ def _weights(z: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.where(np.abs(z) <= L1, 0.0, -(z - np.sign(z) * L1) / ((BETA + np.sqrt(n)) / ALPHA + L2))
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", bound: int = BOUND) -> dict[int, float]:
-    """The weights that aren't 0, from at most about `bound` of the rows of docs that have a label 0 or 1.
+def fit_toxicity(docs: DataFrame, labels: DataFrame, text_col: str = "text", id_col: str = "doc_id", label_col: str = "toxic", bound: int = BOUND, bound_bytes: int = BYTES) -> dict[int, float]:
+    """The weights that aren't 0, from at most about `bound` of the rows of docs that have a label 0 or 1, and `bound_bytes` of their texts.
 
-    Rows are picked by a hash of the id. FTRL goes from row to row, so one task trains on this bounded sample (parts of it
+    Rows are picked by hashes of the id, and, where ids have many texts or long ones, of id and text. FTRL goes from row to row, so one task trains on this bounded sample (parts of it
     trained apart and averaged found fewer toxic texts). The result has at most 2**BITS places, with L1 about a
-    thousand. Without labelled rows it is empty.
+    thousand. An id with both labels counts as toxic; null ids have no label; a null text counts as empty; rows of one id and text count
+    once, and are put together in the tasks that read them. Without labelled rows, as with an empty table on either side, the result is empty.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("__id"), F.col(label_col).cast("double").alias("toxic")).dropDuplicates(["__id"])
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("__id")).agg(F.max(F.col(label_col).cast("double")).alias("toxic"))
     share = min(1.0, bound / max(known.count(), 1))
     known = known.withColumn("h", F.xxhash64("__id", F.lit(1))).where(F.pmod("h", F.lit(1 << 20)) < int(share * (1 << 20)))
-    rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(known), "__id")  # about `bound` rows
+    texts = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text")).join(F.broadcast(known), "__id")  # the labels of about `bound` ids
+    rows = materialise(texts.groupBy("__id", F.xxhash64("text", F.lit(2)).alias("of")).agg(F.first("text").alias("text"), F.first("toxic").alias("toxic"), F.first("h").alias("h")), "labelled")
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    share = min(1.0, bound / max(size.n, 1), bound_bytes / max(size.bytes or 0, 1))
+    rows = rows.where(F.pmod(F.xxhash64("h", "of"), F.lit(1 << 20)) < int(share * (1 << 20)))
     return {r.at: r.w for r in rows.groupBy(F.lit(0).alias("part")).applyInPandas(lambda r: _fit(r), "at long, w double").collect()}
 
 
@@ -83,7 +89,7 @@ def score_toxicity(docs: DataFrame, weights: dict[int, float], text_col: str = "
     """docs with score (0 to 1) and predicted (1 from 0.5 on).
 
     Every row gets a score: an empty or null text that of the bias alone. With no weights all scores are 0.5 less a
-    trifle, so that nothing is called toxic. Columns with an added name are replaced. No shuffle.
+    trifle, so that nothing is called toxic. Repeated rows get equal scores; an empty table gives an empty result. Columns with an added name are replaced. No shuffle.
     """
     at = np.fromiter(weights, np.int64, len(weights))
     held = docs.sparkSession.sparkContext.broadcast((at, np.fromiter(weights.values(), np.float64, len(weights))))
