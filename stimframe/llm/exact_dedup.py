@@ -21,12 +21,11 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     """Mark exact copies: all rows and columns of docs, and keep_id, group_size, kept and text_sha256.
 
     Texts are equal when identical after lower-casing A-Z. Spark samples splitters and range-partitions the rows by
-    (first `prefix` characters, hash, id) of the normalised text, each partition is sorted externally in that order (with
-    the digest before the id), and every row is compared in full with its neighbour: a run of equal neighbours is a group.
-    The splitters hold a short prefix and two numbers, so what the driver samples doesn't grow with the length of texts;
-    the id as the last key lets a group with a third of all rows span many partitions. Past the prefix the order is that of the hash,
-    not of the characters; two texts with the same prefix and the same hash of 64 bits are told apart by their digests within a
-    partition, but if they met at a partition's edge, their runs there would be counted apart. Runs that touch a partition's edge
+    (first `prefix` characters, SHA-256, id) of the normalised text, each partition is sorted externally in that order,
+    and every row is compared in full with its neighbour: a run of equal neighbours is a group.
+    The splitters hold a short prefix, a digest and a number, so what the driver samples doesn't grow with the length of texts;
+    the id as the last key lets a group with a third of all rows span many partitions. Past the prefix the order is that of the digest,
+    not of the characters; all rows of a text follow each other, over as many partitions as they fill. Runs that touch a partition's edge
     are summed by digest, at most two for each partition, and their rows get the sums by (partition, digest).
 
     keep is "smallest" or "largest": the row of a group with that id stays, and of several rows with it only one.
@@ -40,13 +39,13 @@ def exact_dedup(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id",
     names = carry or rows.columns
     norm = lower_ascii(F.coalesce(F.col(text_col), F.lit("")))
     order = F.col(id_col).asc_nulls_last() if keep == "smallest" else F.col(id_col).desc_nulls_last()
-    # Each text moves once; what is compared and its digest are made after that.
+    # Each text moves once; what is compared is made again after that.
     dealt = (
-        rows.select(*[F.col(f"`{n}`") for n in names], *([] if text_col in names else [F.col(text_col).alias("__text")]), F.substring(norm, 1, prefix).alias("__prefix"), F.xxhash64(norm).alias("__hash"))
+        rows.select(*[F.col(f"`{n}`") for n in names], *([] if text_col in names else [F.col(text_col).alias("__text")]), F.substring(norm, 1, prefix).alias("__prefix"), F.unhex(F.sha2(norm.cast("binary"), 256)).alias("__hash"))
         .repartitionByRange("__prefix", "__hash", order)
         .withColumn("__norm", lower_ascii(F.coalesce(F.col(text_col if text_col in names else "__text"), F.lit(""))))
-        .withColumn("text_sha256", F.sha2(F.col("__norm").cast("binary"), 256))
-        .sortWithinPartitions("__prefix", "__hash", "text_sha256", order)
+        .withColumn("text_sha256", F.lower(F.hex("__hash")))
+        .sortWithinPartitions("__prefix", "__hash", order)
         .select(*[F.col(f"`{n}`") for n in names], "__norm", "text_sha256")
     )
     id_type = rows.schema[id_col].dataType

@@ -254,3 +254,40 @@ def test_same_as_sql(spark, name):
     assert names == sorted(found.columns)
     want = found.select(*[f'"{n}"' for n in names]).fetchall()
     assert sorted(map(str, map(tuple, df.select(*names).collect()))) == sorted(map(str, want))
+
+
+# earlier operators
+
+
+def test_labels_of_both_kinds_count_as_toxic(spark):
+    """Whatever the order of the rows, and however often a labelled document comes."""
+    from stimframe.llm.toxicity import fit_toxicity
+
+    g = random.Random(14)
+    good, bad = ["fine", "day", "sun", "tree"], ["vile", "scum", "hate", "rot"]
+    docs = [(i, " ".join(g.choices(bad if i % 2 else good, k=12))) for i in range(120)]
+    labels = [(i, i % 2) for i in range(120)] + [(1, 0), (3, 0), (None, 1), (5, None)]
+    schema = "doc_id long, text string"
+    fit = lambda d, l: fit_toxicity(spark.createDataFrame(d, schema), spark.createDataFrame(l, "doc_id long, toxic int"))
+    want = fit(docs, labels)
+    assert want and want == fit(docs[::-1] + docs[:50] * 3, labels[::-1]) and want == fit(docs, [x for x in labels if x not in ((1, 0), (3, 0))])
+    assert fit([], labels) == {} == fit(docs, [])
+    many = [(1, f"{' '.join(g.choices(bad, k=9))} {k}") for k in range(400)]
+    few = fit_toxicity(spark.createDataFrame(docs + many, schema), spark.createDataFrame(labels, "doc_id long, toxic int"), bound=100)
+    assert few  # of the 400 texts of one id about as many train as of all others
+
+
+def test_copies_with_one_prefix_over_many_partitions(spark):
+    """Texts that differ after the prefix, in groups that span partitions."""
+    from stimframe.llm.exact_dedup import exact_dedup
+
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("a prefix of all of them "), (F.col("id") % 3).cast("string")).alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.shuffle.partitions", "13")
+    try:
+        rows = exact_dedup(df, keep="largest").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert {(r.doc_id % 3, r.keep_id, r.group_size) for r in rows} == {(k, 2997 + k, 1000) for k in range(3)} and sum(r.kept for r in rows) == 3
+    assert all(r.text_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
