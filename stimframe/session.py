@@ -4,10 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that materialise() has written in this process, in order.
+_WRITTEN: list[str] = []
+
+
 def build_session(app: str = "stimframe", master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
     """A session with the settings that the library's results rely on: UTC, AQE, Arrow."""
     b = (
@@ -44,6 +50,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stimframe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -52,3 +59,22 @@ def clear_shared(spark: SparkSession) -> None:
     jvm = spark.sparkContext._jvm
     path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/stimframe")
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[..., None]]:
+    """Within, a function that deletes the tables that materialise() has written since, but for those that the given tables read.
+
+    For a job of several steps, each of which reads the one before alone.
+    """
+    begin = len(_WRITTEN)
+
+    def clear(*keep: DataFrame) -> None:
+        needed = {f.rsplit("/", 1)[0].split(":", 1)[-1].lstrip("/") for df in keep for f in df.inputFiles()}
+        for path in _WRITTEN[begin:]:
+            if path.split(":", 1)[-1].lstrip("/") not in needed:
+                at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+                at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+                _WRITTEN.remove(path)
+
+    yield clear
