@@ -324,13 +324,14 @@ def load_codec(model: str) -> dict:
     }
 
 
-def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "doc_id", dropout: float = 0.1, seed: int = 20, carry: list[str] | None = None) -> DataFrame:
+def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "doc_id", dropout: float = 0.1, seed: int = 20, carry: list[str] | None = None, occurrence: str | None = None) -> DataFrame:
     """docs (or its columns in carry) with ids, n_tokens and lossless, whether decoding the ids gives the text again.
 
     Without dropout the ids are those of the SentencePiece library. With it each merge of a segment is skipped with that
     chance, by a hash of seed, document, position of the segment and place of the merge: a document has the same ids whenever
-    and wherever it is encoded, and every occurrence of a word is varied by itself. Null and empty texts have no ids; a null id counts as 0. Columns with an
-    added name are replaced. Texts are taken whole, a row at a time; no shuffle.
+    and wherever it is encoded, and every occurrence of a word is varied by itself. occurrence names a column that tells the rows of a document apart
+    (an epoch, a place in a mix): each is then varied by itself. Null and empty texts have no ids; a null id counts as 0; repeated rows have equal ids; an
+    empty table gives an empty result. Columns with an added name are replaced. Texts are taken whole, a row at a time; no shuffle.
     """
     held = docs.sparkSession.sparkContext.broadcast(load_codec(model))
     rows = without(docs, [*ADDED, "__text", "__doc"])
@@ -354,12 +355,12 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", id_col: str = "d
 
     fields = [T.StructField(n, rows.schema[n].dataType) for n in names]
     out = T.StructType([*fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.LongType()), T.StructField("lossless", T.BooleanType())])
-    doc = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("0")))
+    doc = F.xxhash64(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("0")), *([F.col(occurrence)] if occurrence else []))
     return rows.select(*[f"`{n}`" for n in names], F.col(text_col).alias("__text"), doc.alias("__doc")).mapInArrow(run, out)
 
 
 def decode(df: DataFrame, model: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
-    """df with the text of each row's ids; null ids give null."""
+    """df with the text of each row's ids; null ids give null, repeated rows equal texts, an empty table an empty result."""
     held = df.sparkSession.sparkContext.broadcast(load_codec(model))
 
     @F.pandas_udf("string")

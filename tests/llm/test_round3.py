@@ -291,3 +291,43 @@ def test_copies_with_one_prefix_over_many_partitions(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
     assert {(r.doc_id % 3, r.keep_id, r.group_size) for r in rows} == {(k, 2997 + k, 1000) for k in range(3)} and sum(r.kept for r in rows) == 3
     assert all(r.text_sha256 == hashlib.sha256(r.text.encode()).hexdigest() for r in rows)
+
+
+def test_pipeline_keeps_the_order_of_the_mix(spark, tmp_path):
+    import corpus_pipeline
+    from stimframe import session
+    from stimframe.llm.mixing import mix_sources
+
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").where("source in ('src1', 'src2', 'src3')")
+    corpus_pipeline.mixed(spark, docs, DIR).write.parquet(str(tmp_path / "mix"))
+    again = spark.read.parquet(str(tmp_path / "mix"))
+    assert again.columns == docs.columns
+    out = corpus_pipeline.pieces(spark, again, DIR).collect()
+    at = {}
+    for r in mix_sources(docs, max_repeat=1.5).collect():
+        at.setdefault(r.doc_id, []).append(r.mix_at)
+    placed = [r.doc_id for r in sorted(out, key=lambda r: r.mix_order)]
+    seen, places = Counter(), []
+    for i in placed:
+        places.append(sorted(at[i])[seen[i]])
+        seen[i] += 1
+    assert places == sorted(places) and len({r.mix_order for r in out}) == len(out)
+    assert sorted(map(str, out)) == sorted(map(str, corpus_pipeline.pieces(spark, spark.read.parquet(str(tmp_path / "mix")), DIR).collect()))
+    twice = {}
+    for r in out:
+        twice.setdefault(r.doc_id, []).append(r.ids)
+    long = [x for x in twice.values() if len(x) > 1 and len(x[0]) > 100]
+    assert long and all(a != b for a, b in long)
+
+
+def test_pipeline_of_one_text(spark, tmp_path):
+    """Every row is one text; and the tables of the stages are gone but for the last."""
+    import corpus_pipeline
+    from stimframe import session
+
+    words = " ".join(f"word{k} here." for k in range(60))
+    spark.createDataFrame([(i, words, "en", "s", len(words)) for i in range(500)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    before = len(session._WRITTEN)
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.text, r.lossless) for r in out] == [(499, words, True)]
+    assert len(session._WRITTEN) == before + 1
