@@ -6,8 +6,11 @@ repeated rows as rows like others until exact dedup leaves one of them.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from stimframe.llm.common import without
 from stimframe.llm.exact_dedup import drop_exact_duplicates
 from stimframe.llm.minhash_dedup import drop_near_duplicates
 from stimframe.llm.mixing import ADDED as MIXED
@@ -15,7 +18,7 @@ from stimframe.llm.mixing import mix_sources
 from stimframe.llm.quality_rules import clean_documents
 from stimframe.llm.queries import MODEL
 from stimframe.llm.sentencepiece_codec import encode
-from stimframe.session import materialise
+from stimframe.session import materialise, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,13 +37,25 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources come up to 1.5 times, none less than once. A null source counts as the empty name, an empty text as one token."""
-    return mix_sources(docs, max_repeat=1.5).drop(*MIXED)
+    """Sources come up to 1.5 times, none less than once. A null source counts as the empty name, an empty text as one token.
+
+    The rows are written in the order of the mix, a range of it in each file: read in order of their files they show the weights all along.
+    """
+    return mix_sources(docs, max_repeat=1.5).repartitionByRange("mix_at", "mix_epoch").sortWithinPartitions("mix_at", "mix_epoch").drop(*MIXED)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The ids of each text; decoding them gives the text back. Null and empty texts have no ids."""
-    return encode(docs, MODEL, dropout=0.1)
+    """The ids of each text, and mix_order, its place in the table that the stage before wrote; decoding them gives the text back. Null and empty texts have no ids.
+
+    A document that comes up again is at another place, and so has its merges skipped elsewhere. Rows that come from no file are numbered as they come.
+    """
+    rows = without(docs, ["mix_order"])
+    try:
+        file = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).try_cast("long")
+        rows = rows.withColumn("mix_order", F.shiftleft(F.coalesce(file, F.lit(0)), 33) + F.col("_metadata.row_index"))
+    except AnalysisException:
+        rows = rows.withColumn("mix_order", F.monotonically_increasing_id())
+    return encode(rows, MODEL, dropout=0.1, occurrence="mix_order")
 
 
 STAGES = [
@@ -58,8 +73,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in turn over documents; the last one's rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = materialise(docs, f"stage-{k}")
-    return docs
+    with scratch(spark) as clear:
+        for _, stage in STAGES[:-1]:
+            docs = materialise(stage(spark, docs, sf_dir), "stage")
+            clear(docs)  # what the stage wrote on its way, and the stage before
+    return STAGES[-1][1](spark, docs, sf_dir)
