@@ -24,7 +24,7 @@ def text_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     windows of that text are sorted by their words instead. The positions of windows
     found twice, in order, cover min(3, distance to the next) words each.
 
-    A null text counts as empty, with zeros; repeated rows have equal counts; an empty table gives an empty result.
+    A null text counts as empty, with zeros; repeated rows have equal counts; an empty table gives an empty result; columns of docs with an added name must be set aside first, as quality_rules() does.
     """
     counted = (
         docs.withColumn("__t", F.coalesce(F.col(text_col), F.lit("")))
@@ -146,12 +146,12 @@ def quality_rules(docs: DataFrame, text_col: str = "text", host_col: str = "sour
 
 
 def drop_poor_documents(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
-    """The documents that quality_rules() keeps, with the columns of docs."""
+    """The documents that quality_rules() keeps, with the columns of docs, whatever they are called. Null and empty texts go; repeated rows are judged alike; an empty table gives an empty result."""
     return _kept(docs, False, text_col, rules)
 
 
 def clean_documents(docs: DataFrame, text_col: str = "text", **rules) -> DataFrame:
-    """The documents that quality_rules() keeps, without their frequent lines, counted before any document went; the columns of docs."""
+    """The documents that quality_rules() keeps, without their frequent lines, counted before any document went; the columns of docs, whatever they are called. Null and empty texts go; repeated rows are judged and stripped alike; an empty table gives an empty result."""
     return _kept(docs, True, text_col, rules)
 
 
