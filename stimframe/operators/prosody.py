@@ -1,4 +1,4 @@
-"""Voice descriptors of long recordings, by blocks of frames: the sets of 25 (eGeMAPS) and 65 (ComParE) low-level descriptors, and the functionals of the first.
+"""Voice descriptors of long recordings, by blocks of frames: the sets of 25 (eGeMAPS) and 65 (ComParE) low-level descriptors, and the functionals of both.
 
 Samples are cut into blocks of frames once; levels, spectra, formants and pitch candidates are computed in each block, the pitch by the
 path of least cost through all blocks of a stimulus, and what needs the pitch in each block again. Contours are smoothed and
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stimframe.functions import signal, voice
-from stimframe.operators import scans
+from stimframe.operators import scans, summaries
 from stimframe.operators.extract import wave_blocks
 from stimframe.operators.rank import quantiles
 from stimframe.session import materialise
@@ -187,6 +187,10 @@ def compare(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, delta: b
 
     The auditory spectrum is filtered over time (RASTA) in the logarithm. Zeros of what is unvoiced stay zero. An empty table gives an empty result; NULL samples are 0.
     """
+    return scans.unpack(_packed_compare(series, hold, block, delta), ["stim"], len(COMPARE) * (1 + delta), block=block)
+
+
+def _packed_compare(series: DataFrame, hold: int, block: int, delta: bool) -> DataFrame:
     blocks, n = materialise(wave_blocks(series, hold, block, LENGTH, SHIFT, LEAD, AFTER), "waves"), len(COMPARE)
     raw = scans.written(_contours(blocks, "compare", block))
     logs = scans.each_block(raw, ["stim"], lambda m, lead, trail: scans.matrix(m, n)[:, 4:30])
@@ -202,11 +206,11 @@ def compare(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, delta: b
     merged = scans.each_block(scans.with_block(raw, ["stim"], filtered, "m", "rasta"), ["stim"], merge, "rasta")
     smooth = scans.smoothed(_repacked(merged, n, block, 1), ["stim"], n, (59, 61, 62, 63, 64))
     if not delta:
-        return scans.unpack(smooth, ["stim"], n, block=block)
+        return smooth
     wide = _repacked(scans.written(smooth), n, block, 2)
     both = scans.with_block(wide, ["stim"], scans.deltas(wide, ["stim"], n), "m", "slopes")
     stack = lambda m, lead, trail, s: np.column_stack((scans.matrix(m, n)[lead : len(m) // 8 // n - trail], scans.matrix(s, n)))
-    return scans.unpack(scans.each_block(both, ["stim"], stack, "slopes"), ["stim"], 2 * n, block=block)
+    return scans.each_block(both, ["stim"], stack, "slopes")
 
 
 def _repacked_back(packed: DataFrame, width: int, block: int, lead: int) -> DataFrame:
@@ -350,3 +354,50 @@ def _vector(r: dict) -> list[float]:
     lengths = [(float(s / c) * step, float(np.sqrt(max(0.0, q / c - (s / c) ** 2))) * step) if c else (0.0, 0.0) for c, s, q in runs]
     out += [peaks / seconds, float(runs[0, 0]) / seconds, *lengths[0], *lengths[1], float(10 * np.log10(max(total[-1, 1], 1e-12)))]
     return out
+
+
+#: The figures that the ComParE set takes of a contour, of its groups of contours.
+_RANGES = ("range", "maxPos", "minPos", "quartile1", "quartile2", "quartile3", "iqr1-2", "iqr2-3", "iqr1-3", "percentile1.0", "percentile99.0", "pctlrange0-1", "stddev", "skewness", "kurtosis")
+_TIMES = ("upleveltime25", "upleveltime50", "upleveltime75", "upleveltime90", "risetime", "leftctime", "lpgain", "lpc0", "lpc1", "lpc2", "lpc3", "lpc4")
+_SEGMENTS = ("meanSegLen", "maxSegLen", "minSegLen", "segLenStddev")
+_LINES = ("linregc1", "linregc2", "linregerrQ", "qregc1", "qregc2", "qregc3", "qregerrQ", "centroid")
+_PEAKS = ("meanPeakDist", "peakDistStddev", "peakRangeAbs", "peakRangeRel", "peakMeanAbs", "peakMeanMeanDist", "peakMeanRel", "minRangeRel", "meanRisingSlope", "stddevRisingSlope", "meanFallingSlope", "stddevFallingSlope")
+#: Contours of COMPARE whose zeros count; the others are those of voice.
+_LEVELS = 59
+
+
+def _compare_plan() -> list[tuple[str, int, str]]:
+    """Name, contour and figure of each functional of the ComParE set; contour 130 says where there is a pitch."""
+    n, names = len(COMPARE), [f"{c}_sma{'' if k < _LEVELS else '3nz'}{d}" for d in ("", "_de") for k, c in enumerate(COMPARE)]
+    of = lambda columns, figures: [(f"{names[k]}_{f}", k, f) for k in columns for f in figures]
+    levels, slopes = range(_LEVELS), range(n, n + _LEVELS)
+    voice_alone = (*range(_LEVELS, n), *range(n + _LEVELS, 2 * n))
+    pitch = [("F0final_sma3nz_nnz", 2 * n, "amean"), *[(f"F0final_sma3nz_{f}", 2 * n, high) for f, high in zip(_SEGMENTS, ("meanHighLen", "maxHighLen", "minHighLen", "highLenStddev"))]]
+    return [
+        *of((*levels, *slopes), (*_RANGES, *_SEGMENTS, *_TIMES)), *of(voice_alone, ("amean", "posamean", "rqmean", "flatness", *_RANGES, *_LINES, *_TIMES)), *pitch,
+        *of(levels, ("amean", "rqmean", "flatness", *_LINES, *_PEAKS)), *of(slopes, ("posamean", "rqmean", "flatness", *_PEAKS)),
+    ]
+
+
+_PLAN = _compare_plan()
+#: Names of the 6,373 functionals of the ComParE set.
+COMPARE_FUNCTIONALS = tuple(name for name, _, _ in _PLAN)
+
+
+def compare_functionals(series: DataFrame, hold: int = 1, block: int = scans.BLOCK) -> DataFrame:
+    """(stim, features): the 6,373 values of COMPARE_FUNCTIONALS of each stimulus.
+
+    They are figures of summaries.functionals(), which says what each is. Zeros of what describes voice don't count, in
+    slopes neither; segments are those of the contour as it is, without a further running mean. What a stimulus has none of is 0. An empty table gives an empty result, as
+    does a stimulus of less than a frame; NULL samples are 0.
+    """
+    n, k = len(COMPARE), len(summaries.FIGURES)
+    nonzero = (*range(_LEVELS, n), *range(n + _LEVELS, 2 * n))
+    every = summaries.functionals(scans.written(_packed_compare(series, hold, block, True)), ["stim"], 2 * n, SHIFT / RATE, nonzero, (_LEVELS,), block)
+    at = np.array([c * k + summaries.FIGURES.index(f) for _, c, f in _PLAN])
+
+    def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in parts:
+            yield pd.DataFrame({"stim": rows["stim"], "features": [np.asarray(x)[at] for x in rows["figures"]]})
+
+    return every.mapInPandas(pick, T.StructType([every.schema["stim"], T.StructField("features", T.ArrayType(T.DoubleType()))]))

@@ -725,3 +725,11 @@ def compare_descriptors(spark, d):
     from stimframe.operators import prosody
 
     return rounded(vectors.exploded(prosody.compare(_series(spark, d), 160, delta=True), ["stim", "frame"], "features"), "x")
+
+
+@query()
+def compare_functionals(spark, d):
+    """The 6,373 functionals of the ComParE set of each user's series."""
+    from stimframe.operators import prosody
+
+    return rounded(vectors.exploded(prosody.compare_functionals(_series(spark, d), 160), ["stim"], "features"), "x")
