@@ -172,8 +172,9 @@ def _one_of(choices: list[str], key: str) -> str:
 
 def practised(found: DataFrame, bound: int = 5_000) -> DataFrame:
     """Candidates in the texts of exercises() that lie in what was put in and that no base span overlaps: kind, of (the variant's), template, part, m, x, y and held."""
-    made = exercises(found, bound).withColumnsRenamed({"kind": "__of", "start": "__a", "stop": "__b"})
-    inner = find_candidates(made, "text", ["__of", "__a", "__b", "template", "y", "held"]).select("__of", "__a", "__b", "template", "y", "held", F.explode("candidates").alias("c"))
+    # Written first, and with an outer explode: else the patterns' expressions are planned for both parts of the union and once more in a filter on the array's size.
+    made = materialise(exercises(found, bound), "pii-exercises").withColumnsRenamed({"kind": "__of", "start": "__a", "stop": "__b"})
+    inner = find_candidates(made, "text", ["__of", "__a", "__b", "template", "y", "held"]).select("__of", "__a", "__b", "template", "y", "held", F.explode_outer("candidates").alias("c"))
     part = F.pmod(F.xxhash64("template", F.lit(3)), F.lit(PARTS)).alias("part")
     return inner.where("c.of is null and c.start >= __a and c.stop <= __b").select("c.kind", F.col("__of").alias("of"), "template", part, "c.m", "c.x", "y", "held")
 
