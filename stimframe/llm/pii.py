@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
@@ -88,7 +89,7 @@ FEATURES = {
     "groups": "size(split(trim(regexp_replace(c.m, '[^0-9]+', ' ')), ' '))",
     "longest_group": "array_max(transform(split(c.m, '[^0-9]+'), g -> length(g)))",
     "first_digit": "coalesce(try_cast(regexp_extract(c.m, '[0-9]', 0) as int), -1)",
-    "largest_part": "coalesce(array_max(transform(split(c.m, '[^0-9]+'), g -> least(try_cast(g as double), 1e12D))), -1D)",
+    "largest_part": "coalesce(array_max(transform(split(c.m, '[^0-9]+'), g -> least(try_cast(g as double), 256D))), -1D)",
     "luhn": "int(length(c.digits) between 1 and 19 and aggregate(sequence(1, least(greatest(length(c.digits), 1), 19)), 0, (a, i) -> a + coalesce(case when i % 2 = 1 then int(substring(c.digits, -i, 1)) else int(substring(c.digits, -i, 1)) * 2 - if(int(substring(c.digits, -i, 1)) > 4, 9, 0) end, 0)) % 10 = 0)",
     "space_before": "int(c.before = '' or c.before rlike '[\\\\s(<]$')",
     "letter_before": "int(c.before rlike '[A-Za-z_=]$')",
@@ -132,21 +133,18 @@ def find_candidates(docs: DataFrame, text_col: str = "text", id_cols: list[str]
 PARTS = 2
 
 
-def exercises(found: DataFrame, bound: int = 5_000) -> DataFrame:
+def exercises(found: DataFrame) -> DataFrame:
     """Labelled texts made from the corpus: text, start, stop (of what was put in), kind, template, y and held: one span in five, with all that is made of it or in its place.
 
-    Of at most about `bound` base spans, picked by a hash of place and text, each is written in the ways of VARIANTS that
-    its pattern doesn't match (y 1) between the span's own surroundings, half of them behind a word of CUES. Decoys (y 0) stand in surroundings of their own, those of
-    as many candidates of the corpus that no base span overlaps, and one in the place of each base span; half of them behind a word of OTHER_CUES or, less often, of CUES. And
+    Each candidate that a base span overlaps is written in the ways of VARIANTS that its pattern doesn't match (y 1)
+    between its own surroundings, half of them behind a word of CUES. Decoys (y 0) stand in surroundings of their own, those of
+    every candidate that no base span overlaps, and one in the place of each that one does; half of them behind a word of OTHER_CUES or, less often, of CUES. And
     a variant of each number behind a word of OTHER_CUES is a decoy as well: there the surroundings alone tell; so is a card's with a wrong last digit, behind the same words as
-    a right one: there the digits alone tell. The base patterns take no part in the labels.
+    a right one: there the digits alone tell. The base patterns take no part in the labels. No candidate is left out but those of
+    100 characters or more, which hold more than one span and so have no label; they are scored like the others.
     """
     every = found.select(F.explode("candidates").alias("c")).where("length(c.m) < 100").select("c.of", "c.m", "c.before", "c.after", F.xxhash64("c.m", "c.start").alias("h"))
-
-    def some(rows: DataFrame) -> DataFrame:
-        part = min(1.0, bound / max(rows.count(), 1))
-        return rows.where(F.pmod("h", F.lit(1 << 20)) < int(part * (1 << 20))).withColumn("d", F.expr("regexp_replace(m, '[^0-9]', '')"))
-
+    every = every.withColumn("d", F.expr("regexp_replace(m, '[^0-9]', '')"))
     forms = [(of, f"{of}-{k}", e) for of, own in VARIANTS.items() for k, e in enumerate(own)]
     cue = lambda words, k: f"case when pmod(shiftright(h, {k}), 2L) = 0 then '' else concat(' ', element_at(array({', '.join(map(repr, words))}), cast(1 + pmod(shiftright(h, {k + 1}), {len(words)}L) as int))) end"
     made = [f"struct('{of}' as kind, '{name}' as template, {e} as made, {cue(CUES[of], 31 + k)} as cue, 1D as y)" for k, (of, name, e) in enumerate(forms)]
@@ -157,8 +155,8 @@ def exercises(found: DataFrame, bound: int = 5_000) -> DataFrame:
     # Of two numbers in a row the second doesn't see the word before the first: no turned variant. One of the others for each span, so that they are about as many as a variant, and two with a wrong digit.
     some_of = lambda forms, shift, n, take: f"slice(filter(array({', '.join(forms)}), v -> v.kind = of), cast(1 + pmod(shiftright(h, {shift}), {n}L) as int), {take})"
     picked = f"concat(filter(array({', '.join(made)}), v -> v.kind = of), {decoy('h')}, {some_of(turned, 17, 3, 1)}, {some_of(wrong, 19, 3, 2)})"
-    rows = some(every.where("of is not null")).withColumn("made", F.explode(F.expr(picked)))
-    rows = rows.unionByName(some(every.where("of is null")).withColumn("made", F.explode(F.expr(decoy("xxhash64(h)")))))
+    rows = every.where("of is not null").withColumn("made", F.explode(F.expr(picked)))
+    rows = rows.unionByName(every.where("of is null").withColumn("made", F.explode(F.expr(decoy("xxhash64(h)")))))
     lead = F.length("before") + F.length("made.cue") + 1
     return rows.where("made.made is not null and made.made <> m").select(
         F.concat("before", "made.cue", F.lit(" "), "made.made", F.lit(" "), "after").alias("text"),
@@ -170,18 +168,24 @@ def _one_of(choices: list[str], key: str) -> str:
     return f"case pmod({key}, {len(choices)}L) " + " ".join(f"when {i} then {e}" for i, e in enumerate(choices)) + " end"
 
 
-def practised(found: DataFrame, bound: int = 5_000) -> DataFrame:
+def practised(found: DataFrame) -> DataFrame:
     """Candidates in the texts of exercises() that lie in what was put in and that no base span overlaps: kind, of (the variant's), template, part, m, x, y and held."""
     # Written first, and with an outer explode: else the patterns' expressions are planned for both parts of the union and once more in a filter on the array's size.
-    made = materialise(exercises(found, bound), "pii-exercises").withColumnsRenamed({"kind": "__of", "start": "__a", "stop": "__b"})
+    made = materialise(exercises(found), "pii-exercises").withColumnsRenamed({"kind": "__of", "start": "__a", "stop": "__b"})
     inner = find_candidates(made, "text", ["__of", "__a", "__b", "template", "y", "held"]).select("__of", "__a", "__b", "template", "y", "held", F.explode_outer("candidates").alias("c"))
     part = F.pmod(F.xxhash64("template", F.lit(3)), F.lit(PARTS)).alias("part")
     return inner.where("c.of is null and c.start >= __a and c.stop <= __b").select("c.kind", F.col("__of").alias("of"), "template", part, "c.m", "c.x", "y", "held")
 
 
+def _bins(rows: int) -> int:
+    """maxBins with which the library takes the places where trees may split from all rows: it draws max(10000, maxBins ** 2) of them, in 32 bits."""
+    return 32 if rows <= 10_000 else min(math.isqrt(rows) + 1, 46_340)
+
+
 def _trees(rows: DataFrame, trees: int, depth: int) -> GBTClassificationModel | None:
     fit = rows.select(array_to_vector("x").alias("features"), F.col("y").alias("label"))
-    return GBTClassifier(maxIter=trees, maxDepth=depth, seed=7).fit(fit) if fit.agg(F.count_distinct("label")).first()[0] == 2 else None
+    labels, n = fit.agg(F.count_distinct("label"), F.count(F.lit(1))).first()
+    return GBTClassifier(maxIter=trees, maxDepth=depth, maxBins=_bins(n), seed=7).fit(fit) if labels == 2 else None
 
 
 def unseen(tried: DataFrame, trees: int = 20, depth: int = 4) -> DataFrame:
@@ -196,15 +200,15 @@ def unseen(tried: DataFrame, trees: int = 20, depth: int = 4) -> DataFrame:
     return out
 
 
-def fit_trees(found: DataFrame, bound: int = 5_000, trees: int = 20, depth: int = 4, precision: float = 0.98) -> tuple[GBTClassificationModel | None, dict[str, float]]:
+def fit_trees(found: DataFrame, trees: int = 20, depth: int = 4, precision: float = 0.98) -> tuple[GBTClassificationModel | None, dict[str, float]]:
     """Boosted trees, and for each generator the score from which its candidates are selected.
 
-    They are fitted on the candidates of practised(), made from at most about `bound` spans, but for the held-out fifth. The threshold is for
+    They are fitted on all candidates of practised() but for the held-out fifth, and split where all of them say. The threshold is for
     each generator the lowest of fifty from 0.5 up at which this part shows the precision, decoys weighted to the share that
     candidates without a base span have among the generator's candidates in the corpus. A generator without one
     selects nothing, and so does everything if the corpus has no base spans.
     """
-    tried = materialise(practised(found, bound), "pii-practised")
+    tried = materialise(practised(found), "pii-practised")
     model = _trees(tried.where("not held"), trees, depth)
     if model is None:
         return None, {}
@@ -247,7 +251,7 @@ def _branches(shown: str, x: str) -> str:
     return node(0)[0]
 
 
-def find_pii(docs: DataFrame, text_col: str = "text", id_cols: list[str] | None = None, bound: int = 5_000) -> DataFrame:
+def find_pii(docs: DataFrame, text_col: str = "text", id_cols: list[str] | None = None, trees: int = 20) -> DataFrame:
     """id_cols of docs (all columns if not given) with n_email, n_ip, n_card, n_phone (long), and base and added: arrays of struct(kind, start, stop, m).
 
     base has the matches of PATTERNS that pass their checks, by kind, then start. added has the candidates that the trees
@@ -257,7 +261,7 @@ def find_pii(docs: DataFrame, text_col: str = "text", id_cols: list[str] | None
     rows get equal results; columns with an added name are replaced.
     """
     found = materialise(find_candidates(docs, text_col, id_cols), "pii")
-    model, limits = fit_trees(found, bound)
+    model, limits = fit_trees(found, trees)
     if not limits:
         return found.withColumn("added", F.expr("transform(filter(candidates, c -> false), c -> struct(c.kind, c.start, c.stop, c.m))")).drop("candidates")
     at = "case c.kind " + " ".join(f"when '{k}' then {v!r}D" for k, v in limits.items()) + " else 2D end"

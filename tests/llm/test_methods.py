@@ -157,6 +157,18 @@ def test_pii_generators_have_no_longest_candidate(spark):
     assert kinds["wide_email"] == 10_001 and kinds["wide_number"] == kinds["wide_dotted"] == 12_000
 
 
+def test_pii_trees_learn_from_every_span(spark):
+    """More spans than a sample of 5,000 would hold, in texts with a number that isn't personal; the places of splits come from all rows too."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('write to u', id, '@site', id % 7, '.org about ', 20000000 + id) as text")
+    found = materialise(pii.find_candidates(docs, id_cols=["doc_id"]), "found")
+    rows = {r.template: r.n for r in pii.exercises(found).groupBy(F.expr("if(kind = 'decoy', kind, template)").alias("template")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    n = found.select(F.explode("candidates").alias("c")).count()
+    assert n >= 12_000 and rows == {f"email-{k}": 6000 for k in range(len(pii.VARIANTS["email"]))} | {"decoy": n}
+    rare = spark.range(0, 60_000, 1, 4).selectExpr("array(double(id = 31234)) as x", "double(id = 31234) as y")
+    p = {r.x[0]: r.p for r in rare.distinct().withColumn("p", pii.score(pii._trees(rare, 5, 2), "x")).collect()}
+    assert p[1.0] > 0.5 > p[0.0]
+
+
 def test_pii_plans_each_pattern_few_times(spark):
     """The driver holds the plan of what the trees learn from: patterns don't stand in it once for each reader and part."""
     found = materialise(pii.find_candidates(spark.createDataFrame([(0, "mail a@b.org, call +1 555 010 9999")], "doc_id long, text string"), id_cols=["doc_id"]), "found")
