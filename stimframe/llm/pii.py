@@ -69,7 +69,7 @@ DECOYS = (
     f"format_string('%05d-%s', {_N % (9, 100000)}, left({_LONG % 8}, 5 + {_N % (27, 4)}))",
     f"format_string('%d-%d/%d-%d', {_N % (9, 900)}, {_N % (20, 900)}, {_N % (30, 9000)}, {_N % (44, 90)})",
 )
-#: Features of a candidate: of its format, and of the 24 characters on either side.
+#: Features of a candidate: of its format, and of the 24 characters on either side. The library counts every value of a feature, so the largest part ends at 256, where addresses do.
 FEATURES = {
     "length": "length(c.m)",
     "digits": "length(regexp_replace(c.m, '[^0-9]', ''))",
