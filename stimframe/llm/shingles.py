@@ -12,16 +12,21 @@ _32 = np.uint64(32)
 
 
 class WordHashes(dict):
-    """64-bit hash of each word, kept for as many words as `bound`."""
+    """64-bit hash of each word, kept for as many words as `bound`; those of more bytes than `longest` are hashed each time.
 
-    def __init__(self, bound: int = 200_000):
+    So a worker's memory has a bound also where texts have no spaces, and each is one word.
+    """
+
+    def __init__(self, bound: int = 200_000, longest: int = 64):
         super().__init__()
-        self.bound = bound
+        self.bound, self.longest = bound, longest
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= self.bound:
-            self.clear()
-        h = self[word] = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= self.longest:
+            if len(self) >= self.bound:
+                self.clear()
+            self[word] = h
         return h
 
     def of(self, words: list[bytes]) -> np.ndarray:

@@ -25,7 +25,8 @@ _KINDS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0
 class _Words(WordHashes):
     def __missing__(self, word: bytes) -> int:
         h = super().__missing__(word.strip(_TRIM) or word)
-        self[word] = h
+        if len(word) <= self.longest:
+            self[word] = h
         return h
 
 

@@ -11,10 +11,12 @@ from itertools import permutations
 import duckdb
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
-from stimframe.llm import divergence, fingerprints, resampling
+from stimframe.llm import divergence, fingerprints, resampling, toxicity
 from stimframe.llm.queries import oracle_sql, queries
+from stimframe.llm.shingles import WordHashes, shingle_set
 
 DIR = "/root/testdata/sf0.001"
 
@@ -331,3 +333,17 @@ def test_pipeline_of_one_text(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.text, r.lossless) for r in out] == [(499, words, True)]
     assert len(session._WRITTEN) == before + 1
+
+
+def test_words_of_texts_without_spaces_are_not_kept():
+    """A worker's cache of words has a bound in bytes, and what it doesn't keep hashes alike."""
+    hashes, plain = WordHashes(), {}
+    texts = [b"x%d" % k * 2000 for k in range(50)] + [b"a few words of %d, then one of some length: " % k + b"y" * (40 + k) for k in range(50)]
+    for text in texts:
+        assert (shingle_set(text, hashes) == shingle_set(text, WordHashes(longest=1 << 20))).all()
+        plain |= {w: xxhash.xxh3_64_intdigest(w) for w in text.split()}
+    assert sum(map(len, hashes)) < 5000 and hashes == {w: h for w, h in plain.items() if len(w) <= 64}
+    kept = toxicity._Words(bound=100)
+    for text in texts:
+        toxicity.features(text, kept)
+    assert len(kept) <= 102 and max(map(len, kept)) <= 64
