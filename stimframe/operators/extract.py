@@ -117,37 +117,49 @@ def extract(waves: DataFrame, feature: str, min_samples: int = 1, module: str =
 SHAPES = {"fbank": (400, 320, 0, 0, 23), "mfcc": (2048, 512, 1024, 0, 128), "lld": (400, 320, 0, 1, 14), "voice": (400, 320, 0, 0, len(VOICE))}
 
 
+def value_blocks(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, length: int = 400, shift: int = 320, lead: int = 0, after: int = 0, pad: int = 0) -> DataFrame:
+    """(stim, block, first, values): the values that the samples of each block come from, as 32-bit floats, and the place of the first; samples() lays them out. Parameters are those of wave_blocks()."""
+    low = F.col("i") * hold + pad  # counted from the padding
+    first = F.floor((low - after - length) / shift / block)
+    last = F.floor((F.floor((low + hold - 1) / shift) + lead) / block)
+    dealt = series.select("stim", "i", F.coalesce(F.col("value"), F.lit(0.0)).cast("float").alias("value"), F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("block"))
+    rows = scans.spread(dealt, "stim", "block").groupBy("stim", "block").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("rows"))
+    return rows.select("stim", "block", F.col("rows")[0]["i"].cast("long").alias("first"), F.col("rows")["value"].alias("values"))
+
+
+def samples(b: int, first: int, values: np.ndarray, hold: int, block: int, length: int, shift: int, lead: int = 0, after: int = 0, pad: int = 0) -> tuple[int, np.ndarray]:
+    """Of a row of value_blocks(): how many frames are before the block, and the samples from there on; none if they have no whole frame of the block."""
+    own = min(lead, b * block)
+    begin, end = (b * block - own) * shift - pad, (b * block + block - 1) * shift + length + after - pad
+    at = first * hold
+    held = np.repeat(values, hold)
+    wave = np.concatenate((np.zeros(max(0, at - begin), np.float32), held[max(0, begin - at) :]))[: end - begin]
+    if pad and at + len(held) < end:  # the stimulus ends here
+        wave = np.concatenate((wave, np.zeros(min(pad, end - at - len(held)), np.float32)))
+    return own, wave.astype(np.float32) if len(wave) >= own * shift + length else np.empty(0, np.float32)
+
+
 def wave_blocks(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, length: int = 400, shift: int = 320, lead: int = 0, after: int = 0, pad: int = 0) -> DataFrame:
     """(stim, block, lead, trail, m, wave): the samples of each block of frames, as 32-bit floats, of (stim, i, value) rows.
 
     Value i of a stimulus (from 0, without gaps) is held for `hold` samples; there are `pad` zeros before the first and after the last. The samples go
     `lead` frames back and `after` samples on, as far as the stimulus does. A block without a whole frame is left out; NULL values are 0. m is empty: kernels fill it.
     """
-    low = F.col("i") * hold + pad  # counted from the padding
-    first = F.floor((low - after - length) / shift / block)
-    last = F.floor((F.floor((low + hold - 1) / shift) + lead) / block)
-    dealt = series.select("stim", "i", F.coalesce(F.col("value"), F.lit(0.0)).cast("float").alias("value"), F.explode(F.sequence(F.greatest(first, F.lit(0)), last)).alias("block"))
-    rows = scans.spread(dealt, "stim", "block").groupBy("stim", "block").agg(F.array_sort(F.collect_list(F.struct("i", "value"))).alias("rows"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep, leads, waves = [], [], []
-            for k, (b, r) in enumerate(zip(batch.column("block").to_pylist(), batch.column("rows"))):
-                own = min(lead, b * block)
-                begin, end = (b * block - own) * shift - pad, (b * block + block - 1) * shift + length + after - pad
-                at = int(r.values.field("i")[0].as_py()) * hold
-                values = np.repeat(r.values.field("value").to_numpy(), hold)
-                wave = np.concatenate((np.zeros(max(0, at - begin), np.float32), values[max(0, begin - at) :]))[: end - begin]
-                if pad and at + len(values) < end:  # the stimulus ends here
-                    wave = np.concatenate((wave, np.zeros(min(pad, end - at - len(values)), np.float32)))
-                if len(wave) >= own * shift + length:
+            for k, (b, first, v) in enumerate(zip(batch.column("block").to_pylist(), batch.column("first").to_pylist(), batch.column("values"))):
+                own, wave = samples(b, first, v.values.to_numpy(), hold, block, length, shift, lead, after, pad)
+                if len(wave):
                     keep.append(k)
                     leads.append(own)
-                    waves.append(wave.astype(np.float32).tobytes())
+                    waves.append(wave.tobytes())
             kept = batch.take(pa.array(keep, pa.int32()))
             n = len(keep)
             yield pa.RecordBatch.from_arrays([kept.column("stim"), kept.column("block"), pa.array(leads, pa.int32()), pa.repeat(pa.scalar(0, pa.int32()), n), pa.array([b""] * n, pa.binary()), pa.array(waves, pa.binary())], names=["stim", "block", "lead", "trail", "m", "wave"])
 
+    rows = value_blocks(series, hold, block, length, shift, lead, after, pad)
     return rows.mapInArrow(run, T.StructType([*scans.packed_schema(series.withColumn("block", F.lit(0)), ["stim"]), T.StructField("wave", T.BinaryType())]))
 
 

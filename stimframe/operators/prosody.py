@@ -1,8 +1,8 @@
 """Voice descriptors of long recordings, by blocks of frames: the sets of 25 (eGeMAPS) and 65 (ComParE) low-level descriptors, and the functionals of both.
 
-Samples are cut into blocks of frames once; levels, spectra, formants and pitch candidates are computed in each block, the pitch by the
-path of least cost through all blocks of a stimulus, and what needs the pitch in each block again. Contours are smoothed and
-summarised by blocks too: no task holds a stimulus.
+Values are cut into blocks of frames once, with the samples of a few frames on either side. A stimulus of one block is done where that is. Of longer
+ones every block is summarised by itself (least costs of pitch, filters' ends), the summaries of a stimulus are chained, and each block is
+finished from its entry, the frames around it too, as smoothing and slopes need them: no task holds a stimulus, and no contour moves.
 """
 
 from __future__ import annotations
@@ -12,19 +12,23 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from stimframe.functions import signal, voice
 from stimframe.operators import scans, summaries
-from stimframe.operators.extract import wave_blocks
+from stimframe.operators.extract import samples, value_blocks, wave_blocks
 from stimframe.operators.rank import quantiles
 from stimframe.session import materialise
 
 RATE, LENGTH, SHIFT = 16_000, 400, 320
 #: Frames before a block that it is given, and samples after its last frame: periods of the lowest pitch are followed so far.
 LEAD, AFTER = 4, 2400
+#: Frames around a block that its own depend on once the pitch is known: one of smoothing, two of slopes. Frames before those that filters need. Samples after the last, as with AFTER.
+REACH = 3
+_LEAD, _AFTER = REACH + len(scans.RASTA) - 1, 2400 + REACH * SHIFT
 #: Root mean square up to which a frame has no pitch.
 SILENT = 0.001
 CANDIDATES = 6
@@ -113,11 +117,179 @@ SETS = {"egemaps": Settings(55.0, 1000.0, 0.10, _egemaps_before, _egemaps_after)
 _WIDTHS = {"egemaps": 2 * CANDIDATES + 17, "compare": 2 * CANDIDATES + 58}
 
 
+_STATES = CANDIDATES + 1
+_NONE = np.where(np.eye(_STATES, dtype=bool), 0.0, np.inf)
+#: Of what _compare_before() gives: the logs of mel bands, which are filtered over time.
+_LOGS = {"egemaps": slice(0, 0), "compare": slice(3, 29)}
+
+
+@dataclass(frozen=True)
+class Frames:
+    """Of a block with the frames around it: samples, frames, how many are before the block and its own, what the set's kernel gives before the pitch is known, and pitch candidates with their costs."""
+
+    x: np.ndarray
+    f: np.ndarray
+    lead: int
+    own: int
+    more: np.ndarray
+    f0: np.ndarray
+    voicing: np.ndarray
+    local: np.ndarray
+    step: np.ndarray
+
+
+def _frames(kind: str, b: int, first: int, values: np.ndarray, hold: int, block: int) -> Frames | None:
+    """None if the block has no whole frame."""
+    chosen = SETS[kind]
+    lead, wave = samples(b, first, values, hold, block, LENGTH, SHIFT, _LEAD, _AFTER)
+    if not len(wave):
+        return None
+    x = wave.astype(float)
+    f = signal.frames(x, LENGTH, SHIFT)[: lead + block + REACH]
+    f0, voicing = voice.pitch_candidates(f, RATE, CANDIDATES, chosen.low, chosen.high)
+    local, step = voice.pitch_costs(f0, voicing)
+    if not lead:
+        step[0] = 0.0
+    return Frames(x, f, lead, min(block, len(f) - lead), chosen.before(f), f0, voicing, local, step)
+
+
+def _cuts(own: int, block: int) -> np.ndarray:
+    """Where a block is parted: what is within REACH frames of an edge is walked by the block on the other side too, from the same states."""
+    return np.minimum((0, REACH, block - REACH, block), own)
+
+
+def _summary(kind: str, b: int, first: int, values: np.ndarray, hold: int, block: int) -> np.ndarray | None:
+    """Least costs through the three parts of a block; its length; the filtered logs, from nothing before it, at the second cut (0 if it ends before) and at its end."""
+    at = _frames(kind, b, first, values, hold, block)
+    if at is None:
+        return None
+    cuts = _cuts(at.own, block)
+    ways = [scans.best_path(at.local[at.lead + a : at.lead + z], at.step[at.lead + a : at.lead + z], _NONE)[0].ravel() for a, z in zip(cuts, cuts[1:])]
+    before = min(at.lead, len(scans.RASTA) - 1)
+    y = scans.filtered(at.more[at.lead - before : at.lead + at.own, _LOGS[kind]], before, scans.FEEDBACK, scans.RASTA)
+    return np.concatenate((*ways, [at.own], y[block - REACH - 1] if at.own >= block - REACH else np.zeros(y.shape[1]), y[-1]))
+
+
+def _chain(sums: list[np.ndarray], block: int) -> list[np.ndarray]:
+    """Of each block, from the summaries in order: the states at the cuts from the one before REACH frames before it to the one after REACH frames of the next, and the filtered logs before those frames; -1 and 0 where there are none."""
+    n = _STATES * _STATES
+    states = np.concatenate(([-1], scans.chained([w for s in sums for w in s[: 3 * n].reshape(3, _STATES, _STATES)]), [-1]))
+    width = (len(sums[0]) - 3 * n - 1) // 2
+    y, cut, out = np.zeros(width), np.zeros(width), []
+    for k, s in enumerate(sums):
+        out.append(np.concatenate((np.resize(states[3 * k : 3 * k + 6], 6), cut)))
+        cut = s[3 * n + 1 : 3 * n + 1 + width] + scans.FEEDBACK ** (block - REACH) * y
+        y = s[3 * n + 1 + width :] + scans.FEEDBACK ** s[3 * n] * y
+    return out
+
+
+def _path(at: Frames, entry: np.ndarray | None, block: int) -> np.ndarray:
+    """States of the path of least cost, from REACH frames before the block on to the last of its frames."""
+    if entry is None:
+        return scans.walked(at.local, at.step, np.zeros(_STATES))
+    states = entry[:6].astype(int)
+    cuts = at.lead + np.concatenate(([-REACH if at.lead else 0], _cuts(at.own, block), [len(at.f) - at.lead]))
+    parts = [scans.walked(at.local[a:z], at.step[a:z], _NONE[first], int(last)) for a, z, first, last in zip(cuts, cuts[1:], states, states[1:]) if z > a]
+    return np.concatenate(parts)
+
+
+def _block(kind: str, delta: bool, b: int, first: int, values: np.ndarray, entry: bytes | None, hold: int, block: int, pitch_alone: bool = False) -> np.ndarray | None:
+    """The smoothed columns of the frames of a block, with their slopes if `delta`, or pitch and voicing alone; entry is that of _chain(), or None for the one block of a stimulus."""
+    at = _frames(kind, b, first, values, hold, block)
+    if at is None:
+        return None
+    entry = None if entry is None else np.frombuffer(entry, float)
+    begin, n = max(0, at.lead - REACH), CANDIDATES
+    path, f0, voicing, more = _path(at, entry, block), at.f0[begin:], at.voicing[begin:], at.more[begin:]
+    rows, k = np.arange(len(path)), np.minimum(path, n - 1)
+    there = (path < n) & (more[:, 0] > SILENT)
+    known = np.column_stack((np.where(there, f0[rows, k], 0.0), np.where(path < n, voicing[rows, k], voicing.max(1)), more))
+    if pitch_alone:
+        return known[at.lead - begin :][: at.own, :2]
+    c = SETS[kind].after(at.x, at.f[begin:], (begin + rows) * SHIFT, known, SETS[kind].reach)
+    if kind == "compare":
+        before = min(begin, len(scans.RASTA) - 1)
+        y = scans.filtered(at.more[begin - before :, _LOGS[kind]], before, scans.FEEDBACK, scans.RASTA)
+        c[:, 4:30] = (np.exp(y if entry is None else scans.carried(y, entry[6:], scans.FEEDBACK)) * voice.mel_power(np.zeros((1, LENGTH)), RATE)[1]) ** 0.33
+        c[:, 1] = c[:, 4:30].sum(1)
+    else:
+        c = _with_voiced(c)
+    # Where fewer than REACH frames follow, the stimulus ends with them.
+    left, right = at.lead - begin, len(at.f) - at.lead - at.own
+    a, z = int(left > 0), int(right == REACH)
+    c = scans.smooth(c, a, z, *_SMOOTHED[kind])
+    left, right = left - a, right - z
+    own = c[left : left + at.own]
+    return np.column_stack((own, scans.slopes(c, left, right))) if delta else own
+
+
+def _parted(series: DataFrame, kind: str, hold: int, block: int) -> tuple[DataFrame, DataFrame | None]:
+    """Blocks that are all of their stimulus, and those of longer ones with their entries, or None if there are none."""
+    if block < _LEAD:
+        raise ValueError(f"blocks need {_LEAD} frames at least")
+    held = materialise(value_blocks(series, hold, block, LENGTH, SHIFT, _LEAD, _AFTER), "values")
+    whole = (F.col("block") == 0) & ((F.col("first") + F.size("values")) * hold < block * SHIFT + LENGTH)
+    alone, rest = held.where(whole).withColumn("entry", F.lit(None).cast("binary")), held.where(~whole)
+    if rest.isEmpty():
+        return scans.spread(alone, "stim", "block"), None
+    stim = T.StructField("stim", series.schema["stim"].dataType)
+    sums = _each(scans.spread(rest.withColumn("entry", F.lit(None).cast("binary")), "stim", "block"), lambda b, first, values, entry: _summary(kind, b, first, values, hold, block))
+
+    def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("block")
+        return pd.DataFrame({"stim": rows["stim"], "block": rows["block"], "entry": [e.tobytes() for e in _chain([np.frombuffer(m, float) for m in rows["m"]], block)]})
+
+    entries = sums.groupBy("stim").applyInPandas(lambda rows: link(rows), T.StructType([stim, T.StructField("block", T.LongType()), T.StructField("entry", T.BinaryType())]))
+    return scans.spread(alone, "stim", "block"), scans.spread(scans.with_block(rest, ["stim"], materialise(entries, "entries"), "entry", "entry"), "stim", "block")
+
+
+#: Bytes of matrices that go out of a task at once.
+_AT_ONCE = 8 << 20
+
+
+def _each(blocks: DataFrame, kernel: Callable[..., np.ndarray | None], to: str = "m", block: int = scans.BLOCK) -> DataFrame:
+    """What kernel(block, first, values, entry) gives of the blocks: packed matrices, or with to="features" a row for each of their frames, or with "figures" (stim, features) with all of a matrix. Blocks of which it gives None are left out."""
+    doubles, stim = T.ArrayType(T.DoubleType()), T.StructField("stim", blocks.schema["stim"].dataType)
+    schema = scans.packed_schema(blocks, ["stim"]) if to == "m" else T.StructType([stim, *[T.StructField("frame", T.LongType())] * (to == "features"), T.StructField("features", doubles)])
+
+    def rows_of(batch: pa.RecordBatch, rows: list[int], numbers: list[int], out: list[np.ndarray]) -> pa.RecordBatch:
+        if to == "features":
+            return scans.frame_rows(batch, ["stim"], rows, [b * block for b in numbers], out)
+        same = batch.column("stim").take(pa.array(rows, pa.int32()))
+        if to == "figures":
+            ends = np.cumsum([0, *(x.size for x in out)])
+            return pa.RecordBatch.from_arrays([same, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([x.ravel() for x in out])))], names=["stim", "features"])
+        none = pa.repeat(pa.scalar(0, pa.int32()), len(rows))
+        return pa.RecordBatch.from_arrays([same, pa.array(numbers, pa.int64()), none, none, pa.array([np.ascontiguousarray(x, float).tobytes() for x in out], pa.binary())], names=schema.names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, numbers, out, size = [], [], [], 0
+            for i, (b, first, v, entry) in enumerate(zip(batch.column("block").to_pylist(), batch.column("first").to_pylist(), batch.column("values"), batch.column("entry").to_pylist())):
+                x = kernel(b, first, v.values.to_numpy(), entry)
+                if x is None:
+                    continue
+                rows.append(i)
+                numbers.append(b)
+                out.append(x)
+                size += x.nbytes
+                if size > _AT_ONCE:
+                    yield rows_of(batch, rows, numbers, out)
+                    rows, numbers, out, size = [], [], [], 0
+            if rows:
+                yield rows_of(batch, rows, numbers, out)
+
+    return blocks.select("stim", "block", "first", "values", "entry").mapInArrow(run, schema)
+
+
+def _every(parts: tuple[DataFrame, DataFrame | None], give: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    alone, rest = parts
+    return give(alone) if rest is None else give(alone).unionByName(give(rest))
+
+
 def pitch(series: DataFrame, kind: str = "egemaps", hold: int = 1, block: int = scans.BLOCK) -> DataFrame:
     """(stim, frame, features): pitch in Hz on the path of least cost through six candidates a frame (0: unvoiced or silent), and how voiced that frame is."""
-    blocks = materialise(wave_blocks(series, hold, block, LENGTH, SHIFT, LEAD, AFTER), "waves")
-    two = scans.each_block(pitch_path(blocks, kind, block), ["stim"], lambda m, lead, trail: scans.matrix(m, _WIDTHS[kind] - 2 * CANDIDATES + 2)[:, :2])
-    return scans.unpack(two, ["stim"], 2, block=block)
+    return _every(_parted(series, kind, hold, block), lambda blocks: _each(blocks, lambda *row: _block(kind, False, *row, hold, block, True), "features", block))
 
 
 def pitch_path(blocks: DataFrame, kind: str = "egemaps", block: int = scans.BLOCK) -> DataFrame:
@@ -160,7 +332,9 @@ def egemaps(series: DataFrame, hold: int = 1, block: int = scans.BLOCK) -> DataF
 
     Pitch is in semitones over 27.5 Hz. An empty table gives an empty result, as does a stimulus of less than a frame; NULL samples are 0.
     """
-    return scans.unpack(_smooth_egemaps(series, hold, block), ["stim"], _ALL, block=block).withColumn("features", F.slice("features", 1, len(EGEMAPS)))
+    give = lambda *row: _block("egemaps", False, *row, hold, block)
+    own = lambda *row: None if (x := give(*row)) is None else x[:, : len(EGEMAPS)]
+    return _every(_parted(series, "egemaps", hold, block), lambda blocks: _each(blocks, own, "features", block))
 
 
 #: Beside the 25: formants of voiced frames, ten columns less loudness of voiced ones, five of unvoiced ones, energy.
@@ -169,17 +343,23 @@ _V = ("alphaRatio", "hammarbergIndex", "slope0-500", "slope500-1500", "spectralF
 _ALL = len(EGEMAPS) + len(_NZ) + len(_V) + 5 + 1
 
 
-def _smooth_egemaps(series: DataFrame, hold: int, block: int) -> DataFrame:
-    blocks = materialise(wave_blocks(series, hold, block, LENGTH, SHIFT, LEAD, AFTER), "waves")
+#: Of each set's columns: of which zeros don't count in smoothing, and which stay as they are.
+_SMOOTHED = {
+    "egemaps": ((np.arange(_ALL) >= 10) & (np.arange(_ALL) < _ALL - 1), np.arange(_ALL) == _ALL - 1),
+    "compare": (np.isin(np.arange(len(COMPARE)), (59, 61, 62, 63, 64)), np.zeros(len(COMPARE), bool)),
+}
+
 
-    def select(m: bytes, lead: int, trail: int) -> np.ndarray:
-        x = scans.matrix(m, len(EGEMAPS) + 1)
-        voiced = x[:, 10:11] > 0
-        formants, levels = x[:, [EGEMAPS.index(c) for c in _NZ]], x[:, [EGEMAPS.index(c) for c in _V]]
-        return np.column_stack((x[:, :-1], np.where(voiced, formants, 0), np.where(voiced, levels, 0), np.where(voiced, 0, levels[:, :5]), x[:, -1]))
+def _with_voiced(x: np.ndarray) -> np.ndarray:
+    """The _ALL columns from those of _egemaps_after()."""
+    voiced = x[:, 10:11] > 0
+    formants, levels = x[:, [EGEMAPS.index(c) for c in _NZ]], x[:, [EGEMAPS.index(c) for c in _V]]
+    return np.column_stack((x[:, :-1], np.where(voiced, formants, 0), np.where(voiced, levels, 0), np.where(voiced, 0, levels[:, :5]), x[:, -1]))
 
-    packed = scans.each_block(_contours(blocks, "egemaps", block), ["stim"], select)
-    return scans.written(scans.smoothed(_repacked(packed, _ALL, block, 1), ["stim"], _ALL, tuple(range(10, _ALL - 1)), (_ALL - 1,)))
+
+def _smooth_egemaps(series: DataFrame, hold: int, block: int) -> DataFrame:
+    """Packed columns of the set, and those beside them, smoothed."""
+    return _every(_parted(series, "egemaps", hold, block), lambda blocks: _each(blocks, lambda *row: _block("egemaps", False, *row, hold, block)))
 
 
 def compare(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, delta: bool = False) -> DataFrame:
@@ -232,10 +412,10 @@ _COUNTED, _PITCH = (np.arange(_ALL) >= 10) & (np.arange(_ALL) < _ALL - 1), 10
 
 def block_state(x: np.ndarray, voiced: np.ndarray, nonzero: np.ndarray) -> np.ndarray:
     """What a block tells of each column (number, mean, squares about it, least, largest value; without zeros where `nonzero`) and of the runs of voiced and other frames; block states merge."""
-    out = []
-    for k in range(x.shape[1]):
-        v = x[x[:, k] != 0, k] if nonzero[k] else x[:, k]
-        out += [len(v), v.mean(), ((v - v.mean()) ** 2).sum(), v.min(), v.max()] if len(v) else [0, 0.0, 0.0, np.inf, -np.inf]
+    there = (x != 0) | ~nonzero[None]
+    n = there.sum(0)
+    mean = np.where(there, x, 0).sum(0) / np.maximum(n, 1)
+    out = np.column_stack((n, mean, np.where(there, (x - mean) ** 2, 0).sum(0), np.where(there, x, np.inf).min(0, initial=np.inf), np.where(there, x, -np.inf).max(0, initial=-np.inf))).ravel()
     edges = np.flatnonzero(np.diff(voiced.astype(int))) + 1
     lengths = np.diff(np.concatenate(([0], edges, [len(voiced)])))
     on = voiced[np.concatenate(([0], edges))]
@@ -280,11 +460,35 @@ def merged_states(states: list[np.ndarray], columns: int) -> tuple[np.ndarray, n
 def egemaps_functionals(series: DataFrame, hold: int = 1, block: int = scans.BLOCK) -> DataFrame:
     """(stim, features): the 88 values of EGEMAPS_FUNCTIONALS of each stimulus.
 
-    Blocks are summarised once by states that merge (numbers, means, squares, runs with open edges), rises and falls by a scan that passes the
+    A stimulus of one block is summarised where its contours are. Blocks of longer ones are by states that merge (numbers, means, squares, runs with open edges), rises and falls by a scan that passes the
     last turn on, and percentiles come from distributed ranks. Zeros don't count where the set leaves out unvoiced (or voiced) frames. Slopes
     are by the second, between turns that differ by a tenth of the contour's range. What a stimulus has none of is 0. An empty table gives an empty result.
     """
-    smooth, by = _smooth_egemaps(series, hold, block), ["stim"]
+    alone, rest = _parted(series, "egemaps", hold, block)
+    contours = lambda *row: _block("egemaps", False, *row, hold, block)
+    found = _each(alone, lambda *row: None if (x := contours(*row)) is None else _of_one_block(x), "figures")
+    return found if rest is None else found.unionByName(_of_blocks(scans.written(_each(rest, contours)), block))
+
+
+#: Shares of the values of pitch and loudness whose percentiles the set takes, and of their range by how much turns must differ.
+_POINTS, _LEAST = (0.2, 0.5, 0.8), 0.1
+
+
+def _of_one_block(x: np.ndarray) -> np.ndarray:
+    """The 88 values of a stimulus whose contours are all there."""
+    total, runs = merged_states([block_state(x, x[:, _PITCH] > 0, _COUNTED)], _ALL)
+    found = {"total": total, "runs": runs}
+    for k in (0, _PITCH):
+        v = x[x[:, k] != 0, k] if k == _PITCH else x[:, k]
+        at = scans.turning(v)
+        found[f"slopes{k}"] = _pooled(scans.between_turns(at, v[at], _LEAST * (total[k, 4] - total[k, 3]))[None])
+        found[f"points{k}"] = summaries.interpolated(v, _POINTS) if len(v) else None
+    return np.array(_vector(found))
+
+
+def _of_blocks(smooth: DataFrame, block: int) -> DataFrame:
+    """(stim, features): the 88 values from the written contours of stimuli of any number of blocks."""
+    by = ["stim"]
 
     def state(m: bytes, lead: int, trail: int) -> np.ndarray:
         x = scans.matrix(m, _ALL)
@@ -303,11 +507,11 @@ def egemaps_functionals(series: DataFrame, hold: int = 1, block: int = scans.BLO
     with_range = scans.written(_by_stim(smooth, totals.select("stim", spread(0), spread(_PITCH))))
     found = totals
     for k in (0, _PITCH):
-        steps = scans.turns(with_range, by, _ALL, k, f"spread{k}", 0.1, k == _PITCH).groupBy("stim").applyInPandas(lambda rows: _slopes(rows), T.StructType([stim, T.StructField("slopes", doubles)]))
+        steps = scans.turns(with_range, by, _ALL, k, f"spread{k}", _LEAST, k == _PITCH).groupBy("stim").applyInPandas(lambda rows: _slopes(rows), T.StructType([stim, T.StructField("slopes", doubles)]))
         found = _by_stim(found, steps.withColumnRenamed("slopes", f"slopes{k}"))
     frames = scans.unpack(smooth, by, _ALL, block=block)
     values = frames.select("stim", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), F.col("features")[k].alias("v")) for k in (0, _PITCH)])).alias("x")).select("stim", "x.k", "x.v").where("k = 0 or v <> 0")
-    points = quantiles(values, ["stim", "k"], "v", (0.2, 0.5, 0.8), "q")
+    points = quantiles(values, ["stim", "k"], "v", _POINTS, "q")
     for k in (0, _PITCH):
         found = _by_stim(found, points.where(F.col("k") == k).select("stim", F.col("q").alias(f"points{k}")))
 
@@ -325,12 +529,16 @@ def _by_stim(left: DataFrame, right: DataFrame) -> DataFrame:
 
 def _slopes(rows: pd.DataFrame) -> pd.DataFrame:
     """Number, mean and SD of rising and of falling slopes, from those of the blocks."""
-    parts, out = np.stack([np.frombuffer(m, float) for m in rows["m"]]), []
+    return pd.DataFrame({"stim": rows["stim"].iloc[:1], "slopes": [_pooled(np.stack([np.frombuffer(m, float) for m in rows["m"]]))]})
+
+
+def _pooled(parts: np.ndarray) -> list[float]:
+    out = []
     for n, mean, squares in (parts[:, :3].T, parts[:, 3:].T):
         total = n.sum()
         middle = (n * mean).sum() / total if total else 0.0
         out += [total, middle, np.sqrt((squares.sum() + (n * (mean - middle) ** 2).sum()) / total) if total else 0.0]
-    return pd.DataFrame({"stim": rows["stim"].iloc[:1], "slopes": [out]})
+    return out
 
 
 def _vector(r: dict) -> list[float]:

@@ -82,14 +82,20 @@ def unpack(packed: DataFrame, by: list[str], width: int, frame: str = "frame", t
         for batch in batches:
             for i, (b, lead, trail, m) in enumerate(zip(*(batch.column(c).to_pylist() for c in _PACKED))):
                 x = matrix(m, width)
-                x = np.ascontiguousarray(x[lead : len(x) - trail])
-                arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, width), pa.int32()), pa.array(x.ravel()))
-                same = batch.slice(i, 1).take(pa.array(np.zeros(len(x), np.int32)))
-                yield pa.RecordBatch.from_arrays([*(same.column(c) for c in by), pa.array(b * block + np.arange(len(x))), arrays], names=[*by, frame, to])
+                yield frame_rows(batch, by, [i], [b * block], [x[lead : len(x) - trail]], frame, to)
 
     return packed.mapInArrow(run, schema)
 
 
+def frame_rows(batch: pa.RecordBatch, by: list[str], rows: list[int], firsts: list[int], parts: list[np.ndarray], frame: str = "frame", to: str = "features") -> pa.RecordBatch:
+    """(by, frame, to) rows of the matrices that belong to these rows of the batch, from the frame `firsts` of each on."""
+    x = np.ascontiguousarray(np.concatenate(parts))
+    arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
+    same = batch.take(pa.array(np.repeat(rows, [len(p) for p in parts]), pa.int32()))
+    frames = np.concatenate([f + np.arange(len(p)) for f, p in zip(firsts, parts)])
+    return pa.RecordBatch.from_arrays([*(same.column(c) for c in by), pa.array(frames, pa.int64()), arrays], names=[*by, frame, to])
+
+
 def each_block(packed: DataFrame, by: list[str], kernel: Callable[..., np.ndarray], *more: str, keep: bool = False) -> DataFrame:
     """packed with the matrix that kernel(m, lead, trail, *more) gives for each block, of its own frames (or, with keep, of all); m and the `more` columns come as bytes."""
 
@@ -130,6 +136,21 @@ def scan(packed: DataFrame, by: list[str], summarise: Callable[..., np.ndarray],
     return each_block(with_block(packed, by, entries, "entry", "entry"), by, lambda m, lead, trail, e, *rest: finish(m, lead, trail, np.frombuffer(e, float), *rest), "entry", *more)
 
 
+def filtered(x: np.ndarray, lead: int, feedback: float, taps: tuple[float, ...]) -> np.ndarray:
+    """What recurrence() makes of the rows of x after the first `lead` ones, if y is 0 before them."""
+    x = np.concatenate((np.repeat(x[:1], len(taps) - 1 - lead, 0), x))
+    n = len(x) - len(taps) + 1
+    y = sum(t * x[len(taps) - 1 - k : len(taps) - 1 - k + n] for k, t in enumerate(taps))
+    for t in range(1, n):
+        y[t] += feedback * y[t - 1]
+    return y
+
+
+def carried(y: np.ndarray, entry: np.ndarray, feedback: float) -> np.ndarray:
+    """filtered() rows with what the value before them, entry, adds."""
+    return y + entry[None] * feedback ** np.arange(1, len(y) + 1)[:, None]
+
+
 def recurrence(packed: DataFrame, by: list[str], width: int, feedback: float, taps: tuple[float, ...]) -> DataFrame:
     """packed filtered by y[t] = feedback * y[t - 1] + sum of taps[k] * x[t - k], each of the width values by itself.
 
@@ -137,17 +158,8 @@ def recurrence(packed: DataFrame, by: list[str], width: int, feedback: float, ta
     no input before it, and its length: y at its end is that and feedback**length times y at its beginning.
     """
 
-    def alone(m: bytes, lead: int) -> np.ndarray:
-        x = matrix(m, width)
-        x = np.concatenate((np.repeat(x[:1], len(taps) - 1 - lead, 0), x))
-        n = len(x) - len(taps) + 1
-        y = sum(t * x[len(taps) - 1 - k : len(taps) - 1 - k + n] for k, t in enumerate(taps))
-        for t in range(1, n):
-            y[t] += feedback * y[t - 1]
-        return y
-
     def summarise(m: bytes, lead: int, trail: int) -> np.ndarray:
-        y = alone(m, lead)
+        y = filtered(matrix(m, width), lead, feedback, taps)
         return np.append(y[-1], feedback ** len(y))
 
     def chain(sums: list[np.ndarray]) -> list[np.ndarray]:
@@ -158,8 +170,7 @@ def recurrence(packed: DataFrame, by: list[str], width: int, feedback: float, ta
         return out
 
     def finish(m: bytes, lead: int, trail: int, entry: np.ndarray) -> np.ndarray:
-        y = alone(m, lead)
-        return y + entry[None] * feedback ** np.arange(1, len(y) + 1)[:, None]
+        return carried(filtered(matrix(m, width), lead, feedback, taps), entry, feedback)
 
     return scan(packed, by, summarise, chain, finish)
 
@@ -177,6 +188,28 @@ def best_path(local: np.ndarray, step: np.ndarray, entry: np.ndarray) -> tuple[n
     return costs, back
 
 
+def walked(local: np.ndarray, step: np.ndarray, entry: np.ndarray, last: int | None = None) -> np.ndarray:
+    """The states of the path of least cost from a row of costs before the first frame to the state `last`, or the cheapest one."""
+    costs, back = best_path(local, step, entry[None])
+    at = int(costs[0].argmin()) if last is None else last
+    path = np.empty(len(local), int)
+    for t in range(len(local) - 1, -1, -1):
+        path[t] = at
+        at = back[t, 0, at]
+    return path
+
+
+def chained(ways: list[np.ndarray]) -> np.ndarray:
+    """The states of the path of least cost before, between and after parts of a series, of which `ways` gives the least costs from each state before one to each at its end."""
+    before = [np.zeros(len(ways[0]))]
+    for w in ways:
+        before.append((before[-1][:, None] + w).min(0))
+    out = [int(before[-1].argmin())]
+    for w, b in zip(reversed(ways), reversed(before[:-1])):
+        out.append(int((b + w[:, out[-1]]).argmin()))
+    return np.array(out[::-1])
+
+
 def least_cost_path(packed: DataFrame, by: list[str], width: int, states: int, costs: Costs, pick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """packed with the states of the path of least cost through each series, as a matrix of one column, or with pick(frames, states) of each block.
 
@@ -199,67 +232,75 @@ def least_cost_path(packed: DataFrame, by: list[str], width: int, states: int, c
         return best_path(*of(m, lead, trail), none)[0].ravel()
 
     def chain(sums: list[np.ndarray]) -> list[np.ndarray]:
-        before = [np.zeros(states)]
-        ways = [s.reshape(states, states) for s in sums]
-        for w in ways:
-            before.append((before[-1][:, None] + w).min(0))
-        last, out = int(before[-1].argmin()), []
-        for w, b in zip(reversed(ways), reversed(before[:-1])):
-            first = int((b + w[:, last]).argmin())
-            out.append(np.array([first, last]))
-            last = first
-        return out[::-1]
+        at = chained([s.reshape(states, states) for s in sums])
+        return [at[k : k + 2] for k in range(len(sums))]
 
     def finish(m: bytes, lead: int, trail: int, entry: np.ndarray) -> np.ndarray:
         first, at = entry.astype(int)
         local, step = of(m, lead, trail)
-        back = best_path(local, step, none[first : first + 1])[1][:, 0]
-        path = np.empty(len(local))
-        for t in range(len(local) - 1, -1, -1):
-            path[t] = at
-            at = back[t, at]
-        return path[:, None] if pick is None else pick(matrix(m, width)[lead : lead + len(path)], path.astype(int))
+        path = walked(local, step, none[first], at)
+        return path[:, None] if pick is None else pick(matrix(m, width)[lead : lead + len(path)], path)
 
     return scan(packed, by, summarise, chain, finish)
 
 
-def rasta(packed: DataFrame, by: list[str], width: int, feedback: float = 0.98) -> DataFrame:
+#: The taps of rasta() and its feedback.
+RASTA, FEEDBACK = (0.2, 0.1, 0.0, -0.1, -0.2), 0.98
+
+
+def rasta(packed: DataFrame, by: list[str], width: int, feedback: float = FEEDBACK) -> DataFrame:
     """packed band-passed over time: 0.1 * (2 + z**-1 - z**-3 - 2 * z**-4) / (1 - feedback * z**-1) on each value; needs a lead of four frames (Hermansky and Morgan 1994)."""
-    return recurrence(packed, by, width, feedback, (0.2, 0.1, 0.0, -0.1, -0.2))
+    return recurrence(packed, by, width, feedback, RASTA)
+
+
+def smooth(x: np.ndarray, lead: int, trail: int, nz: np.ndarray, same: np.ndarray) -> np.ndarray:
+    """smoothed() of the rows of a matrix but for the first `lead` and the last `trail`, which are 0 or 1; nz and same say it of each column."""
+    counts = np.where(nz[None], x != 0, True).astype(float)
+    pad = lambda a: np.concatenate((np.zeros((1 - lead, a.shape[1])), a, np.zeros((1 - trail, a.shape[1]))))
+    v, c = pad(x * counts), pad(counts)
+    total, n = v[:-2] + v[1:-1] + v[2:], c[:-2] + c[1:-1] + c[2:]
+    own = x[lead : len(x) - trail]
+    return np.where(same[None] | nz[None] & (own == 0), own, total / np.maximum(n, 1))
 
 
 def smoothed(packed: DataFrame, by: list[str], width: int, nonzero: tuple[int, ...] = (), plain: tuple[int, ...] = ()) -> DataFrame:
     """packed with the mean of three frames; of the `nonzero` columns zeros don't count and stay zero, the `plain` ones stay as they are. Needs a lead and a trail of one frame."""
     nz, same = np.isin(np.arange(width), nonzero), np.isin(np.arange(width), plain)
 
-    def run(m: bytes, lead: int, trail: int) -> np.ndarray:
-        x = matrix(m, width)
-        counts = np.where(nz[None], x != 0, True).astype(float)
-        pad = lambda a: np.concatenate((np.zeros((1 - lead, width)), a, np.zeros((1 - trail, width))))
-        v, c = pad(x * counts), pad(counts)
-        total, n = v[:-2] + v[1:-1] + v[2:], c[:-2] + c[1:-1] + c[2:]
-        own = x[lead : len(x) - trail]
-        return np.where(same[None] | nz[None] & (own == 0), own, total / np.maximum(n, 1))
+    return each_block(packed, by, lambda m, lead, trail: smooth(matrix(m, width), lead, trail, nz, same))
+
 
-    return each_block(packed, by, run)
+def slopes(x: np.ndarray, lead: int, trail: int, reach: int = 2) -> np.ndarray:
+    """deltas() of the rows of a matrix but for the first `lead` and the last `trail`, at most reach."""
+    x = np.concatenate((np.repeat(x[:1], reach - lead, 0), x, np.repeat(x[-1:], reach - trail, 0)))
+    n = len(x) - 2 * reach
+    return sum(k * (x[reach + k : reach + k + n] - x[reach - k : reach - k + n]) for k in range(1, reach + 1)) / (2 * sum(k * k for k in range(1, reach + 1)))
 
 
 def deltas(packed: DataFrame, by: list[str], width: int, reach: int = 2) -> DataFrame:
     """packed with the regression slope over `reach` frames on either side; beyond an end the last frame stands in. Needs a lead and a trail of reach frames."""
 
-    def run(m: bytes, lead: int, trail: int) -> np.ndarray:
-        x = matrix(m, width)
-        x = np.concatenate((np.repeat(x[:1], reach - lead, 0), x, np.repeat(x[-1:], reach - trail, 0)))
-        n = len(x) - 2 * reach
-        return sum(k * (x[reach + k : reach + k + n] - x[reach - k : reach - k + n]) for k in range(1, reach + 1)) / (2 * sum(k * k for k in range(1, reach + 1)))
-
-    return each_block(packed, by, run)
+    return each_block(packed, by, lambda m, lead, trail: slopes(matrix(m, width), lead, trail, reach))
 
 
 def written(packed: DataFrame) -> DataFrame:
     return materialise(packed, "packed")
 
 
+def turning(v: np.ndarray) -> np.ndarray:
+    """Places of the turns of a contour: see turns()."""
+    x, y, z = v[:-2], v[1:-1], v[2:]
+    return np.flatnonzero((y > x) & (y >= z) | (y < x) & (y <= z)) + 1
+
+
+def between_turns(where: np.ndarray, high: np.ndarray, least: float) -> np.ndarray:
+    """Number, mean and squares about it of the rising slopes between turns at these places and of these values, and of the falling ones; those of `least` or less don't count."""
+    dv, dt = np.diff(high), np.diff(where)
+    kept = np.abs(dv) > least
+    parts = [dv[kept & up] / dt[kept & up] for up in (dv > 0, dv < 0)]
+    return np.array([x for s in parts for x in (len(s), s.mean() if len(s) else 0.0, ((s - s.mean()) ** 2).sum() if len(s) else 0.0)])
+
+
 def turns(packed: DataFrame, by: list[str], width: int, column: int, spread: str, least: float = 0.1, nonzero: bool = False) -> DataFrame:
     """Of each block: how many steps between turns rise by more than `least` of the spread, the mean of their slopes (a frame is a step of time) and the sum of squares about it; the same of those that fall; as a matrix of one row.
 
@@ -274,13 +315,9 @@ def turns(packed: DataFrame, by: list[str], width: int, column: int, spread: str
         v = matrix(m, width)[:, column]
         return v[v != 0] if nonzero else v
 
-    def found(v: np.ndarray) -> np.ndarray:
-        x, y, z = v[:-2], v[1:-1], v[2:]
-        return np.flatnonzero((y > x) & (y >= z) | (y < x) & (y <= z)) + 1
-
     def summarise(m: bytes, lead: int, trail: int) -> np.ndarray:
         v = own(m)
-        at = found(v)
+        at = turning(v)
         first, last = (v[0], v[-1]) if len(v) else (none, none)
         second, before = (v[1], v[-2]) if len(v) > 1 else (none, none)
         return np.array([len(v), first, second, before, last, at[-1] if len(at) else none, v[at[-1]] if len(at) else none])
@@ -304,13 +341,10 @@ def turns(packed: DataFrame, by: list[str], width: int, column: int, spread: str
         a, b, pos, at, value = entry
         head = [x for x in (a, b) if not np.isnan(x)]
         v = np.concatenate((head, own(m)))
-        k = found(v)
+        k = turning(v)
         where, high = pos - len(head) + k, v[k]
         if not np.isnan(at):
             where, high = np.append(at, where), np.append(value, high)
-        dv, dt = np.diff(high), np.diff(where)
-        kept = np.abs(dv) > least * (width_of_range or 0.0)
-        slopes = [dv[kept & up] / dt[kept & up] for up in (dv > 0, dv < 0)]
-        return np.array([[x for s in slopes for x in (len(s), s.mean() if len(s) else 0.0, ((s - s.mean()) ** 2).sum() if len(s) else 0.0)]])
+        return between_turns(where, high, least * (width_of_range or 0.0))[None]
 
     return scan(packed, by, summarise, chain, finish, spread)

@@ -167,6 +167,14 @@ def _edges(states: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray, np
     return added, runs, steps
 
 
+def interpolated(v: np.ndarray, points: tuple[float, ...]) -> np.ndarray:
+    """The quantiles that rank.quantiles() gives of these values, at least one."""
+    v = np.sort(v)
+    h = (len(v) - 1) * np.array(points)
+    k, up = np.floor(h).astype(int), np.ceil(h).astype(int)
+    return v[k] + (v[up] - v[k]) * (h - k)
+
+
 def _lengths(runs: np.ndarray, step: float) -> list[float]:
     """Mean, largest, smallest and SD of the lengths of runs."""
     n, total, squares = runs[:, :3].sum(0)
