@@ -19,16 +19,15 @@ from pyspark.sql import types as T
 
 from stimframe.functions import signal, voice
 from stimframe.operators import scans, summaries
-from stimframe.operators.extract import samples, value_blocks, wave_blocks
+from stimframe.operators.extract import samples, value_blocks
 from stimframe.operators.rank import quantiles
 from stimframe.session import materialise
 
 RATE, LENGTH, SHIFT = 16_000, 400, 320
-#: Frames before a block that it is given, and samples after its last frame: periods of the lowest pitch are followed so far.
-LEAD, AFTER = 4, 2400
-#: Frames around a block that its own depend on once the pitch is known: one of smoothing, two of slopes. Frames before those that filters need. Samples after the last, as with AFTER.
+#: Frames around a block that its own depend on once the pitch is known: one of smoothing, two of slopes.
 REACH = 3
-_LEAD, _AFTER = REACH + len(scans.RASTA) - 1, 2400 + REACH * SHIFT
+#: Frames before a block that it is given, as filters need some before those, and samples after its last frame: periods of the lowest pitch are followed so far.
+LEAD, AFTER = REACH + len(scans.RASTA) - 1, 2400 + REACH * SHIFT
 #: Root mean square up to which a frame has no pitch.
 SILENT = 0.001
 CANDIDATES = 6
@@ -43,12 +42,6 @@ COMPARE = (
 )
 
 
-def _framed(wave: bytes, lead: int, block: int) -> tuple[np.ndarray, np.ndarray]:
-    """The samples, and the frames of a block with those before it."""
-    x = np.frombuffer(wave, np.float32).astype(float)
-    return x, signal.frames(x, LENGTH, SHIFT)[: lead + block]
-
-
 @dataclass(frozen=True)
 class Settings:
     """Of a set: the pitch range, how far a period may differ from the pitch, and the kernels before and after the pitch is known."""
@@ -114,8 +107,6 @@ def _compare_after(x: np.ndarray, f: np.ndarray, at: np.ndarray, m: np.ndarray,
 
 
 SETS = {"egemaps": Settings(55.0, 1000.0, 0.10, _egemaps_before, _egemaps_after), "compare": Settings(52.0, 620.0, 0.25, _compare_before, _compare_after)}
-_WIDTHS = {"egemaps": 2 * CANDIDATES + 17, "compare": 2 * CANDIDATES + 58}
-
 
 _STATES = CANDIDATES + 1
 _NONE = np.where(np.eye(_STATES, dtype=bool), 0.0, np.inf)
@@ -141,7 +132,7 @@ class Frames:
 def _frames(kind: str, b: int, first: int, values: np.ndarray, hold: int, block: int) -> Frames | None:
     """None if the block has no whole frame."""
     chosen = SETS[kind]
-    lead, wave = samples(b, first, values, hold, block, LENGTH, SHIFT, _LEAD, _AFTER)
+    lead, wave = samples(b, first, values, hold, block, LENGTH, SHIFT, LEAD, AFTER)
     if not len(wave):
         return None
     x = wave.astype(float)
@@ -225,9 +216,9 @@ def _block(kind: str, delta: bool, b: int, first: int, values: np.ndarray, entry
 
 def _parted(series: DataFrame, kind: str, hold: int, block: int) -> tuple[DataFrame, DataFrame | None]:
     """Blocks that are all of their stimulus, and those of longer ones with their entries, or None if there are none."""
-    if block < _LEAD:
-        raise ValueError(f"blocks need {_LEAD} frames at least")
-    held = materialise(value_blocks(series, hold, block, LENGTH, SHIFT, _LEAD, _AFTER), "values")
+    if block < LEAD:
+        raise ValueError(f"blocks need {LEAD} frames at least")
+    held = materialise(value_blocks(series, hold, block, LENGTH, SHIFT, LEAD, AFTER), "values")
     whole = (F.col("block") == 0) & ((F.col("first") + F.size("values")) * hold < block * SHIFT + LENGTH)
     alone, rest = held.where(whole).withColumn("entry", F.lit(None).cast("binary")), held.where(~whole)
     if rest.isEmpty():
@@ -292,41 +283,6 @@ def pitch(series: DataFrame, kind: str = "egemaps", hold: int = 1, block: int =
     return _every(_parted(series, kind, hold, block), lambda blocks: _each(blocks, lambda *row: _block(kind, False, *row, hold, block, True), "features", block))
 
 
-def pitch_path(blocks: DataFrame, kind: str = "egemaps", block: int = scans.BLOCK) -> DataFrame:
-    """Packed (f0, voicing, and what the set's kernel gives before the pitch is known) of the blocks: f0 is that of the path of least cost, 0 for unvoiced and silent frames."""
-    chosen, n = SETS[kind], CANDIDATES
-
-    def before(m: bytes, lead: int, trail: int, wave: bytes) -> np.ndarray:
-        _, f = _framed(wave, lead, block)
-        return np.column_stack((*voice.pitch_candidates(f, RATE, n, chosen.low, chosen.high), chosen.before(f)))
-
-    def pick(x: np.ndarray, path: np.ndarray) -> np.ndarray:
-        rows, k = np.arange(len(x)), np.minimum(path, n - 1)
-        there = (path < n) & (x[:, 2 * n] > SILENT)
-        return np.column_stack((np.where(there, x[rows, k], 0.0), np.where(path < n, x[rows, n + k], x[:, n : 2 * n].max(1)), x[:, 2 * n :]))
-
-    width = _WIDTHS[kind]
-    packed = scans.written(scans.each_block(blocks, ["stim"], before, "wave", keep=True))
-    return scans.least_cost_path(packed, ["stim"], width, n + 1, lambda x: voice.pitch_costs(x[:, :n], x[:, n : 2 * n]), pick)
-
-
-def _contours(blocks: DataFrame, kind: str, block: int) -> DataFrame:
-    """Packed columns of the set, before smoothing."""
-    chosen, width = SETS[kind], _WIDTHS[kind] - 2 * CANDIDATES + 2
-
-    def after(m: bytes, lead: int, trail: int, wave: bytes, before: int) -> np.ndarray:
-        x, f = _framed(wave, before, block)
-        return chosen.after(x, f[before:], (before + np.arange(len(f) - before)) * SHIFT, scans.matrix(m, width), chosen.reach)
-
-    both = scans.with_block(pitch_path(blocks, kind, block), ["stim"], blocks.withColumn("__both", F.struct("wave", F.col("lead").alias("before"))), "__both", "__both")
-    return scans.each_block(both.select("*", "__both.wave", "__both.before"), ["stim"], after, "wave", "before")
-
-
-def _repacked(packed: DataFrame, width: int, block: int, reach: int) -> DataFrame:
-    """packed with frames before and after each block."""
-    return scans.pack(scans.unpack(packed, ["stim"], width, block=block), ["stim"], "frame", "features", block, reach, reach)
-
-
 def egemaps(series: DataFrame, hold: int = 1, block: int = scans.BLOCK) -> DataFrame:
     """(stim, frame, features): the 25 columns of EGEMAPS, smoothed over three frames; zeros of what is unvoiced stay zero.
 
@@ -367,35 +323,8 @@ def compare(series: DataFrame, hold: int = 1, block: int = scans.BLOCK, delta: b
 
     The auditory spectrum is filtered over time (RASTA) in the logarithm. Zeros of what is unvoiced stay zero. An empty table gives an empty result; NULL samples are 0.
     """
-    return scans.unpack(_packed_compare(series, hold, block, delta), ["stim"], len(COMPARE) * (1 + delta), block=block)
-
-
-def _packed_compare(series: DataFrame, hold: int, block: int, delta: bool) -> DataFrame:
-    blocks, n = materialise(wave_blocks(series, hold, block, LENGTH, SHIFT, LEAD, AFTER), "waves"), len(COMPARE)
-    raw = scans.written(_contours(blocks, "compare", block))
-    logs = scans.each_block(raw, ["stim"], lambda m, lead, trail: scans.matrix(m, n)[:, 4:30])
-    filtered = scans.rasta(scans.written(_repacked_back(logs, 26, block, 4)), ["stim"], 26)
-    weight = voice.mel_power(np.zeros((1, LENGTH)), RATE)[1]
-
-    def merge(m: bytes, lead: int, trail: int, r: bytes) -> np.ndarray:
-        x = scans.matrix(m, n).copy()
-        x[:, 4:30] = (np.exp(scans.matrix(r, 26)) * weight) ** 0.33
-        x[:, 1] = x[:, 4:30].sum(1)
-        return x
-
-    merged = scans.each_block(scans.with_block(raw, ["stim"], filtered, "m", "rasta"), ["stim"], merge, "rasta")
-    smooth = scans.smoothed(_repacked(merged, n, block, 1), ["stim"], n, (59, 61, 62, 63, 64))
-    if not delta:
-        return smooth
-    wide = _repacked(scans.written(smooth), n, block, 2)
-    both = scans.with_block(wide, ["stim"], scans.deltas(wide, ["stim"], n), "m", "slopes")
-    stack = lambda m, lead, trail, s: np.column_stack((scans.matrix(m, n)[lead : len(m) // 8 // n - trail], scans.matrix(s, n)))
-    return scans.each_block(both, ["stim"], stack, "slopes")
-
-
-def _repacked_back(packed: DataFrame, width: int, block: int, lead: int) -> DataFrame:
-    """packed with frames before each block alone."""
-    return scans.pack(scans.unpack(packed, ["stim"], width, block=block), ["stim"], "frame", "features", block, lead)
+    contours = lambda *row: _block("compare", delta, *row, hold, block)
+    return _every(_parted(series, "compare", hold, block), lambda blocks: _each(blocks, contours, "features", block))
 
 
 _TEN = ("amean", "stddevNorm", "percentile20.0", "percentile50.0", "percentile80.0", "pctlrange0-2", "meanRisingSlope", "stddevRisingSlope", "meanFallingSlope", "stddevFallingSlope")
@@ -601,7 +530,7 @@ def compare_functionals(series: DataFrame, hold: int = 1, block: int = scans.BLO
     """
     n, k = len(COMPARE), len(summaries.FIGURES)
     nonzero = (*range(_LEVELS, n), *range(n + _LEVELS, 2 * n))
-    every = summaries.functionals(scans.written(_packed_compare(series, hold, block, True)), ["stim"], 2 * n, SHIFT / RATE, nonzero, (_LEVELS,), block)
+    every = summaries.functionals(scans.written(_every(_parted(series, "compare", hold, block), lambda blocks: _each(blocks, lambda *row: _block("compare", True, *row, hold, block)))), ["stim"], 2 * n, SHIFT / RATE, nonzero, (_LEVELS,), block)
     at = np.array([c * k + summaries.FIGURES.index(f) for _, c, f in _PLAN])
 
     def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

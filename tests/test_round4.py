@@ -60,3 +60,8 @@ def test_blocks_of_any_size_give_the_same_contours(spark, short, block):
         assert [key(r) for r in a] == [key(r) for r in b] and np.allclose([r.features for r in a], [r.features for r in b], rtol=1e-6, atol=1e-6)
     with pytest.raises(ValueError):
         prosody.egemaps(few, HOLD, 6)
+
+
+def test_compare_of_short_stimuli(spark, short):
+    rows = local(spark, lambda: prosody.compare(short, HOLD, delta=True))
+    assert {r.stim for r in rows} == {*map(str, range(40)), "flat", None} and len(rows[0].features) == 130
