@@ -203,6 +203,19 @@ def levinson(r: np.ndarray, order: int) -> tuple[np.ndarray, float]:
     return a[1:], error
 
 
+def levinson_all(r: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """levinson() of many rows of autocorrelations: coefficients, (rows, order), and gains."""
+    a, error = np.zeros((len(r), order + 1)), r[:, 0].astype(float)
+    a[:, 0] = 1.0
+    live = np.ones(len(r), bool)
+    for i in range(1, order + 1):
+        live = live & (error > 0)
+        k = np.where(live, -(a[:, :i] * r[:, i:0:-1]).sum(1) / np.where(live, error, 1.0), 0.0)
+        a[:, 1 : i + 1] += k[:, None] * a[:, i - 1 :: -1][:, :i]
+        error = error * (1 - k * k)
+    return a[:, 1:], error
+
+
 def resample(wave: np.ndarray, rate: int, to: int, zeros: int = 16) -> np.ndarray:
     """Windowed-sinc resampling; the waveform itself if the rates match."""
     if rate == to or not len(wave):

@@ -524,17 +524,22 @@ COMPARE_FUNCTIONALS = tuple(name for name, _, _ in _PLAN)
 def compare_functionals(series: DataFrame, hold: int = 1, block: int = scans.BLOCK) -> DataFrame:
     """(stim, features): the 6,373 values of COMPARE_FUNCTIONALS of each stimulus.
 
-    They are figures of summaries.functionals(), which says what each is. Zeros of what describes voice don't count, in
+    They are figures of summaries.functionals(), which says what each is; those of a stimulus of one block are taken where its contours are. Zeros of what describes voice don't count, in
     slopes neither; segments are those of the contour as it is, without a further running mean. What a stimulus has none of is 0. An empty table gives an empty result, as
     does a stimulus of less than a frame; NULL samples are 0.
     """
     n, k = len(COMPARE), len(summaries.FIGURES)
     nonzero = (*range(_LEVELS, n), *range(n + _LEVELS, 2 * n))
-    every = summaries.functionals(scans.written(_every(_parted(series, "compare", hold, block), lambda blocks: _each(blocks, lambda *row: _block("compare", True, *row, hold, block)))), ["stim"], 2 * n, SHIFT / RATE, nonzero, (_LEVELS,), block)
     at = np.array([c * k + summaries.FIGURES.index(f) for _, c, f in _PLAN])
+    alone, rest = _parted(series, "compare", hold, block)
+    contours = lambda *row: _block("compare", True, *row, hold, block)
+    found = _each(alone, lambda *row: None if (x := contours(*row)) is None else summaries.whole(x, SHIFT / RATE, nonzero, (_LEVELS,)).ravel()[at], "figures")
+    if rest is None:
+        return found
+    every = summaries.functionals(scans.written(_each(rest, contours)), ["stim"], 2 * n, SHIFT / RATE, nonzero, (_LEVELS,), block)
 
     def pick(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in parts:
             yield pd.DataFrame({"stim": rows["stim"], "features": [np.asarray(x)[at] for x in rows["figures"]]})
 
-    return every.mapInPandas(pick, T.StructType([every.schema["stim"], T.StructField("features", T.ArrayType(T.DoubleType()))]))
+    return found.unionByName(every.mapInPandas(pick, T.StructType([every.schema["stim"], T.StructField("features", T.ArrayType(T.DoubleType()))])))

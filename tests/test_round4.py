@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from stimframe.operators import prosody, scans
+from stimframe.operators import prosody, scans, summaries
 from stimframe.session import shared_dir
 
 HOLD = 160
@@ -65,3 +65,31 @@ def test_blocks_of_any_size_give_the_same_contours(spark, short, block):
 def test_compare_of_short_stimuli(spark, short):
     rows = local(spark, lambda: prosody.compare(short, HOLD, delta=True))
     assert {r.stim for r in rows} == {*map(str, range(40)), "flat", None} and len(rows[0].features) == 130
+
+
+def test_compare_functionals_of_short_stimuli(spark, short):
+    got = local(spark, lambda: prosody.compare_functionals(short, HOLD))
+    assert len(got) == 42 and all(len(r.features) == 6373 and np.isfinite(r.features).all() for r in got)
+    few = [r for r in got if r.stim in ("3", None)]
+    for r in prosody.compare_functionals(short.where("stim = '3' or stim is null"), HOLD, block=16).collect():
+        (own,) = [np.array(x.features) for x in few if x.stim == r.stim]
+        # Gains and coefficients of nearly perfect predictions, and shares of a mean near 0, have few digits.
+        assert np.isclose(own, r.features, rtol=1e-5, atol=1e-6).mean() > 0.999
+
+
+def test_figures_of_many_contours_are_those_of_each(spark):
+    g = np.random.default_rng(7)
+    for n in (1, 2, 3, 7, 40):
+        x = np.round(g.normal(size=(n, 6)) * [1, 1, 1, 0, 1, 1], 1)
+        x[:, 4:] *= g.random((n, 2)) < [0.5, 0.1]
+        got = summaries.whole(x, 0.02, (4, 5), (4,))
+        assert got.shape == (7, len(summaries.FIGURES))
+        for k, v in enumerate((*x[:, :4].T, x[x[:, 4] != 0, 4], x[x[:, 5] != 0, 5])):
+            if not len(v):
+                assert not got[k].any()
+                continue
+            one = summaries.figures(summaries.block_state(v, v.mean(), v.min(), v.max())[None], v.mean(), v.min(), v.max(), 0.02)
+            assert np.allclose(got[k, : len(one)], one, rtol=1e-9, atol=1e-9)
+            named = dict(zip(summaries.FIGURES, got[k]))
+            assert np.allclose([named[f] for f in ("percentile1.0", "quartile1", "quartile2", "quartile3", "percentile99.0")], np.quantile(v, summaries.POINTS))
+        assert np.isclose(got[6, 0], (x[:, 4] != 0).mean()) and not got[6, -9:].any()
