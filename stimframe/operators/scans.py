@@ -91,7 +91,7 @@ def frame_rows(batch: pa.RecordBatch, by: list[str], rows: list[int], firsts: li
     """(by, frame, to) rows of the matrices that belong to these rows of the batch, from the frame `firsts` of each on."""
     x = np.ascontiguousarray(np.concatenate(parts))
     arrays = pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1]), pa.int32()), pa.array(x.ravel()))
-    same = batch.take(pa.array(np.repeat(rows, [len(p) for p in parts]), pa.int32()))
+    same = batch.select(by).take(pa.array(np.repeat(rows, [len(p) for p in parts]), pa.int32()))  # not the matrices, too
     frames = np.concatenate([f + np.arange(len(p)) for f, p in zip(firsts, parts)])
     return pa.RecordBatch.from_arrays([*(same.column(c) for c in by), pa.array(frames, pa.int64()), arrays], names=[*by, frame, to])
 

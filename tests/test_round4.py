@@ -3,6 +3,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -10,6 +11,8 @@ from stimframe.operators import prosody, scans, summaries
 from stimframe.session import shared_dir
 
 HOLD = 160
+#: Counts what Arrow takes; must outlive what is made in it.
+POOL = pa.proxy_memory_pool(pa.default_memory_pool())
 
 
 @pytest.fixture(scope="module")
@@ -93,3 +96,16 @@ def test_figures_of_many_contours_are_those_of_each(spark):
             named = dict(zip(summaries.FIGURES, got[k]))
             assert np.allclose([named[f] for f in ("percentile1.0", "quartile1", "quartile2", "quartile3", "percentile99.0")], np.quantile(v, summaries.POINTS))
         assert np.isclose(got[6, 0], (x[:, 4] != 0).mean()) and not got[6, -9:].any()
+
+
+def test_rows_of_frames_dont_repeat_the_matrix():
+    x = np.random.default_rng(1).normal(size=(2048, 130))
+    batch = pa.RecordBatch.from_arrays([pa.array(["a"]), pa.array([x.tobytes()], pa.binary())], names=["stim", "m"])
+    usual = pa.default_memory_pool()
+    pa.set_memory_pool(POOL)
+    try:
+        got = scans.frame_rows(batch, ["stim"], [0], [4096], [x[:500]])
+    finally:
+        pa.set_memory_pool(usual)
+    assert got.num_rows == 500 and got.column("frame")[0].as_py() == 4096 and got.column("features")[499].as_py() == x[499].tolist()
+    assert POOL.max_memory() < 20_000_000
